@@ -7,6 +7,8 @@ import importlib
 #: query name -> module and function.
 WHERE = {
     "op1_media_columns": "media",
+    "op3_best_fit_packing": "packing",
+    "op4_toxicity": "toxicity",
     "op6_secret_scans": "secrets",
     "op7_license_scans": "licenses",
     "op9_quality_rules": "quality",
