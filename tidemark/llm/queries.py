@@ -12,6 +12,7 @@ WHERE = {
     "op6_secret_scans": "secrets",
     "op7_license_scans": "licenses",
     "op9_quality_rules": "quality",
+    "op10_near_duplicates": "near_duplicates",
 }
 
 
