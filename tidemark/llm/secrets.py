@@ -140,5 +140,22 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", with_redacted:
     return map_arrow(df.select(key, F.col(text).alias("_text")), batch, schema)
 
 
+def redact_documents(df: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """df with secrets in its texts replaced by marks and the length column, if there is one, following; all other columns as they are."""
+    names, schema = df.columns, df.schema
+    at, length_at = names.index(text), names.index(length) if length in names else None
+
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t and (redact(t, spans) if (spans := find_secrets(t)) else t) for t in rows.column(at).to_pylist()]
+        columns = list(rows.columns)
+        columns[at] = pa.array(texts, rows.schema.field(at).type)
+        if length_at is not None:
+            before = columns[length_at].to_pylist()
+            columns[length_at] = pa.array([n if t is None else len(t) for n, t in zip(before, texts, strict=True)], rows.schema.field(length_at).type)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    return map_arrow(df, batch, schema)
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_lexed")

@@ -169,21 +169,41 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 _known: dict[str, tuple[Model, Memo]] = {}
 
 
-def score_column(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and score of every row. The model has a fixed size and goes out as a broadcast variable."""
+def scorer(spark: SparkSession, model: Model):
+    """A function of texts that gives their scores on executors. The model has a fixed size and goes out as a broadcast variable."""
     name = uuid.uuid4().hex
-    sent = df.sparkSession.sparkContext.broadcast((model.vectors.astype(np.float16), model.softmax, model.bias))
+    sent = spark.sparkContext.broadcast((model.vectors.astype(np.float16), model.softmax, model.bias))
 
-    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+    def scores(texts: list[str | None]) -> list[float]:
         if name not in _known:
             _known.clear()
             vectors, softmax, bias = sent.value
             here = Model(vectors.astype(np.float32), softmax, bias)
             _known[name] = here, Memo(here.word_score)
         here, known = _known[name]
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array([here.score(t, known) for t in rows.column(1).to_pylist()], pa.float64())], names=[key, "score"])
+        return [here.score(t or "", known) for t in texts]
+
+    return scores
+
+
+def score_column(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and score of every row."""
+    scores = scorer(df.sparkSession, model)
+
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores(rows.column(1).to_pylist()), pa.float64())], names=[key, "score"])
+
+    return map_arrow(df.select(key, F.col(text).alias("_text")), batch, f"{key} {df.schema[key].dataType.simpleString()}, score double")
+
+
+def keep_clean(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of df that score below threshold, whole, without a join: the filter runs on the rows themselves."""
+    scores, at = scorer(df.sparkSession, model), df.columns.index(text)
+
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        return rows.filter(pa.array([s < threshold for s in scores(rows.column(at).to_pylist())], pa.bool_()))
 
-    return map_arrow(df.select(key, text_or_empty(text).alias("_text")), batch, f"{key} {df.schema[key].dataType.simpleString()}, score double")
+    return map_arrow(df, batch, df.schema)
 
 
 def fit_on(spark: SparkSession, sf_dir: str) -> Model:
