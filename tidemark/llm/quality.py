@@ -84,7 +84,7 @@ def _has_twins(hashes: Column) -> Column:
     return F.size(F.array_distinct(hashes)) < F.size(hashes)
 
 
-def measures(df: DataFrame, text: str = "text") -> DataFrame:
+def measures(df: DataFrame, text: str = "text", once: Column | None = None) -> DataFrame:
     """df with the counts of its texts: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_letters, n_stop_words."""
     body = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumns({"_words": F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), "_lines": F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD))})
@@ -93,6 +93,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     ascii_letters = F.length(F.regexp_replace(body, "[^A-Za-z]", ""))
     df = df.withColumns(
         {
+            **({} if once is None else {"_once": once}),
             "n_words": F.size(words).cast("bigint"),
             "word_chars": F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")).cast("bigint"),
             "n_symbols": F.length(F.regexp_replace(body, "[^#*$%&|<>]+", "")).cast("bigint"),
@@ -131,13 +132,25 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_compact(F.array(*map(broken, rules)))
 
 
+def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of df that are kept, with df's columns. The measures stand beside a partition number, which is not deterministic, so that the
+    optimizer computes them once and filters afterwards instead of writing their expressions into the filter again and again."""
+    names = df.columns
+    judged = _judged(measures(df.select(F.col(text).alias("_text"), F.struct(*names).alias("_row")), "_text", F.spark_partition_id()), rules)
+    return judged.filter(F.col("kept") & (F.col("_once") >= 0)).select("_row.*")
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with its measures, base_failed, broken (names of the broken rules) and kept."""
-    out = measures(df, text).withColumns({"base_failed": base_failed(), "broken": compile_rules(rules)})
+    return _judged(measures(df, text), rules)
+
+
+def _judged(measured: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    out = measured.withColumns({"base_failed": base_failed(), "broken": compile_rules(rules)})
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
 
 
