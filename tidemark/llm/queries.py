@@ -7,6 +7,7 @@ import importlib
 #: query name -> module and function.
 WHERE = {
     "op1_media_columns": "media",
+    "op2_html_extraction": "html_text",
     "op3_best_fit_packing": "packing",
     "op4_toxicity": "toxicity",
     "op6_secret_scans": "secrets",
