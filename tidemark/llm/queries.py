@@ -12,6 +12,7 @@ WHERE = {
     "op4_toxicity": "toxicity",
     "op6_secret_scans": "secrets",
     "op7_license_scans": "licenses",
+    "op8_pii": "pii",
     "op9_quality_rules": "quality",
     "op10_near_duplicates": "near_duplicates",
 }
