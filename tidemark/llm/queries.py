@@ -10,6 +10,7 @@ WHERE = {
     "op2_html_extraction": "html_text",
     "op3_best_fit_packing": "packing",
     "op4_toxicity": "toxicity",
+    "op5_sentencepiece": "sentencepiece_fst",
     "op6_secret_scans": "secrets",
     "op7_license_scans": "licenses",
     "op8_pii": "pii",
