@@ -35,6 +35,7 @@ CLOSING_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Decisions that the search over a large histogram may take, and items up to which it is exhaustive.
 DECISIONS = 6_000
+DOMINATED_ITEMS = 4
 EXHAUSTIVE_ITEMS = 24
 EXHAUSTIVE_NODES = 50_000
 
@@ -172,8 +173,8 @@ def best_fit(counts: np.ndarray, capacity: int) -> Plan:
 
 def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     """Whether the items of b can be dealt into disjoint parts, each no larger than an item of a of its own: then a is never worse."""
-    if a == b or sum(b) > sum(a):
-        return a == b
+    if a == b or sum(b) > sum(a) or len(b) > DOMINATED_ITEMS:
+        return a == b  # many small items: not looked into, the filling is just kept
 
     def fits(k: int, rooms: tuple[int, ...]) -> bool:
         return k == len(b) or any(r >= b[k] and fits(k + 1, (*rooms[:i], r - b[k], *rooms[i + 1 :])) for i, r in enumerate(rooms))
@@ -211,7 +212,7 @@ def greedy_fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int,
             break
         chosen.append(step)
         left = left - step
-    best = np.lexsort((-available, left))[: 8 * most]
+    best = np.lexsort((-available, left))[: 2 * most]
     found = [f for i in best if _fits_counts(f := tuple(int(c[i]) for c in chosen if c[i]), counts)]
     return undominated(found)[:most] or [(int(available[-1]),)]
 
