@@ -56,9 +56,9 @@ def snake(s: Column) -> Column:
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Kilometres between two points of a sphere with the Earth's mean radius."""
+    """Kilometres between two points of a sphere with the Earth's mean radius; null where a coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * 6371.0088 * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * 6371.0088 * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))
 
 
 def content_key(*parts: Column) -> Column:

@@ -148,7 +148,8 @@ SQL["import_report"] = cut(f"{KEYED}, e AS (SELECT u.*, o.content_key IS NULL AS
 SQL["manual_list"] = cut(f"{M} SELECT id, account_id, round(value, 6) AS value FROM m WHERE source = 'Manual' AND metric = 'view' ORDER BY start_at DESC, id DESC LIMIT 200")
 SQL["distinct_metrics"] = cut(f"{M} SELECT DISTINCT account_id, metric FROM m")
 TRACK = "t AS (SELECT user_id AS route_id, event_id AS seq, 48 + (event_id % 997) / 1000.0::DOUBLE AS lat, 2 + (event_id % 613) / 1000.0::DOUBLE AS lon, (event_id % 37)::DOUBLE AS ele, ts AS tm FROM events WHERE value IS NOT NULL)"
-HAV = "2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians({b1} - {a1}) / 2), 2) + cos(radians({a1})) * cos(radians({b1})) * pow(sin(radians({b2} - {a2}) / 2), 2))))"
+_A = "pow(sin(radians({b1} - {a1}) / 2), 2) + cos(radians({a1})) * cos(radians({b1})) * pow(sin(radians({b2} - {a2}) / 2), 2)"
+HAV = f"2 * 6371.0088 * asin(CASE WHEN {_A} > 1 THEN 1 ELSE sqrt({_A}) END)"
 STEP = f"q AS (SELECT *, coalesce({HAV.format(a1='lag(lat) OVER o', a2='lag(lon) OVER o', b1='lat', b2='lon')}, 0) AS step FROM t WINDOW o AS (PARTITION BY route_id ORDER BY seq))"
 SQL["haversine_length"] = cut(f"{TRACK}, {STEP} SELECT route_id, count(*) AS points, round(sum(step), 4) AS km FROM q GROUP BY ALL")
 SQL["ascent_hysteresis"] = f"""WITH RECURSIVE {TRACK}, k AS (SELECT route_id, ele, row_number() OVER (PARTITION BY route_id ORDER BY seq) AS i FROM t),
