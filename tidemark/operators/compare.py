@@ -82,7 +82,7 @@ def overall_span(*families: DataFrame) -> DataFrame:
 def fold_spans(spans: DataFrame, window: Window, bucket: str, first: str = "starts_on", last: str = "ends_on") -> DataFrame:
     """Spans of days (an open end lasts to the window's) that meet the window, with their first and last bucket in it."""
     lo, hi = F.lit(window.start.date()), F.lit(shift(window.end.date(), days=-1) if window.end == Window.of(window.end.date(), window.end.date()).start else window.end.date())
-    end = F.coalesce(F.col(last), hi)
+    end = F.coalesce(F.col(last), F.greatest(F.col(first), hi))
     a, b = F.least(F.col(first), end), F.greatest(F.col(first), end)
     met = spans.filter((a <= hi) & (b >= lo))
     return met.withColumns({"first_bucket": bucket_of(F.greatest(a, lo), bucket), "last_bucket": bucket_of(F.least(b, hi), bucket)})

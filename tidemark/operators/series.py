@@ -60,6 +60,14 @@ def derived_summary(resolved: DataFrame, rules: DataFrame, terms: DataFrame) ->
     return evaluate(summary(resolved, rules).select(*KEYS, "value"), terms, ["account_id"])
 
 
+def figures(summed: DataFrame, rules: DataFrame, days: int) -> DataFrame:
+    """(account_id, metric, mode, figure): what a summary shows: a daily mean of sums, else the window's mean."""
+    ruled = summed.join(F.broadcast(rules.select("metric", "rule")), "metric")
+    daily = F.col("rule") == SUM
+    figure = F.when(daily, F.col("value") / days).otherwise(F.coalesce("mean", "value"))
+    return ruled.select(*KEYS, F.when(daily, "per_day").otherwise("mean").alias("mode"), figure.alias("figure"))
+
+
 def panel(found: DataFrame, metrics: list[str]) -> DataFrame:
     """Points of several metrics side by side: one row per account and bucket, one column per metric, null where it has no point."""
     return found.groupBy("account_id", "bucket").pivot("metric", metrics).agg(F.first("value"))

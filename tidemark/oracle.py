@@ -162,10 +162,20 @@ SQL["point_distance"] = cut(f"{TRACK} SELECT seq, round({HAV.format(a1='48.5', a
 SQL["metric_listing"] = """WITH c(slug, unit, nature) AS (VALUES ('view', 'count', 'imported'), ('click', 'count', 'imported'), ('purchase', 'count', 'imported'), ('error', 'count', 'imported'), ('signup', 'count', 'imported'), ('engagement', 'count', 'derived'), ('net', 'count', 'derived'), ('purchase_share', '%', 'derived'), ('purchase_per_error', '1', 'derived'))
   SELECT slug, unit, nature, (SELECT count(*) FROM events WHERE event_type = slug) AS rows FROM c"""
 SQL["stream_daily"] = "SELECT user_id % 3 AS account_id, event_type AS metric, CAST(ts AS DATE) AS bucket, round(sum(value), 6) AS sum, count(*) AS count FROM events GROUP BY ALL"
+SQL["summary_figures"] = cut(f"{R}, {S} SELECT account_id, metric, CASE WHEN metric IN ('view', 'click', 'purchase') THEN 'per_day' ELSE 'mean' END AS mode, round(CASE WHEN metric IN ('view', 'click', 'purchase') THEN value / 21 ELSE coalesce(mean, value) END, 6) AS figure FROM s")
+_sb = S.replace("FROM r GROUP", "FROM br GROUP").replace("s AS (", "sb AS (", 1)
+_f2 = formulas("sb", "").replace("v AS (", "v2 AS (", 1).replace("FROM v ", "FROM v2 ").replace(" FROM v)", " FROM v2)").replace(", f AS (", ", f2 AS (")
+SQL["compare_delta"] = cut(f"{R}, {resolved(*B, p='b')}, {S}, {_sb}, {formulas('s', '')}, {_f2} SELECT f.account_id, f.metric, round(f.value, 6) AS value, round(f2.value, 6) AS baseline, round(CASE WHEN f.metric = 'net' OR f2.value = 0 THEN f.value - f2.value ELSE 100 * (f.value - f2.value) / abs(f2.value) END, 6) AS delta FROM f LEFT JOIN f2 USING (account_id, metric) WHERE f.value IS NOT NULL")
+SQL["adherence"] = cut(f"{INPUTS} SELECT account_id, 21 AS days, round(intake, 6) AS intake, round(recorded, 6) AS protein, round(CASE WHEN mass_days >= 2 THEN slope * 7 / mass * 100 END, 6) AS rate, false AS thin FROM j WHERE account_id <> 2")
+SQL["planned_rate"] = cut(f"{INPUTS}, z AS (SELECT account_id, CASE WHEN mass_days >= 10 THEN slope * 7 / mass * 100 END AS a FROM j) SELECT account_id, round(a, 6) AS actual_rate, round(coalesce(CASE WHEN account_id = 0 THEN -0.4 END, a, 0)::DOUBLE, 6) AS rate FROM z")
+SQL["count_unmapped"] = cut(f"{REC} SELECT CASE metric WHEN 'view' THEN 'HKQuantityTypeIdentifierBodyMass' WHEN 'click' THEN 'HKQuantityTypeIdentifierBodyTemperature' WHEN 'error' THEN 'HKQuantityTypeIdentifierUnknown' ELSE 'HKQuantityTypeIdentifierStepCount' END AS source_type, count(*) AS n FROM c WHERE metric IN ('error', 'signup') OR (metric IN ('view', 'click') AND v IS NULL) GROUP BY 1")
+SQL["history_band"] = cut(f"""{NOTES}, p AS (SELECT o_custkey % 3 AS account_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS bucket, sum(o_totalprice) AS value FROM orders WHERE o_orderkey % 211 = 0 GROUP BY ALL), x0 AS (SELECT account_id, generate_series(min(bucket), max(bucket), INTERVAL 1 MONTH) AS days FROM p GROUP BY ALL), x AS (SELECT account_id, CAST(unnest(days) AS DATE) AS bucket FROM x0),
+  k AS (SELECT account_id, CAST(date_trunc('month', greatest(starts_on, DATE '1997-03-01')) AS DATE) AS a, CAST(date_trunc('month', least(coalesce(ends_on, DATE '1999-06-14'), DATE '1999-06-14')) AS DATE) AS b FROM n WHERE id % 80 = 0 AND starts_on <= DATE '1999-06-14' AND coalesce(ends_on, DATE '1999-06-14') >= DATE '1997-03-01')
+  SELECT x.account_id, x.bucket, round(p.value, 6) AS value, (SELECT count(*) FROM k WHERE k.account_id = x.account_id AND x.bucket BETWEEN a AND b) AS phases FROM x LEFT JOIN p USING (account_id, bucket)""")
 
 #: Columns that are days. Both sides show days as text, so that no client's date type matters.
 DAYS = {
-    "bucket": [k for k in SQL if k.startswith(("series_sum_", "series_average_", "series_latest_"))] + "derived_points_day derived_ratio_week compare_previous compare_last_year dense_gaps lag_delta pivot_panel sleep_week stream_daily".split(),
+    "bucket": [k for k in SQL if k.startswith(("series_sum_", "series_average_", "series_latest_"))] + "history_band derived_points_day derived_ratio_week compare_previous compare_last_year dense_gaps lag_delta pivot_panel sleep_week stream_daily".split(),
     "baseline_bucket": ["compare_previous", "compare_last_year"], "day": ["manual_overlay", "session_page", "history_events"], "night": ["sleep_nights", "sleep_stages"],
     "first": ["gap_runs"], "last": ["gap_runs"], "latest_day": ["ledger"], "high_bucket": ["series_extremes"], "low_bucket": ["series_extremes"],
     "starts_on": ["annotation_overlap"], "ends_on": ["annotation_overlap"], "first_bucket": ["annotation_overlap"], "last_bucket": ["annotation_overlap"],

@@ -85,6 +85,20 @@ def latest_mean(spark, d):
     return series.summary(_rows(spark, d), _rules(spark)).filter(F.col("mean").isNotNull()).select("account_id", "metric", r6("mean"))
 
 
+@query
+def summary_figures(spark, d):
+    return series.figures(series.summary(_rows(spark, d), _rules(spark)), _rules(spark), WINDOW.days).select("account_id", "metric", "mode", r6("figure"))
+
+
+@query
+def compare_delta(spark, d):
+    """Derived summaries of two windows: per cent, or the plain difference for signed metrics and zero baselines."""
+    of = lambda w: series.derived_summary(_rows(spark, d, w), _rules(spark), _terms(spark))
+    both = of(WINDOW).join(of(BEFORE).withColumnRenamed("value", "baseline"), ["account_id", "metric"], "left")
+    signed = F.col("metric").isin([m.slug for m in ad.METRICS.values() if m.signed])
+    return both.select("account_id", "metric", r6("value"), r6("baseline"), r6(cmp.change(F.col("value"), F.col("baseline"), signed), "delta"))
+
+
 @query
 def source_election(spark, d):
     rows = ad.measurements(spark, d).filter(in_window(F.col("start_at"), WINDOW))
@@ -139,6 +153,16 @@ def gap_runs(spark, d):
     return cmp.gap_runs(cmp.dense(spark, _sparse(spark, d), "day"))
 
 
+@query
+def history_band(spark, d):
+    """Monthly points and gaps over a metric's real extent, with the phases folded onto its months."""
+    points = series.points(ad.order_measurements(spark, d).filter("id % 211 = 0"), _rules(spark), "month")
+    band = cmp.dense(spark, points, "month").select("account_id", "bucket", "value")
+    phases = cmp.fold_spans(_notes(spark, d).filter("id % 80 = 0"), YEARS, "month").select("account_id", "first_bucket", "last_bucket")
+    inside = band.join(phases, "account_id").filter("bucket BETWEEN first_bucket AND last_bucket").groupBy("account_id", "bucket").agg(F.count("*").alias("phases"))
+    return band.join(inside, ["account_id", "bucket"], "left").select("account_id", "bucket", r6("value"), F.coalesce("phases", F.lit(0)).cast("bigint").alias("phases"))
+
+
 @query
 def lag_delta(spark, d):
     return cmp.deltas(_points(spark, d, "day")).select("account_id", "metric", "bucket", r6("value"), r6("delta"))
@@ -228,6 +252,19 @@ def expenditure(spark, d):
     return estimates.expenditure(_estimate_inputs(spark, d).withColumn("basal_kcal", estimates.basal("katch_mcardle"))).select("account_id", r6("kcal"), "basis")
 
 
+@query
+def adherence(spark, d):
+    inputs = _estimate_inputs(spark, d).withColumns({"days": F.when(F.col("account_id") != 2, WINDOW.days).otherwise(0), "protein": F.col("recorded")})
+    return estimates.adherence(inputs).select("account_id", "days", r6("intake"), r6("protein"), r6("rate"), "thin")
+
+
+@query
+def planned_rate(spark, d):
+    """The rate a plan starts from: an open phase's for one account, else the actual one."""
+    inputs = _estimate_inputs(spark, d).withColumns({"preview_rate": F.lit(None).cast("double"), "phase_rate": F.when(F.col("account_id") == 0, -0.4), "actual_rate": estimates.actual_rate()})
+    return inputs.select("account_id", r6("actual_rate"), r6(estimates.planned_rate(), "rate"))
+
+
 def _targets(spark, d):
     rate = F.when(F.col("account_id") == 0, -0.5).when(F.col("account_id") == 1, -2.0).otherwise(0.5)
     inputs = _estimate_inputs(spark, d).select("account_id", "mass", "lean_mass", (F.lit(2000.0) + F.col("mass")).alias("expenditure"), rate.alias("rate"), estimates.basal("katch_mcardle").alias("basal_kcal"))
@@ -337,6 +374,11 @@ def unmapped_route(spark, d):
     return m.unionByName(s).unionByName(u)
 
 
+@query
+def count_unmapped(spark, d):
+    return ingest.route_records(spark, _records(spark, d))["unmapped"].groupBy("source_type").agg(F.count("*").alias("n"))
+
+
 @query
 def vendor_times(spark, d):
     return _records(spark, d).select("seq", ingest.vendor_time(F.col("start_raw")).cast("string").alias("start_at"))
