@@ -5,11 +5,13 @@ minima: mergeable (the register-wise maximum is the union's sketch) and locality
 
 1. one pass over the texts gives each document's set size, the digest of its set and its sketch; equal sets are one node from here on;
 2. bands of registers are hashed; nodes that share a band's bucket are candidates;
-3. in each bucket that still holds several components, members are compared with a few chosen ones, the most popular first (a member of
+3. a set's intersection with any other is bounded by its elements that occur in other candidate sets; members and pairs that
+   can't reach the threshold by that bound are left out, which is exact and frees large groups of copies with many edits of their own;
+   in each bucket that still holds several components, members are compared with a few chosen ones, the most popular first (a member of
    many large buckets is most likely what the others are copies of), so a group of k copies costs k pairs and not their square;
 4. a pair is estimated jointly by likelihood from both sketches and their set sizes; the hopeless ones go, the rest are confirmed on full sets;
 5. confirmed links join components, chosen members leave their buckets, and the number of chosen ones grows until no bucket is left with
-   two components. Every pair that shares a bucket is thereby compared or already connected.
+   two components. Every pair that shares a bucket is thereby compared, already connected or out of reach.
 
 With M = 193 registers in 32 bands of 6, a pair at the threshold of 0.85 is missed with probability (1 - 0.85^6)^32 < 4e-7; the estimate's
 margin of 0.15 is more than five standard errors.
@@ -151,11 +153,20 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def with_both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """pairs (a, b) with of's other columns for a and for b, named with a suffix. pairs is a written table. Few pairs are sent to where of's rows
+    are, so that of is not shuffled; many are joined by shuffles."""
+    few = pairs.count() <= BROADCAST_ROWS
+    near = F.broadcast if few else (lambda df: df)
+    side = lambda df, s: df.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in of.columns if c != "id"))
+    needed = of.join(near(pairs.select(F.col("b").alias("id")).distinct()), "id", "left_semi") if few else of
+    return near(pairs).join(side(of, "a"), "a").join(side(needed, "b"), "b")
+
+
 def likely_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose estimated similarity is at least `least`."""
+    """The pairs (a, b) whose estimated similarity is at least `least`. nodes: (id, n, sketch)."""
     kind = pairs.schema["a"].dataType.simpleString()
-    with_a = pairs.join(nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "a")
-    both = with_a.join(nodes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")), "b")
+    both = with_both(pairs, nodes)
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         s_a, s_b = (np.frombuffer(b"".join(rows.column(k).to_pylist()), "<i2").reshape(-1, M) for k in (4, 5))
@@ -163,30 +174,35 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
         near = pa.array(joint_similarity(s_a, s_b, n_a, n_b) >= least)
         return pa.RecordBatch.from_arrays([rows.column(0).filter(near), rows.column(1).filter(near)], names=["a", "b"])
 
-    return map_arrow(both.select("a", "b", "n_a", "n_b", "s_a", "s_b"), batch, f"a {kind}, b {kind}")
+    return map_arrow(both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b"), batch, f"a {kind}, b {kind}")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold. pairs is a written table."""
-    few = _small(pairs)
-    with_a = few.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    needed = sets.join(_small(materialize(pairs.select(F.col("b").alias("id")).distinct(), "needed")), "id")
-    both = with_a.join(needed.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    """The pairs whose full sets reach the threshold. sets: (id, set)."""
+    both = with_both(pairs, sets)
     common = F.size(F.array_intersect("set_a", "set_b"))
     return both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b") - common).alias("all")).filter(100 * F.col("common") >= least_percent * F.col("all")).select("a", "b")
 
 
+def overlap_bounds(sets: DataFrame) -> DataFrame:
+    """(id, n, common_most): set sizes, and how many elements of a set any other set here holds as well. No intersection can be larger. An element
+    of one set only is known by its count and its owner, so one pre-aggregated shuffle is enough."""
+    elements = sets.select("id", F.explode("set").alias("element"))
+    alone = elements.groupBy("element").agg(F.count("*").alias("sets"), F.min("id").alias("id")).filter("sets = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    return sets.select("id", F.size("set").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common_most"))
+
+
 def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     """labels (id, comp) after links (a, b) between components: smallest labels spread over links, with a jump to the label's label in each turn."""
     on = lambda side: labels.select(F.col("id").alias(side), F.col("comp").alias(f"c_{side}"))
     edges = links.join(on("a"), "a").join(on("b"), "b").select("c_a", "c_b").filter("c_a <> c_b").distinct()
-    edges = materialize(edges.select(F.col("c_a").alias("x"), F.col("c_b").alias("y")).unionByName(edges.select(F.col("c_b").alias("x"), F.col("c_a").alias("y"))).distinct(), "edges")
-    low = materialize(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("low")), "low")
+    edges = materialize(edges.select(F.col("c_a").alias("x"), F.col("c_b").alias("y")).unionByName(edges.select(F.col("c_b").alias("x"), F.col("c_a").alias("y"))).distinct(), "edges", True)
+    low = materialize(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("low")), "low", True)
     while True:
         spread = edges.join(low.select(F.col("x").alias("y"), F.col("low").alias("low_y")), "y").groupBy("x").agg(F.min("low_y").alias("low_y"))
         step = low.join(spread, "x").select("x", "low", F.least("low", "low_y").alias("next"))
         jump = step.join(low.select(F.col("x").alias("next"), F.col("low").alias("of_next")), "next", "left")
-        after = materialize(jump.select("x", F.least("next", "of_next").alias("low"), (F.least("next", "of_next") < F.col("low")).alias("moved")), "low")
+        after = materialize(jump.select("x", F.least("next", "of_next").alias("low"), (F.least("next", "of_next") < F.col("low")).alias("moved")), "low", True)
         low = after.select("x", "low")
         if after.filter("moved").isEmpty():
             break
@@ -197,38 +213,41 @@ def linked_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, le
     """(id, comp) of the nodes that share a bucket with another one; None if no two nodes do."""
     exploded = nodes.select("id", F.explode(band_hashes()).alias("bucket"))
     counts = exploded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = materialize(exploded.join(counts, "bucket"), "members")
-    popular = members.groupBy("id").agg(F.sum("size").alias("popularity"))
-    labels = materialize(popular.select("id", F.col("id").alias("comp"), "popularity"), "labels")
-    ids = labels.select("id")
+    shared = materialize(exploded.join(counts, "bucket"), "shared")
+    popular = materialize(shared.groupBy("id").agg(F.sum("size").alias("popularity")), "popular", True)
+    ids = popular.select("id")
     if ids.isEmpty():
         return None
     texts = docs.select(key, text).join(_small(ids.withColumnRenamed("id", key)), key, "left_semi").dropDuplicates([key])
     sets = materialize(full_sets(texts, key, text), "sets")
     sketched = materialize(nodes.join(_small(ids), "id", "left_semi"), "sketched")
-    popularity, labels = labels.select("id", "popularity"), labels.select("id", "comp")
-    members, tested, chosen_in_bucket = members.select("id", "bucket"), None, 1
+    labels = popular.select("id", F.col("id").alias("comp"))
+    bounds = materialize(popular.join(overlap_bounds(sets), "id").filter(100 * F.col("common_most") >= least_percent * F.col("n")), "bounds", True)
+    members, tested, chosen_in_bucket = shared.select("id", "bucket").join(bounds, "id"), None, 1
     least = least_percent / 100 - MARGIN
+    m = F.least("common_most", "common_most_b")
+    possible = 100 * m >= least_percent * (F.col("n") + F.col("n_b") - m)
     while True:
         # Buckets of one component need nothing more; the others choose members to compare the rest with.
         placed = members.join(labels, "id")
-        open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket")
-        placed = materialize(placed.join(open_buckets, "bucket").join(popularity, "id"), "open")
+        open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("n_min")).filter("low < high").select("bucket", "n_min")
+        reachable = 100 * F.col("common_most") >= least_percent * (F.col("n") + F.col("n_min") - F.col("common_most"))
+        placed = materialize(placed.join(open_buckets, "bucket").filter(reachable).drop("n_min"), "open", True)
         if placed.isEmpty():
             return labels
         part = F.pmod(F.xxhash64("id"), F.lit(chosen_in_bucket))
-        best = F.max(F.struct("popularity", (-F.col("id")).alias("minus"), "id", "comp")).alias("best")
-        chosen = materialize(placed.groupBy("bucket", part.alias("part")).agg(best).select("bucket", F.col("best.id").alias("b"), F.col("best.comp").alias("comp_b")), "chosen")
-        pairs = placed.join(chosen, "bucket").filter("comp <> comp_b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        best = F.max(F.struct("popularity", (-F.col("id")).alias("minus"), "id", "comp", "n", "common_most")).alias("best")
+        chosen = materialize(placed.groupBy("bucket", part.alias("part")).agg(best).select("bucket", *(F.col(f"best.{x}").alias(y) for x, y in (("id", "b"), ("comp", "comp_b"), ("n", "n_b"), ("common_most", "common_most_b")))), "chosen", True)
+        pairs = placed.join(chosen, "bucket").filter((F.col("comp") != F.col("comp_b")) & possible).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(pairs, "pairs", True)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        likely = materialize(likely_pairs(pairs, sketched, least), "likely")
-        links = materialize(confirmed(likely, sets, least_percent), "links")
+        likely = materialize(likely_pairs(pairs, sketched, least), "likely", True)
+        links = materialize(confirmed(likely, sets, least_percent), "links", True)
         if not links.isEmpty():
-            labels = materialize(components(links, labels), "labels")
-        members = placed.select("id", "bucket").join(chosen.select("bucket", F.col("b").alias("id")), ["bucket", "id"], "left_anti")
+            labels = materialize(components(links, labels), "labels", True)
+        members = placed.drop("comp").join(chosen.select("bucket", F.col("b").alias("id")), ["bucket", "id"], "left_anti")
         chosen_in_bucket *= 4
 
 
