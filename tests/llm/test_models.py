@@ -34,7 +34,12 @@ def test_misspellings_share_subwords():
         labels.append(int(k % 4 == 0))
     model = toxicity.fit(texts, labels)
     known = toxicity.Memo(model.word_score)
-    assert model.score("the walk was long " * 200 + "idiotic", known) > 0.5 > model.score("the walk was long " * 200, known)
+    long = "the walk was long " * 200
+    assert model.score(long + "idiots", known) > 0.5 > model.score(long, known)
+    # Never seen: words that share n-grams with seen ones lean their way, and a text with one scores far above a clean one.
+    for unseen in ("idiotic", "iidiot", "moronic"):
+        assert model.word_score(unseen) > 0 > model.word_score("walk")
+        assert model.score(long + unseen, known) > 20 * model.score(long, known)
     assert 0 <= model.score("", known) < 0.5
 
 
