@@ -21,6 +21,7 @@ import math
 import re
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,12 +103,15 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if len(set(labels)) < 2:
         return Model(np.zeros_like(vectors), softmax, bias)
     index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int64) for t in texts]
+    docs = [np.fromiter((index.setdefault(w, len(index)) for w in words_of(t)), np.int32) for t in texts]
     keep = [k for k, d in enumerate(docs) if len(d)]
     docs, y = [docs[k] for k in keep], y[keep]
-    subs = [subwords(w) for w in index]
-    n_subs = np.array([len(s) for s in subs])
-    flat_subs, sub_starts = np.concatenate([np.array(s, np.int32) for s in subs]), np.concatenate(([0], np.cumsum(n_subs)[:-1]))
+    packed, n_subs = array("i"), np.empty(len(index), np.int64)  # no lists of Python numbers: there are millions
+    for k, w in enumerate(index):
+        found = subwords(w)
+        packed.extend(found)
+        n_subs[k] = len(found)
+    flat_subs, sub_starts = np.frombuffer(packed, np.int32), np.concatenate(([0], np.cumsum(n_subs)[:-1]))
     tokens = np.concatenate(docs)
     offsets = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
     starts = [window_starts(len(d)) for d in docs]
