@@ -209,12 +209,21 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(low.withColumnRenamed("x", "comp"), "comp", "left").select("id", F.coalesce("low", "comp").alias("comp"))
 
 
+def first_meeting() -> Column:
+    """Whether a member and a chosen one (columns with _b) meet in this bucket first of all: they met in no earlier turn, and this is the smallest
+    bucket of the member that the other one is chosen in now; where each is chosen in a bucket of the other, the smaller id counts as the member.
+    Each has at most BANDS buckets (mine), those it was chosen in before and now among them, so a pair is told once instead of once a bucket."""
+    met_before = F.arrays_overlap("mine", "before_b") | F.arrays_overlap("before", "mine_b")
+    other_way = (F.col("id") > F.col("id_b")) & F.arrays_overlap("now", "mine_b")
+    return ~met_before & ~other_way & (F.col("bucket") == F.array_min(F.array_intersect("mine", "now_b")))
+
+
 def linked_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, least_percent: int) -> DataFrame | None:
     """(id, comp) of the nodes that share a bucket with another one; None if no two nodes do."""
     exploded = nodes.select("id", F.explode(band_hashes()).alias("bucket"))
     counts = exploded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     shared = materialize(exploded.join(counts, "bucket"), "shared")
-    popular = materialize(shared.groupBy("id").agg(F.sum("size").alias("popularity")), "popular", True)
+    popular = materialize(shared.groupBy("id").agg(F.sum("size").alias("popularity"), F.collect_list("bucket").alias("mine")), "popular", True)
     ids = popular.select("id")
     if ids.isEmpty():
         return None
@@ -223,10 +232,11 @@ def linked_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, le
     sketched = materialize(nodes.join(_small(ids), "id", "left_semi"), "sketched")
     labels = popular.select("id", F.col("id").alias("comp"))
     bounds = materialize(popular.join(overlap_bounds(sets), "id").filter(100 * F.col("common_most") >= least_percent * F.col("n")), "bounds", True)
-    members, tested, chosen_in_bucket = shared.select("id", "bucket").join(bounds, "id"), None, 1
+    members, history, chosen_in_bucket = shared.select("id", "bucket").join(bounds, "id"), None, 1
     least = least_percent / 100 - MARGIN
     m = F.least("common_most", "common_most_b")
     possible = 100 * m >= least_percent * (F.col("n") + F.col("n_b") - m)
+    none = F.array().cast("array<bigint>")
     while True:
         # Buckets of one component need nothing more; the others choose members to compare the rest with.
         placed = members.join(labels, "id")
@@ -236,18 +246,22 @@ def linked_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, le
         if placed.isEmpty():
             return labels
         part = F.pmod(F.xxhash64("id"), F.lit(chosen_in_bucket))
-        best = F.max(F.struct("popularity", (-F.col("id")).alias("minus"), "id", "comp", "n", "common_most")).alias("best")
-        chosen = materialize(placed.groupBy("bucket", part.alias("part")).agg(best).select("bucket", *(F.col(f"best.{x}").alias(y) for x, y in (("id", "b"), ("comp", "comp_b"), ("n", "n_b"), ("common_most", "common_most_b")))), "chosen", True)
-        pairs = placed.join(chosen, "bucket").filter((F.col("comp") != F.col("comp_b")) & possible).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs", True)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        best = F.max(F.struct("popularity", (-F.col("id")).alias("minus"), "id")).alias("best")
+        chosen = materialize(placed.groupBy("bucket", part.alias("part")).agg(best).select("bucket", "best.id", F.lit(chosen_in_bucket).alias("turn")), "chosen", True)
+        history = chosen if history is None else history.unionByName(chosen)
+        by_turn = lambda turns: F.collect_list(F.when(turns, F.col("bucket")))
+        hands = history.groupBy("id").agg(by_turn(F.col("turn") < chosen_in_bucket).alias("before"), by_turn(F.col("turn") == chosen_in_bucket).alias("now"))
+        held = placed.join(hands, "id", "left").withColumns({x: F.coalesce(x, none) for x in ("before", "now")})
+        held = materialize(held, "held", True)
+        is_chosen = F.array_contains("now", F.col("bucket"))
+        pairs = held.join(held.filter(is_chosen).select("bucket", *(F.col(x).alias(f"{x}_b") for x in held.columns if x != "bucket")), "bucket")
+        pairs = pairs.filter((F.col("comp") != F.col("comp_b")) & possible & first_meeting())
+        pairs = materialize(pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct(), "pairs", True)
         likely = materialize(likely_pairs(pairs, sketched, least), "likely", True)
         links = materialize(confirmed(likely, sets, least_percent), "links", True)
         if not links.isEmpty():
             labels = materialize(components(links, labels), "labels", True)
-        members = placed.drop("comp").join(chosen.select("bucket", F.col("b").alias("id")), ["bucket", "id"], "left_anti")
+        members = held.filter(~is_chosen).drop("comp", "before", "now")
         chosen_in_bucket *= 4
 
 
