@@ -74,3 +74,28 @@ def test_sketches_merge_and_estimate():
     assert (s[3] == 0).all()
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs(nd.joint_similarity(s[:1], s[1:2], np.array([2000.0]), np.array([2000.0]))[0] - true) < 0.12
+
+
+def test_parity_maps_never_differ_more_than_sets():
+    rng = np.random.default_rng(7)
+    for n in (1, 50, 700, 9000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for kept in (0, n // 2, n - n // 20):
+            y = np.unique(np.concatenate([x[:kept], rng.integers(0, 2**63, n - kept, dtype=np.uint64)]))
+            maps = [np.frombuffer(nd.parity_map(s), np.uint8) for s in (x, y)]
+            assert np.bitwise_count(maps[0] ^ maps[1]).sum() <= len(np.setxor1d(x, y))
+    assert nd.parity_map(np.empty(0, np.uint64)) == bytes(nd.PARITY // 8)
+
+
+def test_copies_that_nearly_miss_each_other(spark):
+    rng = random.Random(3)
+    word = lambda: "v" + str(rng.randrange(3000))
+    centre, docs = [word() for _ in range(160)], []
+    spare = [word() for _ in range(160)]
+    for i in range(120):
+        copy = list(centre)
+        for at in rng.sample(range(160), i % 9):  # edits that copies share, so that no copy's elements are its own
+            copy[at] = spare[at]
+        docs.append((i, " ".join(copy)))
+    found = nd.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == brute(docs)[0]

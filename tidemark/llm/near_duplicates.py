@@ -9,7 +9,8 @@ minima: mergeable (the register-wise maximum is the union's sketch) and locality
    can't reach the threshold by that bound are left out, which is exact and frees large groups of copies with many edits of their own;
    in each bucket that still holds several components, members are compared with a few chosen ones, the most popular first (a member of
    many large buckets is most likely what the others are copies of), so a group of k copies costs k pairs and not their square;
-4. a pair is estimated jointly by likelihood from both sketches and their set sizes; the hopeless ones go, the rest are confirmed on full sets;
+4. a pair is estimated jointly by likelihood from both sketches and their set sizes, and its intersection is bounded by the parity maps of both sets,
+   which is exact; the hopeless ones go, the rest are confirmed on full sets;
 5. confirmed links join components, chosen members leave their buckets, and the number of chosen ones grows until no bucket is left with
    two components. Every pair that shares a bucket is thereby compared, already connected or out of reach.
 
@@ -41,6 +42,8 @@ BANDS, ROWS = 32, 6
 M = 193
 BASE, RATE, TOP = 1.02, 20.0, 2000
 MARGIN = 0.15
+#: Bits of a set's parity map. Sets of some thousand elements still leave it far from saturated; larger ones only lose its help.
+PARITY = 2048
 #: Nodes or pairs up to which a list of ids is broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 300_000
 
@@ -115,6 +118,12 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
     return np.take_along_axis(j, likelihood.argmax(1)[:, None], 1)[:, 0]
 
 
+def parity_map(elements: np.ndarray) -> bytes:
+    """For each of PARITY residues, whether an odd number of elements has it. Two maps differ in no more places than the sets differ in elements."""
+    residues = (_mix(elements ^ np.uint64(0x3C3C3C3C3C3C3C3C)) % np.uint64(PARITY)).astype(np.int64)
+    return np.packbits(np.bincount(residues, minlength=PARITY) & 1).tobytes()
+
+
 def sketch_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, digest (of the set; null if empty) and sketch (little-endian 16-bit registers; null if empty)."""
     schema = f"{key} {df.schema[key].dataType.simpleString()}, n_shingles bigint, digest string, sketch binary"
@@ -133,13 +142,14 @@ def sketch_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def full_sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """id and its whole sorted set."""
+    """id, its whole sorted set and the set's parity map."""
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t).view(np.int64) for t in rows.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+        sets = [shingles(t) for t in rows.column(1).to_pylist()]
+        columns = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(map(parity_map, sets), pa.binary())]
+        return pa.RecordBatch.from_arrays([rows.column(0), *columns], names=["id", "set", "parity"])
 
-    return map_arrow(df.select(key, text_or_empty(text).alias("_text")), batch, f"id {df.schema[key].dataType.simpleString()}, set array<bigint>")
+    return map_arrow(df.select(key, text_or_empty(text).alias("_text")), batch, f"id {df.schema[key].dataType.simpleString()}, set array<bigint>, parity binary")
 
 
 def band_hashes(sketch: str = "sketch") -> Column:
@@ -163,18 +173,25 @@ def with_both(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return near(pairs).join(side(of, "a"), "a").join(side(needed, "b"), "b")
 
 
-def likely_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose estimated similarity is at least `least`. nodes: (id, n, sketch)."""
+def likely_pairs(pairs: DataFrame, nodes: DataFrame, least_percent: int) -> DataFrame:
+    """The pairs (a, b) that the parity maps don't rule out and whose estimated similarity is at most MARGIN below the threshold.
+    nodes: (id, n, sketch, parity)."""
     kind = pairs.schema["a"].dataType.simpleString()
     both = with_both(pairs, nodes)
+    values = lambda column, dtype: np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        s_a, s_b = (np.frombuffer(b"".join(rows.column(k).to_pylist()), "<i2").reshape(-1, M) for k in (4, 5))
-        n_a, n_b = (rows.column(k).to_numpy().astype(np.float64) for k in (2, 3))
-        near = pa.array(joint_similarity(s_a, s_b, n_a, n_b) >= least)
-        return pa.RecordBatch.from_arrays([rows.column(0).filter(near), rows.column(1).filter(near)], names=["a", "b"])
+        n_a, n_b = (rows.column(k).to_numpy() for k in (2, 3))
+        differ = np.bitwise_count(values(rows.column(6), "<u8") ^ values(rows.column(7), "<u8")).sum(1, dtype=np.int64)
+        # The intersection is at most (n_a + n_b - differ) / 2, the union at least (n_a + n_b + differ) / 2.
+        open_ = 100 * (n_a + n_b - differ) >= least_percent * (n_a + n_b + differ)
+        rows, n_a, n_b = rows.filter(pa.array(open_)), n_a[open_], n_b[open_]
+        if rows.num_rows:
+            estimate = joint_similarity(values(rows.column(4), "<i2"), values(rows.column(5), "<i2"), n_a.astype(np.float64), n_b.astype(np.float64))
+            rows = rows.filter(pa.array(estimate >= least_percent / 100 - MARGIN))
+        return rows.select(["a", "b"])
 
-    return map_arrow(both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b"), batch, f"a {kind}, b {kind}")
+    return map_arrow(both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b", "parity_a", "parity_b"), batch, f"a {kind}, b {kind}")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
@@ -229,11 +246,10 @@ def linked_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, le
         return None
     texts = docs.select(key, text).join(_small(ids.withColumnRenamed("id", key)), key, "left_semi").dropDuplicates([key])
     sets = materialize(full_sets(texts, key, text), "sets")
-    sketched = materialize(nodes.join(_small(ids), "id", "left_semi"), "sketched")
+    sketched = materialize(nodes.join(_small(ids), "id", "left_semi").join(sets.select("id", "parity"), "id"), "sketched")
     labels = popular.select("id", F.col("id").alias("comp"))
     bounds = materialize(popular.join(overlap_bounds(sets), "id").filter(100 * F.col("common_most") >= least_percent * F.col("n")), "bounds", True)
     members, history, chosen_in_bucket = shared.select("id", "bucket").join(bounds, "id"), None, 1
-    least = least_percent / 100 - MARGIN
     m = F.least("common_most", "common_most_b")
     possible = 100 * m >= least_percent * (F.col("n") + F.col("n_b") - m)
     none = F.array().cast("array<bigint>")
@@ -257,8 +273,8 @@ def linked_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, le
         pairs = held.join(held.filter(is_chosen).select("bucket", *(F.col(x).alias(f"{x}_b") for x in held.columns if x != "bucket")), "bucket")
         pairs = pairs.filter((F.col("comp") != F.col("comp_b")) & possible & first_meeting())
         pairs = materialize(pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct(), "pairs", True)
-        likely = materialize(likely_pairs(pairs, sketched, least), "likely", True)
-        links = materialize(confirmed(likely, sets, least_percent), "links", True)
+        likely = materialize(likely_pairs(pairs, sketched, least_percent), "likely", True)
+        links = materialize(confirmed(likely, sets.select("id", "set"), least_percent), "links", True)
         if not links.isEmpty():
             labels = materialize(components(links, labels), "labels", True)
         members = held.filter(~is_chosen).drop("comp", "before", "now")
