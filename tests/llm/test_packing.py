@@ -1,3 +1,4 @@
+import itertools
 import struct
 import zlib
 
@@ -45,6 +46,44 @@ def test_large_packing_is_near_its_bound():
     assert sum(n for _, n in packing.complete_bins(counts)) <= 1.002 * packing.lower_bound(counts, 2048)
 
 
+def dealt(seed, bins, capacity, low, high):
+    """Lengths that fill bins sequences without waste."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(bins):
+        left = capacity
+        while left:
+            out.append(min(left, int(rng.integers(low, high + 1))))
+            left -= out[-1]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+@pytest.mark.parametrize("bins, capacity, low, high", [(40, 100, 5, 45), (8, 2048, 20, 150), (60, 2048, 100, 900)])
+def test_hundreds_of_short_and_mixed_pieces(seed, bins, capacity, low, high):
+    items = dealt(seed, bins, capacity, low, high)
+    plan = packing.complete_bins(np.bincount(items, minlength=capacity + 1), capacity)
+    assert sorted(x for f, n in plan for x in f * n) == sorted(items)
+    assert all(sum(f) <= capacity for f, _ in plan)
+    assert sum(n for _, n in plan) == bins
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_fillings_are_all_maximal_ones_best_fit_first(seed):
+    rng = np.random.default_rng(seed)
+    counts = np.bincount(rng.integers(1, 12, 9), minlength=21).tolist()
+    sizes = [s for s, n in enumerate(counts) if n]
+    sets = itertools.product(*(range(counts[s] + 1) for s in sizes))
+    room = 20
+    wanted = set()
+    for ns in sets:
+        left = room - sum(s * n for s, n in zip(sizes, ns, strict=True))
+        if left >= 0 and not any(n < counts[s] and s <= left for s, n in zip(sizes, ns, strict=True)):
+            wanted.add(tuple(s for s, n in reversed(list(zip(sizes, ns, strict=True))) for _ in range(n)))
+    found = list(packing.fillings(counts, room))
+    assert set(found) == wanted and len(found) == len(wanted)
+    assert [sum(f) for f in found] == sorted(map(sum, found), reverse=True)
+
+
 def test_documents(spark):
     from tokenizers import Tokenizer
 

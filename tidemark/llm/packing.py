@@ -6,8 +6,9 @@ so the search runs on the driver over the histogram while the pieces never leave
 1. tokenize every whole text once and cut only what is longer than the capacity (written to the shared folder, a few numbers a piece);
 2. count the pieces of each length;
 3. search: the incumbent is a best-fit decreasing packing of the histogram; bin completion then takes the largest remaining length,
-   enumerates undominated fillings of the room around it, best fit first, applies a filling as often as the counts allow, and gives up a
-   branch when its waste shows that it can't beat the incumbent;
+   enumerates undominated fillings of the room around it, best fit first, applies a filling as often as the counts allow (or once), and
+   gives up a branch when its waste shows that it can't beat the incumbent. It backtracks more with each turn, until the incumbent meets
+   the lower bound, nothing is left to try or DECISIONS fillings have been looked at;
 4. rank the pieces of each length (counts per salt, then a running sum, so that no length is gathered in one task) and read each rank's
    sequence and offset from the plan, which is bounded as the histogram is.
 
@@ -20,7 +21,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -33,7 +36,7 @@ from tidemark.llm.common import Memo, map_arrow, materialize, table, text_or_emp
 CAPACITY = 2048
 CLOSING_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Decisions that the search over a large histogram may take, and items up to which it is exhaustive.
+#: Fillings that the search over a histogram may look at, and items up to which it goes sequence by sequence, within its own nodes.
 DECISIONS = 6_000
 DOMINATED_ITEMS = 4
 EXHAUSTIVE_ITEMS = 24
@@ -191,56 +194,113 @@ def undominated(fillings: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
     return kept
 
 
-def _fits_counts(items: tuple[int, ...], counts: np.ndarray) -> bool:
-    return all(counts[x] >= items.count(x) for x in set(items))
-
-
-def greedy_fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
-    """Around every first item, the largest item that still fits, again and again; the best few, without dominated ones."""
-    available = np.flatnonzero(counts[: room + 1])
-    available = available[available > 0]
-    if not len(available):
-        return [()]
-    floor = np.zeros(room + 1, np.int64)
-    floor[available] = available
-    floor = np.maximum.accumulate(floor)
-    chosen, left = [available], room - available
-    while True:
-        step = floor[np.minimum(left, chosen[-1])]
-        step = np.where((step == chosen[-1]) & (counts[step] < 2), floor[np.minimum(left, np.maximum(chosen[-1] - 1, 0))], step)
-        if not step.any() or len(chosen) >= 12:
-            break
-        chosen.append(step)
-        left = left - step
-    best = np.lexsort((-available, left))[: 2 * most]
-    found = [f for i in best if _fits_counts(f := tuple(int(c[i]) for c in chosen if c[i]), counts)]
-    return undominated(found)[:most] or [(int(available[-1]),)]
-
-
-def _dive(counts: np.ndarray, capacity: int, waste: int, turn: int, budget: list[int]) -> Plan | None:
-    """One way down: the best filling each time, but the second best at decision number turn. None once its waste passes the bound."""
-    counts, plan, k, top = counts.copy(), [], 0, capacity
-    while budget[0] > 0:
-        while top and not counts[top]:
-            top -= 1
-        if not top:
-            return plan
-        budget[0] -= 1
+def fillings(counts: list[int], room: int) -> Iterator[tuple[int, ...]]:
+    """All maximal fillings of room with pieces of the histogram, one by one: best fit first, among equal sums the largest pieces first. Sets of
+    sums that the smaller lengths reach (bit sets, multiplicities as counts) lead the way, so that no branch ends without a filling."""
+    sizes = [s for s in range(1, min(room, len(counts) - 1) + 1) if counts[s]]
+    full = (1 << room + 1) - 1
+
+    def sums(sizes: list[int]) -> list[int]:
+        """Entry k: the sums that the k smallest lengths reach."""
+        out = [1]
+        for s in sizes:
+            reached, n, part = out[-1], min(counts[s], room // s), 1
+            while n > 0 and reached != full:
+                reached = (reached | reached << s * min(part, n)) & full
+                n, part = n - part, 2 * part
+            out.append(reached)
+        return out
+
+    def exactly(sizes: list[int], reach: list[int], k: int, rest: int) -> Iterator[tuple[int, ...]]:
+        """Fillings of rest from the k smallest lengths. It calls itself once for each length that is used, of which 64 fill a sequence of 2048."""
+        if not rest:
+            yield ()
+            return
+        for j in range(min(k, bisect_right(sizes, rest)), 0, -1):
+            if not reach[j] >> rest & 1:
+                return
+            s = sizes[j - 1]
+            for n in range(min(counts[s], rest // s), 0, -1):
+                if reach[j - 1] >> rest - n * s & 1:
+                    for f in exactly(sizes, reach, j - 1, rest - n * s):
+                        yield (s,) * n + f
+
+    reach = sums(sizes)
+    for total in range(room, -1, -1):
+        if not reach[-1] >> total & 1:
+            continue
+        # What is no longer than the waste must be in, or the filling isn't maximal.
+        small = bisect_right(sizes, room - total)
+        forced = tuple(s for s in reversed(sizes[:small]) for _ in range(min(counts[s], room // s + 1)))
+        if sum(forced) <= total:
+            larger = sizes[small:]
+            for f in exactly(larger, sums(larger) if small else reach, len(larger), total - sum(forced)):
+                yield f + forced
+
+
+def _complete(counts: np.ndarray, capacity: int, plan: Plan, bound: int, decisions: int) -> Plan:
+    """Bin completion over a histogram with limited backtracking: the first turn takes the first filling everywhere, turn k may pass over k better
+    choices on its way. A choice is an undominated filling around the largest piece, as often as the counts allow or (a choice of its own)
+    once. Branches end when their waste shows that they can't beat the best plan; decisions bounds the fillings looked at in all turns."""
+    counts = counts.tolist()
+    total = sum(s * n for s, n in enumerate(counts))
+    used, passed_over = sum(n for _, n in plan), 0
+
+    def choices(top: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+        nonlocal decisions, cut
+        out, kept = [], []
         counts[top] -= 1
-        options = greedy_fillings(counts, capacity - top, 2)
+        found = fillings(counts, capacity - top)
+        while len(out) < most and decisions > 0 and (f := next(found, None)) is not None:
+            decisions -= 1
+            if not any(dominates(k, f) for k in kept):
+                kept.append(f)
+                out.append((top, *f))
         counts[top] += 1
-        items = (top, *options[1 if k == turn and len(options) > 1 else 0])
-        times = min(int(counts[x]) // items.count(x) for x in set(items))
-        room = capacity - sum(items)
-        last = int((counts * np.arange(capacity + 1)).sum()) == sum(items) * times
-        waste -= room * (times - last)  # the last sequence may be open
-        if waste < 0:
-            return None
-        for x in set(items):
-            counts[x] -= items.count(x) * times
-        plan.append((items, times))
-        k += 1
-    return None
+        cut |= len(out) == most
+        both = []
+        for items in out:
+            times = min(counts[x] // n for x, n in Counter(items).items())
+            both += [(items, times), (items, 1)] if times > 1 else [(items, times)]
+        cut |= len(both) > most
+        return both[:most]
+
+    cut = True
+    while used > bound and decisions > 0 and cut:
+        cut = False
+        top = max(s for s, n in enumerate(counts) if n)
+        # A frame: its choices, how many were tried, its largest piece, what may be passed over and what is left when it begins, waste so far.
+        frames, path = [[choices(top, passed_over + 1), 0, top, passed_over, total, 0]], []
+        while frames and used > bound:
+            frame = frames[-1]
+            options, tried, top, spare, left, waste = frame
+            if len(path) == len(frames):  # back from a choice
+                items, times = path.pop()
+                for x in items:
+                    counts[x] += times
+            if tried == len(options) or decisions <= 0:
+                frames.pop()
+                continue
+            frame[1] += 1
+            items, times = options[tried]
+            left -= sum(items) * times
+            waste += (capacity - sum(items)) * (times - (not left))  # the last sequence may be open
+            if waste > (used - 1) * capacity - total:
+                continue
+            path.append((items, times))
+            for x in items:
+                counts[x] -= times
+            if left:
+                while not counts[top]:
+                    top -= 1
+                frames.append([choices(top, spare - tried + 1), 0, top, spare - tried, left, waste])
+            elif (n := sum(n for _, n in path)) < used:
+                plan, used = list(path), n
+        for items, times in path:  # where the search ended early
+            for x in items:
+                counts[x] += times
+        passed_over += 1
+    return plan
 
 
 def _exhaustive(counts: np.ndarray, capacity: int, incumbent: Plan, bound: int) -> Plan:
@@ -287,13 +347,7 @@ def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, decisions: int =
     used = sum(n for _, n in plan)
     if used > bound and counts.sum() <= EXHAUSTIVE_ITEMS:
         return _exhaustive(counts, capacity, plan, bound)
-    budget, turn = [decisions], -1
-    while used > bound and budget[0] > 0:
-        found = _dive(counts, capacity, (used - 1) * capacity - total, turn, budget)
-        if found is not None and (n := sum(n for _, n in found)) < used:
-            plan, used = found, n
-        turn += 1
-    return plan
+    return _complete(counts, capacity, plan, bound, decisions) if used > bound else plan
 
 
 def slots(plan: Plan, capacity: int = CAPACITY) -> dict[int, tuple[np.ndarray, ...]]:
