@@ -230,3 +230,23 @@ def test_templates(spark):
     assert len(found) == 8 and texts[10] == ""
     assert texts[2] == ("Story 2 " * 30).strip() + "\n\n" + ("More 2 " * 30).strip()
     assert "Read our paper" in texts[9]
+
+
+def test_templates_of_two_layouts(spark):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    one = lambda k: f"<body><div class='wrap'><div class='a'><b>Front page one</b></div><div class='x'><p>{words(k)}</p><p>Read our paper</p></div></div></body>"
+    two = lambda k: f"<body><div class='wrap'><section class='q'><i>Front page two</i></section><section class='y'><span>by staff</span><p>{words(k)}</p><p>Write to us</p></section></div></body>"
+    error = "<html><head><title>Error</title></head><body><h1 class='e'>Not found</h1></body></html>"
+    for seed in range(3):
+        pages = [(k, one(100 * seed + k) if k < 12 else two(100 * seed + k)) for k in range(20)] + [(20, error)]
+        rows = [(k, f"http://h.example/{k}", html) for k, html in pages]
+        found = html_text.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+        texts = {r["page_id"]: r["text"] for r in found}
+        assert texts == {k: words(100 * seed + k) for k in range(20)} | {20: "Not found"}
+
+
+def test_few_pages_of_many_layouts_keep_their_votes(spark):
+    page = lambda k: f"<body><div class='top'>Always the same</div><{'abisu'[k]} class='z{k}'><em class='e{k}'>{'Story %d ' % k * 30}</em></{'abisu'[k]}></body>"
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(5)]
+    found = html_text.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert not any("Always" in r["text"] for r in found)
