@@ -250,3 +250,12 @@ def test_few_pages_of_many_layouts_keep_their_votes(spark):
     rows = [(k, f"http://h.example/{k}", page(k)) for k in range(5)]
     found = html_text.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
     assert not any("Always" in r["text"] for r in found)
+
+
+def test_deep_pages_of_one_host(spark):
+    page = lambda k: "<body>" + "<div>" * 5000 + f"<b>Always the same</b><i>Story {k}</i>"
+    trees = [html_text.Tree(html_text.skeleton(html_text.parse(page(k)))) for k in range(2)]
+    assert len(html_text.match(*trees)) == 5003
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(3)]
+    found = html_text.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in found} == {k: f"Story {k}" for k in range(3)}
