@@ -24,3 +24,11 @@ def test_pairs_between_80_and_85_per_cent(spark):
     kept = {r["doc_id"] for r in p.drop_near_duplicates(spark, spark.createDataFrame(rows_of(docs), SCHEMA), "").collect()}
     components = brute(docs, 80)[0]
     assert kept == {i for i, c in components.items() if i == c} == set(range(0, 80, 2))
+
+
+def test_odd_rows_stay(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(50))
+    docs = [(None, text(1)), (None, text(2)), (1, text(3)), (1, text(4)), (2, text(5)), (3, text(5)), (None, text(5)), (4, ""), (5, None), (None, ""), (6, text(4) + " more")]
+    found = p.drop_near_duplicates(spark, spark.createDataFrame(rows_of(docs), SCHEMA), "").collect()
+    wanted = [(None, text(1)), (None, text(2)), (1, text(3)), (1, text(4)), (2, text(5)), (4, ""), (5, None), (None, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in found), key=str) == sorted(wanted, key=str)
