@@ -8,7 +8,7 @@ MODEL = toxicity.fit(["you idiot", "a fine day for a walk"], [1, 0])
 OPERATORS = {
     "media": lambda d: media.digest(media.sniff(media.store_texts(d), "media", "declared_type", ("doc_id", "n_bytes")), ("doc_id", "n_bytes")),
     "toxicity": lambda d: toxicity.score_column(d, MODEL),
-    "sentencepiece": lambda d: sentencepiece_fst.digest(sentencepiece_fst.decode(sentencepiece_fst.encode(d, sentencepiece_fst.model_path()), sentencepiece_fst.model_path())),
+    "sentencepiece": lambda d: sentencepiece_fst.digest(d, sentencepiece_fst.model_path()),
     "secrets": secrets.scan,
     "licenses": licenses.scan,
     "pii": pii.scan,

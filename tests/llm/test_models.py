@@ -22,6 +22,38 @@ def test_transducer_equals_the_library():
         assert machine.decode(ids) == library.decode(ids.tolist())
 
 
+def test_all_texts_as_the_library_encodes_them(spark):
+    import sentencepiece
+
+    path = sentencepiece_fst.model_path()
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = {r["doc_id"]: r["ids"] for r in sentencepiece_fst.encode(docs, path).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        assert found[r["doc_id"]] == library.encode(r["text"] or "")
+
+
+def test_pair_acceptor_equals_merging():
+    machine = sentencepiece_fst.Transducer(sentencepiece_fst.model_path())
+    rng, ids = random.Random(9), list(machine.pieces.ids.values())
+    for _ in range(20_000):
+        x, y = rng.choice(ids), rng.choice(ids)
+        a, b = machine.pieces.text[x], machine.pieces.text[y]
+        assert machine.accepts(x, y) == (sentencepiece_fst.merge(a + b, machine.accepts.cost)[0] == [a, b])
+
+
+@pytest.mark.parametrize("rule", ["nfkc", "nmt_nfkc_cf"])
+def test_normaliser_is_compiled_from_the_model(rule):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+    spec = next(x for k, x in sentencepiece_fst.fields(library.serialized_model_proto()) if k == 3)
+    machine, rng = sentencepiece_fst.Normaliser(spec), random.Random(2)
+    for _ in range(200):
+        text = "".join(rng.choice("ab c  \u00e9\u00df\ufb01\u2460\u212bA\u030a\uac00\u304b\u3099\uff76\uff9e\t") for _ in range(20))
+        assert machine(text) == library.normalize(text)
+
+
 def test_misspellings_share_subwords():
     rng = random.Random(1)
     plain = "the walk was long and fine with sun over hills near water".split()
