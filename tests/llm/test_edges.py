@@ -4,7 +4,7 @@ import pytest
 
 from tidemark.llm import licenses, media, near_duplicates, packing, pii, quality, secrets, sentencepiece_fst, toxicity
 
-MODEL = toxicity.fit(["you idiot", "a fine day for a walk"], [1, 0])
+MODEL = toxicity.fit([("you idiot", 1), ("a fine day for a walk", 0)])
 OPERATORS = {
     "media": lambda d: media.digest(media.sniff(media.store_texts(d), "media", "declared_type", ("doc_id", "n_bytes")), ("doc_id", "n_bytes")),
     "toxicity": lambda d: toxicity.score_column(d, MODEL),

@@ -64,27 +64,36 @@ def test_misspellings_share_subwords():
             words[rng.randrange(40)] = rng.choice(["idiot", "moron", "idiots", "morons"])
         texts.append(" ".join(words))
         labels.append(int(k % 4 == 0))
-    model = toxicity.fit(texts, labels)
+    model = toxicity.fit(zip(texts, labels, strict=True))
     known = toxicity.Memo(model.word_score)
     long = "the walk was long " * 200
     assert model.score(long + "idiots", known) > 0.5 > model.score(long, known)
     # Never seen: words that share n-grams with seen ones lean their way, and a text with one scores far above a clean one.
     for unseen in ("idiotic", "iidiot", "moronic"):
-        assert model.word_score(unseen) > 0 > model.word_score("walk")
+        assert model.word_score(unseen).real > 0 > model.word_score("walk").real
         assert model.score(long + unseen, known) > 20 * model.score(long, known)
     assert 0 <= model.score("", known) < 0.5
 
 
 def test_single_class_and_no_labels():
-    assert toxicity.fit([], []).score("x", {"x": 0.0}) < 0.01
-    assert toxicity.fit(["a"], [0]).word_score("a") == 0.0
+    assert toxicity.fit([]).score("x", {"x": 0.0}) < 0.01
+    assert toxicity.fit([("a", 0)]).word_score("a") == 0.0
 
 
-def test_held_out_accuracy(spark):
+def test_held_out_recall_and_f1(spark):
+    """A constant answer has recall 0 here. Every third labelled document with abuse has no word that any other text shares, so recall has a ceiling."""
     found = queries()["op4_toxicity"](spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id")
     rows = found.filter("held_out").collect()
-    right = sum(r["predicted"] == r["toxic"] for r in rows)
-    assert right >= 0.9 * len(rows)
+    hit = sum(r["predicted"] == r["toxic"] == 1 for r in rows)
+    said, toxic = sum(r["predicted"] for r in rows), sum(r["toxic"] for r in rows)
+    assert hit >= 0.6 * toxic and 2 * hit >= 0.7 * (said + toxic)
+
+
+def test_model_survives_packing():
+    model = toxicity.fit([("you idiot", 1), ("a fine day for a walk", 0)])
+    again = toxicity.Model.unpacked(model.packed())
+    known, known_again = toxicity.Memo(model.word_score), toxicity.Memo(again.word_score)
+    assert abs(model.score("you idiot", known) - again.score("you idiot", known_again)) < 1e-2
 
 
 @pytest.mark.parametrize("name", ["op2_html_extraction", "op9_quality_rules"])

@@ -26,13 +26,12 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """Apply fn to every Arrow batch of df. Batches are small, so memory follows the longest rows, not the partition."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Apply fn to the Arrow batches of df, BATCH_ROWS rows at a time, so that what fn makes follows the longest rows, not the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                yield fn(batch.slice(at, BATCH_ROWS))
 
     return df.mapInArrow(run, schema)
 

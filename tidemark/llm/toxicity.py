@@ -1,27 +1,30 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 A word's vector is the mean of the vectors of its hashed character n-grams (three to six, with word ends marked) and of the word
-itself; a window of neighbouring words has the mean of its words' vectors; a two-class linear softmax scores windows, and a text has the
-score of its worst window, so a few abusive words in a long text are not averaged away. Vectors and softmax are trained jointly in
-numpy on labelled texts: at first all windows of a text share its gradient by their softmax weights, later its worst window takes it.
-Words that were never seen share n-grams with seen ones, so inflections and misspellings get their scores.
-
-The fit uses a bounded sample of labelled rows (SAMPLE_TOXIC and SAMPLE_CLEAN rows of at most SAMPLE_CHARS characters, taken by a hash
-of the id); scoring covers every text in full. Training takes rows with crc32(id as text) mod FOLDS other than 0 only.
-
-Defined results: a null or empty text has no windows and gets the score of the bias alone; labels that are null are no labels; an id
-with several labels counts as toxic if any says so; with no labels of one class every score is that class's share; other columns are
-never read.
+itself. A text has two bags: the mean of all its words' vectors, and the mean over its worst window of neighbouring words, so that a few abusive
+words in a long text are not averaged away. One two-class linear softmax reads both. Vectors and softmax are trained jointly in numpy
+on labelled texts: at first all windows of a text share its gradient by their softmax weights, later its worst window takes it. Words
+that were never seen share n-grams with seen ones, so inflections and misspellings get their scores.
+
+The fit uses a bounded sample of labelled rows: SAMPLE_TOXIC and SAMPLE_CLEAN of them, taken by a hash of the id, in full whatever their
+length. It runs in one task, which reads its texts batch by batch and keeps word numbers only; its weights come back as one row of a fixed
+size. Training takes rows with crc32(id as text) mod FOLDS other than 0 only; scoring covers every text in full.
+
+Defined results: a null or empty text has no words and gets the score of the bias alone; labels that are null are no labels; an id
+with several labels counts as toxic if any says so; of rows that share a chosen id the one with the smallest text is trained on; with no labels of one class every
+score is that class's share (none at all: 0.5 per million); an empty table gives an empty result; a long text costs memory in proportion to itself;
+repeated rows get equal scores; other columns, also such with clashing names, are never read.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 import re
-import uuid
 import zlib
 from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,10 +35,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Memo, map_arrow, table, text_or_empty
 
 FOLDS = 5
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1_000, 4_000, 32_768
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1_000, 4_000
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (3, 6)
-WINDOW, STRIDE = 8, 4
-EPOCHS, SOFT_EPOCHS, RATE, DECAY, SEED = 120, 50, 0.05, 1e-6, 7
+WINDOW, STRIDE = 4, 2
+EPOCHS, SOFT_EPOCHS, RATE, DECAY, SEED = 120, 50, 0.05, 1e-5, 7
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -69,7 +72,7 @@ def window_means(scores: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """vectors: (buckets, width); softmax: (width, 2) and its bias (2,)."""
+    """vectors: (buckets, width); softmax: (2 x width, 2), for the worst window's mean and for the whole text's; bias: (2,)."""
 
     vectors: np.ndarray
     softmax: np.ndarray
@@ -77,46 +80,63 @@ class Model:
 
     @functools.cached_property
     def by_bucket(self) -> np.ndarray:
-        """How far each bucket's vector moves the odds of class 1: the softmax is linear, so means of these are the means of vectors."""
-        return (self.vectors @ (self.softmax[:, 1] - self.softmax[:, 0])).astype(np.float64)
+        """How far each bucket's vector moves the odds of class 1, in a window (real part) and in the whole text (imaginary part): the softmax is
+        linear, so means of these are what it makes of the means of vectors."""
+        odds = (self.softmax[:, 1] - self.softmax[:, 0]).astype(np.float64).reshape(2, -1)
+        return self.vectors @ odds[0] + 1j * (self.vectors @ odds[1])
 
-    def word_score(self, word: str) -> float:
-        return float(self.by_bucket[subwords(word, len(self.by_bucket))].mean())
+    def word_score(self, word: str) -> complex:
+        return complex(self.by_bucket[subwords(word, len(self.by_bucket))].mean())
 
     def score(self, text: str, known) -> float:
-        """The probability of class 1 for the worst window. known: word -> word_score."""
+        """The probability of class 1. known: word -> word_score."""
         words = words_of(text)
         z = float(self.bias[1] - self.bias[0])
         if words:
-            z += float(window_means(np.fromiter(map(known.__getitem__, words), np.float64, len(words))).max())
+            scores = np.fromiter(map(known.__getitem__, words), np.complex128, len(words))
+            z += float(window_means(scores.real).max()) + float(scores.imag.mean())
         return 1 / (1 + math.exp(-min(50.0, max(-50.0, z))))
 
+    def packed(self) -> bytes:
+        return b"".join(x.astype("<f2" if x is self.vectors else "<f4").tobytes() for x in (self.vectors, self.softmax, self.bias))
+
+    @staticmethod
+    def unpacked(raw: bytes) -> Model:
+        cut = 2 * BUCKETS * WIDTH
+        rest = np.frombuffer(raw, "<f4", offset=cut)
+        return Model(np.frombuffer(raw[:cut], "<f2").reshape(BUCKETS, WIDTH).astype(np.float32), rest[:-2].reshape(-1, 2), rest[-2:])
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Train vectors and softmax jointly by Adam on the windows of whole texts; deterministic."""
+
+def fit(rows: Iterable[tuple[str, int]]) -> Model:
+    """Train vectors and softmax jointly by Adam on the bags of (text, label) rows; deterministic. Texts are read one by one and not kept."""
     rng = np.random.default_rng(SEED)
     vectors = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
-    softmax = rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32)
-    y = np.array(labels, np.float64)
-    share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
+    softmax = rng.normal(0, 0.1, (2 * WIDTH, 2)).astype(np.float32)
+    index: dict[str, int] = {}
+    docs, found, labels = [], [], []
+    for text, label in rows:
+        labels.append(label)
+        numbers = np.fromiter((index.setdefault(w, len(index)) for w in words_of(text)), np.int32)
+        if len(numbers):
+            docs.append(numbers)
+            found.append(label)
+    share = min(max(sum(labels) / len(labels) if labels else 0.0, 1e-6), 1 - 1e-6)
     bias = np.array([math.log(1 - share), math.log(share)], np.float32)
-    if len(set(labels)) < 2:
+    if len(set(labels)) < 2 or not docs:
         return Model(np.zeros_like(vectors), softmax, bias)
-    index: dict[str, int] = {}
-    docs = [np.fromiter((index.setdefault(w, len(index)) for w in words_of(t)), np.int32) for t in texts]
-    keep = [k for k, d in enumerate(docs) if len(d)]
-    docs, y = [docs[k] for k in keep], y[keep]
+    y = np.array(found, np.float64)
     packed, n_subs = array("i"), np.empty(len(index), np.int64)  # no lists of Python numbers: there are millions
     for k, w in enumerate(index):
-        found = subwords(w)
-        packed.extend(found)
-        n_subs[k] = len(found)
+        parts = subwords(w)
+        packed.extend(parts)
+        n_subs[k] = len(parts)
     flat_subs, sub_starts = np.frombuffer(packed, np.int32), np.concatenate(([0], np.cumsum(n_subs)[:-1]))
     tokens = np.concatenate(docs)
-    offsets = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
-    starts = [window_starts(len(d)) for d in docs]
+    lengths = np.array([len(d) for d in docs])
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    starts = [window_starts(n) for n in lengths]
     window_from = np.concatenate([s + o for s, o in zip(starts, offsets, strict=False)])
-    window_to = np.concatenate([np.minimum(s + WINDOW, len(d)) + o for s, o, d in zip(starts, offsets, docs, strict=False)])
+    window_to = np.minimum(window_from + WINDOW, np.repeat(offsets[1:], [len(s) for s in starts]))
     doc_starts = np.concatenate(([0], np.cumsum([len(s) for s in starts])[:-1]))
     doc_of = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
     weight = np.where(y == 1, 0.35 / max(y.sum(), 1), 0.65 / max((1 - y).sum(), 1))
@@ -128,25 +148,32 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         v += 0.01 * (grad * grad - v)
         value -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
 
+    def words(direction: np.ndarray) -> np.ndarray:
+        return np.add.reduceat((vectors @ direction)[flat_subs], sub_starts).astype(np.float64) / n_subs
+
+    def buckets(by_token: np.ndarray) -> np.ndarray:
+        by_word = (np.bincount(tokens, by_token, len(index)) / n_subs).astype(np.float32)
+        return np.bincount(flat_subs, np.repeat(by_word, n_subs), BUCKETS).astype(np.float32)
+
     for t in range(1, EPOCHS + 1):
-        direction = softmax[:, 1] - softmax[:, 0]
-        word_scores = np.add.reduceat((vectors @ direction).astype(np.float64)[flat_subs], sub_starts) / n_subs
-        sums = np.concatenate(([0.0], np.cumsum(word_scores[tokens])))
-        z = (sums[window_to] - sums[window_from]) / (window_to - window_from) + float(bias[1] - bias[0])
+        near, far = (softmax[:, 1] - softmax[:, 0]).reshape(2, -1)
+        sums = np.concatenate(([0.0], np.cumsum(words(near)[tokens])))
+        z = (sums[window_to] - sums[window_from]) / (window_to - window_from)
         top = np.maximum.reduceat(z, doc_starts)
         share_of = np.exp(np.minimum(z - top[doc_of], 0)) if t <= SOFT_EPOCHS else (z >= top[doc_of]).astype(np.float64)
         share_of /= np.add.reduceat(share_of, doc_starts)[doc_of]
-        error = (1 / (1 + np.exp(-np.clip(top, -50, 50))) - y) * weight  # of class 1; class 0 has its negative
+        whole = np.add.reduceat(words(far)[tokens], offsets[:-1]) / lengths
+        odds = top + whole + float(bias[1] - bias[0])
+        error = (1 / (1 + np.exp(-np.clip(odds, -50, 50))) - y) * weight  # of class 1; class 0 has its negative
         dz = error[doc_of] * share_of
         steps = np.zeros(len(tokens) + 1)
         np.add.at(steps, window_from, dz / (window_to - window_from))
         np.add.at(steps, window_to, -dz / (window_to - window_from))
-        by_word = np.bincount(tokens, np.cumsum(steps)[:-1], len(index)) / n_subs
-        by_bucket = np.bincount(flat_subs, np.repeat(by_word, n_subs), BUCKETS).astype(np.float32)
-        pull = vectors.T @ by_bucket
+        pulls = buckets(np.cumsum(steps)[:-1]), buckets(np.repeat(error / lengths, lengths))
+        pull = np.concatenate([vectors.T @ p for p in pulls])
         adam("softmax", softmax, np.stack([-pull, pull], 1), t)
-        adam("vectors", vectors, np.outer(by_bucket, direction) + DECAY * vectors, t)
-        total = float(dz.sum())
+        adam("vectors", vectors, np.outer(pulls[0], near) + np.outer(pulls[1], far) + DECAY * vectors, t)
+        total = float(error.sum())
         adam("bias", bias, np.array([-total, total], np.float32), t)
     return Model(vectors, softmax, bias)
 
@@ -155,31 +182,41 @@ def fold_of(key: Column, folds: int = FOLDS) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], list[int]]:
-    """The bounded sample: per class, the labelled ids with the smallest hashes outside the held-out fold, and then their texts. Ids are chosen
-    from the narrow table of labels, so texts are neither shuffled nor sorted: at most SAMPLE_TOXIC + SAMPLE_CLEAN ids go out to the scan."""
+def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """(_label, _text), the bounded sample: per class, the labelled ids with the smallest hashes outside the held-out fold, and their texts. Ids are
+    chosen from the narrow table of labels, so texts are neither shuffled nor sorted: at most SAMPLE_TOXIC + SAMPLE_CLEAN ids go out to the scan."""
     marked = labels.filter(F.col(label).isNotNull() & (fold_of(F.col(key)) != 0)).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
     first = lambda value, most: marked.filter(F.col("_label") == value).orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(most)
     chosen = first(1, SAMPLE_TOXIC).unionByName(first(0, SAMPLE_CLEAN))
-    short = docs.select(key, text_or_empty(text).alias("_text")).filter(F.length("_text") <= SAMPLE_CHARS)
-    rows = sorted((r["_label"], str(r[key]), r["_text"]) for r in short.join(F.broadcast(chosen), key).dropDuplicates([key]).collect())
-    return [r[2] for r in rows], [r[0] for r in rows]
+    rows = docs.select(key, text_or_empty(text).alias("_text")).join(F.broadcast(chosen), key)
+    return rows.groupBy(key, "_label").agg(F.min("_text").alias("_text")).select("_label", "_text")
+
+
+def fit_sample(sample: DataFrame) -> Model:
+    """fit in one task over the bounded sample; the driver sees one row of a fixed size."""
+
+    def train(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        rows = ((t, y) for batch in batches for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([fit(rows).packed()], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).sortWithinPartitions("_label", "_text").mapInArrow(train, "model binary").collect()
+    return Model.unpacked(bytes(found[0]["model"])) if found else fit([])
 
 
-#: A worker's copy of the last model and its word scores, by the model's name.
+#: A worker's copy of the last model and its word scores, by the digest of the model.
 _known: dict[str, tuple[Model, Memo]] = {}
 
 
-def scorer(spark: SparkSession, model: Model):
-    """A function of texts that gives their scores on executors. The model has a fixed size and goes out as a broadcast variable."""
-    name = uuid.uuid4().hex
-    sent = spark.sparkContext.broadcast((model.vectors.astype(np.float16), model.softmax, model.bias))
+def scorer(model: Model):
+    """A function of texts that gives their scores on executors. The model has a fixed size and travels with the function, so it goes when
+    the query that uses it does."""
+    raw = model.packed()
+    name = hashlib.sha256(raw).hexdigest()
 
     def scores(texts: list[str | None]) -> list[float]:
         if name not in _known:
             _known.clear()
-            vectors, softmax, bias = sent.value
-            here = Model(vectors.astype(np.float32), softmax, bias)
+            here = Model.unpacked(raw)
             _known[name] = here, Memo(here.word_score)
         here, known = _known[name]
         return [here.score(t or "", known) for t in texts]
@@ -189,7 +226,7 @@ def scorer(spark: SparkSession, model: Model):
 
 def score_column(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score of every row."""
-    scores = scorer(df.sparkSession, model)
+    scores = scorer(model)
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores(rows.column(1).to_pylist()), pa.float64())], names=[key, "score"])
@@ -199,7 +236,7 @@ def score_column(df: DataFrame, model: Model, key: str = "doc_id", text: str = "
 
 def keep_clean(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of df that score below threshold, whole, without a join: the filter runs on the rows themselves."""
-    scores, at = scorer(df.sparkSession, model), df.columns.index(text)
+    scores, at = scorer(model), df.columns.index(text)
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         return rows.filter(pa.array([s < threshold for s in scores(rows.column(at).to_pylist())], pa.bool_()))
@@ -208,7 +245,7 @@ def keep_clean(df: DataFrame, model: Model, text: str = "text", threshold: float
 
 
 def fit_on(spark: SparkSession, sf_dir: str) -> Model:
-    return fit(*training_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return fit_sample(training_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
