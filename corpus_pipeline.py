@@ -19,7 +19,7 @@ NEAR_PERCENT = 80
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't predict as toxic. It is fitted on the labelled rows among docs."""
-    model = toxicity.fit(*toxicity.training_sample(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit_sample(toxicity.training_sample(docs, table(spark, sf_dir, "labels")))
     return toxicity.keep_clean(docs, model)
 
 
