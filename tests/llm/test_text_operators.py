@@ -232,6 +232,73 @@ def test_templates(spark):
     assert "Read our paper" in texts[9]
 
 
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+def unmarked_page(rng, k):
+    """A page whose elements say nothing by tag or name: the parts differ in what the host's pages have in common only. And its main text."""
+    title, paragraphs = prose(rng, 5), [prose(rng, rng.randrange(20, 60)) for _ in range(rng.randrange(2, 9))]
+    links = "".join(f"<div><a href='/{k}{j}'>{prose(rng, 2)}</a></div>" for j in range(rng.randrange(3, 7)))
+    advert = prose(rng, 8)
+    page = f"<body><div class='k1'>Daily Gazette</div><div class='k2'>{links}</div><div class='k3'>{advert}</div><div class='k4'><h2>{title}</h2>" + "".join(f"<p>{x}</p>" for x in paragraphs[:2])
+    page += "<div class='k5'>Read our paper every day</div>" + "".join(f"<p>{x}</p>" for x in paragraphs[2:]) + "</div><div class='k6'>Printed in town by the river</div></body>"
+    return page, "\n\n".join([title, *paragraphs])
+
+
+def test_the_wrapper_makes_the_result(spark):
+    rng = random.Random(5)
+    made = [unmarked_page(rng, k) for k in range(30)]
+    rows = [(k, f"http://h.example/{k}", page) for k, (page, _) in enumerate(made)]
+    found = html_text.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in found} == {k: text for k, (_, text) in enumerate(made)}
+    # Without alignment not one of these pages is read rightly.
+    assert all(html_text.extract(page) != text for page, text in made)
+
+
+def test_every_article_and_running_text_by_any_name():
+    page = "<body><nav>a</nav><article><p class='social-policy'>One</p><div class='search-engine'>Two</div></article><article><p class='promotion'>Three</p><div class='ad-box'>x</div><div class='cookie-notice'>y</div></article><section class='comments'><article>nice</article></section></body>"
+    assert html_text.extract(page) == "One\n\nTwo\n\nThree"
+
+
+def test_pages_against_the_generated_article(spark):
+    """The driver's pages hold their main text in one article element, which a plain reader finds."""
+    from html import unescape
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r["page_id"]: r["text"] for r in html_text.extract_pages(rows).collect()}
+    for r in rows.collect():
+        inner = re.search("<article>(.*)</article>", r["html"] or "", re.DOTALL)
+        blocks = re.split("</?(?:p|h1)>", inner[1]) if inner else []
+        plain = [" ".join(unescape(re.sub("<[^>]*>", " " if "<br" in b else "", b.replace("<br>", " "))).split()) for b in blocks]
+        assert found[r["page_id"]] == "\n\n".join(b for b in plain if b)
+
+
+def test_pages_of_no_rows_and_with_clashing_columns(spark):
+    schema = "page_id bigint, url string, html string, host string, digest string, layout int, nodes string, text string"
+    rows = [(k, f"http://h.example/{k}", f"<body><div>Same</div><p>Story {k} goes on and on</p></body>", "x", "y", 1, "z", "t") for k in range(4)]
+    found = html_text.extract_pages(spark.createDataFrame(rows, schema)).collect()
+    assert [r["text"] for r in sorted(found, key=lambda r: r["page_id"])] == [f"Story {k} goes on and on" for k in range(4)]
+    assert html_text.extract_pages(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    for unit in ("<li>x", "<a b=\"", "<b>", "</i>", "<!-- ", "<div><p>word "):
+        began = time.time()
+        html_text.extract(unit * (1_000_000 // len(unit)))
+        assert time.time() - began < 60, unit
+
+
+def test_a_repeated_article_stays(spark):
+    rng = random.Random(6)
+    body = "".join(f"<p>{prose(rng, 40)}</p>" for _ in range(4))
+    rows = [(k, f"http://h.example/{k}", f"<body><div class='q'>{prose(rng, 3)}</div><div class='r'>{body}</div></body>") for k in range(6)]
+    for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect():
+        assert r["text"] == re.sub("</?p>", "", body.replace("</p><p>", "\n\n"))
+
+
 def test_templates_of_two_layouts(spark):
     words = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
     one = lambda k: f"<body><div class='wrap'><div class='a'><b>Front page one</b></div><div class='x'><p>{words(k)}</p><p>Read our paper</p></div></div></body>"
