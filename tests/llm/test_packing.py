@@ -40,6 +40,19 @@ def test_small_packings_are_optimal(seed):
     assert sum(n for _, n in plan) == fewest(items.tolist(), 30)
 
 
+def test_the_search_makes_the_result():
+    """Lengths that fill 12 sequences without waste: best fit alone needs more for some, bin completion for none."""
+    better = 0
+    for seed in range(12):
+        items = dealt(seed, 12, 100, 8, 45)
+        counts = np.bincount(items, minlength=101)
+        plain = sum(n for _, n in packing.best_fit(counts, 100))
+        found = sum(n for _, n in packing.complete_bins(counts, 100))
+        assert found == 12 <= plain
+        better += plain > found
+    assert better > 0
+
+
 def test_large_packing_is_near_its_bound():
     items = np.random.default_rng(1).integers(1, 2049, 20_000)
     counts = np.bincount(items, minlength=2049)
@@ -97,6 +110,7 @@ def test_documents(spark):
             part = ids[start : start + 2048]
             expected[i, k] = (start, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part)))
     assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in found} == expected
+    assert {r["over_bound"] for r in found} == {0}
     sequences = {}
     for r in found:
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -106,3 +120,9 @@ def test_documents(spark):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "same words here", 0, 7, "x")] * 50, "doc_id bigint, text string, _id int, length int, sequence_id string")
+    found = packing.pack_documents(df).collect()
+    assert len(found) == 50 and len({(r["sequence_id"], r["offset"]) for r in found}) == 50

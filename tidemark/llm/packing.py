@@ -8,12 +8,14 @@ so the search runs on the driver over the histogram while the pieces never leave
 3. search: the incumbent is a best-fit decreasing packing of the histogram; bin completion then takes the largest remaining length,
    enumerates undominated fillings of the room around it, best fit first, applies a filling as often as the counts allow (or once), and
    gives up a branch when its waste shows that it can't beat the incumbent. It backtracks more with each turn, until the incumbent meets
-   the lower bound, nothing is left to try or DECISIONS fillings have been looked at;
+   the lower bound, nothing is left to try (then it is optimal) or DECISIONS fillings have been looked at; ``over_bound`` tells how many
+   sequences more than the lower bound the packing has, so 0 proves it optimal;
 4. rank the pieces of each length (counts per salt, then a running sum, so that no length is gathered in one task) and read each rank's
    sequence and offset from the plan, which is bounded as the histogram is.
 
 Defined results: a null or empty text is one piece that holds only the closing id; repeated rows are packed as rows of their own;
-an empty table gives an empty result; other columns are not carried.
+an empty table gives an empty result; a long text is cut into as many pieces as it needs and costs memory in proportion to itself; only the key and
+the text are read, so columns with clashing names don't matter.
 """
 
 from __future__ import annotations
@@ -36,11 +38,10 @@ from tidemark.llm.common import Memo, map_arrow, materialize, table, text_or_emp
 CAPACITY = 2048
 CLOSING_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Fillings that the search over a histogram may look at, and items up to which it goes sequence by sequence, within its own nodes.
-DECISIONS = 6_000
+#: Fillings that the search over a histogram may look at; and how many items a filling may have for the dominance test, which only saves branches.
+DECISIONS = 20_000
 DOMINATED_ITEMS = 4
-EXHAUSTIVE_ITEMS = 24
-EXHAUSTIVE_NODES = 50_000
+SALTS = 1024
 
 # --- tokens ---------------------------------------------------------------------------------------------------------------------
 
@@ -303,51 +304,11 @@ def _complete(counts: np.ndarray, capacity: int, plan: Plan, bound: int, decisio
     return plan
 
 
-def _exhaustive(counts: np.ndarray, capacity: int, incumbent: Plan, bound: int) -> Plan:
-    """Bin completion, one sequence at a time, over few items."""
-    total, nodes = int((counts * np.arange(capacity + 1)).sum()), [EXHAUSTIVE_NODES]
-    best = [incumbent, sum(n for _, n in incumbent)]
-
-    def all_fillings(room: int, top: int, left: dict[int, int]) -> list[tuple[int, ...]]:
-        found, fits = [], [s for s in sorted(left, reverse=True) if s <= min(room, top) and left[s]]
-        for s in fits:
-            left[s] -= 1
-            found += [(s, *f) for f in all_fillings(room - s, s, left)]
-            left[s] += 1
-        return found or [()]
-
-    def go(left: dict[int, int], filled: Plan, waste: int) -> None:
-        nodes[0] -= 1
-        sizes = [s for s in left if left[s]]
-        if not sizes:
-            if len(filled) < best[1]:
-                best[:] = [list(filled), len(filled)]
-            return
-        if nodes[0] <= 0 or best[1] == bound or ceil((total + waste) / capacity) >= best[1]:
-            return
-        top = max(sizes)
-        left[top] -= 1
-        for f in undominated(all_fillings(capacity - top, top, left)):
-            for x in f:
-                left[x] -= 1
-            done = not any(left.values())
-            go(left, [*filled, ((top, *f), 1)], waste + (0 if done else capacity - top - sum(f)))
-            for x in f:
-                left[x] += 1
-        left[top] += 1
-
-    go({int(s): int(counts[s]) for s in np.flatnonzero(counts)}, [], 0)
-    return best[0]
-
-
 def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, decisions: int = DECISIONS) -> Plan:
     """A packing of counts[length] pieces of each length into as few sequences as the search finds."""
     counts = counts.astype(np.int64)
-    total, bound, plan = int((counts * np.arange(capacity + 1)).sum()), lower_bound(counts, capacity), best_fit(counts, capacity)
-    used = sum(n for _, n in plan)
-    if used > bound and counts.sum() <= EXHAUSTIVE_ITEMS:
-        return _exhaustive(counts, capacity, plan, bound)
-    return _complete(counts, capacity, plan, bound, decisions) if used > bound else plan
+    bound, plan = lower_bound(counts, capacity), best_fit(counts, capacity)
+    return _complete(counts, capacity, plan, bound, decisions) if sum(n for _, n in plan) > bound else plan
 
 
 def slots(plan: Plan, capacity: int = CAPACITY) -> dict[int, tuple[np.ndarray, ...]]:
@@ -370,22 +331,25 @@ def slots(plan: Plan, capacity: int = CAPACITY) -> dict[int, tuple[np.ndarray, .
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """cut (which has a column length, at most capacity) with sequence_id and offset."""
-    salts = 256
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64(*cut.columns), F.lit(salts)).cast("int"))
+    """cut (which has a column length, at most capacity) with sequence_id, offset and over_bound."""
+    names = cut.columns
+    # Rows get a number of their own as they are written, so that repeated rows are dealt out like any others.
+    salted = materialize(cut.withColumn("_id", F.monotonically_increasing_id()), "pieces")
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
     by_salt = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    # At most capacity x salts rows, whatever the input.
+    # At most capacity x SALTS rows, whatever the input.
     starts = by_salt.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)))
     starts = starts.select("length", "_salt", F.coalesce("_before", F.lit(0)).alias("_before"))
     counts = np.zeros(capacity + 1, np.int64)
     for row in by_salt.groupBy("length").agg(F.sum("_n").alias("n")).collect():  # at most capacity rows
         counts[row["length"]] = row["n"]
-    plan = slots(complete_bins(counts, capacity), capacity)
-    order = Window.partitionBy("length", "_salt").orderBy(*cut.columns)
+    found = complete_bins(counts, capacity)
+    over = sum(n for _, n in found) - lower_bound(counts, capacity)
+    plan = slots(found, capacity)
+    order = Window.partitionBy("length", "_salt").orderBy("_id")
     ranked = salted.withColumn("_row", F.row_number().over(order)).join(starts, ["length", "_salt"])
-    ranked = ranked.select(*cut.columns, (F.col("_before") + F.col("_row") - 1).alias("_rank"))
+    ranked = ranked.select(*names, (F.col("_before") + F.col("_row") - 1).alias("_rank"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id bigint, offset bigint"
-    names = cut.columns
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         size, rank = (rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
@@ -399,13 +363,12 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         columns = [rows.column(rows.schema.get_field_index(c)) for c in names]
         return pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return map_arrow(ranked, batch, schema)
+    return map_arrow(ranked, batch, schema).withColumn("over_bound", F.lit(over).cast("bigint"))
 
 
 def pack_documents(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """Every piece of every document with its place: key, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = materialize(pieces(df, path or vocabulary_path(), key, text, capacity), "pieces")
-    return pack(cut, capacity)
+    """Every piece of every document with its place: key, piece, start, length, ids_crc32, sequence_id, offset, over_bound."""
+    return pack(pieces(df, path or vocabulary_path(), key, text, capacity), capacity)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
