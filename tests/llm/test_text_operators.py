@@ -37,10 +37,31 @@ def test_base_secrets(seed):
 
 def test_lexed_secrets():
     lexed = lambda t: [t[a:b] for k, a, b in secrets.find_secrets(t) if k == "lexed"]
-    assert lexed('client_secret = "aB3dE5fG7hJ9kL2m"') == ["aB3dE5fG7hJ9kL2m"]
-    assert lexed('x = "aB3dE5fG7hJ9kL2m"\ndb_password = x') == ["aB3dE5fG7hJ9kL2m"]
-    assert lexed('{"awsSecretKey": "aB3dE5fG7hJ9kL2m"}') == ["aB3dE5fG7hJ9kL2m"]
-    assert lexed('password = "changeme"\ntitle = "aB3dE5fG7hJ9kL2m"\na = b\nb = a') == []
+    v = "aB3dE5fG7hJ9kL2m"
+    for text in (
+        f'client_secret = "{v}"', f'x = "{v}"\ndb_password = x', f'{{"awsSecretKey": "{v}"}}', f'c["client_secret"] = "{v}"', f'secret_key: str = "{v}"', f"<db_password>{v}</db_password>",
+        f'<add key="auth_token" value="{v}"/>', f"don't set auth_token='{v}', it isn't safe", f"# api.secret={v}", f"export DB_PASSWD={v}", f"Authorization: Bearer {v}", f"a := {v}\nmy_secret := a",
+        f'db_password = x\nx = "{v}"', f'client_secret = a\na = b\nb = c\nc = "{v}"', f'url = "{v}"\nauth_token = "prefix-${{url}}"', f"private_key: |\n  {v}\nother: 3",
+    ):
+        assert lexed(text) == [v], text
+    assert lexed(f'secret_key = "{v[:8]}" + "{v[8:]}"') == lexed(f'secret_key = (\n  "{v[:8]}"\n  "{v[8:]}"\n)') == [v[:8], v[8:]]
+    assert lexed('secret = "a\\"B3dE5fG7h"') == ['a\\"B3dE5fG7h']
+    assert lexed(f'password = "changeme"\ntitle = "{v}"\na = b\nb = a') == lexed("the secret: he went home and was happy") == lexed("password:\n  - x\n") == []
+
+
+def test_the_lexer_adds_what_patterns_miss():
+    """No base pattern matches any of these: without the lexer there is no span."""
+    for text in ("db_pwd = 'Zx9+kQ2w7Lm4'", 'auth = x\nx = "Zx9+kQ2w7Lm4"\nprivate_key = x', "<passphrase>Zx9+kQ2w7Lm4</passphrase>"):
+        assert not secrets.base_spans(text) and [k for k, *_ in secrets.find_secrets(text)] == ["lexed"], text
+
+
+def test_long_texts_are_lexed_in_proportion():
+    import time
+
+    for unit in ('a = "', "x: ", "password = '", '"k": "v", ', "<a>", "k: |\n  ", "a['b'] = ", "a = (\n", '\\"'):
+        began = time.time()
+        secrets.find_secrets(unit * (1_000_000 // len(unit)))
+        assert time.time() - began < 60, unit
 
 
 def test_redaction():

@@ -1,13 +1,16 @@
 """Secret scans by assignment-aware lexing.
 
-The lexer reads source and configuration syntax line by line into (name, literal) pairs: ``name = "literal"``, ``name: literal``,
-``"name": "literal"``, ``export NAME=literal``, ``name := literal``, ``name => literal``. A name that is assigned another name takes
-its literal (constants are propagated), and a literal is scored by the most sensitive name it reaches and by its own shape.
-Three fixed patterns give the base spans beside it.
-
-Defined results: a null text counts as empty and has no spans; repeated rows get equal rows; a name assigned to itself or in a
-cycle has no literal; spans are in code points, end exclusive; ``scan`` keeps only the key column and its own columns, so clashing
-names in the input can't disturb it.
+A lexer turns source and configuration text into tokens (strings with escapes and long strings, names, signs, line ends; quotes inside words and
+marks of comments open nothing). A parser reads name-literal pairs out of them: ``name = "literal"``, ``name: type = literal``, ``"name": "literal"``,
+``config["name"] = literal``, ``export NAME=literal``, ``name := literal``, ``name => literal``, strings joined by signs or by standing next to each
+other, block scalars (``name: |`` and indented lines), ``<name>literal</name>`` and ``<add key="name" value="literal"/>``. A name that is assigned another
+name, or a string that holds one (``${other}``), hands its sensitivity on until nothing changes, wherever either stands. A literal is
+scored by the most sensitive name that it reaches and by its own shape. Three fixed patterns give the base spans beside it.
+
+Defined results: a null text counts as empty and has no spans; repeated rows get equal rows; an empty table gives an empty result; a name assigned to
+itself or in a cycle has no literal; the parts of a joined literal are scored together and told one by one; spans are in code points,
+end exclusive; a long text costs time and memory in proportion to itself; ``scan`` keeps only the key column and its own columns, so clashing names
+in the input can't disturb it.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +32,21 @@ KINDS = ("assign", "access", "hex", "lexed")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: name, assignment sign, and a quoted literal or a bare one.
-PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)["']?[\x20\t]*(?::=|=>|=(?!=)|:(?!:))[\x20\t]*
-        (?:"(?P<double>[^"\n]+)"|'(?P<single>[^'\n]+)'|(?P<bare>[^\s"'`,;(){}\[\]<>]+))""",
-    re.VERBOSE | re.ASCII,
+#: Tokens. A quote behind a letter or digit is an apostrophe; a string ends on its line unless its quotes are tripled.
+LEXEME = re.compile(
+    r"""(?P<long>\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3})|(?P<string>"(?:[^"\\\n]|\\.)*+"|(?<![A-Za-z0-9])'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)
+    |(?P<name>[A-Za-z_$][A-Za-z0-9_$]*+(?:[.-][A-Za-z_$][A-Za-z0-9_$]*+)*+)|(?P<assign>:=|=>|\?=|\+=|=(?![=~])|:(?!:))|(?P<skip>[=!<>]=|::|//|\#)|(?P<sign>[+.&\[\](){},;|>])|(?P<line>\n)""",
+    re.VERBOSE | re.DOTALL | re.ASCII,
 )
-NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.ASCII)
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
+NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*\Z", re.ASCII)
+TYPE = re.compile(r"[\x20\t]*[A-Za-z_][A-Za-z0-9_.\[\]<>?|\x20]*=(?!=)", re.ASCII)
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>]*)?>\s*([^<>\s][^<>]*?)\s*</\1\s*>")
+ATTRIBUTES = re.compile(r"""<[A-Za-z][^<>]*?\b(?:key|name|id)\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)')[^<>]*?\bvalue\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)')""")
+BLOCK = re.compile(r"[\x20\t]*[|>][+-]?[\x20\t]*\n((?:[\x20\t]*\n)*([\x20\t]+)\S[^\n]*(?:\n(?:\2[^\n]*|[\x20\t]*(?=\n)))*)")
+HELD = re.compile(r"\$?\{([A-Za-z_$][A-Za-z0-9_$.]*)\}|\$([A-Za-z_][A-Za-z0-9_]*)")
+SCHEMES = {"bearer", "basic", "token"}
+JOINS = set("+.&(")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How much a part of a name says that its value is a secret.
 SENSITIVE = {
@@ -61,30 +73,127 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 5) * (0.4 if classes == 1 else 0.8 if classes == 2 else 1.0)
 
 
-def pairs(text: str) -> list[tuple[str, int, int, bool]]:
-    """(name, start and end of its literal, whether it is bare) in text order."""
-    found = []
-    for m in PAIR.finditer(text):
-        group = m.lastgroup
-        found.append((m["name"], *m.span(group), group == "bare"))
+def tokens_of(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the tokens that the parser looks at. Strings stand for what is between their quotes."""
+    out = []
+    for m in LEXEME.finditer(text):
+        kind, (a, b) = m.lastgroup, m.span()
+        if kind == "long":
+            out.append(("string", a + 3, b - 3))
+        elif kind == "string":
+            out.append(("string", a + 1, b - 1))
+        elif kind != "skip":
+            out.append((kind, a, b))
+    return out
+
+
+#: A pair: the name, and the spans of its literal's parts; or a name that it is assigned.
+Pair = tuple[str, list[tuple[int, int]], list[str]]
+
+
+def pairs(text: str) -> list[Pair]:
+    """Name-literal pairs in text order: (name, spans of the literal's parts, names that may be meant instead or are held in it)."""
+    found: list[Pair] = []
+    tokens = tokens_of(text)
+    starts = [t[1] for t in tokens]
+    at, read_to = 0, -1
+    while at < len(tokens):
+        kind, a, b = tokens[at]
+        at += 1
+        if kind != "assign" or a < read_to or at < 2:
+            continue
+        k = at - 2
+        while k > 0 and text[tokens[k][1] : tokens[k][2]] == "]":  # a subscript: the name is in the brackets
+            k -= 1
+        named, x, y = tokens[k]
+        if named not in ("name", "string") or y - x > 200 or "\n" in text[y:a]:
+            continue
+        name = text[x:y]
+        if text[a:b] == ":" and (m := TYPE.match(text, b)) and "\n" not in m[0]:
+            b = m.end()  # name: type = value
+        elif text[a:b] == ":" and (m := BLOCK.match(text, b)):
+            lines = [(m.start(1) + p.start(), m.start(1) + p.end()) for p in re.finditer(r"\S(?:[^\n]*\S)?", m[1])]
+            found.append((name, lines, []))
+            read_to = m.end()
+            continue
+        spans, names = [], []
+        at = bisect_right(starts, b - 1, lo=max(at - 1, 0))
+        lines, after, joined, opened = 0, b, True, False
+        while at < len(tokens):
+            kind, x, y = tokens[at]
+            sign = text[x:y] if kind == "sign" else ""
+            if kind == "string" and (joined or not text[after : x - 1].strip()):
+                # The next token's start tells whether this string is a key or an argument of something else.
+                if spans and at + 1 < len(tokens) and tokens[at + 1][0] == "assign":
+                    break
+                spans.append((x, y))
+                names += [n for m in HELD.findall(text[x:y]) for n in m if n]
+                joined, after, lines = False, y + 1, 0
+            elif sign in JOINS and sign and (spans or sign == "("):
+                joined, after, opened = True, y, opened or sign == "("
+            elif kind == "line" and lines < 1 and (spans or opened):
+                lines += 1
+                after = after if joined else y
+            elif kind == "name" and spans and joined and lines == 0:
+                names.append(text[x:y])
+                joined, after = False, y
+            else:
+                break
+            at += 1
+        if not spans:
+            m = BARE.match(text, b + len(text[b : b + 200]) - len(text[b : b + 200].lstrip(" \t")))
+            if m and m[0].lower() in SCHEMES and (more := BARE.match(text, m.end() + 1)):
+                m = more
+            if m:
+                spans = [m.span()]
+                names = [m[0]] if NAME.match(m[0]) else [n for h in HELD.findall(m[0]) for n in h if n]
+                read_to = m.end()
+        if spans:
+            found.append((name, spans, names))
+        at = max(at, bisect_right(starts, a))
+    if "<" in text and ("</" in text or "value" in text):
+        found += [(m[1], [m.span(2)], []) for m in ELEMENT.finditer(text)]
+        found += [(m[1] or m[2], [m.span(3) if m[3] is not None else m.span(4)], []) for m in ATTRIBUTES.finditer(text)]
     return found
 
 
+def plain(text: str, spans: list[tuple[int, int]]) -> str:
+    """What a literal's parts stand for, joined, without the names that it holds."""
+    return HELD.sub("", _plain(text, spans))
+
+
+def _plain(text: str, spans: list[tuple[int, int]]) -> str:
+    return "".join(re.sub(r"\\(.)", r"\1", text[a:b], flags=re.DOTALL) if "\\" in text[a:b] else text[a:b] for a, b in spans)
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, float]]:
     """Spans of the literals whose target names and shapes together score LEAST_SCORE or more."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
-    literals: dict[str, tuple[int, int]] = {}
-    scores: dict[tuple[int, int], float] = {}
-    for name, start, end, bare in pairs(text):
-        value = text[start:end]
-        span = literals.get(value) if bare and NAME.match(value) else None  # a name that is known stands for its literal
-        span = span or (start, end)
-        literals[name] = span
-        if (s := name_score(name)) > scores.get(span, 0.0):
-            scores[span] = s
-    found = [(a, b, s + literal_score(text[a:b])) for (a, b), s in scores.items() if s >= 0.4]
-    return sorted(x for x in found if x[2] >= LEAST_SCORE and literal_score(text[x[0] : x[1]]) > 0)
+    read = pairs(text)
+    scores: dict[str, float] = {}
+    feeds: dict[str, set[str]] = defaultdict(set)
+    known = {name for name, _, _ in read}
+    for name, _, names in read:
+        scores[name] = name_score(name)
+        feeds[name].update(n for n in names if n in known and n != name)
+    # A name's sensitivity goes to the names that it is made of, until nothing changes.
+    todo = [n for n in scores if feeds[n]]
+    while todo:
+        name = todo.pop()
+        for of in feeds[name]:
+            if scores[name] > scores[of]:
+                scores[of] = scores[name]
+                todo.append(of)
+    found: dict[tuple[int, int], float] = {}
+    for name, spans, names in read:
+        if len(spans) == 1 and names == [text[slice(*spans[0])]] and names[0] in known:
+            continue  # a name that is known stands for its literal
+        if scores[name] >= 0.4 and (shape := literal_score(plain(text, spans))) > 0 and scores[name] + shape >= LEAST_SCORE:
+            for span in spans:
+                if span[1] > span[0]:
+                    found[span] = max(found.get(span, 0.0), scores[name] + shape)
+    return sorted((a, b, score) for (a, b), score in found.items())
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
