@@ -89,11 +89,31 @@ def test_base_licenses(seed):
 
 
 def test_expressions():
-    assert licenses.evaluate("MIT OR Apache-2.0 AND BSD-3-Clause") == ({"mit", "apache", "bsd"}, set(), True)
-    assert licenses.evaluate("(MIT OR Apache-2.0) AND BSD-3-Clause") == ({"mit", "apache", "bsd"}, {"bsd"}, True)
-    assert licenses.evaluate("GPL-2.0-only WITH Classpath-exception-2.0")[:2] == ({"gpl"}, {"gpl"})
-    assert not licenses.evaluate("MIT OR")[2] and not licenses.evaluate("(MIT")[2]
-    assert licenses.find_licenses("// SPDX-License-Identifier: MIT OR Apache-2.0\nThe rest")["labels"] == "apache,mit"
+    value = lambda t: licenses.evaluate(licenses.read_expression(t, 0))
+    assert value("MIT OR Apache-2.0 AND BSD-3-Clause").labels() == {"apache|bsd|mit"}
+    assert value("(MIT OR Apache-2.0) AND BSD-3-Clause").labels() == {"bsd", "apache|mit"}
+    assert value("MIT AND GPL-2.0").labels() == {"gpl", "mit"} and value("MIT OR GPL-2.0").labels() == {"gpl|mit"}
+    assert value("MIT AND GPL-2.0").sure == 1.0 > value("MIT OR GPL-2.0").sure > value("MIT OR Own-1.0 AND Own-2.0").sure * 0.99
+    assert value("GPL-2.0-only WITH Classpath-exception-2.0").labels() == {"gpl-with-classpath-exception-2.0"}
+    assert value("MIT AND MIT OR MIT").labels() == {"mit"} and value("MIT OR MIT").sure == 1.0
+    assert value("MIT OR").sure < 1 and value("(MIT").sure < 1
+
+
+def test_the_evaluated_expression_makes_labels_and_score():
+    found = lambda t: (licenses.find_licenses(f"// SPDX-License-Identifier: {t}\nThe rest")["labels"], licenses.find_licenses(f"x License-Expression: {t}.")["score"])
+    assert found("MIT OR Apache-2.0") == ("apache|mit", 0.9)
+    assert found("MIT AND Apache-2.0") == ("apache,mit", 1.0)
+    assert found("Apache-2.0 WITH LLVM-exception OR MIT")[0] == "apache-with-llvm-exception|mit"
+    assert licenses.find_licenses("SPDX-License-Identifier: MIT. And so on")["labels"] == "mit"
+
+
+def test_long_license_texts_take_time_in_proportion():
+    import time
+
+    for unit in ("cc by ", "spdx-license-identifier: a ", "license-identifier: (", "general public license "):
+        began = time.time()
+        licenses.find_licenses(unit * (1_000_000 // len(unit)))
+        assert time.time() - began < 60, unit
 
 
 # --- PII
