@@ -9,6 +9,7 @@ import wave
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 
 from tidemark.llm import html_text, licenses, media, pii, quality, secrets
@@ -145,14 +146,57 @@ def test_base_pii(seed):
 
 
 def test_field():
-    sentences = pii.labelled_sentences()
-    right = [list(labels) == y for labels, (_, y) in zip(pii.trained_field().decode([f for f, _ in sentences]), sentences, strict=True)]
+    sentences, field = pii.labelled_sentences(), pii.trained_field()
+    right = [field.decode(x, np.array([0]), np.array([len(x)])).tolist() == y for x, y in sentences]
     assert sum(right) >= 0.98 * len(right)
     text = "Please call (415) 555-2671 today. SSN: 321-45-9876"
     assert [(k, text[a:b]) for k, a, b in pii.find_pii([text])[0]] == [("crf_phone", "(415) 555-2671"), ("crf_ssn", "321-45-9876")]
     assert pii.find_pii([None, "", "In 1984 there were 12 of them"]) == [[], [], []]
 
 
+def test_the_field_finds_kinds_that_no_pattern_knows():
+    """None of these has a base span: without the field there is nothing."""
+    cases = {
+        "My name is Clara Novak and I live at 99 Birch Street, Dover.": [("crf_name", "Clara Novak"), ("crf_address", "99 Birch Street, Dover")],
+        "DOB: 11/12/1983": [("crf_birth", "11/12/1983")], "passport number: K9928371": [("crf_document", "K9928371")], "Dear Mr. Taylor, we met in May.": [("crf_name", "Mr. Taylor")],
+        "x\n" * 3000 + "Patient: Nora Quist, room 9": [("crf_name", "Nora Quist")], "The Big House stood on Elm Street since 1900.": [],
+    }
+    for text, wanted in cases.items():
+        assert pii.base_spans(text) == [] and [(k, text[a:b]) for k, a, b in pii.find_pii([text])[0]] == wanted, text[-60:]
+
+
+def brute_labels(field, shapes):
+    """Viterbi by plain loops over one line."""
+    e = field.emissions(pii.padded_lines(shapes, np.array([0]), np.array([len(shapes)])))[0]
+    best, back = e[0] + field.steps[0], []
+    for row in e[1:]:
+        via = [[best[x] + field.steps[x, y] for x in range(len(best))] for y in range(len(best))]
+        back.append([int(np.argmax(v)) for v in via])
+        best = np.array([max(v) for v in via]) + row
+    labels = [int(np.argmax(best))]
+    for step in reversed(back):
+        labels.append(step[labels[-1]])
+    return labels[::-1]
+
+
+def test_decoding_in_batches_equals_line_by_line():
+    rng, field = random.Random(7), pii.trained_field()
+    text = "\n".join(" ".join(rng.choice(["name", "is", "Anna", "Lee", "12", "Oak", "Street", ":", "dear", "the", "1984"]) for _ in range(rng.randrange(0, 40))) for _ in range(60))
+    tokens = pii.Tokens(text)
+    labels = field.decode(tokens.shapes, tokens.first, tokens.lengths)
+    for first, n in zip(tokens.first, tokens.lengths, strict=True):
+        assert labels[first : first + n].tolist() == brute_labels(field, tokens.shapes[first : first + n])
+
+
+def test_long_texts_are_read_whole():
+    import time
+
+    for unit in ("12 ", "word ", "a@", "1\n", "Mr. Lee "):
+        began = time.time()
+        pii.find_pii([unit * (1_000_000 // len(unit))])
+        assert time.time() - began < 120, unit
+
+
 # --- quality
 
 

@@ -1,12 +1,13 @@
 """PII: a linear-chain conditional random field over word-shape features, beside four fixed patterns.
 
-The field is trained in numpy on the labelled table below (a template is filled with several numbers) by maximum likelihood; it reads the
-tokens around every run of digits or at-sign and is decoded by Viterbi in numpy batches. Tokens farther than REACH characters from
-any digit or at-sign can't be part of the kinds it knows, all of which need one, so they aren't read. Its spans must also hold what
-their kind requires (digits, an at-sign, a checksum) and are added where no base span of the same kind lies.
-
-Defined results: a null text counts as empty and has no spans; repeated rows get equal rows; spans are in code points, end exclusive;
-``scan`` keeps the key column and its own columns only.
+The field is trained in numpy on the labelled table below (a template is filled with several numbers) by maximum likelihood. It reads every token of
+every text, line by line, and is decoded by Viterbi in numpy batches of lines of like length, so that padding and memory stay bounded. It knows
+kinds that no pattern can tell (names, addresses, dates of birth, numbers of documents), by the words around them; its spans of the kinds that have a form
+of their own must hold what that form requires (an at-sign, digits, a checksum), and are added where no base span of the same kind lies.
+
+Defined results: a null text counts as empty and has no spans; repeated rows get equal rows; an empty table gives an empty result; spans are in code
+points, end exclusive, and don't cross lines; a long text costs time and memory in proportion to itself; ``scan`` keeps the key column and its own
+columns only, so clashing names don't matter.
 """
 
 from __future__ import annotations
@@ -26,9 +27,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Memo, map_arrow, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-FIELD_KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
+FIELD_KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "name", "address", "birth", "document")
 KINDS = (*BASE_KINDS, *(f"crf_{k}" for k in FIELD_KINDS))
-REACH = 40
 
 # --- base patterns ----------------------------------------------------------------------------------------------------------------
 
@@ -97,13 +97,35 @@ In 1984 there were 12 of 345 left.|Order 2024-0031 shipped on 2021-03-04 at 10:4
 It costs 1,299.00 dollars or 3.50 each|Chapter 7, section 4.2.1, line 88|@user said hello @ 5 pm|the score was 21-14 in 2009
 room 101, floor 3|call 911 or 112|released 12.03.2021 with 5000 copies|temperature 36.6 and 98.4|ISBN 978-3-16-148410-0 is a book
 The year 2010 saw 1000000 visitors|ratio 16:9 at 1920 x 1080|reference 7f3a9c21 in build 20240115.3|part no. 44-1022 costs 15 euros
+My name is [name:Anna Lee] and I live at [address:14 Oak Street, Springfield].|Dear [name:Mr. Smith], thank you for your letter|Name: [name:Maria Garcia Lopez]|Patient: [name:John O'Neil], room 4
+Sincerely, [name:Peter van Dyk]|Signed, [name:Dr. Ruth Adams]|the customer [name:Lena Braun] called today|Contact person: [name:Ivan Petrov], phone [phone:+1 (555) 010-9934]|I spoke with [name:Mrs. Helen Cho] about it
+Full name: [name:Omar Haddad]|Regards, [name:Kate]|Employee [name:Tom Hill] was hired on 12.03.2021|Mr. [name:Brown] and Ms. [name:Green] came too|Yours, [name:Ann Marie Cole]
+Address: [address:221B Baker Street, London]|lives at [address:7 Elm Avenue] near the park|Ship to: [address:1600 Pine Road, Apt 5, Austin]|moved to [address:33 Mill Lane] last year|home address is [address:90 Harbour Drive, Boston, MA 02110]
+Adresse: [address:Hauptstrasse 12, Berlin]|street address [address:5 Queen Street] please|resides at [address:410 Maple Blvd, Denver]
+Date of birth: [birth:12/03/1984]|DOB: [birth:1979-11-02]|born on [birth:4 May 1991] in Rome|DOB [birth:03.07.1966], male|born [birth:March 3, 1975]|birth date is [birth:21-08-2001]|geboren am [birth:17.02.1958]
+Passport number: [document:X1234567]|passport no. [document:C01X00T47]|driver license [document:D123-4567-8901] issued|Passport: [document:533380006]|ID card no [document:L898902C3]|licence number [document:MORGA753116SM9IJ]
+The The Quick Fox ran to the Old Town.|Erin. The shed is red. On the hill Anna sat.|In May they moved. On Monday it was on the street.|Street and Road are words|He was born in a small town|The name of the rose|Dear all, thanks
+Mill Lane is long|The passport is blue|It is licensed under the GNU General Public License, version 3.|All Rights Reserved|Of the and a it. Whan and of in|This to and on. Thre erin that. Reed was and the|in a of the. Over and Anand on. Shti Shti Shti Shti Shti the
+Thst Thst Thst Thst and on|with the on. Erha and in a. And of. And that the|Licensed under the Apache License, Version 2.0.|Is it. Are the. On and Over the. At thne and on|to the. Ined reth. Thou and. Ander the|and on Erti. And in Thon the a. Reeds on|Who is at home|mail and on. And for Inde and Thou to.
+is and of. Tion and shre. Blend that. To a. Antti of. The and. Endi is|Erou Erou Erou Erou Erou Erou Erou Erou is|que de la. Enou et. Reti de|der die und. Enge und. Aber die|la de los. Cion y que. Ando el
+See Section 12, Street 5 of the map|In 12 Days She Came|Oak And Elm And Pine|Order of 14 Oak Chairs|date of issue 12/03/2019|updated on 1979-11-02|The address is wrong|name and address are missing|Road 7 and Avenue 9 Meet
 """
-COPIES, EPOCHS, RATE, RIDGE, SEED = 6, 120, 0.1, 1e-4, 11
-FEATURES = 1 << 12
-LABELS = ("O", *(f"{b}-{k}" for k in FIELD_KINDS for b in "BI"))
-CUES = set("email mail e tel phone call fax mobile number reach ip server ping host card visa amex credit ssn social security iban account konto pay version order isbn section page pages".split())
+COPIES, EPOCHS, RATE, RIDGE, SEED = 5, 80, 0.1, 1e-4, 11
+FEATURES = 1 << 14
+MOST_NAME_WORDS, MOST_DOCUMENT_CHARACTERS = 6, 24
+#: Tokens, with padding, that are decoded together.
+TOGETHER = 1 << 16
+LABELS = ("O", *FIELD_KINDS)
+CUES = set(
+    "email mail e tel phone call fax mobile number reach ip server ping host card visa amex credit ssn social security iban account konto pay version order isbn section page pages "
+    "name named mr mrs ms dr dear signed sincerely regards yours patient customer employee contact person spoke full address adresse lives live resides moved ship home street st avenue ave road rd lane drive blvd strasse apt "
+    "born geboren birth dob date passport license licence driver id no issued is at on with to am in of and the may march january february april june july august september october november december".split()
+)
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
-TRIGGER = re.compile(r"[0-9@]+")
+#: Tokens before and after a token that its features look at, and the shapes that each of them joins.
+BEFORE, AFTER = 3, 3
+TEMPLATES = ((0,), (-1,), (1,), (-1, 0), (0, 1), (-2, -1), (1, 2), (-1, 0, 1), (-3,), (0, 1, 2, 3), (-2, -1, 0), (-3, -2, -1))
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shape(token: str) -> str:
@@ -113,40 +135,53 @@ def shape(token: str) -> str:
         return f"d{n if n <= 6 else 8 if n <= 8 else 12 if n <= 12 else 20}" + ("+" if n <= 3 and int(token) > 255 else "")
     if token[0].isalpha():
         low = token.lower()
-        if low in CUES:
-            return f"w:{low}"
-        return ("A" if token.isupper() else "Aa" if token[0].isupper() else "a") + (str(len(token)) if len(token) <= 3 else "*")
+        kind = "A" if token.isupper() else "Aa" if token[0].isupper() else "a"
+        return f"w:{low}:{kind}" if low in CUES else kind + (str(len(token)) if len(token) <= 3 else "*")
     return f"s:{token}" if ord(token[0]) < 128 else "s"
 
 
-_shapes = Memo(shape, 50_000)
+_shape_hashes = Memo(lambda s: int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little"), 100_000)
+_shapes = Memo(lambda token: _shape_hashes[shape(token)], 300_000)
 
 
-def tokens_of(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int, str, bool]]:
-    """(start, end, shape, whether white space stands before) of the tokens between two places."""
-    out, last = [], start
-    for m in TOKEN.finditer(text, start, len(text) if end is None else end):
-        out.append((m.start(), m.end(), _shapes[m[0]], m.start() > last))
-        last = m.end()
-    return out
+class Tokens:
+    """The tokens of a text as arrays: starts, ends, shapes (hashed, with whether white space stands before), and where lines begin and end."""
 
+    def __init__(self, text: str):
+        found = [(m.start(), m.end(), _shapes[m[0]]) for m in TOKEN.finditer(text)]
+        self.starts, self.ends = (np.fromiter((t[k] for t in found), np.int64, len(found)) for k in (0, 1))
+        spaced = np.ones(len(found), np.uint64)
+        spaced[1:] = self.starts[1:] > self.ends[:-1]
+        self.shapes = np.fromiter((t[2] for t in found), np.uint64, len(found)) ^ spaced
+        breaks = np.fromiter((m.start() for m in re.finditer("\n", text)), np.int64)
+        line = np.searchsorted(breaks, self.starts)
+        self.first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(found) else np.empty(0, np.int64)
+        self.lengths = np.diff(np.append(self.first, len(found)))
 
-_numbers = Memo(lambda key: int.from_bytes(hashlib.blake2b(repr(key).encode(), digest_size=4).digest(), "little") % FEATURES, 200_000)
 
+def features(padded: np.ndarray) -> np.ndarray:
+    """(lines, tokens, templates): numbers of the features of each token of lines with BEFORE and AFTER shapes more at their ends."""
+    width = padded.shape[1] - BEFORE - AFTER
+    out = np.empty((len(padded), width, len(TEMPLATES)), np.int32)
+    for k, template in enumerate(TEMPLATES):
+        h = np.full((len(padded), width), k + 1, np.uint64)
+        for at in template:
+            h = (h ^ padded[:, BEFORE + at : BEFORE + at + width]) * _PRIME
+            h ^= h >> np.uint64(29)
+        out[:, :, k] = h % np.uint64(FEATURES)
+    return out
 
-def features(tokens: list[tuple[int, int, str, bool]]) -> np.ndarray:
-    """(tokens, templates): numbers of the features of each token: shapes around it and whether it is glued to its neighbours."""
-    pad = ["^"] * 3
-    s = [*pad, *(("_" if t[3] else "") + t[2] for t in tokens), *pad]
-    rows = [
-        [_numbers[key] for key in (("0", s[i]), ("-", s[i - 1]), ("+", s[i + 1]), ("-0", s[i - 1], s[i]), ("0+", s[i], s[i + 1]), ("-2", s[i - 2], s[i - 1]), ("+2", s[i + 1], s[i + 2]), ("-0+", s[i - 1], s[i], s[i + 1]), ("-3", s[i - 3]), ("++", s[i], s[i + 1], s[i + 2], s[i + 3]))]
-        for i in range(3, len(s) - 3)
-    ]
-    return np.array(rows, np.int64).reshape(len(tokens), 10)
+
+def padded_lines(shapes: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Lines as rows of one array, 0 where they have no token."""
+    out = np.zeros((len(first), int(lengths.max()) + BEFORE + AFTER), np.uint64)
+    inside = np.arange(int(lengths.max()))[None, :] < lengths[:, None]
+    out[:, BEFORE : out.shape[1] - AFTER][inside] = shapes[(first[:, None] + np.arange(inside.shape[1])[None, :])[inside]]
+    return out
 
 
 def labelled_sentences() -> list[tuple[np.ndarray, list[int]]]:
-    """(features, labels) of every sentence of the table, COPIES times with other digits."""
+    """(shapes, labels) of every sentence of the table, COPIES times with other digits."""
     rng, out = random.Random(SEED), []
     for line in LABELLED.strip().replace("\n", "|").split("|"):
         for copy in range(COPIES):
@@ -158,52 +193,64 @@ def labelled_sentences() -> list[tuple[np.ndarray, list[int]]]:
                         value = re.sub(r"(?<=[0-9])[0-9]" if kind == "ip" else "[0-9]", lambda m, k=kind: str(rng.randrange(5 if k == "ip" else 10)), value)
                     spans.append((len(text), len(text) + len(value), kind))
                     text += value
-            tokens = tokens_of(text)
-            y = []
-            for a, b, *_ in tokens:
-                kind = next(((k, a == s) for s, e, k in spans if s <= a and b <= e), None)
-                y.append(0 if kind is None else LABELS.index(f"{'B' if kind[1] else 'I'}-{kind[0]}"))
-            out.append((features(tokens), y))
+            tokens, y = Tokens(text), []
+            for a, b in zip(tokens.starts.tolist(), tokens.ends.tolist(), strict=True):
+                y.append(next((LABELS.index(k) for s, e, k in spans if s <= a and b <= e), 0))
+            out.append((tokens.shapes, y))
     return out
 
 
 class Field:
-    """Weights of a linear-chain field: unary (features, labels), and steps between labels; sentences start from label O."""
+    """Weights of a linear-chain field: unary (features, labels), and steps between labels; lines start from label O."""
 
     def __init__(self, unary: np.ndarray, steps: np.ndarray):
         self.unary, self.steps = unary, steps
 
-    def emissions(self, f: np.ndarray) -> np.ndarray:
-        return self.unary[f].sum(1)
-
-    def decode(self, sentences: list[np.ndarray]) -> list[np.ndarray]:
-        """Viterbi labels of several sentences at once; they are padded to the longest of their batch."""
-        out: list = [None] * len(sentences)
-        order = sorted(range(len(sentences)), key=lambda k: len(sentences[k]))
-        for lo in range(0, len(order), 256):
-            here = order[lo : lo + 256]
-            n = np.array([len(sentences[k]) for k in here])
-            scores = np.zeros((len(here), n.max(), len(LABELS)), np.float32)
-            for row, k in enumerate(here):
-                scores[row, : n[row]] = self.emissions(sentences[k])
-            back = np.zeros(scores.shape, np.int8)
-            best = scores[:, 0] + self.steps[0]
-            kept = [best]
-            for t in range(1, n.max()):
-                via = best[:, :, None] + self.steps
-                back[:, t] = via.argmax(1)
-                best = via.max(1) + scores[:, t]
-                kept.append(best)
-            rows = np.arange(len(here))
-            at = np.stack(kept, 1)[rows, n - 1].argmax(1)
-            labels = np.zeros((len(here), n.max()), np.int8)
-            for t in range(n.max() - 1, -1, -1):
-                inside = t < n
-                labels[inside, t] = at[inside]
-                if t:
-                    at = np.where(inside, back[rows, t, at], at)
-            for row, k in enumerate(here):
-                out[k] = labels[row, : n[row]]
+    def emissions(self, padded: np.ndarray) -> np.ndarray:
+        f = features(padded)
+        out = self.unary[f[:, :, 0]]
+        for k in range(1, f.shape[2]):
+            out += self.unary[f[:, :, k]]
+        return out
+
+    def _viterbi(self, padded: np.ndarray, n: np.ndarray) -> np.ndarray:
+        scores = self.emissions(padded)
+        back = np.zeros(scores.shape, np.int8)
+        best = scores[:, 0] + self.steps[0]
+        ends, to_from = best.copy(), np.ascontiguousarray(self.steps.T)
+        for t in range(1, scores.shape[1]):
+            via = best[:, None, :] + to_from
+            back[:, t] = via.argmax(2)
+            best = via.max(2) + scores[:, t]
+            ends[n == t + 1] = best[n == t + 1]
+        rows, at = np.arange(len(n)), ends.argmax(1)
+        labels = np.zeros(scores.shape[:2], np.int8)
+        for t in range(scores.shape[1] - 1, -1, -1):
+            inside = t < n
+            labels[inside, t] = at[inside]
+            if t:
+                at = np.where(inside, back[rows, t, at], at)
+        return labels
+
+    def decode(self, shapes: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The labels of all tokens. Lines of like length are decoded together, TOGETHER tokens at most or a longer line alone."""
+        out = np.zeros(len(shapes), np.int8)
+        order = np.argsort(lengths, kind="stable")
+        lo = 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and (hi + 1 - lo) * int(lengths[order[hi]]) <= TOGETHER:
+                hi = min(len(order), hi + max(1, (hi - lo) // 2))
+                while hi - lo > 1 and (hi - lo) * int(lengths[order[hi - 1]]) > TOGETHER:
+                    hi -= 1
+                    if (hi - lo + 1) * int(lengths[order[hi]]) > TOGETHER:
+                        break
+            here = order[lo:hi]
+            n = lengths[here]
+            labels = self._viterbi(padded_lines(shapes, first[here], n), n)
+            inside = np.arange(labels.shape[1])[None, :] < n[:, None]
+            out[(first[here][:, None] + np.arange(labels.shape[1])[None, :])[inside]] = labels[inside]
+            lo = hi
         return out
 
 
@@ -214,23 +261,25 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def fit(sentences: list[tuple[np.ndarray, list[int]]]) -> Field:
     """Maximum likelihood with a ridge, by Adam on all sentences at once; forward-backward runs over padded batches."""
-    count, longest, n_labels = len(sentences), max(len(y) for _, y in sentences), len(LABELS)
-    f = np.zeros((count, longest, sentences[0][0].shape[1]), np.int64)
-    y, mask = np.zeros((count, longest), np.int64), np.zeros((count, longest), bool)
-    for k, (rows, labels) in enumerate(sentences):
-        f[k, : len(labels)], y[k, : len(labels)], mask[k, : len(labels)] = rows, labels, True
+    count, n_labels = len(sentences), len(LABELS)
+    lengths = np.array([len(y) for _, y in sentences])
+    longest = int(lengths.max())
+    f = features(padded_lines(np.concatenate([x for x, _ in sentences]), np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths))
+    mask = np.arange(longest)[None, :] < lengths[:, None]
+    y = np.zeros((count, longest), np.int64)
+    y[mask] = np.concatenate([labels for _, labels in sentences])
     unary, steps = np.zeros((FEATURES, n_labels)), np.zeros((n_labels, n_labels))
-    for k, name in enumerate(LABELS):  # an inside label follows its own kind only
-        if name[0] == "I":
-            steps[[j for j, before in enumerate(LABELS) if before[2:] != name[2:]], k] = -30.0
-    free = steps == 0
     seen, gold_steps = np.zeros_like(unary), np.zeros_like(steps)
     np.add.at(seen, (f[mask], y[mask][:, None]), 1.0)
     np.add.at(gold_steps, (np.zeros(count, int), y[:, 0]), 1.0)
     np.add.at(gold_steps, (y[:, :-1][mask[:, 1:]], y[:, 1:][mask[:, 1:]]), 1.0)
-    moments = [np.zeros_like(unary), np.zeros_like(unary), np.zeros_like(steps), np.zeros_like(steps)]
+    used, flat = np.unique(f[mask], return_inverse=True)  # only features that occur have weights
+    flat = flat.reshape(-1, f.shape[2])
+    moments = [np.zeros((len(used), n_labels)), np.zeros((len(used), n_labels)), np.zeros_like(steps), np.zeros_like(steps)]
+    weights, gold = np.zeros((len(used), n_labels)), seen[used]
     for turn in range(1, EPOCHS + 1):
-        e = unary[f].sum(2) * mask[:, :, None]
+        e = np.zeros((count, longest, n_labels))
+        e[mask] = weights[flat].sum(1)
         forward, backward = [e[:, 0] + steps[0]], [np.zeros((count, n_labels))]
         for t in range(1, longest):
             after = _log_sum(forward[-1][:, :, None] + steps, 1) + e[:, t]
@@ -239,21 +288,19 @@ def fit(sentences: list[tuple[np.ndarray, list[int]]]) -> Field:
             before = _log_sum(steps + (e[:, t] + backward[0])[:, None, :], 2)
             backward.insert(0, np.where(mask[:, t, None], before, backward[0]))
         whole = _log_sum(forward[-1], 1)
-        g_unary, g_steps = -seen, -gold_steps
-        for t in range(longest):
+        share = np.exp(np.stack(forward, 1) + np.stack(backward, 1) - whole[:, None, None])
+        g_steps = -gold_steps
+        g_steps[0] += share[:, 0].sum(0)
+        for t in range(1, longest):
             on = mask[:, t]
-            share = np.exp(forward[t] + backward[t] - whole[:, None])[on]
-            for template in range(f.shape[2]):
-                np.add.at(g_unary, f[on, t, template], share)
-            if t:
-                both = forward[t - 1][:, :, None] + steps + (e[:, t] + backward[t])[:, None, :] - whole[:, None, None]
-                g_steps = g_steps + np.exp(both[on]).sum(0)
-            else:
-                g_steps[0] += share.sum(0)
-        for value, grad, m, v in ((unary, g_unary / count + RIDGE * unary, *moments[:2]), (steps, (g_steps / count + RIDGE * steps) * free, *moments[2:])):
+            both = forward[t - 1][on][:, :, None] + steps + (e[on, t] + backward[t][on])[:, None, :] - whole[on][:, None, None]
+            g_steps = g_steps + np.exp(both).sum(0)
+        g_unary = np.stack([np.bincount(flat.ravel(), np.repeat(share[mask][:, k], f.shape[2]), len(used)) for k in range(n_labels)], 1) - gold
+        for value, grad, m, v in ((weights, g_unary / count + RIDGE * weights, *moments[:2]), (steps, g_steps / count + RIDGE * steps, *moments[2:])):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             value -= RATE * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
+    unary[used] = weights
     return Field(unary.astype(np.float32), steps.astype(np.float32))
 
 
@@ -262,18 +309,6 @@ def trained_field() -> Field:
     return fit(labelled_sentences())
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of text around digits and at-signs, REACH characters to either side, none twice."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 def mod_97(iban: str) -> bool:
     s = re.sub("[^0-9A-Z]", "", iban.upper())
     return 15 <= len(s) <= 34 and s[:2].isalpha() and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
@@ -293,30 +328,36 @@ def holds(kind: str, value: str) -> bool:
             return 7 <= d <= 15
         case "ssn":
             return re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", value) is not None
-    return mod_97(value)
+        case "iban":
+            return mod_97(value)
+        case "birth":
+            return 4 <= d <= 8
+        case "document":
+            return d >= 4 and len(value) <= MOST_DOCUMENT_CHARACTERS
+        case "address":
+            return d >= 1 and any(c.isalpha() for c in value)
+    words = re.findall(r"[^\W\d_]+", value)  # a name: a few different words
+    return bool(words) and words[0][0].isupper() and len(words) == len(set(words)) <= MOST_NAME_WORDS
 
 
 def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
     """For each text, the spans that the field labels and that hold."""
-    place, read = [], []
-    for k, text in enumerate(texts):
-        for a, b in windows(text):
-            if tokens := tokens_of(text, a, b):
-                place.append((k, tokens))
-                read.append(features(tokens))
+    read = [Tokens(t) for t in texts]
+    sizes = np.cumsum([0] + [len(t.shapes) for t in read])
     out: list[list] = [[] for _ in texts]
-    for (k, tokens), labels in zip(place, field.decode(read) if read else [], strict=True):
-        i = 0
-        while i < len(labels):
-            name = LABELS[labels[i]]
-            j = i + 1
-            if name[0] == "B":
-                while j < len(labels) and LABELS[labels[j]] == f"I-{name[2:]}":
-                    j += 1
-                a, b = tokens[i][0], tokens[j - 1][1]
-                if holds(name[2:], texts[k][a:b]):
-                    out[k].append((f"crf_{name[2:]}", a, b))
-            i = j
+    if not sizes[-1]:
+        return out
+    first = np.concatenate([t.first + n for t, n in zip(read, sizes[:-1], strict=True)])
+    labels = field.decode(np.concatenate([t.shapes for t in read]), first, np.concatenate([t.lengths for t in read]))
+    # A span is a run of one label other than O within a line.
+    changes = np.concatenate(([True], labels[1:] != labels[:-1]))
+    changes[first] = True
+    edges = np.append(np.flatnonzero(changes), len(labels))
+    for at, end in zip(edges[:-1][labels[edges[:-1]] > 0].tolist(), edges[1:][labels[edges[:-1]] > 0].tolist(), strict=True):
+        k = int(np.searchsorted(sizes, at, side="right")) - 1
+        a, b, kind = int(read[k].starts[at - sizes[k]]), int(read[k].ends[end - 1 - sizes[k]]), LABELS[labels[at]]
+        if holds(kind, texts[k][a:b]):
+            out[k].append((f"crf_{kind}", a, b))
     return out
 
 
