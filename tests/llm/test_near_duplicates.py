@@ -99,3 +99,26 @@ def test_copies_that_nearly_miss_each_other(spark):
         docs.append((i, " ".join(copy)))
     found = nd.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == brute(docs)[0]
+
+
+def test_driver_documents_match_brute_force(spark):
+    """Recall on the driver's table: every link of all pairs is there, and no other."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    components, sizes = brute([(r["doc_id"], r["text"]) for r in rows.collect()])
+    found = nd.near_duplicates(rows).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == components
+    assert {r["doc_id"]: r["n_shingles"] for r in found} == sizes
+
+
+def test_keys_of_other_kinds_several_texts_and_nulls(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(60))
+    rows = [("b", text(1), 1), ("b", text(2), 1), ("a", text(1) + " more", 1), ("c", text(2) + " more", 1), (None, text(3), 1), ("d", text(3) + " more", 1), (None, text(4), 1)]
+    found = nd.near_duplicates(spark.createDataFrame(rows, "key string, text string, size int"), "key").collect()
+    assert sorted((str(r["key"]), str(r["component_id"])) for r in found) == [("None", "None"), ("None", "d"), ("a", "a"), ("b", "a"), ("b", "b"), ("c", "b"), ("d", "d")]
+
+
+def test_large_buckets_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(nd, "PART_ROWS", 7)
+    docs = made_corpus(3)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(df).collect()} == brute(docs)[0]

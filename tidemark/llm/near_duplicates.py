@@ -18,8 +18,9 @@ With M = 193 registers in 32 bands of 6, a pair at the threshold of 0.85 is miss
 margin of 0.15 is more than five standard errors.
 
 Defined results: a text with fewer than five words is one shingle as a whole; a null or empty text has an empty set, is linked with nothing and is kept;
-repeated rows are copies of each other; rows that share an id share its component; an empty table gives an empty result; other
-columns are never read.
+repeated rows are copies of each other; texts are told by their sets, so an id with several texts keeps the links of each (its rows may then
+have different components); null ids are no smallest id but lose no link; ids of any type that can be ordered; an empty table gives an empty result; a
+long text costs memory in proportion to itself; other columns, also such with clashing names, are never read.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ MARGIN = 0.15
 PARITY = 2048
 #: Nodes or pairs up to which a list of ids is broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 300_000
+#: Members of a bucket that one task compares with the chosen ones.
+PART_ROWS = 1_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _word_hashes = Memo(xxhash.xxh3_64_intdigest)
@@ -133,7 +136,7 @@ def sketch_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         registers = sketches(sets).astype("<i2")
         columns = [
             pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], pa.string()),
+            pa.array(map(set_digest, sets), pa.string()),
             pa.array([r.tobytes() if len(s) else None for r, s in zip(registers, sets, strict=True)], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays([rows.column(0), *columns], names=[key, "n_shingles", "digest", "sketch"])
@@ -141,15 +144,19 @@ def sketch_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     return map_arrow(df.select(key, text_or_empty(text).alias("_text")), batch, schema)
 
 
-def full_sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """id, its whole sorted set and the set's parity map."""
+def set_digest(elements: np.ndarray) -> str | None:
+    return xxhash.xxh3_128_hexdigest(elements.tobytes()) if len(elements) else None
+
+
+def full_sets(df: DataFrame, text: str) -> DataFrame:
+    """digest, the whole sorted set and its parity map: one row a row."""
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t) for t in rows.column(1).to_pylist()]
-        columns = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(map(parity_map, sets), pa.binary())]
-        return pa.RecordBatch.from_arrays([rows.column(0), *columns], names=["id", "set", "parity"])
+        sets = [shingles(t) for t in rows.column(0).to_pylist()]
+        columns = [pa.array(map(set_digest, sets), pa.string()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(map(parity_map, sets), pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["digest", "set", "parity"])
 
-    return map_arrow(df.select(key, text_or_empty(text).alias("_text")), batch, f"id {df.schema[key].dataType.simpleString()}, set array<bigint>, parity binary")
+    return map_arrow(df.select(text_or_empty(text).alias("_text")), batch, "digest string, set array<bigint>, parity binary")
 
 
 def band_hashes(sketch: str = "sketch") -> Column:
@@ -235,8 +242,9 @@ def first_meeting() -> Column:
     return ~met_before & ~other_way & (F.col("bucket") == F.array_min(F.array_intersect("mine", "now_b")))
 
 
-def linked_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, least_percent: int) -> DataFrame | None:
-    """(id, comp) of the nodes that share a bucket with another one; None if no two nodes do."""
+def linked_components(classes: DataFrame, docs: DataFrame, least_percent: int) -> DataFrame | None:
+    """(id, comp) of the nodes that share a bucket with another one; None if no two nodes do. classes: (id, digest, key, n, sketch)."""
+    nodes = classes.select("id", "n", "sketch")
     exploded = nodes.select("id", F.explode(band_hashes()).alias("bucket"))
     counts = exploded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     shared = materialize(exploded.join(counts, "bucket"), "shared")
@@ -244,12 +252,15 @@ def linked_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, le
     ids = popular.select("id")
     if ids.isEmpty():
         return None
-    texts = docs.select(key, text).join(_small(ids.withColumnRenamed("id", key)), key, "left_semi").dropDuplicates([key])
-    sets = materialize(full_sets(texts, key, text), "sets")
+    wanted = materialize(classes.join(_small(ids), "id", "left_semi").select("id", "digest", "key"), "wanted", True)
+    # A key may have further texts; their sets go again by their digests.
+    texts = docs.join(_small(wanted.select("key")), F.col("_doc").eqNullSafe(F.col("key")), "left_semi")
+    found = full_sets(texts, "_body").join(_small(wanted.select("id", "digest")), "digest")
+    sets = materialize(found.groupBy("id").agg(F.first("set").alias("set"), F.first("parity").alias("parity")), "sets")
     sketched = materialize(nodes.join(_small(ids), "id", "left_semi").join(sets.select("id", "parity"), "id"), "sketched")
     labels = popular.select("id", F.col("id").alias("comp"))
     bounds = materialize(popular.join(overlap_bounds(sets), "id").filter(100 * F.col("common_most") >= least_percent * F.col("n")), "bounds", True)
-    members, history, chosen_in_bucket = shared.select("id", "bucket").join(bounds, "id"), None, 1
+    members, history, chosen_in_bucket = shared.select("id", "bucket", "size").join(bounds, "id"), None, 1
     m = F.least("common_most", "common_most_b")
     possible = 100 * m >= least_percent * (F.col("n") + F.col("n_b") - m)
     none = F.array().cast("array<bigint>")
@@ -270,7 +281,11 @@ def linked_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, le
         held = placed.join(hands, "id", "left").withColumns({x: F.coalesce(x, none) for x in ("before", "now")})
         held = materialize(held, "held", True)
         is_chosen = F.array_contains("now", F.col("bucket"))
-        pairs = held.join(held.filter(is_chosen).select("bucket", *(F.col(x).alias(f"{x}_b") for x in held.columns if x != "bucket")), "bucket")
+        # Members of a large bucket are dealt into parts, and its chosen ones go to each part.
+        parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
+        ones = held.filter(is_chosen).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        dealt = held.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+        pairs = dealt.join(ones.select("bucket", "part", *(F.col(x).alias(f"{x}_b") for x in held.columns if x not in ("bucket", "size"))), ["bucket", "part"])
         pairs = pairs.filter((F.col("comp") != F.col("comp_b")) & possible & first_meeting())
         pairs = materialize(pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct(), "pairs", True)
         likely = materialize(likely_pairs(pairs, sketched, least_percent), "likely", True)
@@ -283,18 +298,19 @@ def linked_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, le
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least_percent: int = LEAST_PERCENT) -> DataFrame:
     """One row per row of df: key, n_shingles, component_id (smallest key reachable over links), kept (whether that is the row's own)."""
-    docs = df.select(key, text)
-    sketched = materialize(sketch_documents(docs, key, text), "sketches")
+    docs = df.select(F.col(key).alias("_doc"), F.col(text).alias("_body"))
+    sketched = materialize(sketch_documents(docs, "_doc", "_body"), "sketches")
     full = sketched.filter("digest IS NOT NULL")
-    classes = full.groupBy("digest").agg(F.min(key).alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes, "classes")
-    nodes = classes.dropDuplicates(["id"]).select("id", "n", "sketch")
-    labels = linked_components(nodes, docs, key, text, least_percent)
-    own = classes.select("digest", "id")
+    classes = full.groupBy("digest").agg(F.min("_doc").alias("key"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    labels = linked_components(classes, docs, least_percent)
+    own = classes.select("digest", "id", "key")
     if labels is not None:
-        own = own.join(labels, "id", "left").select("digest", F.coalesce("comp", "id").alias("id"))
-    found = full.join(own, "digest").select(key, "n_shingles", F.col("id").alias("component_id"))
-    empty = sketched.filter("digest IS NULL").select(key, "n_shingles", F.col(key).alias("component_id"))
+        own = materialize(own.join(labels, "id", "left").select("digest", F.coalesce("comp", "id").alias("id"), "key"), "own")
+        lowest = own.groupBy("id").agg(F.min("key").alias("low"))
+        own = own.join(lowest, "id").select("digest", F.col("low").alias("key"))
+    found = full.join(own.select("digest", F.col("key").alias("component_id")), "digest").select(F.col("_doc").alias(key), "n_shingles", "component_id")
+    empty = sketched.filter("digest IS NULL").select(F.col("_doc").alias(key), "n_shingles", F.col("_doc").alias("component_id"))
     return found.unionByName(empty).withColumn("kept", F.col(key) == F.col("component_id"))
 
 
