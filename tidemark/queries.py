@@ -457,15 +457,13 @@ def metric_listing(spark, d):
 @query
 def stream_daily(spark, d):
     """A stream over the events: daily sums by way of Structured Streaming, read until all is there."""
-    import uuid
-
+    from tidemark.sources.shared import scratch
     from tidemark.streaming import ingest as st
 
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "false").parquet(d)
     rows = source.select((F.col("user_id") % ad.ACCOUNTS).alias("account_id"), F.col("event_type").alias("metric"), "value", F.col("ts").cast("timestamp").alias("start_at"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     out = st.daily(rows, late="365 days").writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out"))
     out.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("account_id", "metric", "bucket", r6("sum"), "count")
