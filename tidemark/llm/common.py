@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.sources.shared import scratch
+
 #: Rows in one Arrow batch that goes to a Python worker; whole texts make larger batches heavy.
 BATCH_ROWS = 512
 #: Entries that a per-process memo may hold before it is emptied.
@@ -36,22 +37,13 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local default where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing. Narrow rows go into a few files for
     each core of the cluster instead of one for each shuffle partition."""
     spark = df.sparkSession
     if narrow:
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
-    path = f"{shared_dir(spark).rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
