@@ -5,13 +5,12 @@ Every stage takes (spark, docs, sf_dir) and works on all rows that its predecess
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import near_duplicates, packing, quality, secrets, toxicity
-from tidemark.llm.common import materialize, shared_dir, table
+from tidemark.llm.common import materialize, table
+from tidemark.sources.shared import scratch
 
 #: Per cent of all shingles of two documents that they share if the stage takes them for copies.
 NEAR_PERCENT = 80
@@ -63,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. Each stage is written to the shared folder and read again."""
-    folder = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    folder = scratch(spark, "corpus")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
