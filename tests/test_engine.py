@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.operators import compare, covary, estimates, ingest, nights, routes, series, sessions
-from tidemark.operators.resolve import resolve
+from tidemark.operators.resolve import resolve, resolved_days
 from tidemark.plans.timeaxis import Window
 
 WATCH, PHONE = "My Apple Watch", "An iPhone"
@@ -32,7 +32,7 @@ def day_points(spark, rows, window=JAN, bucket="day"):
 
 
 def whole(spark, rows, window=JAN):
-    return {r["metric"]: r for r in series.summary(resolve(measured(spark, rows), window), catalog.rules(spark)).collect()}
+    return {r["metric"]: r for r in series.summary(resolved_days(measured(spark, rows), catalog.rules(spark), [window])).collect()}
 
 
 def test_catalog():
@@ -88,21 +88,21 @@ def test_manual_overlay(spark):
 def test_derived(spark):
     rows = [("active_energy", 400, "01-01"), ("active_energy", 600, "01-02"), ("basal_energy", 1600, "01-01"), ("basal_energy", 1400, "01-02"), ("dietary_protein", 100, "01-01"), ("dietary_protein", 140, "01-02"), ("body_mass", 80, "01-01"), ("body_mass", 78, "01-02")]
     rules, terms = catalog.rules(spark), catalog.formula_terms(spark)
-    week = values(series.derived_points(resolve(measured(spark, rows), JAN), rules, terms, "week"))
+    week = values(series.derived_points(resolved_days(measured(spark, rows), rules, [JAN]), terms, "week"))
     assert week == {("total_energy_expenditure", "01-01"): 4000, ("protein_per_kg", "01-01"): pytest.approx(240 / 78)}
     rows = [("dietary_protein", 100, "01-01"), ("dietary_protein", 200, "01-02"), ("body_mass", 100, "01-01"), ("body_mass", 50, "01-02")]
-    resolved = resolve(measured(spark, rows), JAN)
-    assert [r["value"] for r in series.derived_summary(resolved, rules, terms).collect()] == [6]
-    assert values(series.derived_points(resolved, rules, terms, "day")) == {("protein_per_kg", "01-01"): 1, ("protein_per_kg", "01-02"): 4}
+    resolved = resolved_days(measured(spark, rows), rules, [JAN])
+    assert [r["value"] for r in series.derived_summary(resolved, terms).collect()] == [6]
+    assert values(series.derived_points(resolved, terms, "day")) == {("protein_per_kg", "01-01"): 1, ("protein_per_kg", "01-02"): 4}
 
 
 def test_compare(spark):
     now, before = Window.of(date(2024, 1, 8), date(2024, 1, 11)), Window.of(date(2024, 1, 5), date(2024, 1, 8))
     rows = [("steps", 100, "01-08"), ("steps", 300, "01-10"), ("steps", 10, "01-05"), ("steps", 20, "01-06"), ("steps", 30, "01-07")]
-    found = compare.compare(spark, day_points(spark, rows, now), day_points(spark, rows, before), now, before, "day").orderBy("bucket").collect()
+    found = compare.compare(spark, compare.points_of_both(measured(spark, rows), catalog.rules(spark), now, before, "day"), now, before, "day").orderBy("bucket").collect()
     assert [(str(r["baseline_bucket"])[5:], r["baseline_value"]) for r in found] == [("01-05", 10), ("01-07", 30)]
     rows = [("steps", 100, "01-08"), ("steps", 200, "01-09"), ("steps", 300, "01-10"), ("steps", 10, "01-05"), ("steps", 30, "01-07")]
-    found = compare.compare(spark, day_points(spark, rows, now), day_points(spark, rows, before), now, before, "day").orderBy("bucket").collect()
+    found = compare.compare(spark, compare.points_of_both(measured(spark, rows), catalog.rules(spark), now, before, "day"), now, before, "day").orderBy("bucket").collect()
     assert [r["baseline_value"] for r in found] == [10, None, 30]
 
 
@@ -149,7 +149,7 @@ def test_estimates(spark):
     plan = spark.range(1).select(F.lit(1).alias("account_id"), *(F.lit(v).alias(k) for k, v in {"expenditure": 2390.0, "rate": -0.5, "mass": 91.6, "lean_mass": 66.8, "basal_kcal": 1900.0}.items()))
     r = estimates.targets(plan).first()
     assert r["kcal"] == pytest.approx(1886.3, abs=1) and r["protein"] == pytest.approx(133.6)
-    assert estimates.guardrails(estimates.targets(plan)).first()["warnings"] == ["below_basal"]
+    assert estimates.guardrails(estimates.targets(plan).withColumn("actual_protein", F.lit(None).cast("double"))).first()["warnings"] == ["below_basal"]
     rates = spark.createDataFrame([(-0.25,), (-1.0,), (-2.5,), (0.3,)], "r double").select(estimates.protein_per_kg(F.col("r")).alias("p")).collect()
     assert [x["p"] for x in rates] == [pytest.approx(v) for v in (1.8, 2.4, 2.4, 1.6)]
     days = [(1, m, date(2024, 1, 1 + i), v) for i in range(28) for m, v in (("dietary_energy", 2078.0), ("body_mass", 92.75 - 1.75 * i / 27))]
@@ -198,3 +198,73 @@ def test_manual_entries(spark):
     for metric, value, when in (("nothing", 1.0, now), ("calorie_balance", 1.0, now), ("sleep", 1.0, now), ("steps", float("nan"), now), ("steps", 1.0, datetime(2024, 1, 1, 12, 6))):
         with pytest.raises(ingest.ManualError):
             ingest.manual_entry(spark, 1, metric, value, when, now)
+
+
+def test_heights_count_beyond_the_step(spark):
+    r = routes.ascent(track(spark, [(48, 2, e) for e in (0, 3, 6, 9)])).first()
+    assert (r["ascent"], r["descent"]) == (6, 0)
+
+
+def test_open_spans(spark):
+    rows = spark.createDataFrame([(1, date(2024, 1, 3), None), (2, date(2024, 1, 3), date(2024, 3, 1)), (3, date(2024, 1, 9), date(2024, 1, 2))], "id int, starts_on date, ends_on date")
+    of = lambda open_ends: {r["id"]: (r["first_bucket"].day, r["last_bucket"].day) for r in compare.fold_spans(rows, JAN, "day", open_ends=open_ends).collect()}
+    assert of(False) == {1: (3, 3), 2: (3, 31)} and of(True) == {1: (3, 31), 2: (3, 31)}
+    rates = spark.createDataFrame([(-0.5,), (0.0,), (0.2,)], "r double").select(compare.phase_kind(F.col("r")).alias("k")).collect()
+    assert [r["k"] for r in rates] == ["cut", "maintenance", "bulk"]
+
+
+def test_adherence_guardrails_and_choice(spark):
+    row = {"account_id": 1, "elapsed": 0.0, "target_rate": -0.5, "kcal": 1900.0, "protein": 130.0, "intake": 2100.0, "protein_eaten": 100.0, "mass": 90.0, "mass_slope": -0.05, "mass_days": 5}
+    make = lambda **more: spark.range(1).select(*(F.lit(v).alias(k) for k, v in (row | more).items()))
+    r = estimates.adherence(make()).first()
+    assert (r["days"], r["thin"], r["rate"], r["intake"], r["protein"], r["target_kcal"]) == (1, True, None, None, None, 1900.0)
+    r = estimates.adherence(make(elapsed=20.4)).first()
+    assert (r["days"], r["thin"], r["intake"], r["protein"]) == (20, False, 2100.0, 100.0) and r["rate"] == pytest.approx(-0.05 * 7 / 90 * 100)
+    plan = lambda eaten, rate=-0.5: spark.range(1).select(*(F.lit(v).alias(k) for k, v in {"account_id": 1, "kcal": 2000.0, "basal_kcal": 1800.0, "rate": rate, "carbs": 50.0, "protein": 130.0, "actual_protein": eaten}.items()))
+    warned = [estimates.guardrails(plan(*x)).first()["warnings"] for x in ((129.0,), (131.0,), (10.0, 0.5))]
+    assert warned == [["protein_under_floor"], [], []]
+    body = spark.createDataFrame([("measured", 60.0, 80.0), ("estimated", 60.0, 80.0), ("unknown", 60.0, None), ("measured", None, 80.0), ("unknown", None, None)], "trust string, lean_mass double, mass double")
+    body = body.withColumns({"height": F.lit(180.0), "age": F.lit(30.0), "sex": F.lit("male")})
+    chosen = [r["e"] for r in body.select(estimates.preselect(F.col("trust")).alias("e")).collect()]
+    assert chosen == ["katch_mcardle", "mifflin_st_jeor", "katch_mcardle", "mifflin_st_jeor", None]
+
+
+def test_resolved_body(spark):
+    now = datetime(2024, 2, 20, 12)
+    rows = [("body_mass", 80, "02-01"), ("body_mass", 82, "02-11"), ("body_mass", 99, "01-01"), ("height", 181, "01-01"), ("body_fat_percentage", 0.25, "01-02", "Manual")]
+    r = estimates.resolve_inputs(measured(spark, rows), catalog.rules(spark), now).first()
+    assert (r["mass"], r["height"], r["lean_mass"], r["lean_mass_derived"], r["lean_source"]) == (81, 181, pytest.approx(81 * 0.75), True, "Manual")
+
+
+def test_ledger(spark):
+    """This week against the seven days before, by the signed base; sleep by nights that have data; a metric without recent rows keeps its row."""
+    now = datetime(2024, 1, 29, 15, 30)
+    rows = [("steps", 700, "01-25"), ("steps", 1400, "01-20"), ("heart_rate", 60, "01-23T08:00"), ("heart_rate", 50, "01-17T08:00"), ("body_mass", 80, "01-28"), ("uv_exposure", 3, "01-01T01:00")]
+    rows = [("flights_climbed", 5, "01-01T00:00"), *rows]
+    slept_rows = [("asleep", "01-25T00:00", "01-25T06:00", WATCH), ("asleep", "01-24T00:00", "01-24T08:00", WATCH), ("asleep", "01-18T00:00", "01-18T05:00", WATCH)]
+    late = Window(datetime(2023, 1, 1), datetime(2024, 1, 30))
+    assert late.days
+    found = {r["metric"]: r for r in compare.ledger(measured(spark, rows), slept(spark, slept_rows), catalog.rules(spark), now).collect()}
+    figures = lambda m: tuple(found[m][c] for c in ("latest", "week", "month", "delta", "delta_pct"))
+    assert figures("steps") == (700, 100, pytest.approx(70), pytest.approx(-100), pytest.approx(-50))
+    assert figures("heart_rate") == (60, 60, 55, 10, pytest.approx(20))
+    assert figures("body_mass") == (80, 80, 80, None, None)
+    assert figures("sleep") == (360, 420, 380, 120, pytest.approx(40))
+    assert set(found) == {"steps", "heart_rate", "body_mass", "uv_exposure", "flights_climbed", "sleep"}
+
+
+def test_summary_modes(spark):
+    summed = spark.createDataFrame([(1, "steps", 70.0, None, None), (1, "sleep", 900.0, None, 2.0), (1, "body_mass", 80.0, 81.0, None), (1, "protein_per_kg", 1.5, None, None), (1, "calorie_balance", -700.0, None, None)], "account_id int, metric string, value double, mean double, nights double")
+    of = lambda average: {r["metric"]: (r["mode"], r["figure"]) for r in series.figures(summed, catalog.modes(spark), 7, average).collect()}
+    assert of(True) == {"steps": ("per_day", 10), "sleep": ("per_night", 450), "body_mass": ("mean", 81), "protein_per_kg": ("total", 1.5), "calorie_balance": ("per_day", -100)}
+    assert {m for m, _ in of(False).values()} == {"total"}
+
+
+def test_reads_scan_once_and_dont_sort_raw_rows(spark):
+    from tidemark.queries import QUERIES
+
+    for name in ("series_sum_day", "series_summary", "compare_previous", "compare_delta", "derived_points_day"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1, name
+        raw = plan[plan.index("FileScan parquet") - 1500 :]
+        assert "SortAggregate" not in raw.split("Exchange")[-1], name

@@ -193,6 +193,12 @@ def formula_terms(spark: SparkSession, metrics: dict[str, Metric] = METRICS) ->
     return spark.createDataFrame(rows, "derived string, metric string, num double, den double, scale double, n_operands int, has_den boolean")
 
 
+def modes(spark: SparkSession, metrics: dict[str, Metric] = METRICS) -> DataFrame:
+    """(metric, mode): how a summary shows an average of each metric. What grows with its window (sums, plain weighted sums) is per day."""
+    of = lambda m: "per_night" if m.rule == STATES else "per_day" if m.rule == SUM or (m.formula and not m.formula.denominator) else "mean" if m.rule == LATEST else "total"
+    return spark.createDataFrame([(m.slug, of(m)) for m in metrics.values()], "metric string, mode string")
+
+
 def activities(spark: SparkSession) -> DataFrame:
     """(activity_type, label, activity_group, reading) of the named activities."""
     reads = {a: r for r, names in READINGS.items() for a in names.split()}

@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.catalog import SUM
+from tidemark.catalog import AVERAGE, SUM
 from tidemark.functions.columns import STEPS, bucket_of, grid
-from tidemark.operators.resolve import resolve
-from tidemark.operators.series import KEYS, points, summary
-from tidemark.plans.timeaxis import Window, shift
+from tidemark.operators.nights import ceil_day, nights, stage_minutes
+from tidemark.operators.resolve import resolved_days
+from tidemark.operators.series import KEYS, distinct_metrics, points
+from tidemark.plans.timeaxis import AxisError, MOST_POINTS, Window, auto_bucket, shift
 
 
-def compare(spark: SparkSession, current: DataFrame, baseline: DataFrame, window: Window, before: Window, bucket: str) -> DataFrame:
-    """For each point of current, the baseline's point of the same place in its own grid: (keys, bucket, value, baseline_bucket,
-    baseline_value). The longer grid is cut; a baseline without a point there is a dated gap. Grids are small by their guard."""
-    places = grid(spark, window, bucket).join(grid(spark, before, bucket).withColumnRenamed("bucket", "baseline_bucket"), "ordinal").drop("ordinal")
-    placed = current.select(*KEYS, "bucket", "value").join(F.broadcast(places), "bucket")
-    past = baseline.select(*KEYS, F.col("bucket").alias("baseline_bucket"), F.col("value").alias("baseline_value"))
-    return placed.join(past, [*KEYS, "baseline_bucket"], "left").select(*KEYS, "bucket", "value", "baseline_bucket", "baseline_value")
+def compare(spark: SparkSession, found: DataFrame, window: Window, before: Window, bucket: str) -> DataFrame:
+    """For each point of the window (w = 0 in found), the point of the baseline (w = 1) at the same place of its own grid: (keys, bucket, value,
+    baseline_bucket, baseline_value). The longer grid is cut; a baseline without a point there is a dated gap. Grids are small by their guard;
+    the two sides meet in one aggregation."""
+    grids = grid(spark, window, bucket).withColumn("w", F.lit(0)).unionByName(grid(spark, before, bucket).withColumn("w", F.lit(1)))
+    both = grid(spark, window, bucket).join(grid(spark, before, bucket).withColumnRenamed("bucket", "baseline_bucket"), "ordinal")
+    placed = found.select(*KEYS, "w", "bucket", "value").join(F.broadcast(grids), ["w", "bucket"])
+    side = lambda k: F.max(F.when(F.col("w") == k, F.struct("value")))["value"]
+    met = placed.groupBy(*KEYS, "ordinal").agg(side(0).alias("value"), side(1).alias("baseline_value"), F.min("w").alias("first")).filter("first = 0")
+    return met.join(F.broadcast(both), "ordinal").select(*KEYS, "bucket", "value", "baseline_bucket", "baseline_value")
 
 
-def dense(spark: SparkSession, found: DataFrame, bucket: str) -> DataFrame:
+def points_of_both(measurements: DataFrame, rules: DataFrame, window: Window, before: Window, bucket: str, priority: dict | None = None) -> DataFrame:
+    """The points of a window (w = 0) and of its baseline (w = 1), from one scan."""
+    window.guard(bucket)
+    before.guard(bucket)
+    return points(resolved_days(measurements, rules, [window, before], priority), bucket, [*KEYS, "w"])
+
+
+def dense(found: DataFrame, bucket: str) -> DataFrame:
     """Every bucket between a metric's first and last point: (keys, bucket, value), null in gaps."""
     extent = found.groupBy(*KEYS).agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
     days = extent.select(*KEYS, F.explode(F.sequence("lo", "hi", F.expr(STEPS[bucket]))).alias("bucket"))
@@ -49,19 +60,35 @@ def change(value, baseline, signed):
     return F.when(signed | (baseline == 0), value - baseline).otherwise(100 * (value - baseline) / F.nullif(F.abs(baseline), F.lit(0.0)))
 
 
-def ledger(measurements: DataFrame, rules: DataFrame, now, priority: dict | None = None) -> DataFrame:
-    """One row per account and metric: its latest day of 30, and the last 7 and 30 days as figures (sums as a daily mean), their difference
-    and per cent. Windows end at now, not at midnight."""
-    spans = {"week": Window(now - timedelta(days=7), now), "month": Window(now - timedelta(days=30), now)}
-    figures = {}
-    for name, window in spans.items():
-        ruled = summary(resolve(measurements, window, priority), rules).join(F.broadcast(rules.select("metric", "rule")), "metric")
-        figures[name] = ruled.select(*KEYS, F.when(F.col("rule") == SUM, F.col("value") / window.days).otherwise(F.col("value")).alias(name))
-    daily = points(resolve(measurements, spans["month"], priority), rules, "day")
-    latest = daily.groupBy(*KEYS).agg(F.max_by("value", "bucket").alias("latest"), F.max("bucket").alias("latest_day"))
-    out = latest.join(figures["month"], KEYS, "left").join(figures["week"], KEYS, "left")
-    delta = F.col("week") - F.col("month")
-    return out.select(*KEYS, "latest", "latest_day", "week", "month", delta.alias("delta"), (100 * delta / F.nullif(F.abs("month"), F.lit(0.0))).alias("delta_pct"))
+def direction(delta):
+    """-1, 0 or 1 for a change that is shown with one decimal: what rounds to nothing has no direction."""
+    return F.signum(F.round(delta, 1)).cast("int")
+
+
+def ledger(measurements: DataFrame, states: DataFrame, rules: DataFrame, now, priority: dict | None = None) -> DataFrame:
+    """One row per account and metric it ever had: the value of its latest day of 30; the last 7 and 30 days as figures (sums a day, sleep a night
+    that has data); and how the 7 days differ from the 7 before, plainly and in per cent. Windows end at now, not at midnight."""
+    ago = lambda days: now - timedelta(days=days)
+    windows = [Window(ago(7), now), Window(ago(14), ago(7)), Window(ago(30), now)]
+    # Once by day, then every figure of a metric in one aggregation of a few rows.
+    value = F.when(F.col("rule") == AVERAGE, F.sum("total") / F.sum("k")).when(F.col("rule") == SUM, F.sum("total")).otherwise(F.max_by("latest", "latest_at"))
+    days = resolved_days(measurements, rules, windows, priority).groupBy(*KEYS, "rule", "w", "day")
+    days = days.agg(F.sum("total").alias("total"), F.sum("k").alias("k"), F.max_by("latest", "latest_at").alias("latest"), F.max("latest_at").alias("latest_at"), value.alias("value"))
+    of = lambda w, c: F.when(F.col("w") == w, F.col(c))
+
+    def figure(w: int) -> Column:
+        total = F.sum(of(w, "total"))
+        return F.when(F.col("rule") == SUM, total / windows[w].days).when(F.col("rule") == AVERAGE, total / F.sum(of(w, "k"))).otherwise(F.max_by("latest", of(w, "latest_at")))
+
+    names = ("week", "base", "month")
+    measured = days.groupBy(*KEYS, "rule").agg(*(figure(k).alias(n) for k, n in enumerate(names)), F.max_by("value", of(2, "day")).alias("latest"), F.max(of(2, "day")).alias("latest_day")).drop("rule")
+    slept = nights(stage_minutes(states, windows[2], priority))
+    per_night = [F.avg(F.when(F.col("night").between(F.lit(ceil_day(w.start)), F.lit(shift(ceil_day(w.end), days=-1))), F.col("value"))).alias(n) for w, n in zip(windows, names, strict=True)]
+    slept = slept.groupBy("account_id", F.lit("sleep").alias("metric")).agg(*per_night, F.max_by("value", "night").alias("latest"), F.max("night").alias("latest_day"))
+    ever = distinct_metrics(measurements).unionByName(states.filter("kind = 'sleep'").select("account_id", F.lit("sleep").alias("metric")).distinct())
+    out = ever.join(measured.unionByName(slept), KEYS, "left")
+    delta = F.col("week") - F.col("base")
+    return out.select(*KEYS, "latest", "latest_day", "week", "month", delta.alias("delta"), (100 * delta / F.nullif("base", F.lit(0.0))).alias("delta_pct"))
 
 
 def source_spans(measurements: DataFrame, states: DataFrame) -> DataFrame:
@@ -79,12 +106,13 @@ def overall_span(*families: DataFrame) -> DataFrame:
     return out.groupBy("account_id").agg(F.min("start_at").alias("first_at"), F.max("start_at").alias("last_at"))
 
 
-def fold_spans(spans: DataFrame, window: Window, bucket: str, first: str = "starts_on", last: str = "ends_on") -> DataFrame:
-    """Spans of days (an open end lasts to the window's) that meet the window, with their first and last bucket in it."""
+def fold_spans(spans: DataFrame, window: Window, bucket: str, first: str = "starts_on", last: str = "ends_on", open_ends: bool = False) -> DataFrame:
+    """Spans of days that meet the window, with their first and last bucket in it. open_ends: a span without an end lasts to the window's (phases);
+    else it is a single day (notes)."""
     lo, hi = F.lit(window.start.date()), F.lit(shift(window.end.date(), days=-1) if window.end == Window.of(window.end.date(), window.end.date()).start else window.end.date())
-    end = F.coalesce(F.col(last), F.greatest(F.col(first), hi))
-    a, b = F.least(F.col(first), end), F.greatest(F.col(first), end)
-    met = spans.filter((a <= hi) & (b >= lo))
+    a = F.col(first)
+    b = F.coalesce(F.col(last), F.greatest(a, hi) if open_ends else a)
+    met = spans.filter((a <= b) & (a <= hi) & (b >= lo))
     return met.withColumns({"first_bucket": bucket_of(F.greatest(a, lo), bucket), "last_bucket": bucket_of(F.least(b, hi), bucket)})
 
 
@@ -93,23 +121,50 @@ def overlapping(spans: DataFrame, window: Window, first: str = "starts_on", last
     return spans.filter((F.col(first) < F.lit(window.end.date())) & (F.coalesce(last, first) >= F.lit(window.start.date())))
 
 
-def onto_axis(spans: DataFrame, axis: DataFrame, first: str = "starts_on", last: str = "ends_on") -> DataFrame:
-    """Spans onto a sparse axis of buckets: the first bucket from the span's start on, the last up to its end. axis is bounded by its grid."""
+def onto_axis(spans: DataFrame, axis: list, first: str = "starts_on", last: str = "ends_on") -> DataFrame:
+    """Spans onto a sparse axis of buckets: the first bucket from the span's start on, the last up to its end. An axis has MOST_POINTS buckets at
+    most, so it is a constant of the plan and nothing is joined."""
+    if len(axis) > MOST_POINTS:
+        raise AxisError(f"more than {MOST_POINTS} points; take a coarser bucket")
+    buckets = F.array(*(F.lit(b) for b in axis)).cast("array<date>")
     end = F.coalesce(F.col(last), F.col(first))
-    met = spans.join(F.broadcast(axis.select("bucket")), (F.col("bucket") >= F.col(first)) | (F.col("bucket") <= end), "left")
-    keys = spans.columns
-    return met.groupBy(*keys).agg(F.min(F.when(F.col("bucket") >= F.col(first), F.col("bucket"))).alias("from_bucket"), F.max(F.when(F.col("bucket") <= end, F.col("bucket"))).alias("to_bucket"))
+    near, far = F.array_min(F.filter(buckets, lambda b: b >= F.col(first))), F.array_max(F.filter(buckets, lambda b: b <= end))
+    return spans.withColumns({"from_bucket": near, "to_bucket": far})
+
+
+def history_band(measurements: DataFrame, rules: DataFrame, phases: DataFrame, priority: dict | None = None) -> DataFrame:
+    """(account_id, metric, bucket, grain, value, gap, phases): each metric over its real extent with dated gaps, in the grain that its length asks
+    for (as auto_bucket chooses), and the open or closed phases that its buckets fall into. One read of the rows."""
+    lo, hi = date(1, 1, 2), date(9999, 12, 30)
+    days = resolved_days(measurements, rules, [Window.of(lo, hi)], priority)
+    extent = days.groupBy(*KEYS).agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    length = F.datediff("hi", "lo")
+    at = [k for k in range(1, 800) if auto_bucket(k) != auto_bucket(k - 1)]
+    extent = extent.withColumn("grain", F.when(length < at[0], "day").when(length < at[1], "week").otherwise("month"))
+    snapped = lambda c: F.when(F.col("grain") == "day", c).when(F.col("grain") == "week", bucket_of(c, "week")).otherwise(bucket_of(c, "month"))
+    value = F.when(F.col("rule") == SUM, F.sum("total")).when(F.col("rule") == AVERAGE, F.sum("total") / F.sum("k")).otherwise(F.max_by("latest", "latest_at"))
+    found = days.join(extent, KEYS).groupBy(*KEYS, "rule", snapped(F.col("day")).alias("bucket")).agg(value.alias("value")).drop("rule")
+    first, last = snapped(F.col("lo")), snapped(F.col("hi"))
+    step = lambda b: F.sequence(first, last, F.expr(STEPS[b]))
+    grids = extent.select(*KEYS, "grain", F.explode(F.when(F.col("grain") == "day", step("day")).when(F.col("grain") == "week", step("week")).otherwise(step("month"))).alias("bucket"))
+    band = grids.join(found, [*KEYS, "bucket"], "left")
+    # A phase meets a bucket on the months that it touches: equal keys, no comparison of all with all.
+    spans = phases.join(extent, "account_id").withColumns({"_a": F.greatest("starts_on", "lo"), "_b": F.least(F.coalesce("ends_on", "hi"), "hi")}).filter((F.col("starts_on") <= F.coalesce("ends_on", F.greatest("starts_on", "hi"))) & (F.col("_a") <= F.col("_b")))
+    a, b = snapped(F.col("_a")), snapped(F.col("_b"))
+    touched = F.when(F.col("grain") == "day", F.sequence(a, b, F.expr(STEPS["day"]))).when(F.col("grain") == "week", F.sequence(a, b, F.expr(STEPS["week"]))).otherwise(F.sequence(a, b, F.expr(STEPS["month"])))
+    counts = spans.select(*KEYS, F.explode(touched).alias("bucket")).groupBy(*KEYS, "bucket").agg(F.count("*").alias("phases"))
+    out = band.join(counts, [*KEYS, "bucket"], "left")
+    return out.select(*KEYS, "bucket", "grain", "value", F.col("value").isNull().alias("gap"), F.coalesce("phases", F.lit(0)).cast("bigint").alias("phases"))
 
 
 def phase_kind(rate):
-    return F.when(rate < 0, "cut").when(rate > 0, "bulk").otherwise("maintain")
+    return F.when(rate < 0, "cut").when(rate > 0, "bulk").otherwise("maintenance")
 
 
 def history_events(imports: DataFrame, phases: DataFrame, notes: DataFrame, spans: DataFrame) -> DataFrame:
-    """(account_id, day, kind, label), newest first and then by kind: imports, phases, notes, first days of sources, and the origin."""
+    """(account_id, day, kind, label), in no order: imports, phases, notes, first days of sources, and the origin."""
     part = lambda df, day, kind, label: df.select("account_id", day.cast("date").alias("day"), F.lit(kind).alias("kind"), label.cast("string").alias("label"))
     origin = spans.groupBy("account_id").agg(F.min("first_at").alias("first_at"))
     rows = part(imports, F.col("imported_at"), "import", F.col("source_file")).unionByName(part(phases, F.col("started_at"), "phase", phase_kind(F.col("rate_pct_per_week"))))
     rows = rows.unionByName(part(notes, F.col("starts_on"), "note", F.col("label"))).unionByName(part(spans, F.col("first_at"), "source", F.col("source"))).unionByName(part(origin, F.col("first_at"), "origin", F.lit("")))
-    rank = F.array_position(F.array(*map(F.lit, ("import", "phase", "note", "source", "origin"))), F.col("kind"))
-    return rows.orderBy("account_id", F.desc("day"), rank, "label")
+    return rows

@@ -45,14 +45,13 @@ def average_rank(value: str, partition: list[str]) -> Column:
 
 
 def co_vary(found: DataFrame, bucket: str, total: int, lag: int = 0) -> DataFrame:
-    """(account_id, a, b, shared, rho, ranked) by place: ranked first, then the strongest, then metric order. Ranks are taken over each
+    """(account_id, a, b, shared, rho, ranked), in no order. Ranks are taken over each
     pair's own shared buckets. Pairs with fewer than LEAST_POINTS have rho 0 and no rank."""
     pair = ["account_id", "a", "b"]
     ranked = aligned(found, bucket, lag).select(*pair, average_rank("x", pair).alias("rx"), average_rank("y", pair).alias("ry"))
     stats = ranked.groupBy(*pair).agg(*pearson(F.col("rx"), F.col("ry")))
     enough = F.col("shared") >= LEAST_POINTS
-    out = stats.select(*pair, "shared", F.when(enough, correlation()).otherwise(0.0).alias("rho"), (enough & (F.col("shared") >= shared_threshold(total))).alias("ranked"))
-    return out.orderBy("account_id", F.desc("ranked"), F.desc(F.abs("rho")), "a", "b")
+    return stats.select(*pair, "shared", F.when(enough, correlation()).otherwise(0.0).alias("rho"), (enough & (F.col("shared") >= shared_threshold(total))).alias("ranked"))
 
 
 def strongest(pairs: DataFrame) -> DataFrame:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.resolve import resolved_days
+from tidemark.plans.timeaxis import Window
+
 # Published constants.
 KCAL_PER_KG, ACTIVITY_FACTOR = 7700.0, 1.375
 WINDOW_DAYS, LEAST_INTAKE_SHARE, LEAST_MASS_DAYS = 28, 0.7, 10
 PROTEIN_FLOOR, PROTEIN_TOP, FAT_PER_KG, FAT_SHARE = 1.6, 2.4, 0.6, 0.2
+LOOKBACK_YEARS = 30
+BODY = ("body_mass", "height", "lean_body_mass", "body_fat_percentage")
 THIN_DAYS, LEAST_RATE_DAYS, MOST_RATE = 14, 2, 1.0
 NEEDS = {"katch_mcardle": ("lean_mass",), "cunningham": ("lean_mass",), "mifflin_st_jeor": ("mass", "height", "age", "sex"), "harris_benedict": ("mass", "height", "age", "sex")}
 
@@ -90,20 +97,27 @@ def targets(inputs: DataFrame) -> DataFrame:
 
 
 def guardrails(planned: DataFrame) -> DataFrame:
-    """(account_id, warnings) for targets with basal_kcal."""
+    """(account_id, warnings) for targets with basal_kcal and actual_protein, the mean that was eaten in the phase (null if there is none)."""
     rules = {
         "below_basal": c("kcal") < c("basal_kcal"),
         "rate_too_fast": F.abs("rate") > MOST_RATE,
         "no_carbs": c("carbs") == 0,
-        "protein_under_floor": (c("rate") < 0) & (c("protein") < PROTEIN_FLOOR * F.coalesce("lean_mass", "mass")),
+        "protein_under_floor": (c("rate") < 0) & (c("actual_protein") < c("protein")),
     }
     return planned.select("account_id", F.array_compact(F.array(*(F.when(v, F.lit(n)) for n, v in rules.items()))).alias("warnings"))
 
 
 def adherence(inputs: DataFrame) -> DataFrame:
-    """inputs (account_id, days in the phase so far, intake, protein, mass, mass_slope, mass_days) -> means, actual rate and whether the
-    phase is still thin. Accounts whose phase hasn't begun have no row."""
-    return inputs.filter(c("days") > 0).select("account_id", "days", "intake", "protein", actual_rate(LEAST_RATE_DAYS).alias("rate"), (c("days") < THIN_DAYS).alias("thin"))
+    """inputs (account_id, elapsed days of the phase so far, target_rate, kcal and protein as planned, intake and protein_eaten, mass, mass_slope, mass_days)
+    -> (account_id, days, thin, target and actual figures). A phase has at least one day; one that hasn't begun has no actual figures, and every
+    account has its row."""
+    begun = c("elapsed") > 0
+    days = F.greatest(F.lit(1), F.round("elapsed").cast("int"))
+    actual = lambda x: F.when(begun, x)
+    return inputs.select(
+        "account_id", days.alias("days"), (days < THIN_DAYS).alias("thin"), c("target_rate"), actual(actual_rate(LEAST_RATE_DAYS)).alias("rate"),
+        c("kcal").alias("target_kcal"), actual(c("intake")).alias("intake"), c("protein").alias("target_protein"), actual(c("protein_eaten")).alias("protein"),
+    )
 
 
 def planned_rate() -> Column:
@@ -111,6 +125,29 @@ def planned_rate() -> Column:
     return F.coalesce(c("preview_rate"), c("phase_rate"), c("actual_rate"), F.lit(0.0))
 
 
-def preselect(trust: str | None, has_lean_mass: bool) -> str:
-    """The equation to begin with: lean-mass equations only where the body composition is there and not distrusted."""
-    return "katch_mcardle" if has_lean_mass and trust != "low" else "mifflin_st_jeor"
+def derived_trust(lean_mass_source: Column) -> Column:
+    """What an account's body composition is worth if it doesn't say so itself: typed in, it is measured; from a device, estimated."""
+    return F.when(lean_mass_source == "Manual", "measured").when(F.coalesce(lean_mass_source, F.lit("")) == "", "unknown").otherwise("estimated")
+
+
+def preselect(trust: Column) -> Column:
+    """The equation to begin with: the first that can be computed, those by lean mass first only where the composition is measured; null if none can.
+    To be used on rows of inputs."""
+    lean, body = ("katch_mcardle", "cunningham"), ("mifflin_st_jeor", "harris_benedict")
+    first = lambda names: F.coalesce(*(F.when(basal(n).isNotNull(), n) for n in names))
+    return F.when(trust == "measured", first(lean + body)).otherwise(first(body + lean))
+
+
+def resolve_inputs(measurements: DataFrame, rules: DataFrame, now, priority: dict | None = None) -> DataFrame:
+    """(account_id, mass, height, lean_mass, lean_mass_derived, lean_source): mass, lean mass and body fat as means of the last WINDOW_DAYS, or the latest value
+    ever (LOOKBACK_YEARS) where there is none; height as the latest ever; lean mass as measured, else mass without its fat. One scan."""
+    ever = Window(datetime(now.year - LOOKBACK_YEARS, now.month, min(now.day, 28), now.hour, now.minute), now)
+    days = resolved_days(measurements, rules, [Window(now - timedelta(days=WINDOW_DAYS), now), ever], priority)
+    found = days.filter(c("metric").isin(*BODY)).groupBy("account_id", "metric", "rule").agg(
+        (F.sum(F.when(c("w") == 0, c("total"))) / F.nullif(F.sum(F.when(c("w") == 0, c("k"))), F.lit(0))).alias("mean"),
+        F.max_by("latest", F.when(c("w") == 1, c("latest_at"))).alias("ever"), F.max_by("source", F.when(c("w") == 1, c("latest_at"))).alias("source"),
+    )
+    of = lambda m, v: F.max(F.when(c("metric") == m, v))
+    now_or_ever = F.coalesce("mean", "ever")
+    wide = found.groupBy("account_id").agg(of("body_mass", now_or_ever).alias("mass"), of("height", c("ever")).alias("height"), of("lean_body_mass", now_or_ever).alias("lean_body_mass"), of("body_fat_percentage", now_or_ever).alias("body_fat_percentage"), of("lean_body_mass", c("source")).alias("_lean"), of("body_fat_percentage", c("source")).alias("_fat"))
+    return wide.select("account_id", "mass", "height", lean_mass().alias("lean_mass"), (c("lean_body_mass").isNull() & lean_mass().isNotNull()).alias("lean_mass_derived"), F.coalesce("_lean", "_fat").alias("lean_source"))

@@ -68,13 +68,16 @@ def activity_type(s: Column) -> Column:
     return snake(F.regexp_replace(s, "^HKWorkoutActivityType", ""))
 
 
-def route_records(spark: SparkSession, records: DataFrame) -> dict[str, DataFrame]:
-    """records (type, unit, value, source, start_raw, end_raw, seq: all strings but seq) into measurements, states and unmapped ones."""
+def route_records(spark: SparkSession, records: DataFrame, account_id: int | None = None) -> dict[str, DataFrame]:
+    """records (type, unit, value, source, start_raw, end_raw, seq: all strings but seq; account_id, unless it is given) into measurements, states
+    and unmapped ones."""
+    if account_id is not None:
+        records = records.withColumn("account_id", F.lit(account_id).cast("bigint"))
     typed = records.join(F.broadcast(vendor_types(spark)).withColumnRenamed("unit", "to_unit"), F.col("type") == F.col("vendor_type"), "left").withColumn("number", F.expr("try_cast(value AS double)"))
     typed = convert_units(spark, typed, "number", "unit", "to_unit", "canonical").withColumns({"start_at": vendor_time(F.col("start_raw")), "end_at": vendor_time(F.col("end_raw"))})
     kind = F.create_map(*(F.lit(x) for kv in STATE_KINDS.items() for x in kv))
     typed = typed.withColumn("kind", F.element_at(kind, F.col("type")))
-    times = ["start_at", "end_at", "start_raw", "end_raw", "source", "seq"]
+    times = ["account_id", "start_at", "end_at", "start_raw", "end_raw", "source", "seq"]
     measured = (F.col("kind").isNull()) & F.col("canonical").isNotNull()
     measurements = typed.filter(measured).select("metric", F.col("canonical").alias("value"), F.col("unit").alias("original_unit"), *times, content_key(F.col("metric"), F.col("source"), F.col("start_raw"), F.col("end_raw"), F.col("value"), F.col("unit")).alias("content_key"))
     states = typed.filter(F.col("kind").isNotNull()).withColumn("state_value", state_value(F.col("value")))
@@ -84,23 +87,27 @@ def route_records(spark: SparkSession, records: DataFrame) -> dict[str, DataFram
     return {"measurements": measurements, "states": states, "unmapped": unmapped}
 
 
-def first_of_each(batch: DataFrame, order: str = "seq", key: str = "content_key") -> DataFrame:
+#: What makes a row one row: accounts never share rows.
+UNIQUE = ("account_id", "content_key")
+
+
+def first_of_each(batch: DataFrame, order: str = "seq", key: tuple[str, ...] = UNIQUE) -> DataFrame:
     """The first row of each key, in file order, with the row count of the key as copies."""
     row = F.struct(*batch.columns)
-    return batch.groupBy(key).agg(F.min_by(row, order).alias("_row"), F.count("*").alias("copies")).select("_row.*", "copies")
+    return batch.groupBy(*key).agg(F.min_by(row, order).alias("_row"), F.count("*").alias("copies")).select("_row.*", "copies")
 
 
-def new_rows(batch: DataFrame, stored: DataFrame, order: str = "seq", key: str = "content_key") -> DataFrame:
-    """Rows of the batch that the store doesn't have, one for each key: adding them twice is a no-op."""
-    return first_of_each(batch, order, key).join(stored.select(key), key, "left_anti").drop("copies")
+def new_rows(batch: DataFrame, stored: DataFrame, order: str = "seq", key: tuple[str, ...] = UNIQUE) -> DataFrame:
+    """Rows of the batch that the store doesn't have, one for each account and content: adding them twice is a no-op."""
+    return first_of_each(batch, order, key).join(stored.select(*key), list(key), "left_anti").drop("copies")
 
 
-def report(batch: DataFrame, stored: DataFrame, family: str, by: str, key: str = "content_key") -> DataFrame:
-    """(family, name, added, skipped) of a batch against the store."""
-    seen = stored.select(key).distinct().withColumn("_seen", F.lit(True))
-    ruled = first_of_each(batch.select(key, by, "seq")).join(seen, key, "left")
+def report(batch: DataFrame, stored: DataFrame, family: str, by: str, key: tuple[str, ...] = UNIQUE) -> DataFrame:
+    """(account_id, family, name, added, skipped) of a batch against the store."""
+    seen = stored.select(*key).distinct().withColumn("_seen", F.lit(True))
+    ruled = first_of_each(batch.select(*key, by, "seq"), key=key).join(seen, list(key), "left")
     added = F.col("_seen").isNull()
-    return ruled.groupBy(F.lit(family).alias("family"), F.col(by).alias("name")).agg(F.count_if(added).alias("added"), F.sum(F.col("copies") - F.when(added, 1).otherwise(0)).alias("skipped"))
+    return ruled.groupBy(key[0], F.lit(family).alias("family"), F.col(by).alias("name")).agg(F.count_if(added).alias("added"), F.sum(F.col("copies") - F.when(added, 1).otherwise(0)).alias("skipped"))
 
 
 def duration_seconds(value: Column, unit: Column) -> Column:

@@ -13,7 +13,8 @@ ASLEEP = "asleep"
 IN_BED = "in_bed"
 
 
-def _ceil_day(moment):
+def ceil_day(moment):
+    """The day of a moment, or the next one if it isn't midnight."""
     day = moment.date()
     return day if moment == Window.of(day, day).start else shift(day, days=1)
 
@@ -24,7 +25,7 @@ def stage_minutes(states: DataFrame, window: Window, priority: dict | None = Non
     Both bounds are rounded up to a day. The elected source is the best ranked of those that staged the night, or else of all that
     night; in-bed rows go where it staged the night. A bound on start_at, a day wider, lets the scan skip files.
     """
-    lo, hi = _ceil_day(window.start), _ceil_day(window.end)
+    lo, hi = ceil_day(window.start), ceil_day(window.end)
     near = states.filter((F.col("kind") == "sleep") & (F.col("start_at") >= stamp(shift(lo, days=-1))) & (F.col("start_at") < stamp(shift(hi, days=1))))
     rows = near.withColumn("night", night_of(F.col("start_at"))).filter((F.col("night") >= F.lit(lo)) & (F.col("night") < F.lit(hi)))
     staged = F.col("state_value").startswith(ASLEEP)

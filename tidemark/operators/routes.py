@@ -27,14 +27,14 @@ def with_distance(points: DataFrame) -> DataFrame:
 
 
 def ascent(points: DataFrame) -> DataFrame:
-    """(route_id, ascent, descent): climbs count once they leave the last turning height by ASCENT_STEP metres. A fold over one route's heights."""
+    """(route_id, ascent, descent): climbs count once they are more than ASCENT_STEP metres from the height where the last one ended. A fold over one route's heights."""
     ordered = points.filter(F.col("ele").isNotNull()).groupBy("route_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "ele"))), lambda p: p["ele"]).alias("heights"))
     start = F.struct(F.element_at("heights", 1).cast("double").alias("at"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
 
     def fold(acc, h):
         d = h.cast("double") - acc["at"]
-        moved = F.abs(d) >= ASCENT_STEP
-        return F.struct(F.when(moved, h.cast("double")).otherwise(acc["at"]).alias("at"), (acc["up"] + F.when(d >= ASCENT_STEP, d).otherwise(0.0)).alias("up"), (acc["down"] + F.when(d <= -ASCENT_STEP, -d).otherwise(0.0)).alias("down"))
+        moved = F.abs(d) > ASCENT_STEP
+        return F.struct(F.when(moved, h.cast("double")).otherwise(acc["at"]).alias("at"), (acc["up"] + F.when(d > ASCENT_STEP, d).otherwise(0.0)).alias("up"), (acc["down"] + F.when(d < -ASCENT_STEP, -d).otherwise(0.0)).alias("down"))
 
     return ordered.select("route_id", F.aggregate("heights", start, fold).alias("f")).select("route_id", F.col("f.up").alias("ascent"), F.col("f.down").alias("descent"))
 

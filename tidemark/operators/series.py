@@ -1,4 +1,4 @@
-"""Series: resolved rows into points, by each metric's own rule, for all accounts and metrics at once; and formulas over points."""
+"""Series: resolved days into points, by each metric's own rule, for all accounts and metrics at once; and formulas over points."""
 
 from __future__ import annotations
 
@@ -7,34 +7,35 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import AVERAGE, LATEST, SUM
 from tidemark.functions.columns import bucket_of, in_window
-from tidemark.operators.resolve import resolve
+from tidemark.operators.nights import fold_nights, nights, stage_minutes
+from tidemark.operators.resolve import resolved_days
 from tidemark.plans.timeaxis import Window
 
 KEYS = ["account_id", "metric"]
 
 
 def _by_rule() -> list[Column]:
-    value = F.when(F.first("rule") == SUM, F.sum("value")).when(F.first("rule") == AVERAGE, F.avg("value")).otherwise(F.max_by("value", F.struct("start_at", "id")))
-    band = lambda f: F.when(F.first("rule") == AVERAGE, f("value"))
-    return [value.alias("value"), band(F.min).alias("min"), band(F.max).alias("max"), F.count("*").alias("count")]
+    """A group of daily rows by its metric's rule; the group has the column rule."""
+    rule = F.col("rule")
+    value = F.when(rule == SUM, F.sum("total")).when(rule == AVERAGE, F.sum("total") / F.sum("k")).otherwise(F.max_by("latest", "latest_at"))
+    band = lambda f, c: F.when(rule == AVERAGE, f(c))
+    return [value.alias("value"), band(F.min, "low").alias("min"), band(F.max, "high").alias("max"), F.sum("n").alias("count")]
 
 
-def points(resolved: DataFrame, rules: DataFrame, bucket: str) -> DataFrame:
-    """(account_id, metric, bucket, value, min, max, count): empty buckets are absent, bands belong to averages. rules is a fixed, small table."""
-    ruled = resolved.join(F.broadcast(rules.select("metric", "rule")), "metric").withColumn("bucket", bucket_of(F.col("start_at"), bucket))
-    return ruled.groupBy(*KEYS, "bucket").agg(*_by_rule())
+def points(days: DataFrame, bucket: str, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, bucket, value, min, max, count) of daily rows: empty buckets are absent, bands belong to averages."""
+    return days.groupBy(*keys, "rule", bucket_of(F.col("day"), bucket).alias("bucket")).agg(*_by_rule()).drop("rule")
 
 
-def summary(resolved: DataFrame, rules: DataFrame) -> DataFrame:
-    """(account_id, metric, value, min, max, count, mean): the window as one bucket over the same rows; mean for metrics that keep their latest value."""
-    ruled = resolved.join(F.broadcast(rules.select("metric", "rule")), "metric")
-    mean = F.when(F.first("rule") == LATEST, F.avg("value")).alias("mean")
-    return ruled.groupBy(*KEYS).agg(*_by_rule(), mean)
+def summary(days: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, value, min, max, count, mean): the window as one bucket over the same rows; mean for metrics that keep their latest value."""
+    mean = F.when(F.col("rule") == LATEST, F.sum("total") / F.sum("k")).alias("mean")
+    return days.groupBy(*keys, "rule").agg(*_by_rule(), mean).drop("rule")
 
 
 def series(measurements: DataFrame, rules: DataFrame, window: Window, bucket: str, priority: dict | None = None) -> DataFrame:
     window.guard(bucket)
-    return points(resolve(measurements, window, priority), rules, bucket)
+    return points(resolved_days(measurements, rules, [window], priority), bucket)
 
 
 def evaluate(values: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,22 +51,35 @@ def evaluate(values: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     return whole.select(*keys, F.col("derived").alias("metric"), (F.col("scale") * F.col("n") / below).alias("value")).filter(F.col("value").isNotNull())
 
 
-def derived_points(resolved: DataFrame, rules: DataFrame, terms: DataFrame, bucket: str) -> DataFrame:
+def derived_points(days: DataFrame, terms: DataFrame, bucket: str) -> DataFrame:
     """Each operand by its own rule and source in each bucket, then the formula."""
-    return evaluate(points(resolved, rules, bucket).select(*KEYS, "bucket", "value"), terms, ["account_id", "bucket"])
+    return evaluate(points(days, bucket).select(*KEYS, "bucket", "value"), terms, ["account_id", "bucket"])
 
 
-def derived_summary(resolved: DataFrame, rules: DataFrame, terms: DataFrame) -> DataFrame:
+def derived_summary(days: DataFrame, terms: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Operands folded over the window, the formula once: never a mean of ratios."""
-    return evaluate(summary(resolved, rules).select(*KEYS, "value"), terms, ["account_id"])
+    return evaluate(summary(days, keys).select(*keys, "value"), terms, [k for k in keys if k != "metric"])
 
 
-def figures(summed: DataFrame, rules: DataFrame, days: int) -> DataFrame:
-    """(account_id, metric, mode, figure): what a summary shows: a daily mean of sums, else the window's mean."""
-    ruled = summed.join(F.broadcast(rules.select("metric", "rule")), "metric")
-    daily = F.col("rule") == SUM
-    figure = F.when(daily, F.col("value") / days).otherwise(F.coalesce("mean", "value"))
-    return ruled.select(*KEYS, F.when(daily, "per_day").otherwise("mean").alias("mode"), figure.alias("figure"))
+def route(measurements: DataFrame, states: DataFrame, rules: DataFrame, terms: DataFrame, window: Window, bucket: str, priority: dict | None = None) -> DataFrame:
+    """(account_id, metric, bucket, value, min, max, count) of all metrics: imported ones by their rules, derived ones by their formulas, sleep by nights
+    from its states; count is null for derived points and the number of nights for sleep."""
+    window.guard(bucket)
+    days = resolved_days(measurements, rules, [window], priority)
+    none = lambda kind, *names: {n: F.lit(None).cast(kind) for n in names}
+    derived = derived_points(days, terms, bucket).withColumns(none("double", "min", "max") | none("bigint", "count"))
+    slept = fold_nights(nights(stage_minutes(states, window, priority)), bucket).withColumns({"metric": F.lit("sleep")} | none("double", "min", "max"))
+    return points(days, bucket).unionByName(derived).unionByName(slept)
+
+
+def figures(summed: DataFrame, modes: DataFrame, days: int, average: bool = True) -> DataFrame:
+    """(account_id, metric, mode, figure): what a summary shows. summed: (account_id, metric, value, mean, nights). With average on, what grows with
+    the window is shown per day or, for sleep, per night that has data, and a latest metric by its mean; all else as its total. modes is a
+    fixed, small table."""
+    mode = F.col("mode") if average else F.lit("total")
+    shown = summed.join(F.broadcast(modes), "metric").select(*KEYS, mode.alias("mode"), "value", "mean", "nights")
+    figure = F.when(F.col("mode") == "per_day", F.col("value") / days).when(F.col("mode") == "per_night", F.col("value") / F.nullif("nights", F.lit(0))).when(F.col("mode") == "mean", F.col("mean")).otherwise(F.col("value"))
+    return shown.select(*KEYS, "mode", figure.alias("figure"))
 
 
 def panel(found: DataFrame, metrics: list[str]) -> DataFrame:

@@ -67,17 +67,13 @@ SQL["compare_previous"] = cut(f"""{R}, {resolved(*B, p='b')}, {points('day')}, {
 SQL["compare_last_year"] = """WITH o AS (SELECT o_custkey % 3 AS account_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS bucket, o_orderdate AS tm, o_totalprice AS v FROM orders),
   p AS (SELECT account_id, bucket, sum(v) AS value FROM o WHERE tm >= TIMESTAMP '1997-03-01' AND tm < TIMESTAMP '1999-06-15' GROUP BY ALL), q AS (SELECT account_id, bucket, sum(v) AS value FROM o WHERE tm >= TIMESTAMP '1996-03-01' AND tm < TIMESTAMP '1998-06-15' GROUP BY ALL)
   SELECT p.account_id, 'purchase' AS metric, p.bucket, round(p.value, 6) AS value, CAST(p.bucket - INTERVAL 1 YEAR AS DATE) AS baseline_bucket, round(q.value, 6) AS baseline_value FROM p LEFT JOIN q ON q.account_id = p.account_id AND q.bucket = CAST(p.bucket - INTERVAL 1 YEAR AS DATE)"""
-SPARSE = f"{M}, r AS (SELECT * FROM m WHERE id % 53 = 0), {points('day')}, x0 AS (SELECT account_id, metric, generate_series(min(bucket), max(bucket), INTERVAL 1 DAY) AS days FROM p GROUP BY ALL), x AS (SELECT account_id, metric, CAST(unnest(days) AS DATE) AS bucket FROM x0), d AS (SELECT x.*, p.value FROM x LEFT JOIN p USING (account_id, metric, bucket))"
+SPARSE = f"um AS (SELECT event_id AS id, user_id AS account_id, event_type AS metric, value, ts AS start_at FROM events), r AS (SELECT * FROM um), {points('day')}, x0 AS (SELECT account_id, metric, generate_series(min(bucket), max(bucket), INTERVAL 1 DAY) AS days FROM p GROUP BY ALL), x AS (SELECT account_id, metric, CAST(unnest(days) AS DATE) AS bucket FROM x0), d AS (SELECT x.*, p.value FROM x LEFT JOIN p USING (account_id, metric, bucket))"
 SQL["dense_gaps"] = cut(f"{SPARSE} SELECT account_id, metric, bucket, round(value, 6) AS value FROM d")
 SQL["gap_runs"] = cut(f"{SPARSE}, i AS (SELECT *, count(value) OVER (PARTITION BY account_id, metric ORDER BY bucket) AS run FROM d) SELECT account_id, metric, min(bucket) AS first, max(bucket) AS last, count(*) AS buckets FROM i WHERE value IS NULL GROUP BY account_id, metric, run")
 SQL["lag_delta"] = cut(f"{R}, {points('day')} SELECT account_id, metric, bucket, round(value, 6) AS value, round(value - lag(value) OVER (PARTITION BY account_id, metric ORDER BY bucket), 6) AS delta FROM p")
 SQL["pivot_panel"] = cut(f"{R}, {points('week')} SELECT account_id, bucket, round(max(value) FILTER (metric = 'view'), 6) AS view, round(max(value) FILTER (metric = 'click'), 6) AS click, round(max(value) FILTER (metric = 'error'), 6) AS error FROM p GROUP BY ALL")
 NOW = "2024-01-29 15:30:00"
 FIG = "SELECT account_id, metric, CASE WHEN metric IN ('view', 'click', 'purchase') THEN sum(value) / {n} WHEN metric = 'error' THEN avg(value) ELSE first(value ORDER BY start_at DESC, id DESC) END AS f FROM {t} GROUP BY account_id, metric"
-SQL["ledger"] = cut(f"""{M}, {resolved('2024-01-22 15:30:00', NOW, 'a')}, {resolved('2023-12-30 15:30:00', NOW)}, {points('day')}, wk AS ({FIG.format(n=7, t='ar')}), mo AS ({FIG.format(n=30, t='r')}),
-  l AS (SELECT account_id, metric, arg_max(value, bucket) AS latest, max(bucket) AS latest_day FROM p GROUP BY ALL)
-  SELECT l.account_id, l.metric, round(latest, 6) AS latest, latest_day, round(wk.f, 6) AS week, round(mo.f, 6) AS month, round(wk.f - mo.f, 6) AS delta, round(100 * (wk.f - mo.f) / nullif(abs(mo.f), 0), 6) AS delta_pct
-  FROM l LEFT JOIN mo USING (account_id, metric) LEFT JOIN wk USING (account_id, metric)""")
 SQL["series_extremes"] = cut(f"{R}, {points('day')} SELECT account_id, metric, round(max(value), 6) AS high, first(bucket ORDER BY value DESC, bucket) AS high_bucket, round(min(value), 6) AS low, first(bucket ORDER BY value, bucket) AS low_bucket, count(*) AS covered FROM p GROUP BY ALL")
 
 STATES = f"""{M}, t AS (SELECT account_id, CASE metric WHEN 'view' THEN 'asleep_core' WHEN 'click' THEN 'asleep_rem' WHEN 'purchase' THEN 'asleep_deep' WHEN 'signup' THEN 'in_bed' ELSE 'awake' END AS state_value, start_at, floor(value * 60) / 60 AS minutes, source FROM m)"""
@@ -85,6 +81,13 @@ NIGHTS = f"""{STATES}, n AS (SELECT *, CAST(start_at + INTERVAL 12 HOUR AS DATE)
   any_st AS (SELECT account_id, night, bool_or(st) AS staged FROM nn GROUP BY ALL), win AS (SELECT account_id, night, source, staged FROM (SELECT DISTINCT account_id, night, source, staged, {RANK.format(m='true')} AS rk FROM nn JOIN any_st USING (account_id, night) WHERE source <> '' AND (NOT staged OR st)) QUALIFY row_number() OVER (PARTITION BY account_id, night ORDER BY rk, source) = 1),
   g AS (SELECT account_id, night, source, state_value, sum(minutes) AS minutes FROM nn JOIN win USING (account_id, night, source) WHERE NOT (state_value = 'in_bed' AND staged) AND minutes > 0 GROUP BY ALL),
   v AS (SELECT account_id, night, source, CASE WHEN coalesce(sum(minutes) FILTER (state_value LIKE 'asleep%'), 0) > 0 THEN sum(minutes) FILTER (state_value LIKE 'asleep%') ELSE coalesce(sum(minutes) FILTER (state_value = 'in_bed'), 0) END AS value FROM g GROUP BY ALL)"""
+_nights = lambda lo, hi: NIGHTS[len(M) + 2 :].replace(W[0], lo).replace(W[1], hi)
+SQL["ledger"] = cut(f"""{M}, {resolved('2024-01-22 15:30:00', NOW, 'a')}, {resolved('2024-01-15 15:30:00', '2024-01-22 15:30:00', 'c')}, {resolved('2023-12-30 15:30:00', NOW)}, {points('day')}, wk AS ({FIG.format(n=7, t='ar')}), pw AS ({FIG.format(n=7, t='cr')}), mo AS ({FIG.format(n=30, t='r')}),
+  l AS (SELECT account_id, metric, arg_max(value, bucket) AS latest, max(bucket) AS latest_day FROM p GROUP BY ALL), {_nights('2023-12-31', '2024-01-30')},
+  y AS (SELECT account_id, 'sleep' AS metric, arg_max(value, night) AS latest, max(night) AS latest_day, avg(value) FILTER (night BETWEEN DATE '2024-01-23' AND DATE '2024-01-29') AS w, avg(value) AS m, avg(value) FILTER (night BETWEEN DATE '2024-01-16' AND DATE '2024-01-22') AS b FROM v GROUP BY account_id),
+  z AS (SELECT e.account_id, e.metric, latest, latest_day, wk.f AS w, mo.f AS m, pw.f AS b FROM (SELECT DISTINCT account_id, metric FROM m) e LEFT JOIN l USING (account_id, metric) LEFT JOIN wk USING (account_id, metric) LEFT JOIN pw USING (account_id, metric) LEFT JOIN mo USING (account_id, metric)
+    UNION ALL SELECT a.account_id, 'sleep', latest, latest_day, w, m, b FROM (SELECT DISTINCT account_id FROM t) a LEFT JOIN y USING (account_id))
+  SELECT account_id, metric, round(latest, 6) AS latest, latest_day, round(w, 6) AS week, round(m, 6) AS month, round(w - b, 6) AS delta, round(100 * (w - b) / nullif(b, 0), 6) AS delta_pct FROM z""")
 SQL["sleep_nights"] = cut(f"{NIGHTS} SELECT account_id, night, source, round(value, 6) AS value FROM v")
 SQL["sleep_stages"] = cut(f"{NIGHTS} SELECT account_id, night, state_value, round(minutes, 6) AS minutes FROM g")
 SQL["sleep_week"] = cut(f"{NIGHTS} SELECT account_id, CAST(date_trunc('week', night) AS DATE) AS bucket, round(sum(value), 6) AS value, count(*) AS count FROM v GROUP BY ALL")
@@ -118,7 +121,17 @@ SQL["expenditure"] = cut(f"{INPUTS}, o AS (SELECT *, CASE WHEN intake_days / 28.
 TARGETS = f"""{INPUTS}, a AS (SELECT account_id, mass, lean, 2000 + mass AS e, CASE account_id WHEN 0 THEN -0.5 WHEN 1 THEN -2.0 ELSE 0.5 END::DOUBLE AS rate, 370 + 21.6 * lean AS basal FROM j), b AS (SELECT *, e + rate / 100 * mass * 7700 / 7 AS kcal, (1.6 + 0.8 * least(greatest(-rate, 0), 1)) * coalesce(lean, mass) AS protein FROM a),
   c AS (SELECT *, greatest(0.6 * mass, 0.2 * kcal / 9) AS fat FROM b), d AS (SELECT *, greatest(0, (kcal - 4 * protein - 9 * fat) / 4) AS carbs FROM c)"""
 SQL["targets"] = cut(f"{TARGETS} SELECT account_id, round(kcal, 6) AS kcal, round(protein, 6) AS protein, round(fat, 6) AS fat, round(carbs, 6) AS carbs FROM d")
-SQL["guardrails"] = cut(f"{TARGETS} SELECT account_id, concat_ws(',', CASE WHEN kcal < basal THEN 'below_basal' END, CASE WHEN abs(rate) > 1 THEN 'rate_too_fast' END, CASE WHEN carbs = 0 THEN 'no_carbs' END, CASE WHEN rate < 0 AND protein < 1.6 * coalesce(lean, mass) THEN 'protein_under_floor' END) AS warnings FROM d")
+SQL["guardrails"] = cut(f"{TARGETS} SELECT d.account_id, concat_ws(',', CASE WHEN kcal < basal THEN 'below_basal' END, CASE WHEN abs(rate) > 1 THEN 'rate_too_fast' END, CASE WHEN carbs = 0 THEN 'no_carbs' END, CASE WHEN rate < 0 AND recorded / 10 < protein THEN 'protein_under_floor' END) AS warnings FROM d JOIN j USING (account_id)")
+_signup = "(account_id = 0 OR (account_id = 1 AND start_at < TIMESTAMP '2024-01-01'))"
+BODY = f"""{M}, y AS (SELECT id, account_id, CASE metric WHEN 'view' THEN 'body_mass' WHEN 'click' THEN 'height' WHEN 'purchase' THEN 'body_fat_percentage' WHEN 'signup' THEN 'lean_body_mass' END AS metric, CASE metric WHEN 'purchase' THEN value / 1000 ELSE value END AS value, start_at, source FROM m WHERE metric <> 'error' AND (metric <> 'signup' OR {_signup}))"""
+_best = lambda p, lo: f"""{p}w AS (SELECT * FROM y WHERE start_at >= TIMESTAMP '{lo}' AND start_at < TIMESTAMP '{NOW}'), {p}b AS (SELECT account_id, metric, min(source) AS winner FROM {p}w WHERE source <> 'Manual' GROUP BY ALL), {p}h AS (SELECT DISTINCT account_id, metric, true AS hm FROM {p}w WHERE source = 'Manual'),
+  {p}d AS (SELECT DISTINCT account_id, metric, CAST(start_at AS DATE) AS d FROM y WHERE source = 'Manual'), {p}r AS (SELECT w.* FROM {p}w w LEFT JOIN {p}b b USING (account_id, metric) LEFT JOIN {p}h h USING (account_id, metric) LEFT JOIN {p}d x ON x.account_id = w.account_id AND x.metric = w.metric AND x.d = CAST(w.start_at AS DATE) WHERE w.source = 'Manual' OR (w.source = b.winner AND NOT (coalesce(hm, false) AND x.d IS NOT NULL)))"""
+RESOLVED = f"""{BODY}, {_best('n', '2024-01-01 15:30:00')}, {_best('e', '1994-01-28 15:30:00')}, g AS (SELECT account_id, metric, avg(value) AS mean FROM nr GROUP BY ALL), f AS (SELECT account_id, metric, first(value ORDER BY start_at DESC, id DESC) AS ever, first(source ORDER BY start_at DESC, id DESC) AS src FROM er GROUP BY ALL),
+  q AS (SELECT account_id, max(coalesce(mean, ever)) FILTER (metric = 'body_mass') AS mass, max(ever) FILTER (metric = 'height') AS height, max(coalesce(mean, ever)) FILTER (metric = 'lean_body_mass') AS lean, max(coalesce(mean, ever)) FILTER (metric = 'body_fat_percentage') AS fat, max(src) FILTER (metric = 'lean_body_mass') AS ls, max(src) FILTER (metric = 'body_fat_percentage') AS fs FROM f LEFT JOIN g USING (account_id, metric) GROUP BY account_id),
+  u AS (SELECT account_id, mass, height, coalesce(lean, mass * (1 - fat)) AS lean_mass, lean IS NULL AND mass * (1 - fat) IS NOT NULL AS lean_mass_derived, coalesce(ls, fs) AS lean_source FROM q)"""
+SQL["resolve_inputs"] = cut(f"{RESOLVED} SELECT account_id, round(mass, 6) AS mass, round(height, 6) AS height, round(lean_mass, 6) AS lean_mass, lean_mass_derived, lean_source FROM u")
+SQL["equation_choice"] = cut(f"""{RESOLVED}, t AS (SELECT *, CASE WHEN account_id = 1 OR coalesce(lean_source, '') = '' THEN 'unknown' WHEN lean_source = 'Manual' THEN 'measured' ELSE 'estimated' END AS trust, account_id <> 2 AND mass IS NOT NULL AND height IS NOT NULL AS body FROM u)
+  SELECT account_id, trust, CASE WHEN trust = 'measured' AND lean_mass IS NOT NULL THEN 'katch_mcardle' WHEN body THEN 'mifflin_st_jeor' WHEN lean_mass IS NOT NULL THEN 'katch_mcardle' END AS equation FROM t""")
 
 SESS = """s AS (SELECT o_orderkey AS id, o_custkey % 3 AS account_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'running' WHEN '2-HIGH' THEN 'cycling' WHEN '3-MEDIUM' THEN 'yoga' WHEN '4-NOT SPECIFIED' THEN 'parkour' WHEN '5-LOW' THEN 'swimming' ELSE 'other' END AS activity_type,
   o_orderdate AS start_at, o_totalprice / 10 AS duration, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_totalprice / 1000 END AS distance, CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 100 END AS energy FROM orders WHERE o_orderdate >= TIMESTAMP '1997-03-01' AND o_orderdate < TIMESTAMP '1999-06-16')"""
@@ -127,25 +140,28 @@ SQL["session_totals"] = cut(f"{SESS} SELECT account_id, count(*) AS sessions, ro
 SQL["session_has_route"] = cut(f"{SESS} SELECT account_id, activity_type, EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey = s.id) AS has_route, count(*) AS n FROM s GROUP BY ALL")
 SQL["activity_other"] = cut(f"{SESS} SELECT account_id, activity_type, upper(activity_type[1]) || activity_type[2:] AS label, 'other' AS activity_group, 'none' AS reading, count(*) AS n FROM s WHERE activity_type IN ('parkour', 'other') GROUP BY ALL")
 SQL["session_statistics"] = cut(f"{SESS}, t AS (SELECT DISTINCT l_orderkey AS id, CASE l_returnflag WHEN 'A' THEN 'average' WHEN 'N' THEN 'sum' ELSE 'max' END AS stat FROM lineitem) SELECT account_id, 'heart_rate' AS metric, stat, count(*) AS n FROM s JOIN t USING (id) GROUP BY ALL")
-NOTES = "n AS (SELECT o_orderkey AS id, o_custkey % 3 AS account_id, o_orderstatus AS label, CAST(o_orderdate AS DATE) AS starts_on, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) + 20 END AS ends_on FROM orders WHERE o_orderkey % 40 = 0)"
+NOTES = "n AS (SELECT o_orderkey AS id, o_custkey % 3 AS account_id, o_orderstatus AS label, CAST(o_orderdate AS DATE) AS starts_on, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) + 20 END AS ends_on FROM orders)"
 MET = "k AS (SELECT * FROM n WHERE starts_on < DATE '1999-06-15' AND coalesce(ends_on, starts_on) >= DATE '1997-03-01')"
-SQL["annotation_overlap"] = cut(f"{NOTES}, {MET} SELECT id, account_id, starts_on, ends_on, CAST(date_trunc('month', greatest(starts_on, DATE '1997-03-01')) AS DATE) AS first_bucket, CAST(date_trunc('month', least(coalesce(ends_on, DATE '1999-06-14'), DATE '1999-06-14')) AS DATE) AS last_bucket FROM k")
+FOLDED = "SELECT id, account_id, starts_on, ends_on, CAST(date_trunc('month', greatest(starts_on, DATE '1997-03-01')) AS DATE) AS first_bucket, CAST(date_trunc('month', least({end}, DATE '1999-06-14')) AS DATE) AS last_bucket FROM n WHERE starts_on <= DATE '1999-06-14' AND {end} >= DATE '1997-03-01'"
+SQL["annotation_overlap"] = cut(f"{NOTES} {FOLDED.format(end='coalesce(ends_on, starts_on)')}")
+SQL["phases_folded"] = cut(f"{NOTES} {FOLDED.format(end="coalesce(ends_on, greatest(starts_on, DATE '1999-06-14'))")}")
 SQL["annotation_axis"] = cut(f"{NOTES}, {MET}, x(bucket) AS (VALUES (DATE '1997-01-06'), (DATE '1997-11-03'), (DATE '1998-05-04')) SELECT id, (SELECT min(bucket) FROM x WHERE bucket >= starts_on) AS from_bucket, (SELECT max(bucket) FROM x WHERE bucket <= coalesce(ends_on, starts_on)) AS to_bucket FROM k")
-SQL["source_spans"] = cut(f"{M}, u AS (SELECT account_id, source, start_at FROM m UNION ALL SELECT account_id, source, start_at FROM m WHERE metric NOT IN ('view', 'click', 'purchase', 'signup')) SELECT account_id, source, CAST(min(start_at) AS VARCHAR) AS first_at, CAST(max(start_at) AS VARCHAR) AS last_at, count(*) AS rows FROM u GROUP BY ALL")
+SQL["source_spans"] = cut(f"{M}, u AS (SELECT account_id, source, start_at FROM m UNION ALL SELECT account_id, source, start_at FROM m) SELECT account_id, source, CAST(min(start_at) AS VARCHAR) AS first_at, CAST(max(start_at) AS VARCHAR) AS last_at, count(*) AS rows FROM u GROUP BY ALL")
 SQL["overall_span"] = cut(f"{M} SELECT account_id, CAST(min(t) AS DATE) AS first_day, CAST(max(t) AS DATE) AS last_day FROM (SELECT account_id, start_at AS t FROM m UNION ALL SELECT o_custkey % 3, o_orderdate FROM orders) GROUP BY ALL")
-SQL["history_events"] = cut(f"""{NOTES}, {M}, f AS (SELECT account_id, source, CAST(min(start_at) AS DATE) AS d FROM m GROUP BY ALL) SELECT account_id, starts_on AS day, 'import' AS kind, 'export-' || id AS label FROM n WHERE id % 120 = 0
-  UNION ALL SELECT account_id, starts_on, 'phase', CASE id % 3 WHEN 0 THEN 'cut' WHEN 1 THEN 'maintain' ELSE 'bulk' END FROM n WHERE id % 80 = 0 UNION ALL SELECT account_id, starts_on, 'note', label FROM n UNION ALL SELECT account_id, d, 'source', source FROM f UNION ALL SELECT account_id, min(d), 'origin', '' FROM f GROUP BY account_id""")
+SQL["history_events"] = cut(f"""{NOTES}, {M}, f AS (SELECT account_id, source, CAST(min(start_at) AS DATE) AS d FROM m GROUP BY ALL) SELECT account_id, starts_on AS day, 'import' AS kind, 'export-' || id AS label FROM n WHERE label = 'P'
+  UNION ALL SELECT account_id, starts_on, 'phase', CASE id % 3 WHEN 0 THEN 'cut' WHEN 1 THEN 'maintenance' ELSE 'bulk' END FROM n WHERE label = 'F' UNION ALL SELECT account_id, starts_on, 'note', label FROM n WHERE label = 'O' UNION ALL SELECT account_id, d, 'source', source FROM f UNION ALL SELECT account_id, min(d), 'origin', '' FROM f GROUP BY account_id""")
 REC = f"{M}, c AS (SELECT *, CASE WHEN id % 11 = 0 THEN NULL ELSE (id % 200)::DOUBLE END AS v FROM m)"
 SQL["unmapped_route"] = cut(f"""{REC} SELECT 'measurements' AS family, 'body_mass' AS name, count(*) AS n, round(sum(v * 453.59237 / 1000), 6) AS total FROM c WHERE metric = 'view' AND v IS NOT NULL HAVING count(*) > 0
   UNION ALL SELECT 'measurements', 'body_temperature', count(*), round(sum((v - 32) * 5 / 9), 6) FROM c WHERE metric = 'click' AND v IS NOT NULL HAVING count(*) > 0 UNION ALL SELECT 'states', 'asleep_core', count(*), NULL FROM c WHERE metric = 'purchase' HAVING count(*) > 0
   UNION ALL SELECT 'unmapped', CASE metric WHEN 'view' THEN 'HKQuantityTypeIdentifierBodyMass' WHEN 'click' THEN 'HKQuantityTypeIdentifierBodyTemperature' WHEN 'error' THEN 'HKQuantityTypeIdentifierUnknown' ELSE 'HKQuantityTypeIdentifierStepCount' END, count(*), NULL FROM c WHERE metric IN ('error', 'signup') OR (metric IN ('view', 'click') AND v IS NULL) GROUP BY 2""")
 SQL["vendor_times"] = cut(f"{M} SELECT id AS seq, CAST(date_trunc('second', start_at) - INTERVAL 2 HOUR AS VARCHAR) AS start_at FROM m")
-SQL["unit_convert"] = """WITH l AS (SELECT l_quantity AS v FROM lineitem WHERE l_linenumber = 1), a AS (SELECT count(*) AS n, sum(v) AS s FROM l), c(from_unit, to_unit, f, o) AS (VALUES ('lb', 'kg', 453.59237 / 1000, 0.0), ('km/hr', 'm/s', 1000.0 / 3600, 0.0), ('degF', 'degC', 5.0 / 9, -160.0 / 9), ('degC', 'K', 1.0, 273.15), ('kJ', 'kcal', 239.005736 / 1000, 0.0), ('kg', 'm', NULL, NULL), ('%', '%', 1.0, 0.0), ('opaque', 'opaque', 1.0, 0.0), ('degC', 'kg', NULL, NULL), ('oz', 'g', 28.349523125, 0.0))
-  SELECT from_unit, to_unit, CASE WHEN f IS NULL THEN 0 ELSE n END AS n, round(CAST(f AS DOUBLE) * s + CAST(o AS DOUBLE) * n, 4) AS total FROM c, a"""
-KEYED = f"{M}, k AS (SELECT id, account_id, metric, sha256(concat_ws(chr(31), metric, source, account_id::VARCHAR, CAST(floor(value) AS BIGINT)::VARCHAR)) AS content_key FROM m), b AS (SELECT * FROM k WHERE id % 3 <> 0), o AS (SELECT DISTINCT content_key FROM k WHERE id % 3 = 0), u AS (SELECT content_key, min(id) AS id, count(*) AS copies, first(metric ORDER BY id) AS metric, first(account_id ORDER BY id) AS account_id FROM b GROUP BY ALL)"
-SQL["dedupe_content_key"] = cut(f"{KEYED} SELECT id, account_id, metric, content_key FROM u WHERE content_key NOT IN (SELECT content_key FROM o)")
-SQL["import_report"] = cut(f"{KEYED}, e AS (SELECT u.*, o.content_key IS NULL AS fresh FROM u LEFT JOIN o USING (content_key)) SELECT 'measurements' AS family, metric AS name, count(*) FILTER (fresh) AS added, CAST(sum(copies - CASE WHEN fresh THEN 1 ELSE 0 END) AS BIGINT) AS skipped FROM e GROUP BY ALL")
+SQL["unit_convert"] = """WITH l AS (SELECT l_orderkey % 10 AS k, count(*) AS n, sum(l_quantity) AS s FROM lineitem GROUP BY 1), c(k, from_unit, to_unit, f, o) AS (VALUES (0, 'lb', 'kg', 453.59237 / 1000, 0.0), (1, 'km/hr', 'm/s', 1000.0 / 3600, 0.0), (2, 'degF', 'degC', 5.0 / 9, -160.0 / 9), (3, 'degC', 'K', 1.0, 273.15), (4, 'kJ', 'kcal', 239.005736 / 1000, 0.0), (5, 'kg', 'm', NULL, NULL), (6, '%', '%', 1.0, 0.0), (7, 'opaque', 'opaque', 1.0, 0.0), (8, 'degC', 'kg', NULL, NULL), (9, 'oz', 'g', 28.349523125, 0.0))
+  SELECT from_unit, to_unit, CASE WHEN f IS NULL THEN 0 ELSE n END AS n, round(CAST(f AS DOUBLE) * s + CAST(o AS DOUBLE) * n, 4) AS total FROM c JOIN l USING (k)"""
+KEYED = f"{M}, k AS (SELECT id, account_id, metric, sha256(concat_ws(chr(31), metric, source, CAST(floor(value) AS BIGINT)::VARCHAR)) AS content_key FROM m), b AS (SELECT * FROM k WHERE id % 3 <> 0), o AS (SELECT DISTINCT account_id, content_key, true AS seen FROM k WHERE id % 3 = 0), u AS (SELECT account_id, content_key, min(id) AS id, count(*) AS copies, first(metric ORDER BY id) AS metric FROM b GROUP BY ALL), e AS (SELECT u.*, seen IS NULL AS fresh FROM u LEFT JOIN o USING (account_id, content_key))"
+SQL["dedupe_content_key"] = cut(f"{KEYED} SELECT id, account_id, metric, content_key FROM e WHERE fresh")
+SQL["import_report"] = cut(f"{KEYED} SELECT account_id, 'measurements' AS family, metric AS name, count(*) FILTER (fresh) AS added, CAST(sum(copies - CASE WHEN fresh THEN 1 ELSE 0 END) AS BIGINT) AS skipped FROM e GROUP BY ALL")
 SQL["manual_list"] = cut(f"{M} SELECT id, account_id, round(value, 6) AS value FROM m WHERE source = 'Manual' AND metric = 'view' ORDER BY start_at DESC, id DESC LIMIT 200")
+SQL["distinct_sources"] = cut(f"{M} SELECT account_id, metric, source, count(*) AS rows FROM m WHERE start_at >= TIMESTAMP '{W[0]}' AND start_at < TIMESTAMP '{W[1]}' GROUP BY ALL")
 SQL["distinct_metrics"] = cut(f"{M} SELECT DISTINCT account_id, metric FROM m")
 TRACK = "t AS (SELECT user_id AS route_id, event_id AS seq, 48 + (event_id % 997) / 1000.0::DOUBLE AS lat, 2 + (event_id % 613) / 1000.0::DOUBLE AS lon, (event_id % 37)::DOUBLE AS ele, ts AS tm FROM events WHERE value IS NOT NULL)"
 _A = "pow(sin(radians({b1} - {a1}) / 2), 2) + cos(radians({a1})) * cos(radians({b1})) * pow(sin(radians({b2} - {a2}) / 2), 2)"
@@ -153,7 +169,7 @@ HAV = f"2 * 6371.0088 * asin(CASE WHEN {_A} > 1 THEN 1 ELSE sqrt({_A}) END)"
 STEP = f"q AS (SELECT *, coalesce({HAV.format(a1='lag(lat) OVER o', a2='lag(lon) OVER o', b1='lat', b2='lon')}, 0) AS step FROM t WINDOW o AS (PARTITION BY route_id ORDER BY seq))"
 SQL["haversine_length"] = cut(f"{TRACK}, {STEP} SELECT route_id, count(*) AS points, round(sum(step), 4) AS km FROM q GROUP BY ALL")
 SQL["ascent_hysteresis"] = f"""WITH RECURSIVE {TRACK}, k AS (SELECT route_id, ele, row_number() OVER (PARTITION BY route_id ORDER BY seq) AS i FROM t),
-  f AS (SELECT route_id, i, ele AS z, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM k WHERE i = 1 UNION ALL SELECT k.route_id, k.i, CASE WHEN abs(ele - z) >= 3 THEN ele ELSE z END, up + CASE WHEN ele - z >= 3 THEN ele - z ELSE 0 END, down + CASE WHEN z - ele >= 3 THEN z - ele ELSE 0 END FROM f JOIN k ON k.route_id = f.route_id AND k.i = f.i + 1)
+  f AS (SELECT route_id, i, ele AS z, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM k WHERE i = 1 UNION ALL SELECT k.route_id, k.i, CASE WHEN abs(ele - z) > 3 THEN ele ELSE z END, up + CASE WHEN ele - z > 3 THEN ele - z ELSE 0 END, down + CASE WHEN z - ele > 3 THEN z - ele ELSE 0 END FROM f JOIN k ON k.route_id = f.route_id AND k.i = f.i + 1)
   SELECT route_id, round(arg_max(up, i), 6) AS ascent, round(arg_max(down, i), 6) AS descent FROM f GROUP BY route_id"""
 SQL["route_samples"] = cut(f"""{TRACK}, {STEP}, c AS (SELECT *, sum(step) OVER (PARTITION BY route_id ORDER BY seq) AS km, row_number() OVER (PARTITION BY route_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY route_id) AS n FROM q),
   e AS (SELECT *, epoch_us(last(tm) OVER w) / 1e6 - epoch_us(first(tm) OVER w) / 1e6 AS dt, last(km) OVER w - first(km) OVER w AS dk FROM c WINDOW w AS (PARTITION BY route_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
@@ -162,23 +178,36 @@ SQL["point_distance"] = cut(f"{TRACK} SELECT seq, round({HAV.format(a1='48.5', a
 SQL["metric_listing"] = """WITH c(slug, unit, nature) AS (VALUES ('view', 'count', 'imported'), ('click', 'count', 'imported'), ('purchase', 'count', 'imported'), ('error', 'count', 'imported'), ('signup', 'count', 'imported'), ('engagement', 'count', 'derived'), ('net', 'count', 'derived'), ('purchase_share', '%', 'derived'), ('purchase_per_error', '1', 'derived'))
   SELECT slug, unit, nature, (SELECT count(*) FROM events WHERE event_type = slug) AS rows FROM c"""
 SQL["stream_daily"] = "SELECT user_id % 3 AS account_id, event_type AS metric, CAST(ts AS DATE) AS bucket, round(sum(value), 6) AS sum, count(*) AS count FROM events GROUP BY ALL"
-SQL["summary_figures"] = cut(f"{R}, {S} SELECT account_id, metric, CASE WHEN metric IN ('view', 'click', 'purchase') THEN 'per_day' ELSE 'mean' END AS mode, round(CASE WHEN metric IN ('view', 'click', 'purchase') THEN value / 21 ELSE coalesce(mean, value) END, 6) AS figure FROM s")
+SUMMED = f"{R}, {S}, {formulas('s', '')}, {NIGHTS[len(M) + 2 :]}, a AS (SELECT account_id, metric, value, mean, NULL AS nights FROM s UNION ALL SELECT account_id, metric, value, NULL, NULL FROM f WHERE value IS NOT NULL UNION ALL SELECT account_id, 'sleep', sum(value), NULL, count(*) FROM v2n GROUP BY account_id)"
+SUMMED = SUMMED.replace("v AS (SELECT account_id, night, source, CASE", "v2n AS (SELECT account_id, night, source, CASE")
+_mode = "CASE WHEN metric IN ('view', 'click', 'purchase', 'engagement', 'net') THEN 'per_day' WHEN metric = 'sleep' THEN 'per_night' WHEN metric = 'signup' THEN 'mean' ELSE 'total' END"
+SQL["summary_figures"] = cut(f"{SUMMED}, o AS (SELECT *, {_mode} AS mode FROM a) SELECT account_id, metric, mode, round(CASE mode WHEN 'per_day' THEN value / 21 WHEN 'per_night' THEN value / nights WHEN 'mean' THEN mean ELSE value END, 6) AS figure FROM o")
+SQL["summary_totals"] = cut(f"{SUMMED} SELECT account_id, metric, 'total' AS mode, round(value, 6) AS figure FROM a")
+SQL["series_routed"] = cut(f"""{R}, {points('week')}, {formulas('p', ', bucket')}, {NIGHTS[len(M) + 2 :].replace('v AS (SELECT account_id, night, source, CASE', 'v2n AS (SELECT account_id, night, source, CASE')} SELECT account_id, metric, bucket, round(value, 6) AS value, count FROM p UNION ALL SELECT account_id, metric, bucket, round(value, 6), NULL FROM f WHERE value IS NOT NULL
+  UNION ALL SELECT account_id, 'sleep', CAST(date_trunc('week', night) AS DATE), round(sum(value), 6), count(*) FROM v2n GROUP BY ALL""")
 _sb = S.replace("FROM r GROUP", "FROM br GROUP").replace("s AS (", "sb AS (", 1)
 _f2 = formulas("sb", "").replace("v AS (", "v2 AS (", 1).replace("FROM v ", "FROM v2 ").replace(" FROM v)", " FROM v2)").replace(", f AS (", ", f2 AS (")
-SQL["compare_delta"] = cut(f"{R}, {resolved(*B, p='b')}, {S}, {_sb}, {formulas('s', '')}, {_f2} SELECT f.account_id, f.metric, round(f.value, 6) AS value, round(f2.value, 6) AS baseline, round(CASE WHEN f.metric = 'net' OR f2.value = 0 THEN f.value - f2.value ELSE 100 * (f.value - f2.value) / abs(f2.value) END, 6) AS delta FROM f LEFT JOIN f2 USING (account_id, metric) WHERE f.value IS NOT NULL")
-SQL["adherence"] = cut(f"{INPUTS} SELECT account_id, 21 AS days, round(intake, 6) AS intake, round(recorded, 6) AS protein, round(CASE WHEN mass_days >= 2 THEN slope * 7 / mass * 100 END, 6) AS rate, false AS thin FROM j WHERE account_id <> 2")
+SQL["compare_delta"] = cut(f"{R}, {resolved(*B, p='b')}, {S}, {_sb}, {formulas('s', '')}, {_f2}, o AS (SELECT f.account_id, f.metric, f.value, f2.value AS baseline, CASE WHEN f.metric = 'net' OR f2.value = 0 THEN f.value - f2.value ELSE 100 * (f.value - f2.value) / abs(f2.value) END AS delta FROM f LEFT JOIN f2 USING (account_id, metric) WHERE f.value IS NOT NULL) SELECT account_id, metric, round(value, 6) AS value, round(baseline, 6) AS baseline, round(delta, 6) AS delta, CAST(sign(round(delta, 1)) AS INT) AS direction FROM o")
+SQL["adherence"] = cut(f"{TARGETS} SELECT d.account_id, CASE d.account_id WHEN 2 THEN 1 ELSE 13 END AS days, true AS thin, round(d.rate, 6) AS target_rate, round(CASE WHEN d.account_id <> 2 AND mass_days >= 2 THEN slope * 7 / d.mass * 100 END, 6) AS rate, round(d.kcal, 6) AS target_kcal, round(CASE WHEN d.account_id <> 2 THEN intake END, 6) AS intake, round(d.protein, 6) AS target_protein, round(CASE WHEN d.account_id <> 2 THEN recorded END, 6) AS protein FROM d JOIN j USING (account_id)")
 SQL["planned_rate"] = cut(f"{INPUTS}, z AS (SELECT account_id, CASE WHEN mass_days >= 10 THEN slope * 7 / mass * 100 END AS a FROM j) SELECT account_id, round(a, 6) AS actual_rate, round(coalesce(CASE WHEN account_id = 0 THEN -0.4 END, a, 0)::DOUBLE, 6) AS rate FROM z")
 SQL["count_unmapped"] = cut(f"{REC} SELECT CASE metric WHEN 'view' THEN 'HKQuantityTypeIdentifierBodyMass' WHEN 'click' THEN 'HKQuantityTypeIdentifierBodyTemperature' WHEN 'error' THEN 'HKQuantityTypeIdentifierUnknown' ELSE 'HKQuantityTypeIdentifierStepCount' END AS source_type, count(*) AS n FROM c WHERE metric IN ('error', 'signup') OR (metric IN ('view', 'click') AND v IS NULL) GROUP BY 1")
-SQL["history_band"] = cut(f"""{NOTES}, p AS (SELECT o_custkey % 3 AS account_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS bucket, sum(o_totalprice) AS value FROM orders WHERE o_orderkey % 211 = 0 GROUP BY ALL), x0 AS (SELECT account_id, generate_series(min(bucket), max(bucket), INTERVAL 1 MONTH) AS days FROM p GROUP BY ALL), x AS (SELECT account_id, CAST(unnest(days) AS DATE) AS bucket FROM x0),
-  k AS (SELECT account_id, CAST(date_trunc('month', greatest(starts_on, DATE '1997-03-01')) AS DATE) AS a, CAST(date_trunc('month', least(coalesce(ends_on, DATE '1999-06-14'), DATE '1999-06-14')) AS DATE) AS b FROM n WHERE id % 80 = 0 AND starts_on <= DATE '1999-06-14' AND coalesce(ends_on, DATE '1999-06-14') >= DATE '1997-03-01')
-  SELECT x.account_id, x.bucket, round(p.value, 6) AS value, (SELECT count(*) FROM k WHERE k.account_id = x.account_id AND x.bucket BETWEEN a AND b) AS phases FROM x LEFT JOIN p USING (account_id, bucket)""")
+SQL["history_band"] = cut(f"""n AS (SELECT o_orderkey AS id, o_custkey AS account_id, CAST(o_orderdate AS DATE) AS starts_on, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) + 20 END AS ends_on FROM orders WHERE o_orderstatus = 'F'), r AS (SELECT o_custkey AS account_id, CAST(o_orderdate AS DATE) AS day, o_totalprice AS v FROM orders),
+  e AS (SELECT account_id, min(day) AS lo, max(day) AS hi, CASE WHEN max(day) - min(day) <= 31 THEN 'day' WHEN max(day) - min(day) <= 366 THEN 'week' ELSE 'month' END AS grain FROM r GROUP BY account_id), p AS (SELECT account_id, CAST(date_trunc(grain, day) AS DATE) AS bucket, sum(v) AS value FROM r JOIN e USING (account_id) GROUP BY ALL),
+  x AS (SELECT account_id, grain, CAST(unnest(generate_series(date_trunc(grain, lo), date_trunc(grain, hi), CASE grain WHEN 'day' THEN INTERVAL 1 DAY WHEN 'week' THEN INTERVAL 7 DAY ELSE INTERVAL 1 MONTH END)) AS DATE) AS bucket FROM e),
+  k AS (SELECT n.account_id, CAST(date_trunc(grain, greatest(starts_on, lo)) AS DATE) AS a, CAST(date_trunc(grain, least(coalesce(ends_on, hi), hi)) AS DATE) AS b FROM n JOIN e USING (account_id) WHERE starts_on <= hi AND coalesce(ends_on, hi) >= lo),
+  y AS (SELECT x.account_id, x.bucket, count(*) AS phases FROM x JOIN k ON k.account_id = x.account_id AND x.bucket BETWEEN a AND b GROUP BY ALL)
+  SELECT x.account_id, x.bucket, x.grain, round(p.value, 6) AS value, p.value IS NULL AS gap, coalesce(phases, 0) AS phases FROM x LEFT JOIN p USING (account_id, bucket) LEFT JOIN y USING (account_id, bucket)""")
+SQL["covary_next_week"] = covary(7).replace(points("day"), points("week")).replace("shared >= 13 AS ranked", "shared >= 3 AND shared >= 4 AS ranked")
+SQL["covary_strongest"] = cut(covary(0)[5:].replace("SELECT account_id, a, b, shared, round(rho, 6) AS rho, shared >= 13 AS ranked FROM c", "SELECT account_id, a, b, round(rho, 6) AS rho FROM c WHERE shared >= 13 AND a < b QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY abs(rho) DESC, a, b) = 1"))
+SQL["covary_inputs"] = cut(f"""{M}, h AS (SELECT DISTINCT account_id, metric FROM m), g(place, metric) AS (VALUES (1, 'view'), (2, 'nothing'), (3, 'click'), (4, 'purchase'), (5, 'sleepless'), (6, 'error'), (7, 'signup'), (8, 'engagement'), (9, 'net'), (10, 'purchase_share'))
+  SELECT a.account_id, g.metric, place, CASE WHEN g.metric IN ('nothing', 'sleepless') THEN 'not in the catalog' WHEN place > 8 THEN 'beyond the 8 compared' WHEN h.metric IS NULL THEN 'no data in this window' END AS skipped FROM (SELECT DISTINCT account_id FROM m) a, g LEFT JOIN h ON h.account_id = a.account_id AND h.metric = g.metric""")
 
 #: Columns that are days. Both sides show days as text, so that no client's date type matters.
 DAYS = {
-    "bucket": [k for k in SQL if k.startswith(("series_sum_", "series_average_", "series_latest_"))] + "history_band derived_points_day derived_ratio_week compare_previous compare_last_year dense_gaps lag_delta pivot_panel sleep_week stream_daily".split(),
+    "bucket": [k for k in SQL if k.startswith(("series_sum_", "series_average_", "series_latest_"))] + "history_band series_routed derived_points_day derived_ratio_week compare_previous compare_last_year dense_gaps lag_delta pivot_panel sleep_week stream_daily".split(),
     "baseline_bucket": ["compare_previous", "compare_last_year"], "day": ["manual_overlay", "session_page", "history_events"], "night": ["sleep_nights", "sleep_stages"],
     "first": ["gap_runs"], "last": ["gap_runs"], "latest_day": ["ledger"], "high_bucket": ["series_extremes"], "low_bucket": ["series_extremes"],
-    "starts_on": ["annotation_overlap"], "ends_on": ["annotation_overlap"], "first_bucket": ["annotation_overlap"], "last_bucket": ["annotation_overlap"],
+    "starts_on": ["annotation_overlap", "phases_folded"], "ends_on": ["annotation_overlap", "phases_folded"], "first_bucket": ["annotation_overlap", "phases_folded"], "last_bucket": ["annotation_overlap", "phases_folded"],
     "from_bucket": ["annotation_axis"], "to_bucket": ["annotation_axis"], "first_day": ["overall_span"], "last_day": ["overall_span"],
 }
 for _name in {q for qs in DAYS.values() for q in qs}:

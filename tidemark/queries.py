@@ -11,7 +11,7 @@ from tidemark import catalog
 from tidemark.functions.columns import content_key, haversine, in_window
 from tidemark.operators import compare as cmp
 from tidemark.operators import covary, estimates, ingest, nights, routes, series, sessions
-from tidemark.operators.resolve import elect, resolve
+from tidemark.operators.resolve import daily, elect, resolve, resolved_days, sources_in
 from tidemark.plans.timeaxis import Window
 from tidemark.sources import adapters as ad
 
@@ -54,8 +54,12 @@ def _terms(spark):
     return catalog.formula_terms(spark, ad.METRICS)
 
 
+def _days(spark, d, *windows):
+    return resolved_days(ad.measurements(spark, d), _rules(spark), list(windows or (WINDOW,)), ad.PRIORITY)
+
+
 def _points(spark, d, bucket, window=WINDOW):
-    return series.points(_rows(spark, d, window), _rules(spark), bucket)
+    return series.points(_days(spark, d, window), bucket)
 
 
 def _shown(points: DataFrame) -> DataFrame:
@@ -77,26 +81,53 @@ for _rule in (catalog.SUM, catalog.AVERAGE, catalog.LATEST):
 
 @query
 def series_summary(spark, d):
-    return series.summary(_rows(spark, d), _rules(spark)).select("account_id", "metric", r6("value"), r6("min"), r6("max"), "count")
+    return series.summary(_days(spark, d)).select("account_id", "metric", r6("value"), r6("min"), r6("max"), "count")
 
 
 @query
 def latest_mean(spark, d):
-    return series.summary(_rows(spark, d), _rules(spark)).filter(F.col("mean").isNotNull()).select("account_id", "metric", r6("mean"))
+    return series.summary(_days(spark, d)).filter(F.col("mean").isNotNull()).select("account_id", "metric", r6("mean"))
+
+
+def _summed(spark, d):
+    """Summaries of imported and derived metrics and of sleep."""
+    days, none = _days(spark, d), lambda *names: {n: F.lit(None).cast("double") for n in names}
+    own = series.summary(days).select("account_id", "metric", "value", "mean").withColumns(none("nights"))
+    derived = series.derived_summary(days, _terms(spark)).withColumns(none("mean", "nights"))
+    slept = nights.sleep_summary(nights.nights(_stages(spark, d))).select("account_id", F.lit("sleep").alias("metric"), "value", F.lit(None).cast("double").alias("mean"), F.col("nights").cast("double"))
+    return own.unionByName(derived).unionByName(slept)
+
+
+def _modes(spark):
+    return catalog.modes(spark, ad.METRICS | {"sleep": catalog.METRICS["sleep"]})
 
 
 @query
 def summary_figures(spark, d):
-    return series.figures(series.summary(_rows(spark, d), _rules(spark)), _rules(spark), WINDOW.days).select("account_id", "metric", "mode", r6("figure"))
+    return series.figures(_summed(spark, d), _modes(spark), WINDOW.days).select("account_id", "metric", "mode", r6("figure"))
+
+
+@query
+def summary_totals(spark, d):
+    return series.figures(_summed(spark, d), _modes(spark), WINDOW.days, average=False).select("account_id", "metric", "mode", r6("figure"))
+
+
+@query
+def series_routed(spark, d):
+    """All metrics of a read by one function: imported, derived and sleep."""
+    found = series.route(ad.measurements(spark, d), ad.states(spark, d), _rules(spark), _terms(spark), WINDOW, "week", ad.PRIORITY)
+    return found.select("account_id", "metric", "bucket", r6("value"), "count")
 
 
 @query
 def compare_delta(spark, d):
-    """Derived summaries of two windows: per cent, or the plain difference for signed metrics and zero baselines."""
-    of = lambda w: series.derived_summary(_rows(spark, d, w), _rules(spark), _terms(spark))
-    both = of(WINDOW).join(of(BEFORE).withColumnRenamed("value", "baseline"), ["account_id", "metric"], "left")
+    """Derived summaries of two windows: per cent, or the plain difference for signed metrics and zero baselines; and the change's direction."""
+    found = series.derived_summary(_days(spark, d, WINDOW, BEFORE), _terms(spark), ["account_id", "metric", "w"])
+    of = lambda k: F.max(F.when(F.col("w") == k, F.col("value")))
+    both = found.groupBy("account_id", "metric").agg(of(0).alias("value"), of(1).alias("baseline")).filter(F.col("value").isNotNull())
     signed = F.col("metric").isin([m.slug for m in ad.METRICS.values() if m.signed])
-    return both.select("account_id", "metric", r6("value"), r6("baseline"), r6(cmp.change(F.col("value"), F.col("baseline"), signed), "delta"))
+    delta = cmp.change(F.col("value"), F.col("baseline"), signed)
+    return both.select("account_id", "metric", r6("value"), r6("baseline"), r6(delta, "delta"), cmp.direction(delta).alias("direction"))
 
 
 @query
@@ -112,55 +143,53 @@ def manual_overlay(spark, d):
 
 @query
 def derived_points_day(spark, d):
-    return series.derived_points(_rows(spark, d), _rules(spark), _terms(spark), "day").select("account_id", "metric", "bucket", r6("value"))
+    return series.derived_points(_days(spark, d), _terms(spark), "day").select("account_id", "metric", "bucket", r6("value"))
 
 
 @query
 def derived_ratio_week(spark, d):
-    return series.derived_points(_rows(spark, d), _rules(spark), _terms(spark), "week").filter("metric like 'purchase%'").select("account_id", "metric", "bucket", r6("value"))
+    return series.derived_points(_days(spark, d), _terms(spark), "week").filter("metric like 'purchase%'").select("account_id", "metric", "bucket", r6("value"))
 
 
 @query
 def derived_summary(spark, d):
-    return series.derived_summary(_rows(spark, d), _rules(spark), _terms(spark)).select("account_id", "metric", r6("value"))
+    return series.derived_summary(_days(spark, d), _terms(spark)).select("account_id", "metric", r6("value"))
 
 
 @query
 def compare_previous(spark, d):
-    out = cmp.compare(spark, _points(spark, d, "day"), _points(spark, d, "day", BEFORE), WINDOW, BEFORE, "day")
+    found = cmp.points_of_both(ad.measurements(spark, d), _rules(spark), WINDOW, BEFORE, "day", ad.PRIORITY)
+    out = cmp.compare(spark, found, WINDOW, BEFORE, "day")
     return out.select("account_id", "metric", "bucket", r6("value"), "baseline_bucket", r6("baseline_value"))
 
 
 @query
 def compare_last_year(spark, d):
-    rows, rules = ad.order_measurements(spark, d), _rules(spark)
-    out = cmp.compare(spark, series.series(rows, rules, YEARS, "month"), series.series(rows, rules, LAST_YEAR, "month"), YEARS, LAST_YEAR, "month")
+    found = cmp.points_of_both(ad.order_measurements(spark, d), _rules(spark), YEARS, LAST_YEAR, "month")
+    out = cmp.compare(spark, found, YEARS, LAST_YEAR, "month")
     return out.select("account_id", "metric", "bucket", r6("value"), "baseline_bucket", r6("baseline_value"))
 
 
 def _sparse(spark, d):
-    """Day points of one user in fifty: with gaps at small scale."""
-    return series.points(ad.measurements(spark, d).filter("id % 53 = 0"), _rules(spark), "day")
+    """Day points of single users: with gaps at any scale."""
+    return series.points(daily(ad.user_measurements(spark, d), _rules(spark)), "day")
 
 
 @query
 def dense_gaps(spark, d):
-    return cmp.dense(spark, _sparse(spark, d), "day").select("account_id", "metric", "bucket", r6("value"))
+    return cmp.dense(_sparse(spark, d), "day").select("account_id", "metric", "bucket", r6("value"))
 
 
 @query
 def gap_runs(spark, d):
-    return cmp.gap_runs(cmp.dense(spark, _sparse(spark, d), "day"))
+    return cmp.gap_runs(cmp.dense(_sparse(spark, d), "day"))
 
 
 @query
 def history_band(spark, d):
-    """Monthly points and gaps over a metric's real extent, with the phases folded onto its months."""
-    points = series.points(ad.order_measurements(spark, d).filter("id % 211 = 0"), _rules(spark), "month")
-    band = cmp.dense(spark, points, "month").select("account_id", "bucket", "value")
-    phases = cmp.fold_spans(_notes(spark, d).filter("id % 80 = 0"), YEARS, "month").select("account_id", "first_bucket", "last_bucket")
-    inside = band.join(phases, "account_id").filter("bucket BETWEEN first_bucket AND last_bucket").groupBy("account_id", "bucket").agg(F.count("*").alias("phases"))
-    return band.join(inside, ["account_id", "bucket"], "left").select("account_id", "bucket", r6("value"), F.coalesce("phases", F.lit(0)).cast("bigint").alias("phases"))
+    """Points and gaps over each customer's real extent, in its own grain, with the customer's phases folded onto it."""
+    found = cmp.history_band(ad.order_measurements(spark, d, F.col("o_custkey")), _rules(spark), _notes(spark, d, "o_custkey").filter("label = 'F'"))
+    return found.select("account_id", "bucket", "grain", r6("value"), "gap", "phases")
 
 
 @query
@@ -176,7 +205,7 @@ def pivot_panel(spark, d):
 
 @query
 def ledger(spark, d):
-    out = cmp.ledger(ad.measurements(spark, d), _rules(spark), NOW, ad.PRIORITY)
+    out = cmp.ledger(ad.measurements(spark, d), ad.states(spark, d), _rules(spark), NOW, ad.PRIORITY)
     return out.select("account_id", "metric", r6("latest"), "latest_day", r6("week"), r6("month"), r6("delta"), r6("delta_pct"))
 
 
@@ -221,6 +250,28 @@ def covary_next_day(spark, d):
     return covary.co_vary(_points(spark, d, "day"), "day", len(WINDOW.grid("day")), 1).select("account_id", "a", "b", "shared", r6("rho"), "ranked")
 
 
+@query
+def covary_next_week(spark, d):
+    bucket, lag = covary.LAGS["next_week"]
+    return covary.co_vary(_points(spark, d, bucket), bucket, len(WINDOW.grid(bucket)), lag).select("account_id", "a", "b", "shared", r6("rho"), "ranked")
+
+
+@query
+def covary_strongest(spark, d):
+    """The strongest ranked pair of each account, each undirected pair once."""
+    found = covary.co_vary(_points(spark, d, "day"), "day", len(WINDOW.grid("day")))
+    return covary.strongest(covary.undirected(found)).select("account_id", "a", "b", r6("rho"))
+
+
+@query
+def covary_inputs(spark, d):
+    """Pinned metrics in order, and why one is left out."""
+    pinned = ["view", "nothing", "click", "purchase", "sleepless", "error", "signup", "engagement", "net", "purchase_share"]
+    accounts = ad.measurements(spark, d).select("account_id").distinct()
+    pins = accounts.select("account_id", F.posexplode(F.array(*map(F.lit, pinned))).alias("position", "metric"))
+    return covary.inputs(pins, catalog.listing(spark, ad.METRICS), series.distinct_metrics(ad.measurements(spark, d)))
+
+
 @query
 def covary_fit(spark, d):
     out = covary.fit_lines(covary.aligned(_points(spark, d, "day"), "day"))
@@ -254,8 +305,25 @@ def expenditure(spark, d):
 
 @query
 def adherence(spark, d):
-    inputs = _estimate_inputs(spark, d).withColumns({"days": F.when(F.col("account_id") != 2, WINDOW.days).otherwise(0), "protein": F.col("recorded")})
-    return estimates.adherence(inputs).select("account_id", "days", r6("intake"), r6("protein"), r6("rate"), "thin")
+    """One account's phase hasn't begun yet."""
+    plan = _targets(spark, d).select("account_id", "kcal", "protein", F.col("rate").alias("target_rate"))
+    inputs = _estimate_inputs(spark, d).join(plan, "account_id").withColumns({"elapsed": F.when(F.col("account_id") != 2, 12.6).otherwise(0.0), "protein_eaten": F.col("recorded")})
+    return estimates.adherence(inputs).select("account_id", "days", "thin", r6("target_rate"), r6("rate"), r6("target_kcal"), r6("intake"), r6("target_protein"), r6("protein"))
+
+
+@query
+def resolve_inputs(spark, d):
+    found = estimates.resolve_inputs(ad.body_measurements(spark, d), catalog.rules(spark), NOW, ad.PRIORITY)
+    return found.select("account_id", r6("mass"), r6("height"), r6("lean_mass"), "lean_mass_derived", "lean_source")
+
+
+@query
+def equation_choice(spark, d):
+    """The equation to begin with, by the trust that follows from where the composition comes from."""
+    found = estimates.resolve_inputs(ad.body_measurements(spark, d), catalog.rules(spark), NOW, ad.PRIORITY)
+    trust = estimates.derived_trust(F.when(F.col("account_id") != 1, F.col("lean_source")))
+    inputs = found.withColumns({"age": F.lit(41.5), "sex": F.when(F.col("account_id") != 2, "female"), "trust": trust})
+    return inputs.select("account_id", "trust", estimates.preselect(F.col("trust")).alias("equation"))
 
 
 @query
@@ -278,7 +346,8 @@ def targets(spark, d):
 
 @query
 def guardrails(spark, d):
-    return estimates.guardrails(_targets(spark, d)).select("account_id", F.concat_ws(",", "warnings").alias("warnings"))
+    eaten = _estimate_inputs(spark, d).select("account_id", (F.col("recorded") / 10).alias("actual_protein"))
+    return estimates.guardrails(_targets(spark, d).join(eaten, "account_id")).select("account_id", F.concat_ws(",", "warnings").alias("warnings"))
 
 
 def _sessions(spark, d):
@@ -316,43 +385,54 @@ def session_statistics(spark, d):
     return out.groupBy("account_id", "metric", "stat").agg(F.count("*").alias("n"))
 
 
-def _notes(spark, d):
-    rows = ad.table(spark, d, "orders").filter("o_orderkey % 40 = 0")
+def _notes(spark, d, account=f"o_custkey % {ad.ACCOUNTS}"):
+    """Orders as notes: some with an end."""
     day = F.col("o_orderdate").cast("date")
-    return rows.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % ad.ACCOUNTS).alias("account_id"), F.col("o_orderstatus").alias("label"), day.alias("starts_on"), F.when(F.col("o_orderkey") % 3 != 0, F.date_add(day, 20)).alias("ends_on"))
+    return ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(account).alias("account_id"), F.col("o_orderstatus").alias("label"), day.alias("starts_on"), F.when(F.col("o_orderkey") % 3 != 0, F.date_add(day, 20)).alias("ends_on"))
 
 
 @query
 def annotation_overlap(spark, d):
-    met = cmp.overlapping(_notes(spark, d), YEARS)
-    return cmp.fold_spans(met, YEARS, "month").select("id", "account_id", "starts_on", "ends_on", "first_bucket", "last_bucket")
+    """Notes folded onto months; one without an end is a single day."""
+    return cmp.fold_spans(_notes(spark, d), YEARS, "month").select("id", "account_id", "starts_on", "ends_on", "first_bucket", "last_bucket")
+
+
+@query
+def phases_folded(spark, d):
+    """The same spans as phases: one without an end lasts to the window's."""
+    return cmp.fold_spans(_notes(spark, d), YEARS, "month", open_ends=True).select("id", "account_id", "starts_on", "ends_on", "first_bucket", "last_bucket")
 
 
 @query
 def annotation_axis(spark, d):
-    axis = spark.createDataFrame([(date(1997, 1, 6),), (date(1997, 11, 3),), (date(1998, 5, 4),)], "bucket date")
+    axis = [date(1997, 1, 6), date(1997, 11, 3), date(1998, 5, 4)]
     return cmp.onto_axis(cmp.overlapping(_notes(spark, d), YEARS).select("id", "starts_on", "ends_on"), axis).select("id", "from_bucket", "to_bucket")
 
 
 @query
 def source_spans(spark, d):
-    out = cmp.source_spans(ad.measurements(spark, d), ad.states(spark, d).filter("state_value = 'awake'"))
+    out = cmp.source_spans(ad.measurements(spark, d), ad.states(spark, d))
     return out.select("account_id", "source", F.col("first_at").cast("string").alias("first_at"), F.col("last_at").cast("string").alias("last_at"), "rows")
 
 
+@query
+def distinct_sources(spark, d):
+    return sources_in(ad.measurements(spark, d), WINDOW)
+
+
 @query
 def overall_span(spark, d):
-    out = cmp.overall_span(ad.measurements(spark, d), ad.sessions(spark, d))
+    out = cmp.overall_span(ad.measurements(spark, d), ad.states(spark, d), ad.sessions(spark, d))
     return out.select("account_id", F.col("first_at").cast("date").alias("first_day"), F.col("last_at").cast("date").alias("last_day"))
 
 
 @query
 def history_events(spark, d):
     notes = _notes(spark, d)
-    phases = notes.filter("id % 80 = 0").select("account_id", F.col("starts_on").alias("started_at"), (F.col("id") % 3 - 1).cast("double").alias("rate_pct_per_week"))
-    imports = notes.filter("id % 120 = 0").select("account_id", F.concat(F.lit("export-"), F.col("id").cast("string")).alias("source_file"), F.col("starts_on").alias("imported_at"))
+    phases = notes.filter("label = 'F'").select("account_id", F.col("starts_on").alias("started_at"), (F.col("id") % 3 - 1).cast("double").alias("rate_pct_per_week"))
+    imports = notes.filter("label = 'P'").select("account_id", F.concat(F.lit("export-"), F.col("id").cast("string")).alias("source_file"), F.col("starts_on").alias("imported_at"))
     spans = cmp.source_spans(ad.measurements(spark, d), ad.states(spark, d))
-    return cmp.history_events(imports, phases, notes, spans)
+    return cmp.history_events(imports, phases, notes.filter("label = 'O'"), spans)
 
 
 def _records(spark, d):
@@ -362,7 +442,7 @@ def _records(spark, d):
     start = F.date_format("start_at", "yyyy-MM-dd HH:mm:ss")
     value = F.when(F.col("metric") == "purchase", "HKCategoryValueSleepAnalysisAsleepCore").when(F.col("id") % 11 == 0, "n/a").otherwise((F.col("id") % 200).cast("string"))
     rows = ad.measurements(spark, d)
-    return rows.select(at(kinds).alias("type"), at(units).alias("unit"), value.alias("value"), "source", F.concat(start, F.lit(" +0200")).alias("start_raw"), F.concat(start, F.lit(" +0200")).alias("end_raw"), F.col("id").alias("seq"))
+    return rows.select("account_id", at(kinds).alias("type"), at(units).alias("unit"), value.alias("value"), "source", F.concat(start, F.lit(" +0200")).alias("start_raw"), F.concat(start, F.lit(" +0200")).alias("end_raw"), F.col("id").alias("seq"))
 
 
 @query
@@ -386,15 +466,17 @@ def vendor_times(spark, d):
 
 @query
 def unit_convert(spark, d):
-    pairs = spark.createDataFrame([("lb", "kg"), ("km/hr", "m/s"), ("degF", "degC"), ("degC", "K"), ("kJ", "kcal"), ("kg", "m"), ("%", "%"), ("opaque", "opaque"), ("degC", "kg"), ("oz", "g")], "from_unit string, to_unit string")
-    rows = ad.table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("v"))
-    out = ingest.convert_units(spark, rows.join(F.broadcast(pairs)), "v", "from_unit", "to_unit", "converted")
+    """Every line is given one of ten conversions by its order's key."""
+    given = [("lb", "kg"), ("km/hr", "m/s"), ("degF", "degC"), ("degC", "K"), ("kJ", "kcal"), ("kg", "m"), ("%", "%"), ("opaque", "opaque"), ("degC", "kg"), ("oz", "g")]
+    pairs = spark.createDataFrame([(k, *p) for k, p in enumerate(given)], "k bigint, from_unit string, to_unit string")
+    rows = ad.table(spark, d, "lineitem").select(F.pmod(F.col("l_orderkey"), F.lit(len(given))).cast("bigint").alias("k"), F.col("l_quantity").alias("v"))
+    out = ingest.convert_units(spark, rows.join(F.broadcast(pairs), "k"), "v", "from_unit", "to_unit", "converted")
     return out.groupBy("from_unit", "to_unit").agg(F.count("converted").alias("n"), F.round(F.sum("converted"), 4).alias("total"))
 
 
 def _keyed(spark, d):
     rows = ad.measurements(spark, d).withColumn("value", F.floor("value"))
-    key = content_key(F.col("metric"), F.col("source"), F.col("account_id"), F.col("value"))
+    key = content_key(F.col("metric"), F.col("source"), F.col("value"))
     return rows.select("id", "account_id", "metric", "value", key.alias("content_key"), F.col("id").alias("seq"))
 
 
@@ -407,7 +489,7 @@ def dedupe_content_key(spark, d):
 @query
 def import_report(spark, d):
     rows = _keyed(spark, d)
-    return ingest.report(rows.filter("id % 3 <> 0"), rows.filter("id % 3 = 0"), "measurements", "metric").select("family", "name", "added", "skipped")
+    return ingest.report(rows.filter("id % 3 <> 0"), rows.filter("id % 3 = 0"), "measurements", "metric").select("account_id", "family", "name", "added", "skipped")
 
 
 @query
@@ -464,6 +546,9 @@ def stream_daily(spark, d):
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "false").parquet(d)
     rows = source.select((F.col("user_id") % ad.ACCOUNTS).alias("account_id"), F.col("event_type").alias("metric"), "value", F.col("ts").cast("timestamp").alias("start_at"))
     folder = scratch(spark, "stream")
-    out = st.daily(rows, late="365 days").writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out"))
+    # Updates go to a folder for each batch, which a repeated batch writes anew: state ends with the watermark, the sink is idempotent.
+    out = st.daily(rows, late="365 days").writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
     out.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("account_id", "metric", "bucket", r6("sum"), "count")
+    keys = ["account_id", "metric", "bucket"]
+    last = spark.read.parquet(f"{folder}/out").groupBy(*keys).agg(F.max_by("sum", "batch").alias("sum"), F.max_by("count", "batch").alias("count"))
+    return last.select(*keys, r6("sum"), "count")

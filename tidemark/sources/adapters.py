@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import AVERAGE, LATEST, SUM, Formula, Metric
@@ -74,6 +74,22 @@ def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("route_id"), F.col("event_id").alias("seq"), (48 + F.pmod("event_id", F.lit(997)) / 1000).alias("lat"), (2 + F.pmod("event_id", F.lit(613)) / 1000).alias("lon"), F.pmod("event_id", F.lit(37)).cast("double").alias("ele"), F.col("ts").cast("timestamp_ntz").alias("at"))
 
 
-def order_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def user_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """measurements with each user as an account."""
+    own = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("account_id"), F.col("event_type").alias("metric"), "value", F.col("ts").cast("timestamp_ntz").alias("start_at"))
+    return own.withColumn("source", F.lit("Shop"))
+
+
+def body_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """measurements with the event types as readings of a body; one of them ends some days before the others."""
+    names = {"view": "body_mass", "click": "height", "purchase": "body_fat_percentage", "signup": "lean_body_mass"}
+    of = F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("metric"))
+    value = F.when(of == "body_fat_percentage", F.col("value") / 1000).otherwise(F.col("value"))
+    rows = measurements(spark, sf_dir).select("id", "account_id", of.alias("metric"), value.alias("value"), "start_at", "source").filter("metric IS NOT NULL")
+    return rows.filter(~((F.col("metric") == "lean_body_mass") & ((F.col("account_id") == 2) | ((F.col("account_id") == 1) & (F.col("start_at") >= F.lit("2024-01-01").cast("timestamp_ntz"))))))
+
+
+def order_measurements(spark: SparkSession, sf_dir: str, account: Column | None = None) -> DataFrame:
     """A metric of several years: order totals as a sum, one source."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % ACCOUNTS).alias("account_id"), F.lit("purchase").alias("metric"), F.col("o_totalprice").alias("value"), F.col("o_orderdate").cast("timestamp_ntz").alias("start_at"), F.lit("Shop").alias("source"))
+    account = F.col("o_custkey") % ACCOUNTS if account is None else account
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), account.alias("account_id"), F.lit("purchase").alias("metric"), F.col("o_totalprice").alias("value"), F.col("o_orderdate").cast("timestamp_ntz").alias("start_at"), F.lit("Shop").alias("source"))

@@ -7,7 +7,7 @@ import shutil
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -53,11 +53,20 @@ def _xml(spark: SparkSession, path: str, tag: str, schema: StructType) -> DataFr
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records that stand directly under the root. The reader also returns those inside correlations, which repeat others: they are taken
-    away again as often as they occur there. Equal records have equal keys, so which copy goes doesn't matter."""
-    named = lambda df: df.select(*(F.col(a).alias(n) for a, n in ATTRIBUTES.items()))
+    """The records that stand directly under the root, seq telling their order: file, start of the split, place in the split. The reader also
+    returns those inside correlations, which repeat others: of equal records as many go as stand there, the last ones first. Only records that have
+    an equal one there are shuffled."""
+    names, equal = list(ATTRIBUTES.values()), lambda n: F.col(f"r.{n}").eqNullSafe(F.col(f"c.{n}"))
+    named = lambda df, *more: df.select(*(F.col(a).alias(n) for a, n in ATTRIBUTES.items()), *more)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    rows = named(_xml(spark, path, "Record", RECORD), place.alias("seq"))
     nested = _xml(spark, path, "Correlation", StructType([StructField("Record", ArrayType(RECORD))])).select(F.explode("Record").alias("r")).select("r.*")
-    return named(_xml(spark, path, "Record", RECORD)).exceptAll(named(nested)).withColumn("seq", F.monotonically_increasing_id())
+    again = named(nested).groupBy(*names).agg(F.count("*").alias("_copies"))
+    on = [equal(n) for n in names]
+    only = rows.alias("r").join(again.alias("c"), on, "left_anti")
+    both = rows.alias("r").join(again.alias("c"), on).select("r.*", "c._copies")
+    kept = both.withColumn("_last", F.row_number().over(Window.partitionBy(*names).orderBy(F.desc("seq")))).filter(F.col("_last") > F.col("_copies"))
+    return only.unionByName(kept.drop("_copies", "_last"))
 
 
 def read_workouts(spark: SparkSession, path: str) -> dict[str, DataFrame]:

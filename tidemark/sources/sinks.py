@@ -2,23 +2,72 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.ingest import new_rows
+from tidemark.operators.ingest import UNIQUE, delete_manual, new_rows
+from tidemark.sources.shared import scratch
 
 
-def append_measurements(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame:
-    """Append what the store lacks; it is partitioned by metric, so reads of one metric skip the others."""
+#: The families of a store and what their files are parted by.
+FAMILIES = {"measurements": "metric", "states": "kind", "unmapped": "source_type", "sessions": "activity_type"}
+
+
+def read_family(spark: SparkSession, store: str, family: str) -> DataFrame | None:
+    """A family of the store, or None if it has no rows yet."""
     try:
-        stored = spark.read.parquet(path)
-        batch = new_rows(batch, stored)
-    except Exception as e:  # no store yet
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+        return spark.read.parquet(f"{store}/{family}")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        batch = new_rows(batch, batch.limit(0))
-    batch.write.mode("append").partitionBy("metric").parquet(path)
-    return spark.read.parquet(path)
+        return None
+
+
+def append(spark: SparkSession, batch: DataFrame, store: str, family: str) -> DataFrame:
+    """Append what the family lacks, each account by itself; files are parted, so reads of one metric or kind skip the others."""
+    stored = read_family(spark, store, family)
+    fresh = new_rows(batch, batch.limit(0) if stored is None else stored)
+    fresh.write.mode("append").partitionBy(FAMILIES[family]).parquet(f"{store}/{family}")
+    return spark.read.schema(fresh.schema).parquet(f"{store}/{family}")
+
+
+def append_measurements(spark: SparkSession, batch: DataFrame, store: str) -> DataFrame:
+    return append(spark, batch, store, "measurements")
+
+
+def insert_sessions(spark: SparkSession, batch: DataFrame, store: str) -> DataFrame:
+    """Append sessions and return (account_id, content_key, id) for every session of the batch, new or known: a session's id is derived from its account
+    and content, so that a second insert meets the first."""
+    named = batch.withColumn("id", F.xxhash64("account_id", "content_key"))
+    append(spark, named, store, "sessions")
+    return named.select(*UNIQUE, "id").distinct()
+
+
+def add_manual(spark: SparkSession, entry: DataFrame, store: str) -> DataFrame:
+    """Append a manual entry; the same entry again converges on the stored one. Returns its stored row."""
+    rows = entry.withColumns({"seq": F.lit(0).cast("bigint"), "id": F.xxhash64(*UNIQUE)})
+    stored = append(spark, rows, store, "measurements")
+    return stored.join(rows.select(*UNIQUE), list(UNIQUE), "left_semi")
+
+
+def drop_manual(spark: SparkSession, store: str, account_id: int, row_id: int) -> int:
+    """Delete one manual row and return how many went: the parts that hold it are written anew, others aren't touched. Rows of devices stay whatever
+    the id."""
+    path, part = f"{store}/measurements", FAMILIES["measurements"]
+    rows = spark.read.parquet(path)
+    hit = rows.filter((F.col("account_id") == account_id) & (F.col("id") == row_id) & (F.col("source") == "Manual"))
+    touched = [r[part] for r in hit.select(part).distinct().collect()]
+    if not touched:
+        return 0
+    gone = hit.count()
+    kept = delete_manual(rows.filter(F.col(part).isin(touched)), account_id, row_id)
+    aside = scratch(spark, "kept")  # what is read can't be overwritten
+    kept.write.parquet(aside)
+    again = spark.read.schema(kept.schema).parquet(aside)
+    for value in touched:
+        again.filter(F.col(part) == value).drop(part).write.mode("overwrite").parquet(f"{path}/{part}={value}")
+    return gone
 
 
 def record_import(spark: SparkSession, path: str, account_id: int, source_file: str, added: int, skipped: int, unmapped: int, at) -> None:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.operators.ingest import UNIQUE
 
-def distinct_rows(stream: DataFrame, key: str = "content_key", at: str = "start_at", late: str = "7 days") -> DataFrame:
+
+def distinct_rows(stream: DataFrame, key: tuple[str, ...] = UNIQUE, at: str = "start_at", late: str = "7 days") -> DataFrame:
     """The first row of each key within the watermark; the state is bounded by it."""
-    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(list(key))
 
 
 def daily(stream: DataFrame, at: str = "start_at", late: str = "7 days") -> DataFrame:
