@@ -5,7 +5,10 @@ locates magic bytes, validators walk each candidate's structure and give its len
 stands at offset 0, and confirmed files inside are carved.
 
 Defined results: a null value counts as empty bytes; bytes without a confirmed file at offset 0 have the type
-``application/octet-stream``; equal bytes get equal results; a file that is confirmed inside another one is reported with its own offset.
+``application/octet-stream``; equal bytes get equal results, repeated rows equal rows; an empty table gives an empty result; a file that is confirmed inside
+another one is reported with its own offset; a long value costs memory in proportion to itself (but each GIF magic in it is walked by itself); only the
+named columns are read, so further ones with clashing names don't matter. A PDF's length is that of its first end mark, a FLAC stream's lasts to the end
+of the value: neither format tells its length.
 """
 
 from __future__ import annotations
