@@ -167,7 +167,7 @@ def test_the_field_finds_kinds_that_no_pattern_knows():
 
 def brute_labels(field, shapes):
     """Viterbi by plain loops over one line."""
-    e = field.emissions(pii.padded_lines(shapes, np.array([0]), np.array([len(shapes)])))[0]
+    e = field.unary[pii.features(pii.padded_lines(shapes, np.array([0]), np.array([len(shapes)])))[0]].sum(1)
     best, back = e[0] + field.steps[0], []
     for row in e[1:]:
         via = [[best[x] + field.steps[x, y] for x in range(len(best))] for y in range(len(best))]
@@ -188,6 +188,29 @@ def test_decoding_in_batches_equals_line_by_line():
         assert labels[first : first + n].tolist() == brute_labels(field, tokens.shapes[first : first + n])
 
 
+def test_tokens_left_undecoded_are_o_for_any_field():
+    """Fields with random weights, strong and weak steps: what the decoder skips is O in the plain version too, and some but not all is skipped."""
+    rng = np.random.default_rng(3)
+    text = "\n".join(" ".join(rng.choice(["name", "Anna", "12", "Oak", ":", "the", "x"], rng.integers(1, 30))) for _ in range(40))
+    tokens = pii.Tokens(text)
+    for strength in (0.1, 1.0, 4.0):
+        field = pii.Field(rng.normal(0, 1, (pii.FEATURES, len(pii.LABELS))).astype(np.float32), rng.normal(0, strength, (len(pii.LABELS),) * 2).astype(np.float32))
+        field.unary[:, 0] += 0.6
+        doubt = field.undecided(field.emissions(tokens.shapes, tokens.first, tokens.lengths))
+        labels = field.decode(tokens.shapes, tokens.first, tokens.lengths)
+        for first, n in zip(tokens.first, tokens.lengths, strict=True):
+            assert labels[first : first + n].tolist() == brute_labels(field, tokens.shapes[first : first + n])
+        assert strength > 1 or 0 < doubt.sum() < len(doubt)
+
+
+def test_texts_read_in_groups_equal_texts_read_alone(monkeypatch):
+    texts = ["Dear Mr. Taylor, hello.", "", None, "DOB: 11/12/1983\n" * 20, "x@y.org", "lives at 99 Birch Street, Dover now"] * 3
+    alone = [pii.find_pii([t])[0] for t in texts]
+    for bound in (1, 30, 400):
+        monkeypatch.setattr(pii, "CHARACTERS_TOGETHER", bound)
+        assert pii.find_pii(texts) == alone
+
+
 def test_long_texts_are_read_whole():
     import time
 

@@ -1,7 +1,9 @@
 """PII: a linear-chain conditional random field over word-shape features, beside four fixed patterns.
 
 The field is trained in numpy on the labelled table below (a template is filled with several numbers) by maximum likelihood. It reads every token of
-every text, line by line, and is decoded by Viterbi in numpy batches of lines of like length, so that padding and memory stay bounded. It knows
+every text, line by line. A token whose emissions are for O by more than any steps around it could make up for is O on the best path whatever its
+neighbours are; the runs of other tokens between these are decoded by Viterbi in numpy batches of runs of like length, so that padding and memory stay
+bounded. The field knows
 kinds that no pattern can tell (names, addresses, dates of birth, numbers of documents), by the words around them; its spans of the kinds that have a form
 of their own must hold what that form requires (an at-sign, digits, a checksum), and are added where no base span of the same kind lies.
 
@@ -113,15 +115,17 @@ See Section 12, Street 5 of the map|In 12 Days She Came|Oak And Elm And Pine|Ord
 COPIES, EPOCHS, RATE, RIDGE, SEED = 5, 80, 0.1, 1e-4, 11
 FEATURES = 1 << 14
 MOST_NAME_WORDS, MOST_DOCUMENT_CHARACTERS = 6, 24
-#: Tokens, with padding, that are decoded together.
-TOGETHER = 1 << 16
+#: Tokens, with padding, that are decoded together, and characters whose texts are read together (a longer text alone).
+TOGETHER, CHARACTERS_TOGETHER = 1 << 16, 1 << 22
+#: By how much more than needed emissions must be for O if its token isn't decoded; far above what sums of single precision miss.
+SLACK = 0.01
 LABELS = ("O", *FIELD_KINDS)
 CUES = set(
     "email mail e tel phone call fax mobile number reach ip server ping host card visa amex credit ssn social security iban account konto pay version order isbn section page pages "
     "name named mr mrs ms dr dear signed sincerely regards yours patient customer employee contact person spoke full address adresse lives live resides moved ship home street st avenue ave road rd lane drive blvd strasse apt "
     "born geboren birth dob date passport license licence driver id no issued is at on with to am in of and the may march january february april june july august september october november december".split()
 )
-TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
+TOKEN = re.compile(r"([0-9]+|[^\W\d_]+|\S)")
 #: Tokens before and after a token that its features look at, and the shapes that each of them joins.
 BEFORE, AFTER = 3, 3
 TEMPLATES = ((0,), (-1,), (1,), (-1, 0), (0, 1), (-2, -1), (1, 2), (-1, 0, 1), (-3,), (0, 1, 2, 3), (-2, -1, 0), (-3, -2, -1))
@@ -148,11 +152,12 @@ class Tokens:
     """The tokens of a text as arrays: starts, ends, shapes (hashed, with whether white space stands before), and where lines begin and end."""
 
     def __init__(self, text: str):
-        found = [(m.start(), m.end(), _shapes[m[0]]) for m in TOKEN.finditer(text)]
-        self.starts, self.ends = (np.fromiter((t[k] for t in found), np.int64, len(found)) for k in (0, 1))
+        parts = TOKEN.split(text)  # white space and tokens by turns
+        edges = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        self.starts, self.ends, found = edges[:-1:2], edges[1::2], parts[1::2]
         spaced = np.ones(len(found), np.uint64)
         spaced[1:] = self.starts[1:] > self.ends[:-1]
-        self.shapes = np.fromiter((t[2] for t in found), np.uint64, len(found)) ^ spaced
+        self.shapes = np.fromiter(map(_shapes.__getitem__, found), np.uint64, len(found)) ^ spaced
         breaks = np.fromiter((m.start() for m in re.finditer("\n", text)), np.int64)
         line = np.searchsorted(breaks, self.starts)
         self.first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(found) else np.empty(0, np.int64)
@@ -206,51 +211,67 @@ class Field:
     def __init__(self, unary: np.ndarray, steps: np.ndarray):
         self.unary, self.steps = unary, steps
 
-    def emissions(self, padded: np.ndarray) -> np.ndarray:
-        f = features(padded)
-        out = self.unary[f[:, :, 0]]
-        for k in range(1, f.shape[2]):
-            out += self.unary[f[:, :, k]]
+    def emissions(self, shapes: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(tokens, labels): how much the features of each token are for each label."""
+        out = np.empty((len(shapes), len(self.steps)), np.float32)
+        # Lines stand one after another, with as many zeros between them as a feature can see.
+        gap = max(BEFORE, AFTER)
+        places = np.arange(len(shapes)) + np.repeat(gap * np.arange(1, len(first) + 1), lengths)
+        spread = np.zeros(len(shapes) + gap * (len(first) + 1), np.uint64)
+        spread[places] = shapes
+        for lo in range(0, len(shapes), TOGETHER):
+            here = places[lo : lo + TOGETHER]
+            f = features(spread[None, here[0] - BEFORE : here[-1] + AFTER + 1])[0, here - here[0]]
+            e = self.unary.take(f[:, 0], axis=0)
+            for k in range(1, f.shape[1]):
+                e += self.unary.take(f[:, k], axis=0)
+            out[lo : lo + TOGETHER] = e
         return out
 
-    def _viterbi(self, padded: np.ndarray, n: np.ndarray) -> np.ndarray:
-        scores = self.emissions(padded)
-        back = np.zeros(scores.shape, np.int8)
-        best = scores[:, 0] + self.steps[0]
-        ends, to_from = best.copy(), np.ascontiguousarray(self.steps.T)
-        for t in range(1, scores.shape[1]):
-            via = best[:, None, :] + to_from
-            back[:, t] = via.argmax(2)
-            best = via.max(2) + scores[:, t]
-            ends[n == t + 1] = best[n == t + 1]
-        rows, at = np.arange(len(n)), ends.argmax(1)
-        labels = np.zeros(scores.shape[:2], np.int8)
-        for t in range(scores.shape[1] - 1, -1, -1):
+    def undecided(self, emissions: np.ndarray) -> np.ndarray:
+        """Whether a token may have another label than O on a best path: exchanging label k for O changes the two steps beside it, and the gain
+        of that exchange has a least value over all neighbours, or with none after it."""
+        into = (self.steps - self.steps[:, :1]).max(0)
+        out_of = np.maximum((self.steps - self.steps[0]).max(1), 0)
+        return (emissions[:, 1:] + (into + out_of)[1:] + SLACK >= emissions[:, :1]).any(1)
+
+    def _viterbi(self, scores: np.ndarray, n: np.ndarray, closed: np.ndarray) -> np.ndarray:
+        """(tokens, runs): labels of runs of n tokens that start after O and, if closed, end before O. scores: (tokens, labels, runs)."""
+        best = np.empty_like(scores)
+        best[0] = scores[0] + self.steps[0][:, None]
+        for t in range(1, len(scores)):
+            np.add((best[t - 1][:, None, :] + self.steps[:, :, None]).max(0), scores[t], out=best[t])
+        runs = np.arange(len(n))
+        at = (best[n - 1, :, runs] + np.where(closed[:, None], self.steps[:, 0], 0)).argmax(1)
+        labels = np.zeros((len(scores), len(n)), np.int8)
+        into = np.ascontiguousarray(self.steps.T)
+        for t in range(len(scores) - 1, -1, -1):
             inside = t < n
-            labels[inside, t] = at[inside]
+            labels[t, inside] = at[inside]
             if t:
-                at = np.where(inside, back[rows, t, at], at)
+                at = np.where(inside, (best[t - 1].T + into[at]).argmax(1), at)
         return labels
 
     def decode(self, shapes: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The labels of all tokens. Lines of like length are decoded together, TOGETHER tokens at most or a longer line alone."""
+        """The labels of all tokens. Runs of like length are decoded together, TOGETHER tokens at most or a longer run alone."""
         out = np.zeros(len(shapes), np.int8)
-        order = np.argsort(lengths, kind="stable")
-        lo = 0
+        emissions = self.emissions(shapes, first, lengths)
+        doubt, begins = self.undecided(emissions), np.zeros(len(shapes) + 1, bool)
+        begins[first] = begins[-1] = True
+        starts = np.flatnonzero(doubt & (begins[:-1] | ~np.concatenate(([False], doubt[:-1]))))
+        ends = np.flatnonzero(doubt & (begins[1:] | ~np.concatenate((doubt[1:], [False])))) + 1
+        sizes, closed = ends - starts, ~begins[ends]
+        order, lo = np.argsort(sizes, kind="stable"), 0
         while lo < len(order):
-            hi = lo + 1
-            while hi < len(order) and (hi + 1 - lo) * int(lengths[order[hi]]) <= TOGETHER:
-                hi = min(len(order), hi + max(1, (hi - lo) // 2))
-                while hi - lo > 1 and (hi - lo) * int(lengths[order[hi - 1]]) > TOGETHER:
-                    hi -= 1
-                    if (hi - lo + 1) * int(lengths[order[hi]]) > TOGETHER:
-                        break
+            # Runs are sorted by length: the last one tells how wide all are.
+            width = sizes[order[lo : lo + TOGETHER]]
+            hi = lo + max(1, int(np.searchsorted(width * np.arange(1, len(width) + 1), TOGETHER, side="right")))
             here = order[lo:hi]
-            n = lengths[here]
-            labels = self._viterbi(padded_lines(shapes, first[here], n), n)
-            inside = np.arange(labels.shape[1])[None, :] < n[:, None]
-            out[(first[here][:, None] + np.arange(labels.shape[1])[None, :])[inside]] = labels[inside]
-            lo = hi
+            n, lo = sizes[here], hi
+            inside = np.arange(int(n.max()))[:, None] < n
+            places = np.where(inside, starts[here] + np.arange(len(inside))[:, None], 0)
+            scores = np.ascontiguousarray(emissions[places].transpose(0, 2, 1))
+            out[places[inside]] = self._viterbi(scores, n, closed[here])[inside]
         return out
 
 
@@ -363,9 +384,16 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int
 
 def find_pii(texts: list[str | None], field: Field | None = None) -> list[list[tuple[str, int, int]]]:
     """Base spans and the field's further ones, by kind as listed and start."""
-    texts = [t or "" for t in texts]
+    texts, field = [t or "" for t in texts], field or trained_field()
+    groups, size = [[]], 0
+    for text in texts:
+        if groups[-1] and size + len(text) > CHARACTERS_TOGETHER:
+            groups.append([])
+            size = 0
+        groups[-1].append(text)
+        size += len(text)
     out = []
-    for text, more in zip(texts, field_spans(texts, field or trained_field()), strict=True):
+    for text, more in zip(texts, (spans for group in groups for spans in field_spans(group, field)), strict=True):
         base = base_spans(text)
         new = [s for s in more if not any(s[0][4:] == k and s[1] < b and a < s[2] for k, a, b in base)]
         out.append(sorted(base + new, key=lambda s: (KINDS.index(s[0]), s[1])))
