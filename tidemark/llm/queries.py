@@ -16,6 +16,9 @@ WHERE = {
     "op8_pii": "pii",
     "op9_quality_rules": "quality",
     "op10_near_duplicates": "near_duplicates",
+    "op11_importance_resampling": "resampling",
+    "op12_pu_quality": "pu_quality",
+    "op13_filter_audit": "filter_audit",
 }
 
 
@@ -24,6 +27,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from tidemark.llm.filter_audit import OP13_SQL
     from tidemark.llm.quality import OP9_SQL
 
-    return {"op9_quality_rules": OP9_SQL}
+    return {"op9_quality_rules": OP9_SQL, "op13_filter_audit": OP13_SQL}
