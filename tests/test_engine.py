@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import catalog
+from tidemark.functions.columns import bucket_key
 from tidemark.operators import compare, covary, estimates, ingest, nights, routes, series, sessions
-from tidemark.operators.resolve import resolve, resolved_days
+from tidemark.operators.resolve import has_rows, resolve, resolved_days
 from tidemark.plans.timeaxis import Window
 
 WATCH, PHONE = "My Apple Watch", "An iPhone"
@@ -78,7 +79,7 @@ def test_manual_overlay(spark):
     rows = [("body_fat_percentage", 0.27, "01-03T08:00"), ("body_fat_percentage", 0.22, "01-03T06:00", "Manual")]
     assert values(day_points(spark, rows)) == {("body_fat_percentage", "01-03"): 0.22}
     rows = [("steps", 5, "01-10", "Manual")]
-    found = resolve(measured(spark, rows), JAN).first()
+    found = resolve(measured(spark, rows), catalog.rules(spark), JAN).first()
     assert found["reported_source"] == "Manual"
     outside = [("steps", 7, "01-02T12:00"), ("steps", 9, "01-02T08:00", "Manual")]
     late = Window(datetime(2024, 1, 2, 10), datetime(2024, 1, 5))
@@ -128,6 +129,9 @@ def test_sleep(spark):
     assert [(r["value"], r["count"]) for r in folded] == [(660, 2), (420, 1)]
     stages = nights.fold_stages(nights.stage_minutes(slept(spark, week), JAN), "month").first()["states"]
     assert stages == {"asleep": 1080.0}
+    many = [(s, "01-10T0%d:00" % k, "01-10T0%d:30" % k, WATCH) for k, s in enumerate(("awake", "asleep_rem", "zone", "asleep_deep", "asleep_core"))]
+    shown = nights.fold_stages(nights.stage_minutes(slept(spark, many), JAN), "day").select(F.map_keys("states").alias("k")).first()["k"]
+    assert list(shown) == ["asleep_deep", "asleep_core", "asleep_rem", "awake", "zone"]
 
 
 def test_covary(spark):
@@ -208,7 +212,8 @@ def test_heights_count_beyond_the_step(spark):
 def test_open_spans(spark):
     rows = spark.createDataFrame([(1, date(2024, 1, 3), None), (2, date(2024, 1, 3), date(2024, 3, 1)), (3, date(2024, 1, 9), date(2024, 1, 2))], "id int, starts_on date, ends_on date")
     of = lambda open_ends: {r["id"]: (r["first_bucket"].day, r["last_bucket"].day) for r in compare.fold_spans(rows, JAN, "day", open_ends=open_ends).collect()}
-    assert of(False) == {1: (3, 3), 2: (3, 31)} and of(True) == {1: (3, 31), 2: (3, 31)}
+    # A note that is the wrong way round is turned; a phase that ends before it starts is none.
+    assert of(False) == {1: (3, 3), 2: (3, 31), 3: (2, 9)} and of(True) == {1: (3, 31), 2: (3, 31)}
     rates = spark.createDataFrame([(-0.5,), (0.0,), (0.2,)], "r double").select(compare.phase_kind(F.col("r")).alias("k")).collect()
     assert [r["k"] for r in rates] == ["cut", "maintenance", "bulk"]
 
@@ -263,8 +268,171 @@ def test_summary_modes(spark):
 def test_reads_scan_once_and_dont_sort_raw_rows(spark):
     from tidemark.queries import QUERIES
 
-    for name in ("series_sum_day", "series_summary", "compare_previous", "compare_delta", "derived_points_day"):
+    for name in ("series_sum_day", "series_summary", "compare_previous", "compare_delta", "derived_points_day", "source_election", "manual_overlay", "unmapped_route", "sleep_nights", "sleep_summary"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan parquet") == 1, name
         raw = plan[plan.index("FileScan parquet") - 1500 :]
         assert "SortAggregate" not in raw.split("Exchange")[-1], name
+    # Measurements once, and each other table as often as it is needed: states; other families; profiles and, for windows and for what is shown, phases twice.
+    for name, scans in {"series_routed": 2, "summary_figures": 2, "ledger": 4, "history_band": 2, "adherence_phase": 4, "plan": 4}.items():
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == scans, (name, plan.count("FileScan parquet"))
+
+
+def phased(spark, rows):
+    return spark.createDataFrame(rows, "account_id bigint, id bigint, rate_pct_per_week double, started_at timestamp_ntz, ended_at timestamp_ntz")
+
+
+def daily_of(metric, days, value, account=1, source="Scale"):
+    return [(metric, value(k), f"01-{k + 1:02d}T08:00", source, account) for k in range(days)]
+
+
+def test_adherence_over_windows_of_accounts_own(spark):
+    """Three accounts in one plan: twenty days of a phase, one that opens now, and one whose readings before the phase don't count, nor does a source elected outside."""
+    now = datetime(2024, 1, 21)
+    rows = [*daily_of("dietary_energy", 20, lambda k: 2100), *daily_of("dietary_protein", 20, lambda k: 118), *daily_of("body_mass", 20, lambda k: 92 - 1.2 * k / 19), *daily_of("dietary_energy", 20, lambda k: 2100, 2)]
+    rows += [("dietary_energy", 9000, "01-09T08:00", "A", 3), ("dietary_energy", 1000, "01-10T11:00", "A", 3), ("dietary_energy", 1500, "01-10T13:00", "B", 3), ("dietary_energy", 1700, "01-12T13:00", "B", 3)]
+    rows += [("dietary_protein", 80, "01-11T08:00", "A", 3), ("dietary_protein", 90, "01-11T09:00", "Manual", 3)]
+    phases = phased(spark, [(1, 1, -0.5, datetime(2024, 1, 1), None), (1, 9, 0.1, datetime(2023, 1, 1), datetime(2024, 1, 1)), (2, 2, -0.5, now, None), (3, 3, 0.2, datetime(2024, 1, 10, 12), None), (3, 4, 0.9, datetime(2023, 12, 1), None), (4, 5, 0.0, datetime(2024, 1, 5), None)])
+    own = estimates.own_windows(phases, now)
+    figures = estimates.phase_figures(measured(spark, rows), catalog.rules(spark), own)
+    planned = spark.createDataFrame([(k, 2500.0, 133.0) for k in (1, 2, 3)], "account_id bigint, kcal double, protein double")
+    found = {r["account_id"]: r for r in estimates.adherence_of(own, figures, planned).collect()}
+    one = found[1]
+    assert (one["days"], one["thin"], one["intake"], one["protein"], one["target_protein"]) == (20, False, 2100, 118, 133) and one["rate"] < 0
+    assert (found[2]["days"], found[2]["thin"], found[2]["intake"], found[2]["rate"]) == (1, True, None, None)
+    assert (found[3]["days"], found[3]["thin"], found[3]["intake"], found[3]["protein"], found[3]["target_rate"]) == (11, True, 1600, 90, 0.2)
+    assert (found[4]["days"], found[4]["intake"], found[4]["target_kcal"]) == (16, None, None)
+
+
+def test_many_windows_are_joined_by_key_and_salt(spark, monkeypatch):
+    from tidemark.operators import resolve as r
+
+    rows = [*daily_of("dietary_energy", 20, lambda k: 2000 + k), *daily_of("dietary_energy", 20, lambda k: 1000 + k, 2)]
+    own = estimates.own_windows(phased(spark, [(1, 1, 0.0, datetime(2024, 1, 5), None), (2, 2, 0.0, datetime(2024, 1, 9, 12), None)]), datetime(2024, 1, 21))
+    read = lambda: sorted(map(str, estimates.phase_figures(measured(spark, rows), catalog.rules(spark), own).collect()))
+    few = read()
+    monkeypatch.setattr(r, "BROADCAST_ROWS", 1)
+    assert read() == few and len(few) == 2
+
+
+def plan_of(spark, rows, profile, phases=(), now=datetime(2024, 1, 29), **more):
+    people = spark.createDataFrame(profile, "account_id bigint, born date, sex string, trust string")
+    found = estimates.plan(measured(spark, rows), people, phased(spark, list(phases)), catalog.rules(spark), catalog.formula_terms(spark), now, **more)
+    return {r["account_id"]: r for r in found.collect()}
+
+
+def test_plan_is_one_read(spark):
+    """Observed expenditure and targets; the rate of an open phase before the measured one; an empty account; one by recorded and one by predicted expenditure."""
+    rows = [*daily_of("dietary_energy", 28, lambda k: 2078), *daily_of("dietary_protein", 28, lambda k: 100), *daily_of("body_mass", 28, lambda k: 92.75 - 1.75 * k / 27), ("height", 184, "01-02"), ("lean_body_mass", 66.4, "01-03")]
+    rows += [("active_energy", 500, "01-10T08:00", WATCH, 3), ("basal_energy", 1700, "01-10T09:00", WATCH, 3), ("active_energy", 900, "01-11T08:00", WATCH, 3)]
+    rows += [("body_mass", 80, "01-20", "Scale", 4), ("height", 180, "01-02", "Scale", 4)]
+    born = date(1994, 1, 29)
+    people = [(1, born, "male", None), (2, born, "male", None), (3, born, None, None), (4, born, "female", None)]
+    found = plan_of(spark, rows, people)
+    one = found[1]
+    assert one["basis"] == "observed" and one["expenditure"] == pytest.approx(2577, abs=15)
+    assert (one["trust"], one["equation"], one["phase_id"], one["days"], one["lean_mass_derived"]) == ("estimated", "mifflin_st_jeor", None, None, False)
+    assert one["rate"] == one["actual_rate"] < 0 and one["kcal"] == pytest.approx(one["expenditure"] + one["rate"] / 100 * one["mass"] * 1100) and one["warnings"] == []
+    empty = found[2]
+    assert empty["expenditure"] is None and empty["rate"] is None and empty["kcal"] is None and empty["carbs"] is None and empty["trust"] == "unknown"
+    assert (found[3]["basis"], found[3]["expenditure"], found[3]["rate"], found[3]["kcal"]) == ("recorded", 2200, 0, None)
+    assert (found[4]["basis"], found[4]["equation"]) == ("predicted", "mifflin_st_jeor") and found[4]["expenditure"] == pytest.approx(1.375 * (800 + 1125 - 5 * 30 - 161), abs=1)
+    committed = plan_of(spark, rows, people, [(1, 7, -0.5, datetime(2024, 1, 9), None), (4, 8, -2.5, datetime(2024, 2, 1), None)])
+    assert (committed[1]["phase_id"], committed[1]["rate"], committed[1]["days"], committed[1]["thin"], committed[1]["actual_protein"]) == (7, -0.5, 20, False, 100)
+    assert committed[1]["protein"] == pytest.approx(2.0 * 66.4) and committed[1]["warnings"] == ["protein_under_floor"]
+    assert (committed[4]["days"], committed[4]["actual_kcal"], committed[4]["rate"]) == (1, None, -2.5) and {"below_basal", "rate_too_fast"} <= {*committed[4]["warnings"]}
+    assert plan_of(spark, rows, people, preview_rate=0.25)[1]["rate"] == 0.25
+    measured_trust = plan_of(spark, rows, [(1, None, None, "measured")])[1]
+    assert measured_trust["equation"] == "katch_mcardle" and measured_trust["basal_kcal"] == pytest.approx(370 + 21.6 * 66.4)
+
+
+def test_trust_follows_any_manual_row(spark):
+    """An old manual lean mass below a daily scale, or manual body fat beside a scale's lean mass: typed in, so measured."""
+    scale = [("lean_body_mass", 60, f"01-{k:02d}T08:00", "Scale") for k in range(2, 29)]
+    source = lambda rows: estimates.resolve_inputs(measured(spark, rows), catalog.rules(spark), datetime(2024, 2, 1)).first()["lean_source"]
+    assert source(scale) == "Scale"
+    assert source([("lean_body_mass", 61, "01-01T08:00", "Manual"), *scale]) == "Manual"
+    assert source([("body_fat_percentage", 0.2, "01-01T08:00", "Manual"), *scale]) == "Manual"
+    assert source([("body_fat_percentage", 0.2, "01-01T08:00", "Scale")]) == "Scale"
+
+
+def test_history_band_phases_and_gaps(spark):
+    """Two clusters a fortnight apart; phases on the drawn grid; a span that another family began."""
+    mass = [("body_mass", 80, f"01-{d:02d}") for d in (1, 2, 3, 14, 15)]
+    rules = catalog.rules(spark)
+    band = compare.history_band(measured(spark, mass), rules)
+    rows = sorted(band.collect(), key=lambda r: r["bucket"])
+    assert len(rows) == 15 and {r["grain"] for r in rows} == {"day"} and sum(r["gap"] for r in rows) == 10
+    assert [(str(r["first"]), str(r["last"]), r["buckets"]) for r in compare.gap_runs(band).collect()] == [("2024-01-04", "2024-01-13", 10)]
+    every = measured(spark, [("body_mass", 80, f"01-{d:02d}") for d in range(1, 29)])
+    kind = "account_id bigint, id bigint, rate_pct_per_week double, started_on date, ended_on date"
+    phases = spark.createDataFrame([(1, 1, -0.5, date(2024, 1, 10), None), (1, 2, 0.2, date(2023, 12, 1), date(2023, 12, 31)), (1, 3, 0.0, date(2024, 1, 9), date(2024, 1, 3))], kind)
+    (only,) = compare.history_phases(phases, compare.history_extent(every)).collect()
+    assert (only["id"], only["kind"], only["rate_pct_per_week"], str(only["from_bucket"]), str(only["to_bucket"]), only["ended_on"]) == (1, "cut", -0.5, "2024-01-10", "2024-01-28", None)
+    # A body mass half a year before ten days of steps: weeks from its first row on, with gaps.
+    early = measured(spark, [("body_mass", 80, "01-10"), *[("steps", 5, f"07-{d:02d}") for d in range(10, 20)]])
+    steps = [r for r in compare.history_band(early, rules).collect() if r["metric"] == "steps"]
+    assert {r["grain"] for r in steps} == {"week"} and min(str(r["bucket"]) for r in steps) == "2024-01-08" and sum(not r["gap"] for r in steps) == 2
+    other = spark.createDataFrame([(1, datetime(2022, 1, 1))], "account_id bigint, start_at timestamp_ntz")
+    assert {r["grain"] for r in compare.history_band(early, rules, [other]).collect()} == {"month"}
+    # A phase that ended in the first bucket before the first row is drawn there.
+    met = spark.createDataFrame([(1, 4, 0.3, date(2024, 1, 1), date(2024, 1, 8))], kind)
+    (only,) = compare.history_phases(met, compare.history_extent(early)).collect()
+    assert (str(only["from_bucket"]), str(only["to_bucket"]), only["kind"]) == ("2024-01-08", "2024-01-08", "bulk")
+    ages = spark.createDataFrame([(1, datetime(1900, 1, 1))], "account_id bigint, start_at timestamp_ntz")
+    assert {(r["metric"], r["bucket"]) for r in compare.history_band(early, rules, [ages]).collect()} == {("steps", None), ("body_mass", None)}
+
+
+def test_direction_follows_what_is_shown(spark):
+    rows = spark.createDataFrame([(100.3, 100.0, False), (100.6, 100.0, False), (99.0, 100.0, False), (0.04, 0.0, False), (0.05, 0.0, False), (-0.3, -0.1, True), (5.0, None, False)], "v double, b double, s boolean")
+    assert [r["d"] for r in rows.select(compare.direction(F.col("v"), F.col("b"), F.col("s")).alias("d")).collect()] == [0, 1, -1, 0, 1, -1, None]
+
+
+def test_pins_take_places_among_known_ones(spark):
+    pinned = ["nothing", "steps", "sleep", "sleepless", "protein_per_kg", *(f"m{k}" for k in range(5)), "body_mass"]
+    pins = spark.createDataFrame([(1, k, m) for k, m in enumerate(pinned)], "account_id bigint, position int, metric string")
+    known = spark.createDataFrame([(m,) for m in pinned if m not in ("nothing", "sleepless")], "slug string")
+    points = spark.createDataFrame([(1, "steps"), (1, "protein_per_kg"), (1, "body_mass"), (2, "sleep")], "account_id bigint, metric string")
+    found = {r["metric"]: (r["place"], r["skipped"]) for r in covary.inputs(pins, known, points).collect()}
+    assert found["nothing"] == (None, "not in the catalog") and found["steps"] == (1, None) and found["sleep"] == (2, "no data in this window")
+    assert found["protein_per_kg"] == (3, None) and found["m4"][0] == 8 and found["body_mass"] == (9, "beyond the 8 compared")
+
+
+def test_notes_onto_an_accounts_own_axis(spark):
+    d = lambda k: date(2024, 1, k)
+    axis = spark.createDataFrame([(1, d(3)), (1, d(10)), (1, d(20)), (2, d(1))], "account_id bigint, bucket date")
+    spans = [(1, 1, d(3), d(3)), (1, 2, d(4), d(9)), (1, 3, d(1), d(15)), (1, 4, d(11), d(25)), (1, 5, d(21), d(22)), (2, 6, d(1), d(9)), (3, 7, d(1), d(2))]
+    frame = spark.createDataFrame(spans, "account_id bigint, id bigint, first_bucket date, last_bucket date")
+    placed = compare.onto_axis(frame, axis)
+    found = {r["id"]: (r["from_bucket"].day, r["to_bucket"].day) for r in placed.collect()}
+    assert found == {1: (3, 3), 2: (10, 10), 3: (3, 10), 4: (20, 20), 6: (1, 1)}
+    assert {(r["account_id"], r["bucket"].day): r["marks"] for r in compare.axis_marks(placed).collect()} == {(1, 3): 2, (1, 10): 1, (1, 20): 1, (2, 1): 1}
+
+
+def test_week_keys(spark):
+    days = spark.createDataFrame([(date(2024, 12, 30),), (date(2021, 1, 3),), (date(2026, 8, 20),)], "d date")
+    of = lambda b: [r["k"] for r in days.select(bucket_key(F.col("d"), b).alias("k")).collect()]
+    assert of("week") == ["2025-W01", "2020-W53", "2026-W34"] and of("month") == ["2024-12", "2021-01", "2026-08"] and of("day")[0] == "2024-12-30"
+
+
+def test_session_details_cursors_and_exclusion(spark):
+    rows = [(k, 1, t, at(f"01-0{d}"), 60.0, None, 5.0) for k, (t, d) in enumerate([("running", 1), ("parkour", 2), ("yoga", 2), ("swimming", 3)])]
+    s = spark.createDataFrame(rows, "id bigint, account_id bigint, activity_type string, start_at timestamp_ntz, duration double, total_distance double, total_energy double")
+    full = sessions.page_with_next(s, size=2).collect()
+    assert [r["id"] for r in full] == [3, 2] and full[0]["next_cursor"] is None
+    assert [r["id"] for r in sessions.page(s, full[1]["next_cursor"], 2).collect()] == [1, 0]
+    assert {r["next_cursor"] for r in sessions.page_with_next(s, size=5).collect()} == {None}
+    assert {r["id"] for r in s.filter(sessions.of_groups(excluded=["yoga", "parkour"])).collect()} == {0, 3}
+    assert {r["id"] for r in s.filter(sessions.of_groups(["cardio"], excluded=["running"])).collect()} == {3} - ({3} if "swimming" not in catalog.GROUPS["cardio"].split() else set())
+    stats = spark.createDataFrame([(2, "heart_rate", "max", 150.0), (2, "heart_rate", "average", 120.0)], "session_id bigint, metric string, stat string, value double")
+    drawn = spark.createDataFrame([(8, 1, 2, "b.gpx", at("01-02T13:00")), (7, 1, 2, "a.gpx", at("01-02T12:00")), (9, 2, 2, "c.gpx", at("01-02T11:00"))], "id bigint, account_id bigint, session_id bigint, artifact string, start_at timestamp_ntz")
+    (one,) = sessions.detail(s, stats, drawn, 1, 2).collect()
+    assert [tuple(x) for x in one["stats"]] == [("heart_rate", "average", 120.0), ("heart_rate", "max", 150.0)] and [x["artifact"] for x in one["routes"]] == ["a.gpx", "b.gpx"]
+    assert sessions.detail(s, stats, drawn, 2, 2).count() == 0
+    assert {r["id"]: (len(r["stats"]), len(r["routes"])) for r in sessions.detail(s, stats, drawn).collect()} == {0: (0, 0), 1: (0, 0), 2: (2, 2), 3: (0, 0)}
+
+
+def test_probes(spark):
+    frame = lambda *ids: spark.createDataFrame([(k,) for k in ids], "account_id bigint")
+    assert {r["account_id"]: r["has_any"] for r in has_rows(frame(1, 2, 3), frame(1, 1), frame(3, 9)).collect()} == {1: True, 2: False, 3: True}

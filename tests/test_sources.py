@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import ingest
-from tidemark.sources import gpx, health_xml, sinks
+from tidemark.operators import incremental
+from tidemark.operators.resolve import daily
+from tidemark.sources import artifacts, gpx, health_xml, sinks
+from tidemark.sources.store import Conflict, Store
 from tidemark.streaming import ingest as streaming
 
 EXPORT = """<?xml version="1.0" encoding="UTF-8"?>
@@ -27,10 +30,11 @@ EXPORT = """<?xml version="1.0" encoding="UTF-8"?>
 
 
 @pytest.fixture
-def export(tmp_path):
+def export(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "e.zip", "w") as z:
         z.writestr("apple_health_export/export.xml", EXPORT)
-    return health_xml.open_export(str(tmp_path / "e.zip"), str(tmp_path))
+    (found,) = artifacts.unpack_exports(spark, str(tmp_path / "e.zip"), str(tmp_path / "unpacked"))
+    return found
 
 
 def test_records(spark, export):
@@ -47,7 +51,7 @@ def test_import_is_idempotent(spark, export, tmp_path):
     batch = ingest.route_records(spark, health_xml.read_records(spark, export), 1)["measurements"]
     assert sinks.append_measurements(spark, batch, str(tmp_path / "store")).count() == 2
     assert sinks.append_measurements(spark, batch, str(tmp_path / "store")).count() == 2
-    seen = ingest.report(batch, spark.read.parquet(str(tmp_path / "store/measurements")), "measurements", "metric").collect()
+    seen = ingest.report(batch, sinks.read_family(spark, str(tmp_path / "store"), "measurements"), "measurements", "metric").collect()
     assert {(r["name"], r["added"], r["skipped"]) for r in seen} == {("steps", 0, 2), ("body_mass", 0, 1)}
 
 
@@ -69,7 +73,7 @@ def test_records_keep_file_order(spark, tmp_path):
 def test_sessions_and_manual_rows_converge(spark, export, tmp_path):
     sessions = health_xml.read_workouts(spark, export)["sessions"].withColumns({"account_id": F.lit(1).cast("bigint"), "seq": F.lit(0)})
     first, second = (sinks.insert_sessions(spark, sessions, str(tmp_path / "store")).collect() for _ in range(2))
-    assert first == second and len(first) == 1 and spark.read.parquet(str(tmp_path / "store/sessions")).count() == 1
+    assert first == second and len(first) == 1 and sinks.read_family(spark, str(tmp_path / "store"), "sessions").count() == 1
     now = datetime(2024, 1, 1, 12)
     store = str(tmp_path / "manual")
     row, again = (sinks.add_manual(spark, ingest.manual_entry(spark, 1, "body_mass", 80.0, now, now), store).collect() for _ in range(2))
@@ -77,7 +81,7 @@ def test_sessions_and_manual_rows_converge(spark, export, tmp_path):
     sinks.add_manual(spark, ingest.manual_entry(spark, 2, "body_mass", 80.0, now, now), store)
     assert sinks.drop_manual(spark, store, 2, row[0]["id"]) == 0
     assert sinks.drop_manual(spark, store, 1, row[0]["id"]) == 1
-    assert [r["account_id"] for r in spark.read.parquet(f"{store}/measurements").collect()] == [2]
+    assert [r["account_id"] for r in sinks.read_family(spark, store, "measurements").collect()] == [2]
 
 
 def test_import_log(spark, tmp_path):
@@ -88,7 +92,8 @@ def test_import_log(spark, tmp_path):
 def test_workouts(spark, export):
     parts = health_xml.read_workouts(spark, export)
     s = parts["sessions"].first()
-    assert (s["activity_type"], s["duration"], s["route_path"]) == ("mixed_cardio", 1800, "/workout-routes/a.gpx")
+    assert (s["activity_type"], s["duration"]) == ("mixed_cardio", 1800)
+    assert [(r["content_key"], r["route_path"]) for r in parts["routes"].collect()] == [(s["content_key"], "/workout-routes/a.gpx")]
     assert (s["total_distance"], s["total_energy"]) == (pytest.approx(4.2037), pytest.approx(412.5))
     stats = {(r["metric"], r["stat"]): r["value"] for r in parts["session_stats"].collect()}
     assert stats == {("active_energy", "sum"): pytest.approx(412.5), ("distance_walking_running", "sum"): pytest.approx(4.2037), ("heart_rate", "average"): 120, ("heart_rate", "min"): 90, ("heart_rate", "max"): 150}
@@ -98,7 +103,6 @@ def test_gpx(spark, tmp_path):
     (tmp_path / "a.gpx").write_text('<gpx xmlns="x"><trk><trkseg><trkpt lat="48" lon="2"><ele>10</ele><time>2024-01-01T08:00:00Z</time></trkpt></trkseg><trkseg><trkpt lat="49" lon="2"/></trkseg></trk></gpx>')
     rows = gpx.read_tracks(spark, str(tmp_path)).orderBy("seq").collect()
     assert [(r["lat"], r["ele"], r["at"]) for r in rows] == [(48, 10, datetime(2024, 1, 1, 8)), (49, None, None)]
-    assert health_xml.route_artifacts(spark, str(tmp_path)).first()["artifact"].endswith(".gpx")
     (tmp_path / "b.gpx").write_text("<gpx><trk>")
     with pytest.raises(Exception, match="ParseError|no element found"):
         gpx.read_tracks(spark, str(tmp_path)).count()
@@ -116,3 +120,168 @@ def test_stream(spark, tmp_path):
 def test_tsv(spark, tmp_path):
     sinks.write_tsv(spark.createDataFrame([(1, "a")], "x int, y string"), str(tmp_path / "t"))
     assert spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).first()["y"] == "a"
+
+
+DEEP = """<?xml version="1.0"?>
+<!DOCTYPE HealthData [ <!ELEMENT HealthData (Record*)> ]>
+<HealthData>
+ <!-- <Record type="x" value="commented"/> -->
+ <Record type='a' sourceName="An &quot;odd&quot; one &amp; &#233;" device="&lt;x>" value="0"><MetadataEntry key="k" value="<"/></Record>
+ <Correlation><Correlation><Record type="a" value="twice nested"/></Correlation><Record type="a" value="nested"/></Correlation>
+ <Workout workoutActivityType="HKWorkoutActivityTypeRunning" duration="1" durationUnit="hr" sourceName="W" startDate="2024-01-03 08:00:00 +0000" endDate="2024-01-03 09:00:00 +0000">
+  <WorkoutActivity><WorkoutActivity><WorkoutEvent><WorkoutStatistics type="HKQuantityTypeIdentifierHeartRate" average="120" unit="count/min"/></WorkoutEvent></WorkoutActivity></WorkoutActivity>
+  <WorkoutRoute sourceName="W" startDate="2024-01-03 08:00:00 +0000" endDate="2024-01-03 08:30:00 +0000"><FileReference path="/workout-routes/a.gpx"/></WorkoutRoute>
+  <WorkoutRoute sourceName="V"><MetadataEntry/><FileReference path="./workout-routes/b.gpx"/></WorkoutRoute>
+ </Workout>
+ <WorkoutStatistics type="HKQuantityTypeIdentifierHeartRate" average="99" unit="count/min"/>
+ <Record type="a" value="1"/>
+</HealthData>""".replace('value="<"', 'value="&lt;"')
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Splits of 100 bytes: most elements lie astride one, and workouts are open over many."""
+    keys = {"spark.sql.files.maxPartitionBytes": "100", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_depth_and_parents_over_splits(spark, tmp_path, small_splits):
+    (tmp_path / "deep.xml").write_text(DEEP)
+    elements = health_xml.read_elements(spark, str(tmp_path / "deep.xml"))
+    assert elements.select("seq.split").distinct().count() > 5
+    found = health_xml.records(elements).orderBy("seq").collect()
+    assert [r["value"] for r in found] == ["0", "1"] and found[0]["source"] == 'An "odd" one & \u00e9'
+    parts = health_xml.workouts(elements)
+    assert [(r["metric"], r["stat"], r["value"]) for r in parts["session_stats"].collect()] == [("heart_rate", "average", 120)]
+    assert [(r["route_path"], r["source"], str(r["end_at"])) for r in parts["routes"].orderBy("seq").collect()] == [("/workout-routes/a.gpx", "W", "2024-01-03 08:30:00"), ("./workout-routes/b.gpx", "V", "None")]
+    assert parts["sessions"].count() == 1
+
+
+def test_splits_say_what_one_split_says(spark, tmp_path, small_splits):
+    (tmp_path / "e.xml").write_text(EXPORT)
+    rows = lambda: sorted(str(tuple(r)[:-1]) for r in health_xml.read_records(spark, str(tmp_path / "e.xml")).collect())
+    cut = rows()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    assert cut == rows() and len(cut) == 5
+
+
+def test_artifacts_are_placed_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    with zipfile.ZipFile(tmp_path / "in/e.zip", "w") as z:
+        z.writestr("apple_health_export/workout-routes/a.gpx", "<gpx>one</gpx>")
+        z.writestr("apple_health_export/workout-routes/b.gpx", "<gpx>two</gpx>")
+        z.writestr("apple_health_export/other.txt", "no route")
+    (tmp_path / "in/c.gpx").write_text("<gpx>one</gpx>")
+    store = tmp_path / "routes"
+    first = artifacts.store_artifacts(spark, str(tmp_path / "in"), str(store)).collect()
+    assert len(first) == 3 and sum(r["written"] for r in first) in (2, 3)
+    names = sorted(p.name for p in store.iterdir() if not p.name.endswith(".crc"))
+    assert names == sorted({r["artifact"] for r in first}) and len(names) == 2
+    times = {p.name: p.stat().st_mtime_ns for p in store.iterdir()}
+    again = artifacts.store_artifacts(spark, str(tmp_path / "in"), f"file://{store}")
+    assert not any(r["written"] for r in again.collect()) and times == {p.name: p.stat().st_mtime_ns for p in store.iterdir()}
+    routes = spark.createDataFrame([("k1", "/workout-routes/a.gpx"), ("k2", "./workout-routes//b.gpx"), ("k3", "/workout-routes/missing.gpx")], "content_key string, route_path string")
+    found = {r["content_key"]: r["artifact"] for r in artifacts.routes_of_export(routes, again).collect()}
+    of = {r["entry"].rpartition("/")[2]: r["artifact"] for r in first}
+    assert found == {"k1": of["a.gpx"], "k2": of["b.gpx"], "k3": None}
+    with pytest.raises(ValueError, match="mount"):
+        artifacts.store_artifacts(spark, str(tmp_path / "in"), "hdfs://nowhere/x")
+
+
+def held(store):
+    return sorted((r["k"], r["p"]) for r in store.read().collect())
+
+
+def test_a_lost_commit_loses_nothing(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path), "family", "p")
+    assert store.read() is None
+    frame = lambda *ks: spark.createDataFrame([(k, "a b%c" if k % 2 else "x") for k in ks], "k bigint, p string")
+    store.append(lambda old: frame(*range(6)))
+    store.append(lambda old: frame(6, 7))
+    before = held(store)
+    one = "k = 3"
+
+    def lost(self, manifest):
+        raise RuntimeError("lost between write and swap")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_commit", lost)
+        for change in (lambda: store.delete(F.expr(one)), lambda: store.append(lambda old: frame(9)), store.compact):
+            with pytest.raises(RuntimeError):
+                change()
+    assert held(store) == before and store.versions() == [1, 2]
+    files = {*store.manifest().files}
+    assert store.delete(F.expr(one)) == 1 and held(store) == [r for r in before if r[0] != 3]
+    assert len(files - {*store.manifest().files}) <= 2  # only the files of the part that holds the row
+    assert store.delete(F.expr(one)) == 0 and store.versions() == [1, 2, 3]
+    assert sorted(r["k"] for r in store.read(store.manifest(2)).collect()) == list(range(8))  # the version before is still there
+    store.compact()
+    assert held(store) == [r for r in before if r[0] != 3]
+    assert store.delete(F.expr("true")) == 7 and store.read().count() == 0
+
+
+def test_commits_that_meet_begin_again(spark, tmp_path, monkeypatch):
+    store, other = (Store(spark, str(tmp_path), "family", "p") for _ in range(2))
+    frame = lambda k: spark.createDataFrame([(k, "a")], "k bigint, p string")
+    plain, met = Store._commit, []
+
+    def late(self, manifest):
+        if self is store and not met:
+            met.append(1)
+            other.append(lambda old: frame(2))
+        plain(self, manifest)
+
+    monkeypatch.setattr(Store, "_commit", late)
+    store.append(lambda old: frame(1))
+    assert held(store) == [(1, "a"), (2, "a")]
+    with pytest.raises(Conflict):
+        plain(store, store.manifest())
+
+
+def test_daily_table_follows_imports(spark, tmp_path, monkeypatch):
+    from tidemark import catalog
+
+    place, rules = str(tmp_path / "store"), catalog.rules(spark)
+    kind = "account_id bigint, id bigint, metric string, value double, start_at timestamp_ntz, source string, content_key string, seq bigint"
+
+    def rows(*parts):
+        out = []
+        for day, hour, metric, value, source in parts:
+            out.append((1, hash((day, hour, metric)) % 10**9, metric, float(value), datetime(2024, 1, day, hour), source, f"{day}/{hour}/{metric}/{value}", 0))
+        return spark.createDataFrame(out, kind)
+
+    batches = [
+        rows((1, 8, "steps", 10, "Watch"), (1, 9, "steps", 5, "Watch"), (2, 8, "heart_rate", 60, "Watch"), (2, 9, "body_mass", 80, "Scale")),
+        rows((3, 8, "steps", 7, "Watch"), (2, 9, "heart_rate", 90, "Watch"), (1, 8, "steps", 10, "Watch")),
+        rows((2, 7, "body_mass", 81, "Scale"), (2, 20, "body_mass", 79, "Scale"), (2, 21, "body_mass", 78, "Manual")),  # late
+    ]
+    table = incremental.daily_store(spark, place)
+    shown = lambda df: sorted(str((r["account_id"], r["metric"], r["source"], str(r["day"]), r["n"], r["k"], r["total"], r["low"], r["high"], r["latest"])) for r in df.collect())
+    whole = lambda: shown(daily(sinks.read_family(spark, place, "measurements"), rules))
+    read, plain = [], Store.read
+    monkeypatch.setattr(Store, "read", lambda self, manifest=None, files=None, file=None: (read.extend(files or []) if self.root.endswith("/daily") else None) or plain(self, manifest, files, file))
+    for k, batch in enumerate(batches):
+        sinks.append_measurements(spark, batch, place)
+        read.clear()
+        incremental.follow(spark, place, rules)
+        touched = {f.split("/")[1] for f in read}
+        assert touched == ({"day=2024-01-02"} if k else set())  # days that the import doesn't touch aren't read
+        assert shown(plain(table)) == whole()
+    assert incremental.follow(spark, place, rules).version == 3  # nothing new
+    manual = sinks.read_family(spark, place, "measurements").filter("source = 'Manual'").first()
+    assert sinks.drop_manual(spark, place, 1, manual["id"]) == 1
+    incremental.follow(spark, place, rules)
+    assert shown(plain(table)) == whole() and not any("Manual" in r for r in whole())
+
+
+def test_json_rows(spark, tmp_path):
+    import json
+
+    sinks.write_json(spark.createDataFrame([(1, None, datetime(2024, 1, 1, 8).date())], "x int, y string, d date"), str(tmp_path / "j"))
+    (line,) = [r["value"] for r in spark.read.text(str(tmp_path / "j")).collect()]
+    assert json.loads(line) == {"x": 1, "y": None, "d": "2024-01-01"}

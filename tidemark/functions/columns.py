@@ -23,6 +23,12 @@ def bucket_of(ts: Column, bucket: str) -> Column:
     return ts.cast("date") if bucket == "day" else F.to_date(F.date_trunc(bucket, ts.cast("date")))
 
 
+def bucket_key(day: Column, bucket: str) -> Column:
+    """The key that a bucket's start stands for: 2026-08-20, 2026-W33 (of the year that holds the week's Thursday) or 2026-08."""
+    week = F.concat_ws("-W", F.extract(F.lit("YEAROFWEEK"), day).cast("string"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"))
+    return {"day": F.date_format(day, "yyyy-MM-dd"), "week": week, "month": F.date_format(day, "yyyy-MM")}[bucket]
+
+
 def night_of(ts: Column) -> Column:
     """The day on which the night that holds ts ends: nights run from noon to noon."""
     return (ts + F.expr("interval 12 hours")).cast("date")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.catalog import AVERAGE, SUM
 from tidemark.functions.columns import STEPS, bucket_of, grid
 from tidemark.operators.nights import ceil_day, nights, stage_minutes
-from tidemark.operators.resolve import resolved_days
-from tidemark.operators.series import KEYS, distinct_metrics, points
+from tidemark.operators.resolve import counting, daily, resolved_days
+from tidemark.operators.series import KEYS, by_rule, distinct_metrics, points
 from tidemark.plans.timeaxis import AxisError, MOST_POINTS, Window, auto_bucket, shift
 
 
@@ -36,16 +36,18 @@ def points_of_both(measurements: DataFrame, rules: DataFrame, window: Window, be
 
 
 def dense(found: DataFrame, bucket: str) -> DataFrame:
-    """Every bucket between a metric's first and last point: (keys, bucket, value), null in gaps."""
+    """Every bucket between a metric's first and last point: (keys, bucket, value), null in gaps. A span of more than MOST_POINTS buckets isn't spread: such a metric
+    has one row with no bucket."""
     extent = found.groupBy(*KEYS).agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
-    days = extent.select(*KEYS, F.explode(F.sequence("lo", "hi", F.expr(STEPS[bucket]))).alias("bucket"))
-    return days.join(found.select(*KEYS, "bucket", "value"), [*KEYS, "bucket"], "left")
+    size = F.months_between("hi", "lo") if bucket == "month" else F.datediff("hi", "lo") / (7 if bucket == "week" else 1)
+    days = F.when(size + 1 > MOST_POINTS, F.array(F.lit(None).cast("date"))).otherwise(F.sequence("lo", "hi", F.expr(STEPS[bucket])))
+    return extent.select(*KEYS, F.explode(days).alias("bucket")).join(found.select(*KEYS, "bucket", "value"), [*KEYS, "bucket"], "left")
 
 
 def gap_runs(densified: DataFrame) -> DataFrame:
     """(keys, first, last, buckets) of each run of buckets without a point."""
     at = W.partitionBy(*KEYS).orderBy("bucket")
-    marked = densified.withColumn("run", F.sum(F.col("value").isNotNull().cast("int")).over(at))
+    marked = densified.filter(F.col("bucket").isNotNull()).withColumn("run", F.sum(F.col("value").isNotNull().cast("int")).over(at))
     return marked.filter(F.col("value").isNull()).groupBy(*KEYS, "run").agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"), F.count("*").alias("buckets")).drop("run")
 
 
@@ -60,9 +62,11 @@ def change(value, baseline, signed):
     return F.when(signed | (baseline == 0), value - baseline).otherwise(100 * (value - baseline) / F.nullif(F.abs(baseline), F.lit(0.0)))
 
 
-def direction(delta):
-    """-1, 0 or 1 for a change that is shown with one decimal: what rounds to nothing has no direction."""
-    return F.signum(F.round(delta, 1)).cast("int")
+def direction(value, baseline, signed):
+    """-1, 0 or 1 for a change as it is shown: per cents without a decimal, plain differences with one; what rounds to nothing has no direction."""
+    difference = value - baseline
+    shown = F.when(signed | (baseline == 0), F.round(F.abs(difference), 1)).otherwise(F.round(F.abs(difference / F.nullif(baseline, F.lit(0.0)) * 100)))
+    return F.when(shown == 0, 0).otherwise(F.signum(difference)).cast("int")
 
 
 def ledger(measurements: DataFrame, states: DataFrame, rules: DataFrame, now, priority: dict | None = None) -> DataFrame:
@@ -107,11 +111,12 @@ def overall_span(*families: DataFrame) -> DataFrame:
 
 
 def fold_spans(spans: DataFrame, window: Window, bucket: str, first: str = "starts_on", last: str = "ends_on", open_ends: bool = False) -> DataFrame:
-    """Spans of days that meet the window, with their first and last bucket in it. open_ends: a span without an end lasts to the window's (phases);
-    else it is a single day (notes)."""
+    """Spans of days that meet the window, with their first and last bucket in it. open_ends: a span without an end lasts to the window's, and one that
+    ends before it starts is none (phases); else one without an end is a single day, and one that is the wrong way round is turned (notes)."""
     lo, hi = F.lit(window.start.date()), F.lit(shift(window.end.date(), days=-1) if window.end == Window.of(window.end.date(), window.end.date()).start else window.end.date())
     a = F.col(first)
     b = F.coalesce(F.col(last), F.greatest(a, hi) if open_ends else a)
+    a, b = (a, b) if open_ends else (F.least(a, b), F.greatest(a, b))
     met = spans.filter((a <= b) & (a <= hi) & (b >= lo))
     return met.withColumns({"first_bucket": bucket_of(F.greatest(a, lo), bucket), "last_bucket": bucket_of(F.least(b, hi), bucket)})
 
@@ -121,40 +126,77 @@ def overlapping(spans: DataFrame, window: Window, first: str = "starts_on", last
     return spans.filter((F.col(first) < F.lit(window.end.date())) & (F.coalesce(last, first) >= F.lit(window.start.date())))
 
 
-def onto_axis(spans: DataFrame, axis: list, first: str = "starts_on", last: str = "ends_on") -> DataFrame:
-    """Spans onto a sparse axis of buckets: the first bucket from the span's start on, the last up to its end. An axis has MOST_POINTS buckets at
-    most, so it is a constant of the plan and nothing is joined."""
-    if len(axis) > MOST_POINTS:
-        raise AxisError(f"more than {MOST_POINTS} points; take a coarser bucket")
-    buckets = F.array(*(F.lit(b) for b in axis)).cast("array<date>")
-    end = F.coalesce(F.col(last), F.col(first))
-    near, far = F.array_min(F.filter(buckets, lambda b: b >= F.col(first))), F.array_max(F.filter(buckets, lambda b: b <= end))
-    return spans.withColumns({"from_bucket": near, "to_bucket": far})
+def onto_axis(spans: DataFrame, axis: DataFrame, first: str = "first_bucket", last: str = "last_bucket") -> DataFrame:
+    """Spans (account_id, id, and their first and last bucket) onto the buckets that their account's data has: from_bucket is the first one from the span's start on,
+    to_bucket the last one up to its end, or from_bucket again where none lies in between; spans behind the last bucket are drawn nowhere and have no row. axis:
+    (account_id, bucket). Both ends are looked up by one window over an account's buckets and ends in order; no bucket is compared with every span."""
+    buckets = axis.select("account_id", "bucket").distinct()
+    # An end before a bucket of the same day sees it ahead; an end after it sees it behind.
+    ends = spans.select("account_id", F.inline(F.array(*(F.struct(F.col(c).alias("at"), F.lit(k).alias("side"), F.struct(*spans.columns).alias("span")) for c, k in ((first, -1), (last, 1))))))
+    points = buckets.select("account_id", F.col("bucket").alias("at"), F.lit(0).alias("side"), F.lit(None).cast(ends.schema["span"].dataType).alias("span"))
+    order = W.partitionBy("account_id").orderBy("at", "side")
+    bucket = F.when(F.col("side") == 0, F.col("at"))
+    ahead = F.first(bucket, ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+    behind = F.last(bucket, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    placed = points.unionByName(ends).withColumns({"ahead": ahead, "behind": behind}).filter("side <> 0")
+    met = placed.groupBy("account_id", "span").agg(F.max(F.when(F.col("side") == -1, F.col("ahead"))).alias("from_bucket"), F.max(F.when(F.col("side") == 1, F.col("behind"))).alias("_to"))
+    return met.filter(F.col("from_bucket").isNotNull()).select("span.*", "from_bucket", F.greatest("from_bucket", "_to").alias("to_bucket"))
 
 
-def history_band(measurements: DataFrame, rules: DataFrame, phases: DataFrame, priority: dict | None = None) -> DataFrame:
-    """(account_id, metric, bucket, grain, value, gap, phases): each metric over its real extent with dated gaps, in the grain that its length asks
-    for (as auto_bucket chooses), and the open or closed phases that its buckets fall into. One read of the rows."""
-    lo, hi = date(1, 1, 2), date(9999, 12, 30)
-    days = resolved_days(measurements, rules, [Window.of(lo, hi)], priority)
-    extent = days.groupBy(*KEYS).agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    length = F.datediff("hi", "lo")
+def axis_marks(placed: DataFrame) -> DataFrame:
+    """(account_id, bucket, marks): how many placed spans begin in each bucket of the axis."""
+    return placed.groupBy("account_id", F.col("from_bucket").alias("bucket")).agg(F.count("*").alias("marks"))
+
+
+def grain_of(first: Column, last: Column) -> Column:
+    """The grain that a history from one day to another is drawn in, as auto_bucket chooses."""
     at = [k for k in range(1, 800) if auto_bucket(k) != auto_bucket(k - 1)]
-    extent = extent.withColumn("grain", F.when(length < at[0], "day").when(length < at[1], "week").otherwise("month"))
-    snapped = lambda c: F.when(F.col("grain") == "day", c).when(F.col("grain") == "week", bucket_of(c, "week")).otherwise(bucket_of(c, "month"))
-    value = F.when(F.col("rule") == SUM, F.sum("total")).when(F.col("rule") == AVERAGE, F.sum("total") / F.sum("k")).otherwise(F.max_by("latest", "latest_at"))
-    found = days.join(extent, KEYS).groupBy(*KEYS, "rule", snapped(F.col("day")).alias("bucket")).agg(value.alias("value")).drop("rule")
-    first, last = snapped(F.col("lo")), snapped(F.col("hi"))
-    step = lambda b: F.sequence(first, last, F.expr(STEPS[b]))
-    grids = extent.select(*KEYS, "grain", F.explode(F.when(F.col("grain") == "day", step("day")).when(F.col("grain") == "week", step("week")).otherwise(step("month"))).alias("bucket"))
-    band = grids.join(found, [*KEYS, "bucket"], "left")
-    # A phase meets a bucket on the months that it touches: equal keys, no comparison of all with all.
-    spans = phases.join(extent, "account_id").withColumns({"_a": F.greatest("starts_on", "lo"), "_b": F.least(F.coalesce("ends_on", "hi"), "hi")}).filter((F.col("starts_on") <= F.coalesce("ends_on", F.greatest("starts_on", "hi"))) & (F.col("_a") <= F.col("_b")))
-    a, b = snapped(F.col("_a")), snapped(F.col("_b"))
-    touched = F.when(F.col("grain") == "day", F.sequence(a, b, F.expr(STEPS["day"]))).when(F.col("grain") == "week", F.sequence(a, b, F.expr(STEPS["week"]))).otherwise(F.sequence(a, b, F.expr(STEPS["month"])))
-    counts = spans.select(*KEYS, F.explode(touched).alias("bucket")).groupBy(*KEYS, "bucket").agg(F.count("*").alias("phases"))
-    out = band.join(counts, [*KEYS, "bucket"], "left")
-    return out.select(*KEYS, "bucket", "grain", "value", F.col("value").isNull().alias("gap"), F.coalesce("phases", F.lit(0)).cast("bigint").alias("phases"))
+    length = F.datediff(last, first)
+    return F.when(length < at[0], "day").when(length < at[1], "week").otherwise("month")
+
+
+def snapped(day: Column) -> Column:
+    """The start of the bucket of the row's grain that holds day."""
+    return F.when(F.col("grain") == "day", day).when(F.col("grain") == "week", bucket_of(day, "week")).otherwise(bucket_of(day, "month"))
+
+
+def history_extent(*families: DataFrame) -> DataFrame:
+    """(account_id, first, last, grain): the days between which an account has rows of any family."""
+    return overall_span(*families).select("account_id", F.col("first_at").cast("date").alias("first"), F.col("last_at").cast("date").alias("last")).withColumn("grain", grain_of(F.col("first"), F.col("last")))
+
+
+def history_band(measurements: DataFrame, rules: DataFrame, others: list[DataFrame] = (), priority: dict | None = None) -> DataFrame:
+    """(account_id, metric, bucket, grain, value, gap): each metric over the span of all that its account has, of any family, in the grain that this span asks
+    for; buckets without a point are gaps, from the account's first row on. others: the other families (account_id, start_at). A span of more than MOST_POINTS
+    buckets isn't drawn: such a metric has one row with no bucket. The measurements are read once: the account's span is a window over its few daily rows, and a
+    metric's grid is spread from one row that holds its points."""
+    lo, hi = date(1, 1, 2), date(9999, 12, 30)
+    window = [Window.of(lo, hi)]
+    own = W.partitionBy("account_id")
+    days = daily(measurements, rules, window).withColumns({"first": F.min("day").over(own), "last": F.max("day").over(own)})
+    counted = counting(days, window, priority)
+    if others:
+        span = history_extent(*others).select("account_id", F.col("first").alias("_first"), F.col("last").alias("_last"))
+        counted = counted.join(span, "account_id", "left").withColumns({"first": F.least("first", "_first"), "last": F.greatest("last", "_last")})
+    found = counted.withColumn("grain", grain_of(F.col("first"), F.col("last"))).groupBy(*KEYS, "rule", "first", "last", "grain", snapped(F.col("day")).alias("bucket")).agg(by_rule().alias("value"))
+    a, b = snapped(F.col("first")), snapped(F.col("last"))
+    size = F.when(F.col("grain") == "day", F.datediff(b, a)).when(F.col("grain") == "week", F.datediff(b, a) / 7).otherwise(F.months_between(b, a)) + 1
+    step = lambda g: F.sequence(a, b, F.expr(STEPS[g]))
+    grid_of = F.when(size > MOST_POINTS, F.array(F.lit(None).cast("date"))).when(F.col("grain") == "day", step("day")).when(F.col("grain") == "week", step("week")).otherwise(step("month"))
+    whole = found.groupBy(*KEYS, "first", "last", "grain").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("_points"))
+    spread = whole.select(*KEYS, "grain", "_points", F.explode(grid_of).alias("bucket"))
+    value = F.when(F.col("bucket").isNotNull(), F.try_element_at("_points", F.col("bucket")))
+    return spread.select(*KEYS, "bucket", "grain", value.alias("value")).withColumn("gap", F.col("value").isNull())
+
+
+def history_phases(phases: DataFrame, extent: DataFrame) -> DataFrame:
+    """(account_id, id, kind, rate_pct_per_week, started_on, ended_on, from_bucket, to_bucket): phases on the buckets of their account's history, clamped to them; an open one
+    lasts to the last day. They meet by bucket: a phase that ended in the first bucket before the first row is drawn there. phases: (account_id, id,
+    rate_pct_per_week, started_on, ended_on); extent: what history_extent says."""
+    met = phases.join(extent, "account_id").withColumn("_end", F.coalesce("ended_on", "last")).filter(F.col("_end") >= F.col("started_on"))
+    a, b, lo, hi = (snapped(F.col(c)) for c in ("started_on", "_end", "first", "last"))
+    placed = met.filter((b >= lo) & (a <= hi))
+    return placed.select("account_id", "id", phase_kind(F.col("rate_pct_per_week")).alias("kind"), "rate_pct_per_week", "started_on", "ended_on", F.greatest(a, lo).alias("from_bucket"), F.least(b, hi).alias("to_bucket"))
 
 
 def phase_kind(rate):

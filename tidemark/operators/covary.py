@@ -45,7 +45,7 @@ def average_rank(value: str, partition: list[str]) -> Column:
 
 
 def co_vary(found: DataFrame, bucket: str, total: int, lag: int = 0) -> DataFrame:
-    """(account_id, a, b, shared, rho, ranked), in no order. Ranks are taken over each
+    """(account_id, a, b, shared, rho, ranked), in no order. found: points of any nature (imported, derived, sleep). Ranks are taken over each
     pair's own shared buckets. Pairs with fewer than LEAST_POINTS have rho 0 and no rank."""
     pair = ["account_id", "a", "b"]
     ranked = aligned(found, bucket, lag).select(*pair, average_rank("x", pair).alias("rx"), average_rank("y", pair).alias("ry"))
@@ -54,9 +54,14 @@ def co_vary(found: DataFrame, bucket: str, total: int, lag: int = 0) -> DataFram
     return stats.select(*pair, "shared", F.when(enough, correlation()).otherwise(0.0).alias("rho"), (enough & (F.col("shared") >= shared_threshold(total))).alias("ranked"))
 
 
-def strongest(pairs: DataFrame) -> DataFrame:
-    """The strongest ranked pair of each account."""
-    least = F.struct((-F.abs("rho")).alias("s"), F.col("a"), F.col("b"))
+def strongest(pairs: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """The strongest ranked pair of each account: of equal ones that whose metrics come first, by pin with places (account_id, metric, place), else by name."""
+    first, second = F.col("a"), F.col("b")
+    if places is not None:
+        at = lambda side: places.select("account_id", F.col("metric").alias(side), F.col("place").alias(f"_{side}"))
+        pairs = pairs.join(at("a"), ["account_id", "a"]).join(at("b"), ["account_id", "b"])
+        first, second = F.col("_a"), F.col("_b")
+    least = F.struct((-F.round(F.abs("rho"), 12)).alias("s"), first.alias("first"), second.alias("second"))
     return pairs.filter("ranked").groupBy("account_id").agg(F.min_by(F.struct("a", "b", "rho"), least).alias("p")).select("account_id", "p.a", "p.b", "p.rho")
 
 
@@ -78,11 +83,19 @@ def slopes(found: DataFrame) -> DataFrame:
     return found.groupBy("account_id", "metric").agg(F.when(F.count("*") >= 2, F.regr_slope(F.col("value"), day)).alias("slope"), F.count("*").alias("points"))
 
 
-def inputs(pins: DataFrame, metrics: DataFrame, present: DataFrame) -> DataFrame:
-    """Pinned metrics in order with the reason why one is left out, if it is: unknown, past the first MOST_METRICS, or without data."""
+def inputs(pins: DataFrame, metrics: DataFrame, points: DataFrame) -> DataFrame:
+    """Pinned metrics in order, with their place among those that the catalog knows (null for others) and the reason why one is left out, if it is: unknown, past the
+    first MOST_METRICS known ones, or without a point in the window. points: what series.route says of the window, so derived metrics and sleep have
+    points as well."""
     known = metrics.select(F.col("slug").alias("metric"), F.lit(True).alias("known"))
-    has = present.select("account_id", "metric").distinct().withColumn("has", F.lit(True))
-    place = F.row_number().over(W.partitionBy("account_id").orderBy("position", "metric"))
-    marked = pins.join(F.broadcast(known), "metric", "left").join(has, ["account_id", "metric"], "left").withColumn("place", place)
+    has = points.select("account_id", "metric").distinct().withColumn("has", F.lit(True))
+    # Unknown pins take no place: the count runs over known ones only.
+    place = F.sum(F.col("known").cast("int")).over(W.partitionBy("account_id").orderBy("position", "metric"))
+    marked = pins.join(F.broadcast(known), "metric", "left").withColumn("place", F.when(F.col("known"), place)).join(has, ["account_id", "metric"], "left")
     reason = F.when(F.col("known").isNull(), "not in the catalog").when(F.col("place") > MOST_METRICS, f"beyond the {MOST_METRICS} compared").when(F.col("has").isNull(), "no data in this window")
     return marked.select("account_id", "metric", "place", reason.alias("skipped"))
+
+
+def of_pins(found: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Points of the pinned metrics that aren't left out, with their place: what co_vary pairs for an account."""
+    return found.join(chosen.filter(F.col("skipped").isNull()).select("account_id", "metric", "place"), ["account_id", "metric"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.resolve import resolved_days
+from tidemark.operators.series import by_rule, evaluate, points
 from tidemark.plans.timeaxis import Window
 
 # Published constants.
@@ -55,32 +56,43 @@ def lean_mass() -> Column:
     return F.coalesce(c("lean_body_mass"), c("mass") * (1 - c("body_fat_percentage")))
 
 
-def daily_inputs(points: DataFrame, origin) -> DataFrame:
-    """One row per account from its day points of dietary_energy, body_mass and total_energy_expenditure: means, counts, and the slope of
-    mass per day. One pass, whatever the number of metrics."""
-    of = lambda m, x=None: F.when(c("metric") == m, c("value") if x is None else x)
+#: What daily_columns says of a window.
+DAILY = ("intake", "intake_days", "mass", "mass_days", "mass_slope", "recorded", "protein_eaten")
+
+
+def daily_columns(origin, inside: Column | None = None) -> list[Column]:
+    """Aggregates over an account's day points (metric, bucket, value) of dietary_energy, dietary_protein, body_mass and total_energy_expenditure, in the order of DAILY: means, counts,
+    and the slope of mass per day. inside: which points count."""
+    wanted = lambda m: c("metric") == m if inside is None else (c("metric") == m) & inside
+    of = lambda m, x=None: F.when(wanted(m), c("value") if x is None else x)
     day = F.datediff(c("bucket"), F.lit(origin)).cast("double")
-    return points.groupBy("account_id").agg(
-        F.avg(of("dietary_energy")).alias("intake"), F.count(of("dietary_energy")).alias("intake_days"), F.avg(of("body_mass")).alias("mass"), F.count(of("body_mass")).alias("mass_days"),
-        F.when(F.count(of("body_mass")) >= 2, F.regr_slope(of("body_mass"), of("body_mass", day))).alias("mass_slope"), F.avg(of("total_energy_expenditure")).alias("recorded"),
-    )
+    slope = F.when(F.count(of("body_mass")) >= 2, F.regr_slope(of("body_mass"), of("body_mass", day)))
+    return [F.avg(of("dietary_energy")), F.count(of("dietary_energy")), F.avg(of("body_mass")), F.count(of("body_mass")), slope, F.avg(of("total_energy_expenditure")), F.avg(of("dietary_protein"))]
+
+
+def daily_inputs(points: DataFrame, origin) -> DataFrame:
+    """One row per account with the columns of DAILY, from its day points. One pass, whatever the number of metrics."""
+    return points.groupBy("account_id").agg(*(x.alias(n) for x, n in zip(daily_columns(origin), DAILY, strict=True)))
 
 
-def observed() -> Column:
-    enough = (c("intake_days") / WINDOW_DAYS >= LEAST_INTAKE_SHARE) & (c("mass_days") >= LEAST_MASS_DAYS)
-    return F.when(enough, c("intake") - c("mass_slope") * KCAL_PER_KG)
+def observed(of: str = "") -> Column:
+    enough = (c(f"{of}intake_days") / WINDOW_DAYS >= LEAST_INTAKE_SHARE) & (c(f"{of}mass_days") >= LEAST_MASS_DAYS)
+    return F.when(enough, c(f"{of}intake") - c(f"{of}mass_slope") * KCAL_PER_KG)
+
+
+def best_expenditure(of: str = "") -> Column:
+    ways = (("observed", observed(of)), ("recorded", c(f"{of}recorded")), ("predicted", c("basal_kcal") * ACTIVITY_FACTOR))
+    return F.coalesce(*(F.when(v.isNotNull(), F.struct(v.alias("kcal"), F.lit(n).alias("basis"))) for n, v in ways))
 
 
 def expenditure(inputs: DataFrame) -> DataFrame:
     """(account_id, kcal, basis): observed from intake and mass, else recorded, else predicted from basal_kcal, else null."""
-    ways = (("observed", observed()), ("recorded", c("recorded")), ("predicted", c("basal_kcal") * ACTIVITY_FACTOR))
-    best = F.coalesce(*(F.when(v.isNotNull(), F.struct(v.alias("kcal"), F.lit(n).alias("basis"))) for n, v in ways))
-    return inputs.select("account_id", best.alias("e")).select("account_id", "e.kcal", "e.basis")
+    return inputs.select("account_id", best_expenditure().alias("e")).select("account_id", "e.kcal", "e.basis")
 
 
-def actual_rate(least: int = LEAST_MASS_DAYS) -> Column:
-    """Per cent of body mass a week; null under least days of mass."""
-    return F.when(c("mass_days") >= least, c("mass_slope") * 7 / F.nullif(c("mass"), F.lit(0.0)) * 100)
+def actual_rate(least: int = LEAST_MASS_DAYS, of: str = "") -> Column:
+    """Per cent of body mass a week; null under least days of mass. of: a prefix of the inputs' names."""
+    return F.when(c(f"{of}mass_days") >= least, c(f"{of}mass_slope") * 7 / F.nullif(c(f"{of}mass"), F.lit(0.0)) * 100)
 
 
 def protein_per_kg(rate: Column) -> Column:
@@ -89,34 +101,47 @@ def protein_per_kg(rate: Column) -> Column:
 
 
 def targets(inputs: DataFrame) -> DataFrame:
-    """inputs (account_id, expenditure, rate, mass, lean_mass) with kcal, protein, fat and carbs in grams."""
+    """inputs (account_id, expenditure, rate, mass, lean_mass) with kcal, protein, fat and carbs in grams; nothing without mass or expenditure."""
     kcal = c("expenditure") + c("rate") / 100 * c("mass") * KCAL_PER_KG / 7
-    out = inputs.withColumn("kcal", kcal).withColumn("protein", protein_per_kg(c("rate")) * F.coalesce("lean_mass", "mass"))
-    out = out.withColumn("fat", F.greatest(FAT_PER_KG * c("mass"), FAT_SHARE * c("kcal") / 9))
-    return out.withColumn("carbs", F.greatest(F.lit(0.0), (c("kcal") - 4 * c("protein") - 9 * c("fat")) / 4))
+    out = inputs.withColumn("kcal", kcal).withColumn("protein", F.when(c("kcal").isNotNull(), protein_per_kg(c("rate")) * F.coalesce("lean_mass", "mass")))
+    out = out.withColumn("fat", F.when(c("kcal").isNotNull(), F.greatest(FAT_PER_KG * c("mass"), FAT_SHARE * c("kcal") / 9)))
+    return out.withColumn("carbs", F.when(c("kcal").isNotNull(), F.greatest(F.lit(0.0), (c("kcal") - 4 * c("protein") - 9 * c("fat")) / 4)))
 
 
-def guardrails(planned: DataFrame) -> DataFrame:
-    """(account_id, warnings) for targets with basal_kcal and actual_protein, the mean that was eaten in the phase (null if there is none)."""
+def warnings() -> Column:
+    """What is worth a warning about targets with basal_kcal and actual_protein, the mean that was eaten in the phase (null if there is none)."""
     rules = {
         "below_basal": c("kcal") < c("basal_kcal"),
         "rate_too_fast": F.abs("rate") > MOST_RATE,
         "no_carbs": c("carbs") == 0,
         "protein_under_floor": (c("rate") < 0) & (c("actual_protein") < c("protein")),
     }
-    return planned.select("account_id", F.array_compact(F.array(*(F.when(v, F.lit(n)) for n, v in rules.items()))).alias("warnings"))
+    return F.array_compact(F.array(*(F.when(v, F.lit(n)) for n, v in rules.items())))
+
+
+def guardrails(planned: DataFrame) -> DataFrame:
+    """(account_id, warnings)."""
+    return planned.select("account_id", warnings().alias("warnings"))
+
+
+def phase_days() -> Column:
+    """The days of a phase so far: one at least."""
+    return F.greatest(F.lit(1), F.round("elapsed").cast("int"))
+
+
+def begun(x: Column) -> Column:
+    """x, for a phase that has begun."""
+    return F.when(c("elapsed") > 0, x)
 
 
 def adherence(inputs: DataFrame) -> DataFrame:
     """inputs (account_id, elapsed days of the phase so far, target_rate, kcal and protein as planned, intake and protein_eaten, mass, mass_slope, mass_days)
     -> (account_id, days, thin, target and actual figures). A phase has at least one day; one that hasn't begun has no actual figures, and every
     account has its row."""
-    begun = c("elapsed") > 0
-    days = F.greatest(F.lit(1), F.round("elapsed").cast("int"))
-    actual = lambda x: F.when(begun, x)
+    days = phase_days()
     return inputs.select(
-        "account_id", days.alias("days"), (days < THIN_DAYS).alias("thin"), c("target_rate"), actual(actual_rate(LEAST_RATE_DAYS)).alias("rate"),
-        c("kcal").alias("target_kcal"), actual(c("intake")).alias("intake"), c("protein").alias("target_protein"), actual(c("protein_eaten")).alias("protein"),
+        "account_id", days.alias("days"), (days < THIN_DAYS).alias("thin"), c("target_rate"), begun(actual_rate(LEAST_RATE_DAYS)).alias("rate"),
+        c("kcal").alias("target_kcal"), begun(c("intake")).alias("intake"), c("protein").alias("target_protein"), begun(c("protein_eaten")).alias("protein"),
     )
 
 
@@ -138,16 +163,99 @@ def preselect(trust: Column) -> Column:
     return F.when(trust == "measured", first(lean + body)).otherwise(first(body + lean))
 
 
+LEAN = ("lean_body_mass", "body_fat_percentage")
+
+
+def _ago(now: datetime) -> list[Window]:
+    """The recent window, and the one that stands for ever."""
+    return [Window(now - timedelta(days=WINDOW_DAYS), now), Window(datetime(now.year - LOOKBACK_YEARS, now.month, min(now.day, 28), now.hour, now.minute), now)]
+
+
+def input_columns() -> list[Column]:
+    """Aggregates over an account's resolved rows (metric, w, total, k, latest, latest_at, winner, manual) of the windows of _ago; see inputs_of."""
+    recent, ever = c("w") == 0, c("w") == 1
+    of = lambda m, w, x: F.when((c("metric") == m) & w, c(x))
+    mean = lambda m: F.sum(of(m, recent, "total")) / F.nullif(F.sum(of(m, recent, "k")), F.lit(0))
+    last = lambda m: F.max_by("latest", of(m, ever, "latest_at"))
+    manual = F.max(c("metric").isin(*LEAN) & c("manual")).alias("_manual")
+    bodies = [F.coalesce(mean(m), last(m)).alias(n) for m, n in (("body_mass", "mass"), ("lean_body_mass", "lean_body_mass"), ("body_fat_percentage", "body_fat_percentage"))]
+    return [*bodies, last("height").alias("height"), manual, *(F.max(of(m, ever, "winner")).alias(f"_{m}_source") for m in LEAN)]
+
+
+def with_inputs(rows: DataFrame) -> DataFrame:
+    """Rows of input_columns with lean_mass, lean_mass_derived and lean_source."""
+    source = F.when(c("_manual"), "Manual").otherwise(F.coalesce(*(f"_{m}_source" for m in LEAN)))
+    return rows.withColumns({"lean_mass": lean_mass(), "lean_mass_derived": c("lean_body_mass").isNull() & lean_mass().isNotNull(), "lean_source": source})
+
+
+def inputs_of(days: DataFrame) -> DataFrame:
+    """(account_id, mass, height, lean_mass, lean_mass_derived, lean_source) of resolved days of the windows of _ago: mass, lean mass and body fat as means of the
+    last WINDOW_DAYS, or the latest value ever (LOOKBACK_YEARS) where there is none; height as the latest ever; lean mass as measured, else mass without its
+    fat. lean_source is Manual once a manual row of either composition metric was stored, whatever is newest and whatever source a series is named after;
+    else the elected source of lean mass, else that of body fat."""
+    found = days.filter(c("metric").isin(*BODY)).withColumn("manual", c("source") == "Manual").groupBy("account_id").agg(*input_columns())
+    return with_inputs(found).select("account_id", "mass", "height", "lean_mass", "lean_mass_derived", "lean_source")
+
+
 def resolve_inputs(measurements: DataFrame, rules: DataFrame, now, priority: dict | None = None) -> DataFrame:
-    """(account_id, mass, height, lean_mass, lean_mass_derived, lean_source): mass, lean mass and body fat as means of the last WINDOW_DAYS, or the latest value
-    ever (LOOKBACK_YEARS) where there is none; height as the latest ever; lean mass as measured, else mass without its fat. One scan."""
-    ever = Window(datetime(now.year - LOOKBACK_YEARS, now.month, min(now.day, 28), now.hour, now.minute), now)
-    days = resolved_days(measurements, rules, [Window(now - timedelta(days=WINDOW_DAYS), now), ever], priority)
-    found = days.filter(c("metric").isin(*BODY)).groupBy("account_id", "metric", "rule").agg(
-        (F.sum(F.when(c("w") == 0, c("total"))) / F.nullif(F.sum(F.when(c("w") == 0, c("k"))), F.lit(0))).alias("mean"),
-        F.max_by("latest", F.when(c("w") == 1, c("latest_at"))).alias("ever"), F.max_by("source", F.when(c("w") == 1, c("latest_at"))).alias("source"),
+    """inputs_of the rows up to now. One scan."""
+    return inputs_of(resolved_days(measurements.filter(c("metric").isin(*BODY)), rules, _ago(now), priority))
+
+
+def own_windows(phases: DataFrame, now) -> DataFrame:
+    """(account_id, phase_id, target_rate, started_at, own_start, own_end, elapsed): each account's open phase, the last one opened, as a window up to now; elapsed in days.
+    A phase that hasn't begun has an empty window. phases: (account_id, id, rate_pct_per_week, started_at, ended_at)."""
+    opened = phases.filter(c("ended_at").isNull() & c("account_id").isNotNull())
+    last = opened.groupBy("account_id").agg(F.max_by(F.struct("id", "rate_pct_per_week", "started_at"), F.struct("started_at", "id")).alias("p"))
+    end = F.lit(str(now)).cast("timestamp_ntz")
+    elapsed = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(c("p.started_at").cast("timestamp"))) / F.lit(86_400e6)
+    return last.select("account_id", c("p.id").alias("phase_id"), c("p.rate_pct_per_week").alias("target_rate"), c("p.started_at").alias("started_at"), c("p.started_at").alias("own_start"), F.greatest(end, c("p.started_at")).alias("own_end"), elapsed.alias("elapsed"))
+
+
+EATEN = ("dietary_energy", "dietary_protein", "body_mass")
+
+
+def phase_figures(measurements: DataFrame, rules: DataFrame, own: DataFrame, priority: dict | None = None) -> DataFrame:
+    """daily_inputs of each account over its own window: election and overlay are decided inside it. Accounts with differing windows are one plan, one scan."""
+    days = resolved_days(measurements.filter(c("metric").isin(*EATEN)), rules, [], priority, own.select("account_id", "own_start", "own_end"))
+    return daily_inputs(points(days, "day"), datetime(2000, 1, 1).date())
+
+
+def adherence_of(phases: DataFrame, figures: DataFrame, planned: DataFrame) -> DataFrame:
+    """adherence of each account with an open phase: phases as own_windows says, figures as phase_figures says, planned: (account_id, kcal, protein)."""
+    return adherence(phases.join(planned, "account_id", "left").join(figures, "account_id", "left"))
+
+
+def plan(measurements: DataFrame, profile: DataFrame, phases: DataFrame, rules: DataFrame, terms: DataFrame, now, preview_rate: float | None = None, priority: dict | None = None) -> DataFrame:
+    """One row an account: inputs, the equation to begin with and its basal_kcal, expenditure and basis, actual_rate, the open phase, the rate in force and the targets for it,
+    adherence, and warnings. profile: (account_id, born, sex, trust): trust is null where the account declares none; every account of it has its row.
+    An account without any basis has no expenditure and nothing that follows from it; one without mass no targets; one without an open phase no adherence. All
+    of it comes from one scan of the measurements: the recent window, the long one and each account's own are resolved side by side."""
+    own = own_windows(phases, now)
+    wanted = {*BODY, *EATEN, "active_energy", "basal_energy"}
+    days = resolved_days(measurements.filter(c("metric").isin(*wanted)), rules, _ago(now), priority, own.select("account_id", "own_start", "own_end"))
+    # Days of each metric and window, then the formulas beside them, then one row an account: one chain of aggregations.
+    carried = ("total", "k", "latest", "latest_at", "winner", "manual")
+    summed = [F.sum("total").alias("total"), F.sum("k").alias("k"), F.max_by("latest", "latest_at").alias("latest"), F.max("latest_at").alias("latest_at"), F.max("winner").alias("winner"), F.max(c("source") == "Manual").alias("manual")]
+    by_day = days.groupBy("account_id", "metric", "rule", "w", c("day").alias("bucket")).agg(by_rule().alias("value"), *summed)
+    found = evaluate(by_day, terms, ["account_id", "w", "bucket"], with_operands=True, carried=carried)
+    origin = datetime(2000, 1, 1).date()
+    figures = [x.alias(f"{of}_{n}") for of, w in (("recent", 0), ("own", 2)) for x, n in zip(daily_columns(origin, c("w") == w), DAILY, strict=True)]
+    read = with_inputs(found.groupBy("account_id").agg(*input_columns(), *figures))
+    rows = profile.join(read, "account_id", "left").join(own, "account_id", "left")
+    rows = rows.withColumns({"age": age(c("born"), F.lit(now.date())), "trust": F.coalesce("trust", derived_trust(c("lean_source")))})
+    rows = rows.withColumn("equation", preselect(c("trust")))
+    rows = rows.withColumn("basal_kcal", F.coalesce(*(F.when(c("equation") == e, basal(e)) for e in NEEDS)))
+    rows = rows.withColumn("_e", best_expenditure("recent_")).withColumns({"expenditure": c("_e.kcal"), "basis": c("_e.basis")})
+    known = lambda x: F.when(c("expenditure").isNotNull(), x)
+    rows = rows.withColumns({"actual_rate": known(actual_rate(of="recent_")), "preview_rate": F.lit(preview_rate).cast("double"), "phase_rate": c("target_rate"), "phase_id": known(c("phase_id"))})
+    rows = targets(rows.withColumn("rate", known(planned_rate())))
+    judged = lambda x: F.when(c("phase_id").isNotNull() & c("kcal").isNotNull(), x)
+    rows = rows.withColumns(
+        {"days": judged(phase_days()), "phase_actual_rate": judged(begun(actual_rate(LEAST_RATE_DAYS, "own_"))), "actual_kcal": judged(begun(c("own_intake"))), "actual_protein": judged(begun(c("own_protein_eaten")))}
+    )
+    shown = rows.withColumns({"thin": c("days") < THIN_DAYS, "warnings": F.when(c("kcal").isNotNull(), warnings())})
+    return shown.select(
+        "account_id", "mass", "height", "lean_mass", "lean_mass_derived", "trust", "equation", "basal_kcal", "expenditure", "basis", "actual_rate",
+        "phase_id", "rate", "kcal", "protein", "fat", "carbs", "days", "thin", "phase_actual_rate", "actual_kcal", "actual_protein", "warnings",
     )
-    of = lambda m, v: F.max(F.when(c("metric") == m, v))
-    now_or_ever = F.coalesce("mean", "ever")
-    wide = found.groupBy("account_id").agg(of("body_mass", now_or_ever).alias("mass"), of("height", c("ever")).alias("height"), of("lean_body_mass", now_or_ever).alias("lean_body_mass"), of("body_fat_percentage", now_or_ever).alias("body_fat_percentage"), of("lean_body_mass", c("source")).alias("_lean"), of("body_fat_percentage", c("source")).alias("_fat"))
-    return wide.select("account_id", "mass", "height", lean_mass().alias("lean_mass"), (c("lean_body_mass").isNull() & lean_mass().isNotNull()).alias("lean_mass_derived"), F.coalesce("_lean", "_fat").alias("lean_source"))

@@ -68,23 +68,42 @@ def activity_type(s: Column) -> Column:
     return snake(F.regexp_replace(s, "^HKWorkoutActivityType", ""))
 
 
-def route_records(spark: SparkSession, records: DataFrame, account_id: int | None = None) -> dict[str, DataFrame]:
-    """records (type, unit, value, source, start_raw, end_raw, seq: all strings but seq; account_id, unless it is given) into measurements, states
-    and unmapped ones."""
+TIMES = ("account_id", "start_at", "end_at", "start_raw", "end_raw", "source", "seq")
+#: What each family keeps of a tagged record, and under which name.
+KEPT = {
+    "measurements": {"metric": "metric", "canonical": "value", "unit": "original_unit"},
+    "states": {"kind": "kind", "state": "state_value"},
+    "unmapped": {"type": "source_type", "value": "value", "unit": "unit"},
+}
+
+
+def tag_records(spark: SparkSession, records: DataFrame, account_id: int | None = None) -> DataFrame:
+    """records (type, unit, value, source, start_raw, end_raw, seq: all strings but seq; account_id, unless it is given) with their family, name in it (metric, state or vendor
+    type), content_key and all that the families keep. Each record is typed, converted and keyed once."""
     if account_id is not None:
         records = records.withColumn("account_id", F.lit(account_id).cast("bigint"))
     typed = records.join(F.broadcast(vendor_types(spark)).withColumnRenamed("unit", "to_unit"), F.col("type") == F.col("vendor_type"), "left").withColumn("number", F.expr("try_cast(value AS double)"))
     typed = convert_units(spark, typed, "number", "unit", "to_unit", "canonical").withColumns({"start_at": vendor_time(F.col("start_raw")), "end_at": vendor_time(F.col("end_raw"))})
-    kind = F.create_map(*(F.lit(x) for kv in STATE_KINDS.items() for x in kv))
-    typed = typed.withColumn("kind", F.element_at(kind, F.col("type")))
-    times = ["account_id", "start_at", "end_at", "start_raw", "end_raw", "source", "seq"]
-    measured = (F.col("kind").isNull()) & F.col("canonical").isNotNull()
-    measurements = typed.filter(measured).select("metric", F.col("canonical").alias("value"), F.col("unit").alias("original_unit"), *times, content_key(F.col("metric"), F.col("source"), F.col("start_raw"), F.col("end_raw"), F.col("value"), F.col("unit")).alias("content_key"))
-    states = typed.filter(F.col("kind").isNotNull()).withColumn("state_value", state_value(F.col("value")))
-    states = states.select("kind", "state_value", *times, content_key(F.lit("state"), F.col("kind"), F.col("source"), F.col("start_raw"), F.col("end_raw"), F.col("value")).alias("content_key"))
-    unmapped = typed.filter(F.col("kind").isNull() & ~F.coalesce(measured, F.lit(False)))
-    unmapped = unmapped.select(F.col("type").alias("source_type"), "value", "unit", *times, content_key(F.col("type"), F.col("source"), F.col("start_raw"), F.col("end_raw"), F.col("value"), F.col("unit")).alias("content_key"))
-    return {"measurements": measurements, "states": states, "unmapped": unmapped}
+    kind = F.element_at(F.create_map(*(F.lit(x) for kv in STATE_KINDS.items() for x in kv)), F.col("type"))
+    family = F.when(kind.isNotNull(), "states").when(F.col("canonical").isNotNull(), "measurements").otherwise("unmapped")
+    tagged = typed.withColumns({"kind": kind, "family": family, "state": state_value(F.col("value"))})
+    spans = ("source", "start_raw", "end_raw", "value", "unit")
+    keys = {
+        "measurements": content_key(F.col("metric"), *map(F.col, spans)), "states": content_key(F.lit("state"), F.col("kind"), *map(F.col, spans[:-1])), "unmapped": content_key(F.col("type"), *map(F.col, spans)),
+    }
+    of = lambda by: F.when(F.col("family") == "measurements", by["measurements"]).when(F.col("family") == "states", by["states"]).otherwise(by["unmapped"])
+    return tagged.withColumns({"content_key": of(keys), "name": of({"measurements": F.col("metric"), "states": F.col("state"), "unmapped": F.col("type")})})
+
+
+def of_family(tagged: DataFrame, family: str) -> DataFrame:
+    """The rows of one family of tagged records, with its columns."""
+    return tagged.filter(F.col("family") == family).select(*(F.col(c).alias(n) for c, n in KEPT[family].items()), *TIMES, "content_key")
+
+
+def route_records(spark: SparkSession, records: DataFrame, account_id: int | None = None) -> dict[str, DataFrame]:
+    """records into measurements, states and unmapped ones. To read more than one of them, write what tag_records says by family first, as an import does."""
+    tagged = tag_records(spark, records, account_id)
+    return {family: of_family(tagged, family) for family in KEPT}
 
 
 #: What makes a row one row: accounts never share rows.

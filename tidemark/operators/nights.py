@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.catalog import PRIORITY
@@ -28,13 +29,16 @@ def stage_minutes(states: DataFrame, window: Window, priority: dict | None = Non
     lo, hi = ceil_day(window.start), ceil_day(window.end)
     near = states.filter((F.col("kind") == "sleep") & (F.col("start_at") >= stamp(shift(lo, days=-1))) & (F.col("start_at") < stamp(shift(hi, days=1))))
     rows = near.withColumn("night", night_of(F.col("start_at"))).filter((F.col("night") >= F.lit(lo)) & (F.col("night") < F.lit(hi)))
-    staged = F.col("state_value").startswith(ASLEEP)
-    ranked = F.struct(source_rank(F.col("source"), F.lit("sleep"), PRIORITY if priority is None else priority).alias("rank"), F.col("source"))
-    winners = rows.groupBy("account_id", "night").agg(F.coalesce(F.min(F.when(staged, ranked)), F.min(ranked)).alias("best"), F.max(staged).alias("staged"))
-    kept = rows.join(winners.select("account_id", "night", F.col("best.source").alias("source"), "staged"), ["account_id", "night", "source"])
-    kept = kept.filter(~((F.col("state_value") == IN_BED) & F.col("staged")))
     minutes = (F.unix_micros(F.col("end_at").cast("timestamp")) - F.unix_micros(F.col("start_at").cast("timestamp"))) / F.lit(60e6)
-    return kept.filter(minutes > 0).groupBy("account_id", "night", "source", "state_value").agg(F.sum(minutes).alias("minutes"))
+    # Once by night, source and stage; the election then sees a few rows a night.
+    summed = rows.groupBy("account_id", "night", "source", "state_value").agg(F.sum(F.when(minutes > 0, minutes)).alias("minutes"))
+    night = W.partitionBy("account_id", "night")
+    asleep = F.col("state_value").startswith(ASLEEP)
+    ranked = F.struct(source_rank(F.col("source"), F.lit("sleep"), PRIORITY if priority is None else priority).alias("rank"), F.col("source"))
+    best = F.coalesce(F.min(F.when(asleep, ranked)).over(night), F.min(ranked).over(night))
+    marked = summed.withColumns({"_best": best, "_staged": F.max(asleep).over(night)})
+    kept = marked.filter((F.col("source") == F.col("_best.source")) & ~((F.col("state_value") == IN_BED) & F.col("_staged")) & F.col("minutes").isNotNull())
+    return kept.select("account_id", "night", "source", "state_value", "minutes")
 
 
 def nights(stages: DataFrame) -> DataFrame:
@@ -49,17 +53,20 @@ def fold_nights(found: DataFrame, bucket: str) -> DataFrame:
     return found.groupBy("account_id", bucket_of(F.col("night"), bucket).alias("bucket")).agg(F.sum("value").alias("value"), F.count("*").alias("count"))
 
 
-def fold_stages(stages: DataFrame, bucket: str) -> DataFrame:
-    """(account_id, bucket, states): minutes of each stage as a map."""
-    summed = stages.groupBy("account_id", bucket_of(F.col("night"), bucket).alias("bucket"), "state_value").agg(F.sum("minutes").alias("minutes"))
-    return summed.groupBy("account_id", "bucket").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("state_value", "minutes")))).alias("states"))
+#: The order in which the stages of a night are shown; stages that are not named come last, by name.
+STAGE_ORDER = ("asleep_deep", "asleep_core", "asleep_rem", "asleep", "in_bed", "awake")
 
 
-def sleep_summary(found: DataFrame) -> DataFrame:
-    return found.groupBy("account_id").agg(F.sum("value").alias("value"), F.count("*").alias("nights"))
+def fold_stages(stages: DataFrame, bucket: str) -> DataFrame:
+    """(account_id, bucket, states): minutes of each stage as a map, in STAGE_ORDER."""
+    summed = stages.groupBy("account_id", bucket_of(F.col("night"), bucket).alias("bucket"), "state_value").agg(F.sum("minutes").alias("minutes"))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, STAGE_ORDER)), F.col("state_value")), F.lit(0)), F.lit(len(STAGE_ORDER) + 1))
+    ordered = F.sort_array(F.collect_list(F.struct(place.alias("place"), "state_value", "minutes")))
+    return summed.groupBy("account_id", "bucket").agg(F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["state_value"], x["minutes"]))).alias("states"))
 
 
-def reported_source(found: DataFrame, priority: dict | None = None) -> DataFrame:
-    """The best-ranked of the nights' sources."""
+def sleep_summary(found: DataFrame, priority: dict | None = None) -> DataFrame:
+    """(account_id, value, nights, source): all nights together, and the best-ranked of their sources."""
     ranked = F.struct(source_rank(F.col("source"), F.lit("sleep"), PRIORITY if priority is None else priority).alias("rank"), F.col("source"))
-    return found.groupBy("account_id").agg(F.min(ranked).alias("best")).select("account_id", F.col("best.source").alias("source"))
+    summed = found.groupBy("account_id").agg(F.sum("value").alias("value"), F.count("*").alias("nights"), F.min(ranked).alias("_best"))
+    return summed.select("account_id", "value", "nights", F.col("_best.source").alias("source"))

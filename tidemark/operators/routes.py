@@ -1,4 +1,9 @@
-"""Geometry of routes: length, ascent, profiles and simplified lines, from points (route_id, seq, lat, lon, ele, at)."""
+"""Geometry of routes of any length: distance, ascent, profiles and simplified lines, from points (route_id, seq, lat, lon, ele, at).
+
+Points are dealt to ranges of (route, seq) first and written once. A range is one task's worth, so a long route is many tasks' and many short ones share one. All that
+needs a route in order is a scan over its ranges: each range is summed by itself, with the two points on either side of it as a border, and a route's few
+ranges are then put together in order. Nothing holds a whole route: neither a window, a group nor a row.
+"""
 
 from __future__ import annotations
 
@@ -9,90 +14,219 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import haversine
+from tidemark.sources.shared import written
 
 ASCENT_STEP = 3.0
 MOST_POINTS, MOST_SAMPLES = 1000, 500
-EARTH_KM = 6371.0088
+#: Kilometres of a degree of latitude, in the plane that lines are simplified in.
+DEGREE_KM = 111.32
+#: Points to either side that a speed looks at.
+NEAR = 2
+SEGMENT = ["route_id", "_range"]
+
+
+def ranges(points: DataFrame) -> DataFrame:
+    """points with _range, in ranges of (route, seq); written once, so that all readers see the same ranges."""
+    if "_range" in points.columns:
+        return points
+    return written(points.repartitionByRange("route_id", "seq").withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def numbered(points: DataFrame) -> DataFrame:
+    """points of ranges with _i, their place in the route from 0, and _n, how many it has: places in the range plus the counts of the ranges before."""
+    ordered = W.partitionBy("route_id").orderBy("_range")
+    counts = points.groupBy(*SEGMENT).agg(F.count("*").alias("_c"))
+    starts = counts.select(*SEGMENT, (F.sum("_c").over(ordered) - F.col("_c")).alias("_before"), F.sum("_c").over(W.partitionBy("route_id")).alias("_n"))
+    placed = points.withColumn("_row", F.row_number().over(W.partitionBy(*SEGMENT).orderBy("seq")) - 1)
+    return placed.join(starts, SEGMENT).withColumn("_i", F.col("_before") + F.col("_row")).drop("_before", "_row")
+
+
+def _bordered(points: DataFrame) -> DataFrame:
+    """points of ranges, and the NEAR points of the same route before and after each range as rows of it that are marked _border. A range has a point at least, so
+    they lie in the NEAR ranges to either side."""
+    at = W.partitionBy(*SEGMENT)
+    place = ("seq", "lat", "lon", "at")
+    ends = points.select(*SEGMENT, *place, F.row_number().over(at.orderBy("seq")).alias("_up"), F.row_number().over(at.orderBy(F.desc("seq"))).alias("_down")).filter((F.col("_up") <= NEAR) | (F.col("_down") <= NEAR))
+    of = lambda c: F.sort_array(F.collect_list(F.when(F.col(c) <= NEAR, F.struct(*place))))
+    both = ends.groupBy(*SEGMENT).agg(of("_up").alias("_first"), of("_down").alias("_last"))
+    ordered = W.partitionBy("route_id").orderBy("_range")
+    before = F.flatten(F.collect_list("_last").over(ordered.rowsBetween(-NEAR, -1)))
+    after = F.flatten(F.collect_list("_first").over(ordered.rowsBetween(1, NEAR)))
+    near = both.withColumn("_near", F.concat(F.reverse(F.slice(F.reverse(before), 1, NEAR)), F.slice(after, 1, NEAR)))
+    borders = near.select(*SEGMENT, F.inline("_near")).withColumn("_border", F.lit(True))
+    return points.withColumn("_border", F.lit(False)).unionByName(borders, allowMissingColumns=True)
+
+
+def _stepped(points: DataFrame) -> DataFrame:
+    """Bordered points with step_km, the distance from the point before."""
+    order = W.partitionBy(*SEGMENT).orderBy("seq")
+    before = lambda n: F.lag(n).over(order)
+    return _bordered(points).withColumn("step_km", F.coalesce(haversine(before("lat"), before("lon"), F.col("lat"), F.col("lon")), F.lit(0.0)))
+
+
+def lengths(points: DataFrame) -> DataFrame:
+    """(route_id, points, km)."""
+    return _stepped(ranges(points)).filter(~F.col("_border")).groupBy("route_id").agg(F.count("*").alias("points"), F.sum("step_km").alias("km"))
 
 
 def with_distance(points: DataFrame) -> DataFrame:
     """Points with step_km, km so far, and speed over the two points to either side in km/h."""
-    order = W.partitionBy("route_id").orderBy("seq")
-    before = lambda n: F.lag(n).over(order)
-    step = F.coalesce(haversine(before("lat"), before("lon"), F.col("lat"), F.col("lon")), F.lit(0.0))
-    out = points.withColumn("step_km", step).withColumn("km", F.sum("step_km").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    near = order.rowsBetween(-2, 2)
+    stepped = _stepped(ranges(points))
+    order = W.partitionBy(*SEGMENT).orderBy("seq")
+    so_far, near = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(-NEAR, NEAR)
+    own = F.when(~F.col("_border"), F.col("step_km")).otherwise(0.0)
     seconds = F.unix_micros(F.last("at").over(near).cast("timestamp")) / 1e6 - F.unix_micros(F.first("at").over(near).cast("timestamp")) / 1e6
-    return out.withColumn("speed", F.when(seconds > 0, (F.last("km").over(near) - F.first("km").over(near)) / (seconds / 3600)))
+    out = stepped.withColumns({"_own": F.sum(own).over(so_far), "_km": F.sum("step_km").over(so_far)})
+    out = out.withColumn("speed", F.when(seconds > 0, (F.last("_km").over(near) - F.first("_km").over(near)) / (seconds / 3600))).filter(~F.col("_border"))
+    # What a route's ranges before this one add up to.
+    sums = stepped.groupBy(*SEGMENT).agg(F.sum(own).alias("_sum"))
+    starts = sums.select(*SEGMENT, (F.sum("_sum").over(W.partitionBy("route_id").orderBy("_range")) - F.col("_sum")).alias("_before"))
+    return out.join(starts, SEGMENT).withColumn("km", F.col("_before") + F.col("_own")).drop("_border", "_own", "_km", "_before", "_range")
+
+
+def left_at(heights: np.ndarray, k: int) -> int | None:
+    """The first point after k that is more than ASCENT_STEP from it, looked for in blocks."""
+    for a in range(k + 1, len(heights), 4096):
+        away = np.flatnonzero(np.abs(heights[a : a + 4096] - heights[k]) > ASCENT_STEP)
+        if len(away):
+            return a + int(away[0])
+    return None
+
+
+def climb_map(heights: np.ndarray) -> list[tuple[float, float, float, float, float, float]]:
+    """What a range does to any height that comes in: (lowest so far, highest so far, and the height that leaves it then, what comes out, ascent and descent from there). A
+    climb counts once it is more than ASCENT_STEP metres from where the last one ended, so an incoming height is left at the first point that is, which is a
+    new lowest or highest one, and all goes on from that point whatever came in. Once lowest and highest are two steps apart, any height has been left."""
+    out, known = [], {}
+
+    def onward(k: int) -> tuple[float, float, float]:
+        """What comes out, ascent and descent from point k on; a way ends where an earlier one has been."""
+        way, at = [], k
+        while at is not None and at not in known:
+            way.append(at)
+            at = left_at(heights, at)
+        for j in reversed(way):
+            if at is None:
+                known[j] = float(heights[j]), 0.0, 0.0
+            else:
+                step, (end, up, down) = float(heights[at] - heights[j]), known[at]
+                known[j] = end, up + max(step, 0.0), down + max(-step, 0.0)
+            at = j
+        return known[k]
+
+    low = high = float(heights[0])
+    for k in np.flatnonzero((heights <= np.minimum.accumulate(heights)) | (heights >= np.maximum.accumulate(heights))):
+        h = float(heights[k])
+        low, high = min(low, h), max(high, h)
+        if not out or (low, high) != out[-1][:2]:
+            out.append((low, high, h, *onward(int(k))))
+        if high - low > 2 * ASCENT_STEP:
+            break
+    return out
 
 
 def ascent(points: DataFrame) -> DataFrame:
-    """(route_id, ascent, descent): climbs count once they are more than ASCENT_STEP metres from the height where the last one ended. A fold over one route's heights."""
-    ordered = points.filter(F.col("ele").isNotNull()).groupBy("route_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "ele"))), lambda p: p["ele"]).alias("heights"))
-    start = F.struct(F.element_at("heights", 1).cast("double").alias("at"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
-
-    def fold(acc, h):
-        d = h.cast("double") - acc["at"]
-        moved = F.abs(d) > ASCENT_STEP
-        return F.struct(F.when(moved, h.cast("double")).otherwise(acc["at"]).alias("at"), (acc["up"] + F.when(d > ASCENT_STEP, d).otherwise(0.0)).alias("up"), (acc["down"] + F.when(d < -ASCENT_STEP, -d).otherwise(0.0)).alias("down"))
-
-    return ordered.select("route_id", F.aggregate("heights", start, fold).alias("f")).select("route_id", F.col("f.up").alias("ascent"), F.col("f.down").alias("descent"))
+    """(route_id, ascent, descent). Each range is turned into what it does to any height that comes in; a route's ranges then follow each other in order, a few rows a
+    route, so that a route of any length is climbed by many tasks at once."""
+
+    def of_range(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = climb_map(pdf.sort_values("seq")["ele"].to_numpy(np.float64))
+        return pd.DataFrame([(*key, *rows[0][3:], *map(list, zip(*rows, strict=True)))])
+
+    kind = points.schema["route_id"].dataType.simpleString()
+    lists = ("low", "high", "leaves", "out", "up", "down")
+    segment = f"route_id {kind}, _range int, at double, ascent double, descent double, " + ", ".join(f"{c} array<double>" for c in lists)
+    known = ranges(points).filter(F.col("ele").isNotNull() & ~F.isnan("ele")).select(*SEGMENT, "seq", F.col("ele").cast("double").alias("ele"))
+    segments = known.groupBy(*SEGMENT).applyInPandas(of_range, segment)
+
+    def of_route(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at, up, down = None, 0.0, 0.0
+        for r in pdf.sort_values("_range").itertuples():
+            if at is None:
+                at, more_up, more_down = r.at, r.ascent, r.descent
+            else:
+                left = np.flatnonzero((np.asarray(r.low) - at < -ASCENT_STEP) | (np.asarray(r.high) - at > ASCENT_STEP))
+                if not len(left):
+                    continue
+                k = left[0]
+                more_up, more_down = r.up[k] + max(r.leaves[k] - at, 0.0), r.down[k] + max(at - r.leaves[k], 0.0)
+                at = r.out[k]
+            up, down = up + more_up, down + more_down
+        return pd.DataFrame([(key[0], up, down)])
+
+    return segments.groupBy("route_id").applyInPandas(of_route, f"route_id {kind}, ascent double, descent double")
 
 
 def summaries(points: DataFrame) -> DataFrame:
     """(route_id, points, km, min_ele, max_ele, ascent, descent)."""
-    length = with_distance(points).groupBy("route_id").agg(F.count("*").alias("points"), F.sum("step_km").alias("km"), F.min("ele").alias("min_ele"), F.max("ele").alias("max_ele"))
-    return length.join(ascent(points), "route_id", "left").select("route_id", "points", "km", "min_ele", "max_ele", F.coalesce("ascent", F.lit(0.0)).alias("ascent"), F.coalesce("descent", F.lit(0.0)).alias("descent"))
+    points = ranges(points)
+    heights = points.groupBy("route_id").agg(F.min("ele").alias("min_ele"), F.max("ele").alias("max_ele"))
+    out = lengths(points).join(heights, "route_id").join(ascent(points), "route_id", "left")
+    return out.select("route_id", "points", "km", "min_ele", "max_ele", F.coalesce("ascent", F.lit(0.0)).alias("ascent"), F.coalesce("descent", F.lit(0.0)).alias("descent"))
 
 
-def samples(points: DataFrame, most: int = MOST_SAMPLES) -> DataFrame:
-    """At most `most` points of each route (and its last), evenly by order."""
-    order, whole = W.partitionBy("route_id").orderBy("seq"), W.partitionBy("route_id")
-    placed = with_distance(points).withColumn("_row", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(whole))
+def _every(points: DataFrame, most: int) -> DataFrame:
+    """Every so many'th of numbered points, so that most are left of a route and its last one."""
     stride = F.greatest(F.lit(1), F.ceil(F.col("_n") / most))
-    return placed.filter((F.col("_row") % stride == 0) | (F.col("_row") == F.col("_n") - 1)).drop("_row", "_n")
+    return points.filter((F.col("_i") % stride == 0) | (F.col("_i") == F.col("_n") - 1))
 
 
-def _kept(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas and Peucker's marks: points farther than tolerance from the line between kept ones."""
-    keep = np.zeros(len(x), bool)
-    keep[[0, -1]] = True
-    todo = [(0, len(x) - 1)]
+def samples(points: DataFrame, most: int = MOST_SAMPLES) -> DataFrame:
+    """At most `most` points of each route (and its last), evenly by order, with their distance and speed, which are measured over all points."""
+    points = ranges(points)
+    kept = _every(numbered(points.select("route_id", "seq", "_range")), most).select("route_id", "seq")
+    return with_distance(points).join(kept, ["route_id", "seq"], "left_semi")
+
+
+def ranks(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """The tolerance below which each point is kept: a line is split at its farthest point, again and again, and a point is kept while all splits on the way down to it are
+    farther than the tolerance. Ends are always kept. Distances are in km, in a plane that touches at the start of each line."""
+    out = np.zeros(len(lat))
+    out[[0, -1]] = np.inf
+    todo = [(0, len(lat) - 1)]
     while todo:
         a, b = todo.pop()
         if b - a < 2:
             continue
-        dx, dy = x[b] - x[a], y[b] - y[a]
-        px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
+        wide = np.cos(np.radians(lat[a])) * DEGREE_KM
+        px, py = (lon[a + 1 : b] - lon[a]) * wide, (lat[a + 1 : b] - lat[a]) * DEGREE_KM
+        dx, dy = (lon[b] - lon[a]) * wide, (lat[b] - lat[a]) * DEGREE_KM
         length = dx * dx + dy * dy
         t = np.clip((px * dx + py * dy) / length, 0, 1) if length else np.zeros(len(px))
         away = np.hypot(px - t * dx, py - t * dy)
         far = int(away.argmax())
-        if away[far] > tolerance:
-            keep[a + 1 + far] = True
-            todo += [(a, a + 1 + far), (a + 1 + far, b)]
-    return keep
+        if away[far] > 0:
+            m = a + 1 + far
+            out[m] = min(away[far], out[a], out[b])
+            todo += [(a, m), (m, b)]
+    return out
+
+
+def tolerance(found: np.ndarray, most: int) -> float:
+    """The finest tolerance that keeps at most `most` points, as a bracket from 1 km and twelve halvings find it; from sorted ranks a count is a look-up."""
+    order = np.sort(found)
+    kept = lambda t: len(order) - np.searchsorted(order, t, "right")
+    lo, hi = 0.0, 1.0
+    while kept(hi) > most and hi < 1000:
+        hi *= 4
+    for _ in range(12):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if kept(mid) > most else (lo, mid)
+    return hi
 
 
 def simplify(points: DataFrame, most: int = MOST_POINTS) -> DataFrame:
-    """At most `most` points of each route, ends kept: the finest line that fits. Long routes are thinned to 8 x most points first. A route is
-    one recording and fits one task; this needs its points together and in order."""
+    """At most `most` points of each route, ends kept: the finest line that fits. Routes of more than 8 x most points are thinned to that in Spark first, so that a group has
+    8 x most + 1 points at the most, however long the route is. most has to be 2 at least."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        if len(pdf) > 8 * most:
-            stride = -(-len(pdf) // (8 * most))
-            pdf = pd.concat([pdf.iloc[:-1:stride], pdf.iloc[-1:]])
-        if len(pdf) <= most:
-            return pdf
-        lat, lon = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
-        x, y = EARTH_KM * lon * np.cos(lat.mean()), EARTH_KM * lat
-        lo, hi = 0.0, 1.0
-        while _kept(x, y, hi).sum() > most:
-            lo, hi = hi, 4 * hi
-        for _ in range(12):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if _kept(x, y, mid).sum() > most else (lo, mid)
-        return pdf[_kept(x, y, hi)]
-
-    return points.groupBy("route_id").applyInPandas(one, points.schema)
+        if len(pdf) > most:
+            found = ranks(pdf["lat"].to_numpy(np.float64), pdf["lon"].to_numpy(np.float64))
+            pdf = pdf[found > tolerance(found, most)]
+        return pdf
+
+    if most < 2:
+        return points
+    thinned = _every(numbered(ranges(points)), 8 * most).select(*(c for c in points.columns if c != "_range"))
+    return thinned.groupBy("route_id").applyInPandas(one, thinned.schema)

@@ -6,6 +6,7 @@ import base64
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.catalog import GROUPS, activities
@@ -20,13 +21,14 @@ def in_days(window: Window) -> Column:
     return (F.col("start_at") >= stamp(window.start)) & (F.col("start_at") < stamp(shift(window.end.date(), days=1)))
 
 
-def of_groups(groups: list[str] | None = None, types: list[str] | None = None) -> Column:
-    """Activities of any of the groups or types. "other" is whatever no named group holds, so unknown activities belong to it."""
+def of_groups(groups: list[str] | None = None, types: list[str] | None = None, excluded: list[str] | None = None) -> Column:
+    """Activities of any of the groups or types, but none of the excluded types. "other" is whatever no named group holds, so unknown activities belong to it."""
     named = lambda g: [a for a in GROUPS.get(g, "").split()]
     wanted = F.lit(not groups and not types)
     for g in groups or []:
         wanted = wanted | (~F.col("activity_type").isin([a for k in GROUPS for a in named(k)]) if g == "other" else F.col("activity_type").isin(named(g)))
-    return wanted | F.col("activity_type").isin(types) if types else wanted
+    wanted = wanted | F.col("activity_type").isin(types) if types else wanted
+    return wanted & ~F.col("activity_type").isin(excluded) if excluded else wanted
 
 
 def displayed(spark: SparkSession, sessions: DataFrame) -> DataFrame:
@@ -61,6 +63,35 @@ def page(sessions: DataFrame, cursor: str | None = None, size: int = PAGE) -> Da
     return sessions.orderBy(F.desc("start_at"), F.desc("id")).limit(size)
 
 
+def cursor_of(start_at: Column, session_id: Column) -> Column:
+    """encode_cursor as an expression."""
+    text = F.concat(F.lit('["'), F.date_format(start_at, "yyyy-MM-dd HH:mm:ss"), F.lit('", '), session_id.cast("string"), F.lit("]"))
+    return F.translate(F.base64(text.cast("binary")), "+/", "-_")
+
+
+def page_with_next(sessions: DataFrame, cursor: str | None = None, size: int = PAGE) -> DataFrame:
+    """page with next_cursor: on the last row of a full page what the page after it begins with, null on all others. The window runs over one page."""
+    rows = page(sessions, cursor, size)
+    order = W.orderBy(F.desc("start_at"), F.desc("id"))
+    return rows.withColumn("_row", F.row_number().over(order)).withColumn("next_cursor", F.when(F.col("_row") == size, cursor_of(F.col("start_at"), F.col("id")))).drop("_row")
+
+
+def detail(sessions: DataFrame, stats: DataFrame, routes: DataFrame, account_id: int | None = None, session_id: int | None = None) -> DataFrame:
+    """Sessions with stats (metric, stat, value; by name) and routes (start_at, id and what else they have; in order of time), empty where a session has none. With an account and an id it
+    is one session's detail, and no row if the account has no such session; the filter reaches the sessions' scan, and the others are read for its id only."""
+    if session_id is not None:
+        sessions = sessions.filter((F.col("id") == session_id) & (F.col("account_id") == account_id))
+        stats, routes = stats.filter(F.col("session_id") == session_id), routes.filter(F.col("session_id") == session_id)
+    listed = stats.groupBy(F.col("session_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("metric", "stat", "value"))).alias("stats"))
+    own = routes_of(sessions, routes)
+    first = [c for c in ("start_at", "id") if c in routes.columns]
+    rest = [c for c in routes.columns if c not in (*first, "session_id", "account_id")]
+    drawn = own.groupBy(F.col("session_id").alias("_session")).agg(F.sort_array(F.collect_list(F.struct(*first, *rest))).alias("routes")).withColumnRenamed("_session", "id")
+    out = sessions.join(listed, "id", "left").join(drawn, "id", "left")
+    none = {c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("stats", "routes")}
+    return out.withColumns(none)
+
+
 def totals(sessions: DataFrame) -> DataFrame:
     """(account_id, sessions, duration, distance, energy): over the filter, not a page; distance and energy are null if no session has one."""
     return sessions.groupBy("account_id").agg(F.count("*").alias("sessions"), F.coalesce(F.sum("duration"), F.lit(0.0)).alias("duration"), F.sum("total_distance").alias("distance"), F.sum("total_energy").alias("energy"))

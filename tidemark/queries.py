@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import catalog
-from tidemark.functions.columns import content_key, haversine, in_window
+from tidemark.functions.columns import bucket_key, content_key, haversine
 from tidemark.operators import compare as cmp
 from tidemark.operators import covary, estimates, ingest, nights, routes, series, sessions
-from tidemark.operators.resolve import daily, elect, resolve, resolved_days, sources_in
+from tidemark.operators.resolve import daily, elect, has_rows, resolve, resolved_days, sources_in
 from tidemark.plans.timeaxis import Window
 from tidemark.sources import adapters as ad
+from tidemark.sources.shared import written
 
 WINDOW = Window.of(date(2024, 1, 4), date(2024, 1, 25))
 BEFORE = Window.of(date(2024, 1, 1), date(2024, 1, 15))
@@ -42,10 +43,6 @@ def r6(name: str | Column, alias: str | None = None) -> Column:
     return F.round(c.cast("double"), 6).alias(alias or name)
 
 
-def _rows(spark, d, window=WINDOW):
-    return resolve(ad.measurements(spark, d), window, ad.PRIORITY)
-
-
 def _rules(spark):
     return catalog.rules(spark, ad.METRICS)
 
@@ -91,11 +88,7 @@ def latest_mean(spark, d):
 
 def _summed(spark, d):
     """Summaries of imported and derived metrics and of sleep."""
-    days, none = _days(spark, d), lambda *names: {n: F.lit(None).cast("double") for n in names}
-    own = series.summary(days).select("account_id", "metric", "value", "mean").withColumns(none("nights"))
-    derived = series.derived_summary(days, _terms(spark)).withColumns(none("mean", "nights"))
-    slept = nights.sleep_summary(nights.nights(_stages(spark, d))).select("account_id", F.lit("sleep").alias("metric"), "value", F.lit(None).cast("double").alias("mean"), F.col("nights").cast("double"))
-    return own.unionByName(derived).unionByName(slept)
+    return series.summaries(ad.measurements(spark, d), ad.states(spark, d), _rules(spark), _terms(spark), WINDOW, ad.PRIORITY)
 
 
 def _modes(spark):
@@ -127,18 +120,18 @@ def compare_delta(spark, d):
     both = found.groupBy("account_id", "metric").agg(of(0).alias("value"), of(1).alias("baseline")).filter(F.col("value").isNotNull())
     signed = F.col("metric").isin([m.slug for m in ad.METRICS.values() if m.signed])
     delta = cmp.change(F.col("value"), F.col("baseline"), signed)
-    return both.select("account_id", "metric", r6("value"), r6("baseline"), r6(delta, "delta"), cmp.direction(delta).alias("direction"))
+    return both.select("account_id", "metric", r6("value"), r6("baseline"), r6(delta, "delta"), cmp.direction(F.col("value"), F.col("baseline"), signed).alias("direction"))
 
 
 @query
 def source_election(spark, d):
-    rows = ad.measurements(spark, d).filter(in_window(F.col("start_at"), WINDOW))
-    return elect(rows, ["account_id", "metric"], ad.PRIORITY)
+    return elect(daily(ad.measurements(spark, d), _rules(spark), [WINDOW]), [WINDOW], ad.PRIORITY).drop("w")
 
 
 @query
 def manual_overlay(spark, d):
-    return _rows(spark, d).groupBy("account_id", "metric", F.col("start_at").cast("date").alias("day")).agg(F.count("*").alias("rows"), F.count_if(F.col("source") == "Manual").alias("manual_rows"), r6(F.sum("value"), "value"))
+    rows = resolve(ad.measurements(spark, d), _rules(spark), WINDOW, ad.PRIORITY)
+    return rows.groupBy("account_id", "metric", "day").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("source") == "Manual", F.col("n")).otherwise(0)).alias("manual_rows"), r6(F.sum("total"), "value"))
 
 
 @query
@@ -185,11 +178,31 @@ def gap_runs(spark, d):
     return cmp.gap_runs(cmp.dense(_sparse(spark, d), "day"))
 
 
+def _history(spark, d):
+    """Orders as each customer's measurements; events of the user with the same number as another family."""
+    return ad.order_measurements(spark, d, F.col("o_custkey")), ad.user_measurements(spark, d)
+
+
 @query
 def history_band(spark, d):
-    """Points and gaps over each customer's real extent, in its own grain, with the customer's phases folded onto it."""
-    found = cmp.history_band(ad.order_measurements(spark, d, F.col("o_custkey")), _rules(spark), _notes(spark, d, "o_custkey").filter("label = 'F'"))
-    return found.select("account_id", "bucket", "grain", r6("value"), "gap", "phases")
+    """Points and gaps over each account's real extent, whatever family its first row belongs to, in its own grain."""
+    orders, other = _history(spark, d)
+    return cmp.history_band(orders, _rules(spark), [other]).select("account_id", "bucket", "grain", r6("value"), "gap")
+
+
+@query
+def history_gaps(spark, d):
+    """The dated runs of buckets without a point."""
+    orders, other = _history(spark, d)
+    return cmp.gap_runs(cmp.history_band(orders, _rules(spark), [other]))
+
+
+@query
+def history_phases(spark, d):
+    """Phases as spans of buckets of their account's history."""
+    notes = _notes(spark, d, "o_custkey").select("account_id", "id", ((F.col("id") % 5 - 2) / 2).cast("double").alias("rate_pct_per_week"), F.date_sub("starts_on", 15).alias("started_on"), F.when(F.col("id") % 3 != 0, F.col("starts_on")).alias("ended_on"))
+    found = cmp.history_phases(notes, cmp.history_extent(*_history(spark, d)))
+    return found.select("account_id", "id", "kind", r6("rate_pct_per_week"), "started_on", "ended_on", "from_bucket", "to_bucket")
 
 
 @query
@@ -236,24 +249,32 @@ def sleep_week(spark, d):
 
 @query
 def sleep_summary(spark, d):
-    found = nights.nights(_stages(spark, d))
-    return nights.sleep_summary(found).join(nights.reported_source(found, ad.PRIORITY), "account_id").select("account_id", r6("value"), "nights", "source")
+    return nights.sleep_summary(nights.nights(_stages(spark, d)), ad.PRIORITY).select("account_id", r6("value"), "nights", "source")
+
+
+def _routed(spark, d, bucket):
+    """Points of all natures: imported, derived, sleep."""
+    return series.route(ad.measurements(spark, d), ad.states(spark, d), _rules(spark), _terms(spark), WINDOW, bucket, ad.PRIORITY)
+
+
+def _paired(spark, d, bucket, lag=0):
+    return covary.co_vary(_points(spark, d, bucket), bucket, len(WINDOW.grid(bucket)), lag).select("account_id", "a", "b", "shared", r6("rho"), "ranked")
 
 
 @query
 def covary_same(spark, d):
-    return covary.co_vary(_points(spark, d, "day"), "day", len(WINDOW.grid("day"))).select("account_id", "a", "b", "shared", r6("rho"), "ranked")
+    return _paired(spark, d, "day")
 
 
 @query
 def covary_next_day(spark, d):
-    return covary.co_vary(_points(spark, d, "day"), "day", len(WINDOW.grid("day")), 1).select("account_id", "a", "b", "shared", r6("rho"), "ranked")
+    return _paired(spark, d, "day", 1)
 
 
 @query
 def covary_next_week(spark, d):
     bucket, lag = covary.LAGS["next_week"]
-    return covary.co_vary(_points(spark, d, bucket), bucket, len(WINDOW.grid(bucket)), lag).select("account_id", "a", "b", "shared", r6("rho"), "ranked")
+    return _paired(spark, d, bucket, lag)
 
 
 @query
@@ -263,13 +284,39 @@ def covary_strongest(spark, d):
     return covary.strongest(covary.undirected(found)).select("account_id", "a", "b", r6("rho"))
 
 
+def _pins(spark, d):
+    """Pins of every account, in order; two aren't in the catalog."""
+    pinned = ["view", "nothing", "click", "purchase", "sleepless", "error", "signup", "engagement", "net", "sleep", "purchase_share"]
+    accounts = ad.measurements(spark, d).select("account_id").distinct()
+    return accounts.select("account_id", F.posexplode(F.array(*map(F.lit, pinned))).alias("position", "metric"))
+
+
+def _pinned(spark, d, routed):
+    """What each account pairs, from its pins."""
+    return covary.inputs(_pins(spark, d), catalog.listing(spark, ad.METRICS | {"sleep": catalog.METRICS["sleep"]}), routed)
+
+
 @query
 def covary_inputs(spark, d):
     """Pinned metrics in order, and why one is left out."""
-    pinned = ["view", "nothing", "click", "purchase", "sleepless", "error", "signup", "engagement", "net", "purchase_share"]
-    accounts = ad.measurements(spark, d).select("account_id").distinct()
-    pins = accounts.select("account_id", F.posexplode(F.array(*map(F.lit, pinned))).alias("position", "metric"))
-    return covary.inputs(pins, catalog.listing(spark, ad.METRICS), series.distinct_metrics(ad.measurements(spark, d)))
+    return _pinned(spark, d, _routed(spark, d, "day"))
+
+
+@query
+def covary_routed(spark, d):
+    """Every ordered pair of all natures of metrics: imported, derived and sleep."""
+    found = covary.co_vary(_routed(spark, d, "day"), "day", len(WINDOW.grid("day")))
+    return found.select("account_id", "a", "b", "shared", r6("rho"), "ranked")
+
+
+@query
+def covary_pinned(spark, d):
+    """The strongest ranked pair among the pinned metrics of each account; pins decide ties."""
+    # Points are few; those of all metrics are written once, as pins, pairs and places all read them.
+    routed = written(_routed(spark, d, "day"), "points")
+    chosen = written(_pinned(spark, d, routed), "pins")
+    found = covary.co_vary(covary.of_pins(routed, chosen), "day", len(WINDOW.grid("day")))
+    return covary.strongest(found, chosen).select("account_id", "a", "b", r6("rho"))
 
 
 @query
@@ -311,21 +358,40 @@ def adherence(spark, d):
     return estimates.adherence(inputs).select("account_id", "days", "thin", r6("target_rate"), r6("rate"), r6("target_kcal"), r6("intake"), r6("target_protein"), r6("protein"))
 
 
+def _resolved_inputs(spark, d):
+    return estimates.resolve_inputs(ad.body_measurements(spark, d), catalog.rules(spark), NOW)
+
+
 @query
 def resolve_inputs(spark, d):
-    found = estimates.resolve_inputs(ad.body_measurements(spark, d), catalog.rules(spark), NOW, ad.PRIORITY)
-    return found.select("account_id", r6("mass"), r6("height"), r6("lean_mass"), "lean_mass_derived", "lean_source")
+    return _resolved_inputs(spark, d).select("account_id", r6("mass"), r6("height"), r6("lean_mass"), "lean_mass_derived", "lean_source")
 
 
 @query
 def equation_choice(spark, d):
     """The equation to begin with, by the trust that follows from where the composition comes from."""
-    found = estimates.resolve_inputs(ad.body_measurements(spark, d), catalog.rules(spark), NOW, ad.PRIORITY)
-    trust = estimates.derived_trust(F.when(F.col("account_id") != 1, F.col("lean_source")))
-    inputs = found.withColumns({"age": F.lit(41.5), "sex": F.when(F.col("account_id") != 2, "female"), "trust": trust})
+    inputs = _resolved_inputs(spark, d).withColumns({"age": F.lit(41.5), "sex": F.when(F.col("account_id") % 3 != 2, "female"), "trust": estimates.derived_trust(F.col("lean_source"))})
     return inputs.select("account_id", "trust", estimates.preselect(F.col("trust")).alias("equation"))
 
 
+@query
+def adherence_phase(spark, d):
+    """Each account's open phase over its own window, from its start up to now."""
+    own = estimates.own_windows(ad.phases(spark, d), NOW)
+    figures = estimates.phase_figures(ad.body_measurements(spark, d), catalog.rules(spark), own)
+    planned = ad.profiles(spark, d).select("account_id", (F.col("account_id") % 100 * 10.0 + 1500).alias("kcal"), (F.col("account_id") % 50 + 100.0).alias("protein"))
+    found = estimates.adherence_of(own, figures, planned)
+    return found.select("account_id", "days", "thin", r6("target_rate"), r6("rate"), r6("target_kcal"), r6("intake"), r6("target_protein"), r6("protein"))
+
+
+@query
+def plan(spark, d):
+    """All that a plan page reads, a row an account."""
+    found = estimates.plan(ad.body_measurements(spark, d), ad.profiles(spark, d), ad.phases(spark, d), catalog.rules(spark), catalog.formula_terms(spark), NOW)
+    numbers = ("mass", "height", "lean_mass", "basal_kcal", "expenditure", "actual_rate", "rate", "kcal", "protein", "fat", "carbs", "phase_actual_rate", "actual_kcal", "actual_protein")
+    return found.select("account_id", "trust", "equation", "basis", "phase_id", "days", "thin", F.concat_ws(",", "warnings").alias("warnings"), *(r6(n) for n in numbers))
+
+
 @query
 def planned_rate(spark, d):
     """The rate a plan starts from: an open phase's for one account, else the actual one."""
@@ -385,6 +451,35 @@ def session_statistics(spark, d):
     return out.groupBy("account_id", "metric", "stat").agg(F.count("*").alias("n"))
 
 
+@query
+def session_next(spark, d):
+    """A top-k report: a full page, and the cursor of the one after it on its last row."""
+    own = _sessions(spark, d).filter("account_id = 2").filter(sessions.of_groups(excluded=["yoga", "parkour"]))
+    return sessions.page_with_next(own).select("id", "activity_type", "next_cursor")
+
+
+@query
+def session_detail(spark, d):
+    """Sessions with what belongs to them: statistics by name, and routes."""
+    stats = ad.session_stats(spark, d).withColumn("seq", (F.col("seq") * 1000 + F.col("value")).cast("bigint"))
+    found = sessions.detail(_sessions(spark, d), sessions.upsert_statistics(stats.filter("seq < 0"), stats), ad.routes(spark, d).distinct())
+    shown = F.array_join(F.transform("stats", lambda x: F.concat_ws(":", x["metric"], x["stat"], F.format_number(x["value"], 2))), ",")
+    return found.select("account_id", "id", "activity_type", shown.alias("stats"), F.size("routes").alias("routes"))
+
+
+@query
+def existence_probes(spark, d):
+    """Whether each customer has rows of any family."""
+    return has_rows(ad.profiles(spark, d), ad.user_measurements(spark, d), ad.order_measurements(spark, d, F.col("o_custkey")))
+
+
+@query
+def bucket_keys(spark, d):
+    """Weekly points under the keys of their weeks, days and months."""
+    found = series.points(daily(ad.order_measurements(spark, d), _rules(spark)), "week")
+    return found.select("account_id", *(bucket_key(F.col("bucket"), b).alias(b) for b in ("day", "week", "month")), r6("value"))
+
+
 def _notes(spark, d, account=f"o_custkey % {ad.ACCOUNTS}"):
     """Orders as notes: some with an end."""
     day = F.col("o_orderdate").cast("date")
@@ -405,8 +500,19 @@ def phases_folded(spark, d):
 
 @query
 def annotation_axis(spark, d):
-    axis = [date(1997, 1, 6), date(1997, 11, 3), date(1998, 5, 4)]
-    return cmp.onto_axis(cmp.overlapping(_notes(spark, d), YEARS).select("id", "starts_on", "ends_on"), axis).select("id", "from_bucket", "to_bucket")
+    """Notes folded onto months, then onto the months that their customer's figures have: an axis that the data gives."""
+    axis = series.points(resolved_days(ad.order_measurements(spark, d, F.col("o_custkey")), _rules(spark), [YEARS]), "month")
+    notes = _notes(spark, d, "o_custkey").withColumns({"starts_on": F.date_sub("starts_on", 70), "ends_on": F.date_add(F.coalesce("ends_on", "starts_on"), 70)})
+    folded = cmp.fold_spans(notes, YEARS, "month").select("account_id", "id", "first_bucket", "last_bucket")
+    return cmp.onto_axis(folded, axis).select("id", "account_id", "from_bucket", "to_bucket")
+
+
+@query
+def annotation_marks(spark, d):
+    """How many notes begin in each bucket of the axis that an account's panel has."""
+    axis = series.points(resolved_days(ad.order_measurements(spark, d), _rules(spark), [YEARS]), "month")
+    folded = cmp.fold_spans(_notes(spark, d), YEARS, "month").select("account_id", "id", "first_bucket", "last_bucket")
+    return cmp.axis_marks(cmp.onto_axis(folded, axis))
 
 
 @query
@@ -447,11 +553,9 @@ def _records(spark, d):
 
 @query
 def unmapped_route(spark, d):
-    parts = ingest.route_records(spark, _records(spark, d))
-    m = parts["measurements"].groupBy(F.lit("measurements").alias("family"), F.col("metric").alias("name")).agg(F.count("*").alias("n"), r6(F.sum("value"), "total"))
-    s = parts["states"].groupBy(F.lit("states").alias("family"), F.col("state_value").alias("name")).agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("total"))
-    u = parts["unmapped"].groupBy(F.lit("unmapped").alias("family"), F.col("source_type").alias("name")).agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("total"))
-    return m.unionByName(s).unionByName(u)
+    """All families out of one pass over the records."""
+    tagged = ingest.tag_records(spark, _records(spark, d))
+    return tagged.groupBy("family", "name").agg(F.count("*").alias("n"), r6(F.sum(F.when(F.col("family") == "measurements", F.col("canonical"))), "total"))
 
 
 @query
@@ -505,7 +609,7 @@ def distinct_metrics(spark, d):
 
 @query
 def haversine_length(spark, d):
-    return routes.with_distance(ad.track_points(spark, d)).groupBy("route_id").agg(F.count("*").alias("points"), F.round(F.sum("step_km"), 4).alias("km"))
+    return routes.lengths(ad.track_points(spark, d)).select("route_id", "points", F.round("km", 4).alias("km"))
 
 
 @query
@@ -520,7 +624,7 @@ def route_samples(spark, d):
 
 @query
 def route_simplify(spark, d):
-    return routes.simplify(ad.track_points(spark, d), 30)
+    return routes.simplify(ad.track_points(spark, d), 30).withColumn("at", F.col("at").cast("string"))
 
 
 @query

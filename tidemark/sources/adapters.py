@@ -27,10 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, account: Column | None = None) -> DataFrame:
     k = F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("int")
     source = F.when(k == 0, "Manual").when(k % 3 == 0, "My Apple Watch").when(k % 3 == 1, "An iPhone").otherwise("A Scale")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % ACCOUNTS).alias("account_id"), "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("start_at"), source.alias("source"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % ACCOUNTS if account is None else account).alias("account_id"), "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("start_at"), source.alias("source"))
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +81,27 @@ def user_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def body_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """measurements with the event types as readings of a body; one of them ends some days before the others."""
-    names = {"view": "body_mass", "click": "height", "purchase": "body_fat_percentage", "signup": "lean_body_mass"}
-    of = F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("metric"))
-    value = F.when(of == "body_fat_percentage", F.col("value") / 1000).otherwise(F.col("value"))
-    rows = measurements(spark, sf_dir).select("id", "account_id", of.alias("metric"), value.alias("value"), "start_at", "source").filter("metric IS NOT NULL")
-    return rows.filter(~((F.col("metric") == "lean_body_mass") & ((F.col("account_id") == 2) | ((F.col("account_id") == 1) & (F.col("start_at") >= F.lit("2024-01-01").cast("timestamp_ntz"))))))
+    """measurements of each user as an account, with the event types as readings of a body and of what it eats and spends: even ids are read as the first of two metrics, odd
+    ones as the second."""
+    names = {"view": ("dietary_energy", "dietary_protein"), "click": ("height", "active_energy"), "purchase": ("body_fat_percentage", "basal_energy"), "signup": ("lean_body_mass", "body_mass"), "error": ("body_mass", "body_mass")}
+    of = lambda k: F.element_at(F.create_map(*(F.lit(x) for n, v in names.items() for x in (n, v[k]))), F.col("event_type"))
+    metric = F.when(F.col("id") % 2 == 0, of(0)).otherwise(of(1))
+    value = F.when(metric == "body_fat_percentage", F.col("value") / 1000).otherwise(F.col("value"))
+    return _events(spark, sf_dir, F.col("user_id")).select("id", "account_id", metric.alias("metric"), value.alias("value"), "start_at", "source")
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(account_id, born, sex, trust) from customers: some don't say what their composition is worth."""
+    k = F.col("c_custkey")
+    born = F.date_add(F.lit("1950-01-01").cast("date"), F.pmod(k * 37, F.lit(18_000)).cast("int"))
+    return table(spark, sf_dir, "customer").select(k.alias("account_id"), born.alias("born"), F.when(k % 3 == 0, "male").when(k % 3 == 1, "female").alias("sex"), F.when(k % 5 == 0, "measured").when(k % 5 == 1, "estimated").alias("trust"))
+
+
+def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(account_id, id, rate_pct_per_week, started_at, ended_at) from orders: a customer has several, some of them open, some yet to begin."""
+    k = F.col("o_orderkey")
+    start = F.timestamp_micros(F.unix_micros(F.lit("2024-01-03").cast("timestamp")) + ((k % 28) * 24 + k % 24).cast("bigint") * 3_600_000_000).cast("timestamp_ntz")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("account_id"), k.alias("id"), ((k % 9 - 4) / 4).cast("double").alias("rate_pct_per_week"), start.alias("started_at"), F.when(k % 4 != 0, start + F.expr("interval 3 days")).alias("ended_at"))
 
 
 def order_measurements(spark: SparkSession, sf_dir: str, account: Column | None = None) -> DataFrame:

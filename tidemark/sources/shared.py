@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
@@ -31,3 +31,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     files.mkdirs(path)
     files.deleteOnExit(path)
     return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back: all that read it see the same rows, and a lost executor loses nothing."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

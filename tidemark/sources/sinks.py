@@ -1,35 +1,30 @@
-"""Sinks: the canonical store as Parquet by metric, appended idempotently, the import log, and tab-separated copies."""
+"""Sinks: the canonical store, appended idempotently, the import log, and tab-separated and JSON copies."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.ingest import UNIQUE, delete_manual, new_rows
-from tidemark.sources.shared import scratch
-
+from tidemark.operators.ingest import UNIQUE, new_rows
+from tidemark.sources.store import Store
 
 #: The families of a store and what their files are parted by.
 FAMILIES = {"measurements": "metric", "states": "kind", "unmapped": "source_type", "sessions": "activity_type"}
 
 
+def family_store(spark: SparkSession, store: str, family: str) -> Store:
+    return Store(spark, store, family, FAMILIES[family])
+
+
 def read_family(spark: SparkSession, store: str, family: str) -> DataFrame | None:
     """A family of the store, or None if it has no rows yet."""
-    try:
-        return spark.read.parquet(f"{store}/{family}")
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
+    return family_store(spark, store, family).read()
 
 
 def append(spark: SparkSession, batch: DataFrame, store: str, family: str) -> DataFrame:
-    """Append what the family lacks, each account by itself; files are parted, so reads of one metric or kind skip the others."""
-    stored = read_family(spark, store, family)
-    fresh = new_rows(batch, batch.limit(0) if stored is None else stored)
-    fresh.write.mode("append").partitionBy(FAMILIES[family]).parquet(f"{store}/{family}")
-    return spark.read.schema(fresh.schema).parquet(f"{store}/{family}")
+    """Append what the family lacks, each account by itself, as one version; files are parted, so reads of one metric or kind skip the others."""
+    held = family_store(spark, store, family)
+    return held.read(held.append(lambda stored: new_rows(batch, batch.limit(0) if stored is None else stored)))
 
 
 def append_measurements(spark: SparkSession, batch: DataFrame, store: str) -> DataFrame:
@@ -52,22 +47,8 @@ def add_manual(spark: SparkSession, entry: DataFrame, store: str) -> DataFrame:
 
 
 def drop_manual(spark: SparkSession, store: str, account_id: int, row_id: int) -> int:
-    """Delete one manual row and return how many went: the parts that hold it are written anew, others aren't touched. Rows of devices stay whatever
-    the id."""
-    path, part = f"{store}/measurements", FAMILIES["measurements"]
-    rows = spark.read.parquet(path)
-    hit = rows.filter((F.col("account_id") == account_id) & (F.col("id") == row_id) & (F.col("source") == "Manual"))
-    touched = [r[part] for r in hit.select(part).distinct().collect()]
-    if not touched:
-        return 0
-    gone = hit.count()
-    kept = delete_manual(rows.filter(F.col(part).isin(touched)), account_id, row_id)
-    aside = scratch(spark, "kept")  # what is read can't be overwritten
-    kept.write.parquet(aside)
-    again = spark.read.schema(kept.schema).parquet(aside)
-    for value in touched:
-        again.filter(F.col(part) == value).drop(part).write.mode("overwrite").parquet(f"{path}/{part}={value}")
-    return gone
+    """Delete one manual row and return how many went; rows of devices stay whatever the id. Either the new version is there or the old one is."""
+    return family_store(spark, store, "measurements").delete((F.col("account_id") == account_id) & (F.col("id") == row_id) & (F.col("source") == "Manual"))
 
 
 def record_import(spark: SparkSession, path: str, account_id: int, source_file: str, added: int, skipped: int, unmapped: int, at) -> None:
@@ -78,3 +59,8 @@ def record_import(spark: SparkSession, path: str, account_id: int, source_file:
 def write_tsv(df: DataFrame, path: str) -> None:
     """df as tab-separated text with a header."""
     df.select(*(F.col(c).cast("string").alias(c) for c in df.columns)).write.mode("overwrite").option("header", True).csv(path, sep="\t")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """df as a JSON object a line: days and times as ISO text, missing values as null."""
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
