@@ -41,8 +41,11 @@ LEXEME = re.compile(
 BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
 NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*\Z", re.ASCII)
 TYPE = re.compile(r"[\x20\t]*[A-Za-z_][A-Za-z0-9_.\[\]<>?|\x20]*=(?!=)", re.ASCII)
-ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>]*)?>\s*([^<>\s][^<>]*?)\s*</\1\s*>")
-ATTRIBUTES = re.compile(r"""<[A-Za-z][^<>]*?\b(?:key|name|id)\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)')[^<>]*?\bvalue\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)')""")
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*+)(?:\s[^<>]*+)?>([^<>]*+)</\1\s*+>")
+#: A tag up to its end, and the attributes inside it, each told once from where its name begins.
+TAG = re.compile(r"<[A-Za-z]([^<>]*+)")
+ATTRIBUTE = re.compile(r"""(?<![A-Za-z0-9_:.-])(key|name|id|value)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)')""")
+BLANKS = re.compile(r"[\x20\t]*+")
 BLOCK = re.compile(r"[\x20\t]*[|>][+-]?[\x20\t]*\n((?:[\x20\t]*\n)*([\x20\t]+)\S[^\n]*(?:\n(?:\2[^\n]*|[\x20\t]*(?=\n)))*)")
 HELD = re.compile(r"\$?\{([A-Za-z_$][A-Za-z0-9_$.]*)\}|\$([A-Za-z_][A-Za-z0-9_]*)")
 SCHEMES = {"bearer", "basic", "token"}
@@ -50,7 +53,7 @@ JOINS = set("+.&(")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How much a part of a name says that its value is a secret.
 SENSITIVE = {
-    "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "secrets": 1.0, "apikey": 1.0, "credential": 0.9,
+    "password": 1.0, "passwd": 1.0, "pass": 0.9, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "secrets": 1.0, "apikey": 1.0, "credential": 0.9,
     "credentials": 0.9, "token": 0.9, "auth": 0.6, "authorization": 0.7, "bearer": 0.7, "private": 0.5, "access": 0.4, "key": 0.45,
     "api": 0.45, "signing": 0.4, "encryption": 0.4, "client": 0.1, "pat": 0.4, "salt": 0.4,
 }
@@ -106,7 +109,7 @@ def pairs(text: str) -> list[Pair]:
         while k > 0 and text[tokens[k][1] : tokens[k][2]] == "]":  # a subscript: the name is in the brackets
             k -= 1
         named, x, y = tokens[k]
-        if named not in ("name", "string") or y - x > 200 or "\n" in text[y:a]:
+        if named not in ("name", "string") or "\n" in text[y:a]:
             continue
         name = text[x:y]
         if text[a:b] == ":" and (m := TYPE.match(text, b)) and "\n" not in m[0]:
@@ -141,7 +144,7 @@ def pairs(text: str) -> list[Pair]:
                 break
             at += 1
         if not spans:
-            m = BARE.match(text, b + len(text[b : b + 200]) - len(text[b : b + 200].lstrip(" \t")))
+            m = BARE.match(text, BLANKS.match(text, b).end())
             if m and m[0].lower() in SCHEMES and (more := BARE.match(text, m.end() + 1)):
                 m = more
             if m:
@@ -152,8 +155,29 @@ def pairs(text: str) -> list[Pair]:
             found.append((name, spans, names))
         at = max(at, bisect_right(starts, a))
     if "<" in text and ("</" in text or "value" in text):
-        found += [(m[1], [m.span(2)], []) for m in ELEMENT.finditer(text)]
-        found += [(m[1] or m[2], [m.span(3) if m[3] is not None else m.span(4)], []) for m in ATTRIBUTES.finditer(text)]
+        for m in ELEMENT.finditer(text):
+            if held := m[2].strip():
+                start = m.start(2) + m[2].index(held[0])
+                found.append((m[1], [(start, start + len(held))], []))
+        found += attribute_pairs(text)
+    return found
+
+
+def attribute_pairs(text: str) -> list[Pair]:
+    """Pairs of tags that have a key (or name, or id) and a value, in any order: of several the first ones."""
+    found = []
+    for tag in TAG.finditer(text):
+        if "value" not in tag[1]:
+            continue
+        name = span = None
+        for m in ATTRIBUTE.finditer(text, *tag.span(1)):
+            at = 2 if m[2] is not None else 3
+            if m[1] == "value":
+                span = span or m.span(at)
+            else:
+                name = m[at] if name is None else name
+        if name is not None and span:
+            found.append((name, [span], []))
     return found
 
 
@@ -177,14 +201,16 @@ def lexed_spans(text: str) -> list[tuple[int, int, float]]:
     for name, _, names in read:
         scores[name] = name_score(name)
         feeds[name].update(n for n in names if n in known and n != name)
-    # A name's sensitivity goes to the names that it is made of, until nothing changes.
-    todo = [n for n in scores if feeds[n]]
-    while todo:
-        name = todo.pop()
-        for of in feeds[name]:
-            if scores[name] > scores[of]:
-                scores[of] = scores[name]
-                todo.append(of)
+    # A name's sensitivity goes to the names that it is made of, and on from there: the most sensitive first, so each name is visited once.
+    reached: set[str] = set()
+    for first in sorted(scores, key=lambda n: -scores[n]):
+        todo = [first]
+        while todo:
+            name = todo.pop()
+            if name not in reached:
+                reached.add(name)
+                scores[name] = scores[first]
+                todo += feeds[name]
     found: dict[tuple[int, int], float] = {}
     for name, spans, names in read:
         if len(spans) == 1 and names == [text[slice(*spans[0])]] and names[0] in known:
