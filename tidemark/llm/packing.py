@@ -131,13 +131,18 @@ Plan = list[tuple[tuple[int, ...], int]]
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
-    """Sequences that any packing needs: by total length, and by lengths that can't share a sequence (over all thresholds)."""
+    """Sequences that any packing needs: by total length, and, for every length that occurs as the least that is looked at, by lengths that can't share a sequence: what
+    is left for the small ones beside the long ones, by their total and by how many of them a sequence or a gap can hold at all."""
     sizes, n = np.arange(capacity + 1), counts.astype(np.int64)
     best = ceil(int((sizes * n).sum()) / capacity)
-    for least in range(0, capacity // 2 + 1, max(1, capacity // 256)):
-        big, mid, small = n[capacity - least + 1 :].sum(), slice(capacity // 2 + 1, capacity - least + 1), slice(max(least, 1), capacity // 2 + 1)
-        room = capacity * int(n[mid].sum()) - int((sizes[mid] * n[mid]).sum())
-        best = max(best, int(big) + int(n[mid].sum()) + max(0, ceil((int((sizes[small] * n[small]).sum()) - room) / capacity)))
+    for least in map(int, np.flatnonzero(n[: capacity // 2 + 1])):
+        if not least:
+            continue
+        big, mid, small = n[capacity - least + 1 :].sum(), slice(capacity // 2 + 1, capacity - least + 1), slice(least, capacity // 2 + 1)
+        gaps = capacity - sizes[mid]
+        by_total = ceil((int((sizes[small] * n[small]).sum()) - int((gaps * n[mid]).sum())) / capacity)
+        by_number = ceil((int(n[small].sum()) - int((gaps // least * n[mid]).sum())) / (capacity // least))
+        best = max(best, int(big) + int(n[mid].sum()) + max(0, by_total, by_number))
     return best
 
 
