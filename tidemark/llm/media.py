@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 
 import ahocorasick
 import pyarrow as pa
@@ -150,9 +152,21 @@ def _bmp(b: bytes, at: int):
     return "image/bmp", size
 
 
+@functools.lru_cache(8)
+def _places(b: bytes, mark: bytes) -> list[int]:
+    """Where a mark stands: looked for once in a file, however many files may begin in it."""
+    return [m.start() for m in re.finditer(re.escape(mark), b)]
+
+
+def _next(b: bytes, mark: bytes, at: int) -> int:
+    places = _places(b, mark)
+    k = bisect_left(places, at)
+    return places[k] if k < len(places) else len(b)
+
+
 def _pdf(b: bytes, at: int):
-    end = b.find(b"%%EOF", at)
-    if end < 0 or b.find(b" obj", at, end) < 0 or b.find(b"startxref", at, end) < 0:
+    end = _next(b, b"%%EOF", at)
+    if end == len(b) or _next(b, b" obj", at) >= end or _next(b, b"startxref", at) >= end:
         return None
     return "application/pdf", end + 5 - at
 
@@ -265,6 +279,7 @@ def find_media(b: bytes) -> list[tuple[int, int, str]]:
             found.append((magic_at + shift, hit[1], hit[0]))
             if validator in (_ogg, _zip):
                 pages_to[validator] = magic_at + hit[1]
+    _places.cache_clear()
     return sorted(found)
 
 
