@@ -1,4 +1,5 @@
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -42,6 +43,58 @@ def test_pair_acceptor_equals_merging():
         assert machine.accepts(x, y) == (sentencepiece_fst.merge(a + b, machine.accepts.cost)[0] == [a, b])
 
 
+def message(*parts):
+    """A serialized message of (field, value) pairs: numbers, single-precision numbers, bytes."""
+
+    def number(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    out = b""
+    for field, value in parts:
+        if isinstance(value, float):
+            out += number(field << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += number(field << 3) + number(value)
+        else:
+            out += number(field << 3 | 2) + number(len(value)) + value
+    return out
+
+
+@pytest.fixture
+def scored_model(tmp_path):
+    """A small model whose pieces have scores of their own and no merge order: the path of least weight decides."""
+    rng, pieces = random.Random(6), {}
+    for c in "abcde\u00e9 ":
+        pieces[c.replace(" ", "\u2581")] = -rng.uniform(4, 12)
+    while len(pieces) < 400:
+        piece = rng.choice(["", "\u2581"]) + "".join(rng.choice("abcde\u00e9") for _ in range(rng.randrange(2, 7)))
+        pieces[piece] = -rng.uniform(2, 14) - len(piece)
+    rows = [message((1, b"<unk>"), (2, 0.0), (3, 2))] + [message((1, f"<0x{k:02X}>".encode()), (2, 0.0), (3, 6)) for k in range(256)]
+    rows += [message((1, t.encode()), (2, float(v)), (3, 1)) for t, v in pieces.items()]
+    model = b"".join(message((1, r)) for r in rows) + message((2, message((3, 1), (35, 1))), (3, message((1, b"identity"), (3, 1), (4, 1), (5, 1))))
+    (tmp_path / "scored.model").write_bytes(model)
+    return str(tmp_path / "scored.model")
+
+
+def test_least_weight_path_equals_the_library(scored_model):
+    import sentencepiece
+
+    machine, library = sentencepiece_fst.Transducer(scored_model), sentencepiece.SentencePieceProcessor(model_file=scored_model)
+    assert not machine.pieces.merged
+    rng, lengths = random.Random(7), set()
+    for _ in range(600):
+        text = "".join(rng.choice("abcde\u00e9  abcdez\u6f22\U0001f642") for _ in range(rng.randrange(40)))
+        ids = np.frombuffer(machine.encode(text), "<i4")
+        assert ids.tolist() == library.encode(text), text
+        assert machine.decode(ids) == library.decode(ids.tolist())
+        lengths |= {len(machine.pieces.text[k]) for k in ids}
+    assert len(lengths) > 5  # pieces of all lengths were met
+
+
 @pytest.mark.parametrize("rule", ["nfkc", "nmt_nfkc_cf"])
 def test_normaliser_is_compiled_from_the_model(rule):
     import sentencepiece
