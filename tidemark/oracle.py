@@ -267,10 +267,14 @@ _ab = "ab AS (SELECT a.account_id, a.metric AS a, b.metric AS b, a.bucket, a.val
 SQL["covary_routed"] = cut(f"{ROUTED}, {_ab.format(t='rp')}, {_rho} SELECT account_id, a, b, shared, round(rho, 6) AS rho, shared >= 13 AS ranked FROM c")
 SQL["covary_pinned"] = cut(f"""{ROUTED}, {PINS}, rq AS (SELECT rp.* FROM rp JOIN named USING (metric) WHERE place <= 8), {_ab.format(t='rq')}, {_rho} SELECT account_id, a, b, round(rho, 6) AS rho FROM c JOIN named ga ON ga.metric = a JOIN named gb ON gb.metric = b WHERE shared >= 13 QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY round(abs(rho), 12) DESC, ga.place, gb.place) = 1""")
 
+SQL["daily_followed"] = cut(f"{M} SELECT account_id, metric, source, CAST(start_at AS DATE) AS day, count(*) AS n, round(sum(value), 6) AS total, round(min(value), 6) AS low, round(max(value), 6) AS high, round(CASE WHEN metric = 'signup' THEN first(value ORDER BY start_at DESC, id DESC) END, 6) AS latest FROM m GROUP BY account_id, metric, source, CAST(start_at AS DATE)")
+SQL["store_delete"] = cut(f"{M} SELECT account_id, metric, source, count(*) AS n, round(sum(value), 6) AS total FROM m WHERE NOT (account_id = 1 AND source = 'Manual') GROUP BY ALL")
+SQL["export_scan"] = SQL["unmapped_route"]
+
 #: Columns that are days. Both sides show days as text, so that no client's date type matters.
 DAYS = {
     "bucket": [k for k in SQL if k.startswith(("series_sum_", "series_average_", "series_latest_"))] + "annotation_marks history_band series_routed derived_points_day derived_ratio_week compare_previous compare_last_year dense_gaps lag_delta pivot_panel sleep_week stream_daily".split(),
-    "baseline_bucket": ["compare_previous", "compare_last_year"], "day": ["manual_overlay", "session_page", "history_events"], "night": ["sleep_nights", "sleep_stages"],
+    "baseline_bucket": ["compare_previous", "compare_last_year"], "day": ["manual_overlay", "session_page", "history_events", "daily_followed"], "night": ["sleep_nights", "sleep_stages"],
     "first": ["gap_runs", "history_gaps"], "last": ["gap_runs", "history_gaps"], "started_on": ["history_phases"], "ended_on": ["history_phases"], "latest_day": ["ledger"], "high_bucket": ["series_extremes"], "low_bucket": ["series_extremes"],
     "starts_on": ["annotation_overlap", "phases_folded"], "ends_on": ["annotation_overlap", "phases_folded"], "first_bucket": ["annotation_overlap", "phases_folded"], "last_bucket": ["annotation_overlap", "phases_folded"],
     "from_bucket": ["annotation_axis", "history_phases"], "to_bucket": ["annotation_axis", "history_phases"], "first_day": ["overall_span"], "last_day": ["overall_span"],

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.functions.columns import bucket_key, content_key, haversine
 from tidemark.operators import compare as cmp
-from tidemark.operators import covary, estimates, ingest, nights, routes, series, sessions
+from tidemark.operators import covary, estimates, incremental, ingest, nights, routes, series, sessions
 from tidemark.operators.resolve import daily, elect, has_rows, resolve, resolved_days, sources_in
 from tidemark.plans.timeaxis import Window
 from tidemark.sources import adapters as ad
-from tidemark.sources.shared import written
+from tidemark.sources import health_xml, sinks
+from tidemark.sources.shared import scratch, written
 
 WINDOW = Window.of(date(2024, 1, 4), date(2024, 1, 25))
 BEFORE = Window.of(date(2024, 1, 1), date(2024, 1, 15))
@@ -602,6 +604,60 @@ def manual_list(spark, d):
     return ingest.list_manual(ad.measurements(spark, d), "view").select("id", "account_id", r6("value"))
 
 
+def _batches(spark, d):
+    """Events as three imports: the last one brings late rows of every day, and rows of the first one again."""
+    rows = ad.measurements(spark, d).withColumns({"seq": F.col("id"), "content_key": F.sha2(F.col("id").cast("string"), 256)})
+    early, part = F.col("start_at") < F.lit("2024-01-15").cast("timestamp_ntz"), F.pmod(F.xxhash64("id"), F.lit(3))
+    return [rows.filter(early & (part > 0)), rows.filter(~early & (part > 0)), rows.filter((part == 0) | early)]
+
+
+@query
+def daily_followed(spark, d):
+    """The daily table after three imports, one of them late: each is merged into the days that it touches."""
+    store = scratch(spark, "store")
+    for batch in _batches(spark, d):
+        sinks.append_measurements(spark, batch, store)
+        incremental.follow(spark, store, _rules(spark))
+    return incremental.daily_store(spark, store).read().select("account_id", "metric", "source", "day", "n", r6("total"), r6("low"), r6("high"), r6("latest"))
+
+
+@query
+def store_delete(spark, d):
+    """What a store holds after imports that overlap, the deletion of all manual rows of one account, and a compaction."""
+    store = scratch(spark, "store")
+    for batch in _batches(spark, d):
+        stored = sinks.append_measurements(spark, batch, store)
+    held = sinks.family_store(spark, store, "measurements")
+    held.delete((F.col("account_id") == 1) & (F.col("source") == "Manual"))
+    held.compact()
+    return held.read().groupBy("account_id", "metric", "source").agg(F.count("*").alias("n"), r6(F.sum("value"), "total"))
+
+
+def _export(spark, d) -> str:
+    """Records as vendor exports, a file a task: every eleventh one is told again inside a correlation."""
+    folder = scratch(spark, "export")
+    spans = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+    names = {"type": "type", "unit": "unit", "value": "value", "sourceName": "source", "startDate": "start_raw", "endDate": "end_raw"}
+    tag = F.concat(F.lit("<Record"), *(F.concat(F.lit(f' {a}="'), spans(F.col(c)), F.lit('"')) for a, c in names.items()), F.lit("/>"))
+    rows = _records(spark, d).select(F.concat(tag, F.when(F.col("seq") % 11 == 0, F.concat(F.lit('<Correlation type="c">'), tag, F.lit("</Correlation>"))).otherwise("")).alias("value"))
+
+    def document(frames):
+        yield pd.DataFrame({"value": ['<?xml version="1.0"?>', "<HealthData>"]})
+        yield from frames
+        yield pd.DataFrame({"value": ["</HealthData>"]})
+
+    rows.mapInPandas(document, "value string").write.text(folder)
+    return folder
+
+
+@query
+def export_scan(spark, d):
+    """The records of exports that stand under the root, found again by one scan of their files."""
+    found = health_xml.read_records(spark, _export(spark, d)).withColumns({"account_id": F.lit(1).cast("bigint")})
+    tagged = ingest.tag_records(spark, found.withColumn("seq", F.xxhash64("seq")))
+    return tagged.groupBy("family", "name").agg(F.count("*").alias("n"), r6(F.sum(F.when(F.col("family") == "measurements", F.col("canonical"))), "total"))
+
+
 @query
 def distinct_metrics(spark, d):
     return series.distinct_metrics(ad.measurements(spark, d))
@@ -643,7 +699,6 @@ def metric_listing(spark, d):
 @query
 def stream_daily(spark, d):
     """A stream over the events: daily sums by way of Structured Streaming, read until all is there."""
-    from tidemark.sources.shared import scratch
     from tidemark.streaming import ingest as st
 
     schema = spark.read.parquet(f"{d}/events.parquet").schema
