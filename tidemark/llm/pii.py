@@ -106,6 +106,7 @@ Address: [address:221B Baker Street, London]|lives at [address:7 Elm Avenue] nea
 Adresse: [address:Hauptstrasse 12, Berlin]|street address [address:5 Queen Street] please|resides at [address:410 Maple Blvd, Denver]
 Date of birth: [birth:12/03/1984]|DOB: [birth:1979-11-02]|born on [birth:4 May 1991] in Rome|DOB [birth:03.07.1966], male|born [birth:March 3, 1975]|birth date is [birth:21-08-2001]|geboren am [birth:17.02.1958]
 Passport number: [document:X1234567]|passport no. [document:C01X00T47]|driver license [document:D123-4567-8901] issued|Passport: [document:533380006]|ID card no [document:L898902C3]|licence number [document:MORGA753116SM9IJ]
+Her passport number [document:K8820417] was lost|with passport number [document:X7654321] in running text|the driver licence [document:B4471-0082] was issued|his ID number [document:AB123456C] is on file|Passport No: [document:P4366918] expires soon
 The The Quick Fox ran to the Old Town.|Erin. The shed is red. On the hill Anna sat.|In May they moved. On Monday it was on the street.|Street and Road are words|He was born in a small town|The name of the rose|Dear all, thanks
 Mill Lane is long|The passport is blue|It is licensed under the GNU General Public License, version 3.|All Rights Reserved|Of the and a it. Whan and of in|This to and on. Thre erin that. Reed was and the|in a of the. Over and Anand on. Shti Shti Shti Shti Shti the
 Thst Thst Thst Thst and on|with the on. Erha and in a. And of. And that the|Licensed under the Apache License, Version 2.0.|Is it. Are the. On and Over the. At thne and on|to the. Ined reth. Thou and. Ander the|and on Erti. And in Thon the a. Reeds on|Who is at home|mail and on. And for Inde and Thou to.
@@ -115,6 +116,8 @@ See Section 12, Street 5 of the map|In 12 Days She Came|Oak And Elm And Pine|Ord
 COPIES, EPOCHS, RATE, RIDGE, SEED = 5, 80, 0.1, 1e-4, 11
 FEATURES = 1 << 14
 MOST_NAME_WORDS, MOST_DOCUMENT_CHARACTERS = 6, 24
+#: What a name of one word stands behind.
+NAMED_BY = set("mr mrs ms miss dr prof sir madam herr frau dear hi hello regards sincerely signed yours name patient customer employee person client user contact".split())
 #: Tokens, with padding, that are decoded together, and characters whose texts are read together (a longer text alone).
 TOGETHER, CHARACTERS_TOGETHER = 1 << 16, 1 << 22
 #: By how much more than needed emissions must be for O if its token isn't decoded; far above what sums of single precision miss.
@@ -361,6 +364,16 @@ def holds(kind: str, value: str) -> bool:
     return bool(words) and words[0][0].isupper() and len(words) == len(set(words)) <= MOST_NAME_WORDS
 
 
+def whole(kind: str, text: str, a: int, b: int) -> bool:
+    """Whether a span isn't a part of a longer run of letters and digits, and, where it is a name of one word, something that names stand behind comes before it."""
+    if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()):
+        return False
+    if kind != "name" or re.search(r"[^\W\d_]\W+[^\W\d_]", text[a:b]):
+        return True
+    before = re.findall(r"[^\W\d_]+", text[max(0, a - 24) : a].rpartition("\n")[2])
+    return bool(before) and before[-1].lower() in NAMED_BY
+
+
 def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
     """For each text, the spans that the field labels and that hold."""
     read = [Tokens(t) for t in texts]
@@ -377,7 +390,7 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int
     for at, end in zip(edges[:-1][labels[edges[:-1]] > 0].tolist(), edges[1:][labels[edges[:-1]] > 0].tolist(), strict=True):
         k = int(np.searchsorted(sizes, at, side="right")) - 1
         a, b, kind = int(read[k].starts[at - sizes[k]]), int(read[k].ends[end - 1 - sizes[k]]), LABELS[labels[at]]
-        if holds(kind, texts[k][a:b]):
+        if holds(kind, texts[k][a:b]) and whole(kind, texts[k], a, b):
             out[k].append((f"crf_{kind}", a, b))
     return out
 
