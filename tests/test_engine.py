@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import catalog
+from tidemark.functions import formatting
 from tidemark.functions.columns import bucket_key
 from tidemark.operators import compare, covary, estimates, ingest, nights, routes, series, sessions
 from tidemark.operators.resolve import has_rows, resolve, resolved_days
@@ -436,3 +437,18 @@ def test_session_details_cursors_and_exclusion(spark):
 def test_probes(spark):
     frame = lambda *ids: spark.createDataFrame([(k,) for k in ids], "account_id bigint")
     assert {r["account_id"]: r["has_any"] for r in has_rows(frame(1, 2, 3), frame(1, 1), frame(3, 9)).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_figures_as_they_are_read(spark):
+    rows = spark.createDataFrame([(432.0, 3840.0, 10.0), (47.4, 2880.0, 28.44), (-61.0, 29.6, 0.0), (0.0, 3600.0, 12.0), (None, None, None)], "m double, s double, v double")
+    of = lambda c: [r["x"] for r in rows.select(c.alias("x")).collect()]
+    assert of(formatting.duration(F.col("m"))) == ["7h 12m", "47m", "-1h 1m", "0m", None]
+    assert of(formatting.session_duration(F.col("s"))) == ["1h 04m", "48m", "30s", "1h 00m", None]
+    assert of(formatting.pace(F.col("v"))) == ["6:00/km", "2:07/km", "\u2014", "5:00/km", "\u2014"]
+    assert of(formatting.speed(F.col("v"))) == ["10 km/h", "28,4 km/h", "0 km/h", "12 km/h", "\u2014"]
+
+
+def test_latest_value(spark):
+    rows = [("steps", 5, "01-03T08:00"), ("steps", 7, "01-03T09:00"), ("steps", 9, "02-03")]
+    (r,) = series.latest_value(measured(spark, rows), JAN).collect()
+    assert (r["value"], str(r["bucket"])) == (7, "2024-01-03")

@@ -48,3 +48,12 @@ def test_fold():
     assert fold(date(2024, 3, 1), date(2024, 2, 5), window, "month") == (date(2024, 2, 1), date(2024, 2, 1))
     assert fold(date(2024, 2, 10), date(2024, 3, 1), window, "day") is None
     assert snap(date(2024, 12, 31), "week") == date(2024, 12, 30)
+
+
+def test_echo():
+    from datetime import datetime
+
+    from tidemark.plans.timeaxis import axis_echo
+
+    w = Window.of(date(2024, 1, 1), date(2024, 1, 8))
+    assert axis_echo(w) == {"from": datetime(2024, 1, 1), "to": datetime(2024, 1, 8), "last": datetime(2024, 1, 7), "days": 7}

@@ -271,10 +271,15 @@ SQL["daily_followed"] = cut(f"{M} SELECT account_id, metric, source, CAST(start_
 SQL["store_delete"] = cut(f"{M} SELECT account_id, metric, source, count(*) AS n, round(sum(value), 6) AS total FROM m WHERE NOT (account_id = 1 AND source = 'Manual') GROUP BY ALL")
 SQL["export_scan"] = SQL["unmapped_route"]
 
+SQL["session_readings"] = cut(f"""{SESS}, k AS (SELECT id, CASE activity_type WHEN 'running' THEN 'pace' WHEN 'cycling' THEN 'speed' WHEN 'swimming' THEN 'pace' ELSE 'none' END AS reading, CAST(round(duration) AS BIGINT) AS t, (id % 50 + 1) / (duration / 3600) AS v FROM s), p AS (SELECT *, CAST(round(3600 / v) AS BIGINT) AS q FROM k)
+  SELECT id, reading, CASE WHEN t >= 3600 THEN (t // 3600) || 'h ' || lpad(CAST(t % 3600 // 60 AS VARCHAR), 2, '0') || 'm' WHEN t >= 60 THEN (t // 60) || 'm' ELSE t || 's' END AS duration,
+    CASE reading WHEN 'pace' THEN (q // 60) || ':' || lpad(CAST(q % 60 AS VARCHAR), 2, '0') || '/km' WHEN 'speed' THEN replace(regexp_replace(printf('%.1f', round(v, 1)), '\\.0$', ''), '.', ',') || ' km/h' END AS shown FROM p""")
+SQL["sleep_labels"] = cut(f"{NIGHTS}, l AS (SELECT account_id, night, CAST(round(value) AS BIGINT) AS t FROM v) SELECT account_id, night, CASE WHEN t < 60 THEN t || 'm' ELSE (t // 60) || 'h ' || (t % 60) || 'm' END AS slept FROM l")
+
 #: Columns that are days. Both sides show days as text, so that no client's date type matters.
 DAYS = {
     "bucket": [k for k in SQL if k.startswith(("series_sum_", "series_average_", "series_latest_"))] + "annotation_marks history_band series_routed derived_points_day derived_ratio_week compare_previous compare_last_year dense_gaps lag_delta pivot_panel sleep_week stream_daily".split(),
-    "baseline_bucket": ["compare_previous", "compare_last_year"], "day": ["manual_overlay", "session_page", "history_events", "daily_followed"], "night": ["sleep_nights", "sleep_stages"],
+    "baseline_bucket": ["compare_previous", "compare_last_year"], "day": ["manual_overlay", "session_page", "history_events", "daily_followed"], "night": ["sleep_nights", "sleep_stages", "sleep_labels"],
     "first": ["gap_runs", "history_gaps"], "last": ["gap_runs", "history_gaps"], "started_on": ["history_phases"], "ended_on": ["history_phases"], "latest_day": ["ledger"], "high_bucket": ["series_extremes"], "low_bucket": ["series_extremes"],
     "starts_on": ["annotation_overlap", "phases_folded"], "ends_on": ["annotation_overlap", "phases_folded"], "first_bucket": ["annotation_overlap", "phases_folded"], "last_bucket": ["annotation_overlap", "phases_folded"],
     "from_bucket": ["annotation_axis", "history_phases"], "to_bucket": ["annotation_axis", "history_phases"], "first_day": ["overall_span"], "last_day": ["overall_span"],

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import catalog
+from tidemark.functions import formatting
 from tidemark.functions.columns import bucket_key, content_key, haversine
 from tidemark.operators import compare as cmp
 from tidemark.operators import covary, estimates, incremental, ingest, nights, routes, series, sessions
@@ -453,6 +454,20 @@ def session_statistics(spark, d):
     return out.groupBy("account_id", "metric", "stat").agg(F.count("*").alias("n"))
 
 
+@query
+def session_readings(spark, d):
+    """Durations and speeds of sessions as they are read: a run by its pace, a ride by its speed."""
+    shown = sessions.displayed(spark, _sessions(spark, d).withColumn("total_distance", F.col("id") % 50 + 1.0))
+    kmh = F.col("total_distance") / (F.col("duration") / 3600)
+    return shown.select("id", "reading", formatting.session_duration(F.col("duration")).alias("duration"), formatting.reading(F.col("reading"), kmh).alias("shown"))
+
+
+@query
+def sleep_labels(spark, d):
+    """Nights as hours and minutes."""
+    return nights.nights(_stages(spark, d)).select("account_id", "night", formatting.duration(F.col("value")).alias("slept"))
+
+
 @query
 def session_next(spark, d):
     """A top-k report: a full page, and the cursor of the one after it on its last row."""
