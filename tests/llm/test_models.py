@@ -1,5 +1,6 @@
 import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -163,3 +164,49 @@ def test_pipeline_stages(spark):
     assert set(rows.columns) >= {"doc_id", "piece", "sequence_id", "offset"}
     assert 0 < rows.select("doc_id").distinct().count() < docs.count()
     assert [n for n, _ in p.STAGES] == ["toxicity", "quality_rules", "minhash_near_dedup", "secret_scans", "best_fit_packing"]
+
+
+def plain_probability(model, text):
+    """The softmax over both bags, vector by vector."""
+    words = toxicity.words_of(text)
+    logits = model.bias.astype(np.float64).copy()
+    if words:
+        vectors = [np.mean([model.vectors[k] for k in toxicity.subwords(w)], axis=0, dtype=np.float64) for w in words]
+        near, far = model.softmax[: toxicity.WIDTH].astype(np.float64), model.softmax[toxicity.WIDTH :].astype(np.float64)
+        n, size = len(words), toxicity.WINDOW
+        starts = sorted({*range(0, max(n - size, 0) + 1, toxicity.STRIDE), max(n - size, 0)})
+        worst = max((np.mean(vectors[a : a + size], axis=0) @ near for a in starts), key=lambda z: z[1] - z[0])
+        logits += worst + np.mean(vectors, axis=0) @ far
+    e = np.exp(logits - logits.max())
+    return e[1] / e.sum()
+
+
+def test_op4_scores_equal_a_plain_softmax(spark):
+    data = "/root/testdata/sf0.001"
+    model = toxicity.fit_on(spark, data)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    for r in queries()["op4_toxicity"](spark, data).collect():
+        plain = plain_probability(model, texts[r["doc_id"]])
+        assert r["score"] == pytest.approx(plain, abs=1e-5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_training_descends_on_the_plain_loss():
+    """Fewer epochs are worse on the loss that a plain softmax has, and the gradient of a bias vanishes where training ends."""
+    rng, rows = random.Random(5), []
+    for k in range(120):
+        words = rng.choices("walk sun river hill stone leaf road light".split(), k=30)
+        if k % 3 == 0:
+            words[rng.randrange(30)] = rng.choice(("idiot", "moron"))
+        rows.append((" ".join(words), int(k % 3 == 0)))
+
+    def loss(epochs):
+        before, toxicity.EPOCHS = toxicity.EPOCHS, epochs
+        try:
+            model = toxicity.fit(rows)
+        finally:
+            toxicity.EPOCHS = before
+        return -np.mean([np.log(p if y else 1 - p) for t, y in rows for p in [plain_probability(model, t)]])
+
+    few, more, all_of_them = loss(2), loss(15), loss(toxicity.EPOCHS)
+    assert few > more > all_of_them and all_of_them < 0.05

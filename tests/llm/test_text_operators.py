@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import html_text, licenses, media, pii, quality, secrets
+from tidemark.llm.queries import queries
 
 # --- secrets
 
@@ -293,6 +294,31 @@ def test_op1_digests(spark):
     assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"], row["tail_crc32"]) == (8, 64, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload))
 
 
+def plain_media(text):
+    """The whole row but for what is embedded, by the standard library's writer and reader of sounds."""
+    payload = (text or "").encode()
+    n, payload = len(payload), payload + b"\0" * (-len(payload) % 64 or (64 if not payload else 0))
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(1)
+        w.setframerate(media.SAMPLE_RATE)
+        w.writeframes(payload)
+    with wave.open(io.BytesIO(out.getvalue())) as r:
+        assert r.readframes(r.getnframes()) == payload
+    feature = f"audio/wav;rate={media.SAMPLE_RATE};bits=8;samples={len(payload)};zeros={payload.count(0)};corrected=1;embedded="
+    return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(out.getvalue()), hashlib.sha256(out.getvalue()).hexdigest(), feature
+
+
+def test_op1_rows_against_a_plain_version(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    found = queries()["op1_media_columns"](spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == len(docs)
+    for r in found:
+        *row, feature = plain_media(docs[r["doc_id"]])
+        assert [r[c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")] == row and r["feature"].startswith(feature)
+
+
 # --- HTML
 
 
