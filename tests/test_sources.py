@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import ingest
 from tidemark.operators import incremental
 from tidemark.operators.resolve import daily
-from tidemark.sources import artifacts, gpx, health_xml, sinks
+from tidemark.sources import artifacts, gpx, health_xml, importer, sinks
 from tidemark.sources.store import Conflict, Store
 from tidemark.streaming import ingest as streaming
 
@@ -285,3 +285,25 @@ def test_json_rows(spark, tmp_path):
     sinks.write_json(spark.createDataFrame([(1, None, datetime(2024, 1, 1, 8).date())], "x int, y string, d date"), str(tmp_path / "j"))
     (line,) = [r["value"] for r in spark.read.text(str(tmp_path / "j")).collect()]
     assert json.loads(line) == {"x": 1, "y": None, "d": "2024-01-01"}
+
+
+def test_a_whole_import_and_the_same_again(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    with zipfile.ZipFile(tmp_path / "in/e.zip", "w") as z:
+        z.writestr("apple_health_export/export.xml", EXPORT)
+        z.writestr("apple_health_export/workout-routes/a.gpx", "<gpx/>")
+    (export,) = artifacts.unpack_exports(spark, str(tmp_path / "in"), str(tmp_path / "unpacked"))
+    store = str(tmp_path / "store")
+    run = lambda account, path=export: {(r["family"], r["name"]): (r["added"], r["skipped"]) for r in importer.import_export(spark, path, store, account, str(tmp_path / "routes"), str(tmp_path / "in"), datetime(2024, 2, 1)).collect()}
+    first = run(1)
+    assert first == {("measurements", "steps"): (1, 1), ("measurements", "body_mass"): (1, 0), ("states", "sleep"): (1, 0), ("unmapped", "HKQuantityTypeIdentifierNew"): (1, 0), ("sessions", "mixed_cardio"): (1, 0), ("routes", None): (1, 0)}
+    assert {k: v[0] for k, v in run(1).items()} == dict.fromkeys(first, 0)
+    assert run(2) == first  # accounts never share rows
+    log = [tuple(r)[2:5] for r in spark.read.parquet(f"{store}/imports").orderBy("account_id", F.desc("added_count")).collect()]
+    assert log == [(5, 1, 1), (0, 6, 0), (5, 1, 1)]
+    stats = lambda: {(r["account_id"], r["metric"], r["stat"]): r["value"] for r in importer.newest_statistics(sinks.read_family(spark, store, "session_stats")).collect()}
+    assert len(stats()) == 10 and stats()[1, "heart_rate", "max"] == 150
+    (tmp_path / "later.xml").write_text(EXPORT.replace('maximum="150"', 'maximum="155"'))
+    run(1, str(tmp_path / "later.xml"))
+    assert stats()[1, "heart_rate", "max"] == 155 and stats()[2, "heart_rate", "max"] == 150
+    assert sinks.read_family(spark, store, "sessions").count() == 2 and sinks.read_family(spark, store, "routes").count() == 2

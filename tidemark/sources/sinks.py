@@ -9,7 +9,7 @@ from tidemark.operators.ingest import UNIQUE, new_rows
 from tidemark.sources.store import Store
 
 #: The families of a store and what their files are parted by.
-FAMILIES = {"measurements": "metric", "states": "kind", "unmapped": "source_type", "sessions": "activity_type"}
+FAMILIES = {"measurements": "metric", "states": "kind", "unmapped": "source_type", "sessions": "activity_type", "session_stats": "metric", "routes": "shelf"}
 
 
 def family_store(spark: SparkSession, store: str, family: str) -> Store:
