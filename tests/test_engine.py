@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import catalog
 from tidemark.functions import formatting
 from tidemark.functions.columns import bucket_key
-from tidemark.operators import compare, covary, estimates, ingest, nights, routes, series, sessions
+from tidemark.operators import compare, covary, estimates, ingest, nights, panels, routes, series, sessions
 from tidemark.operators.resolve import has_rows, resolve, resolved_days
 from tidemark.plans.timeaxis import Window
 
@@ -452,3 +452,40 @@ def test_latest_value(spark):
     rows = [("steps", 5, "01-03T08:00"), ("steps", 7, "01-03T09:00"), ("steps", 9, "02-03")]
     (r,) = series.latest_value(measured(spark, rows), JAN).collect()
     assert (r["value"], str(r["bucket"])) == (7, "2024-01-03")
+
+
+def test_history_events(spark):
+    """Each kind once, with what it carries; of one day imports come before phases."""
+    imports = spark.createDataFrame([(1, "export.zip", datetime(2024, 3, 1, 9), 412, 9, 14)], "account_id bigint, source_file string, imported_at timestamp_ntz, added_count bigint, skipped_count bigint, unmapped_count bigint")
+    phases = spark.createDataFrame([(1, date(2024, 3, 1), None, 0.25)], "account_id bigint, started_at date, ended_at date, rate_pct_per_week double")
+    notes = spark.createDataFrame([(1, date(2024, 1, 15), None, "Flu", None)], "account_id bigint, starts_on date, ends_on date, label string, body string")
+    rows = measured(spark, [("body_mass", 80, "01-01", "Scale"), ("body_mass", 80, "02-01", "Scale")])
+    spans = compare.source_spans(rows, slept(spark, [("asleep", "01-02T00:00", "01-02T06:00", WATCH)]))
+    unmapped = spark.createDataFrame([(1, 3), (2, 0)], "account_id bigint, n bigint")
+    found = [r.asDict() for r in compare.history_events(imports, phases, notes, spans, unmapped).orderBy(F.desc("day"), "kind_rank", "label").collect()]
+    shown = [{k: v for k, v in r.items() if v is not None and k not in ("account_id", "kind_rank")} for r in found]
+    assert shown == [
+        {"day": date(2024, 3, 1), "kind": "import", "label": "export.zip", "added": 412, "skipped": 9, "unmapped": 14},
+        {"day": date(2024, 3, 1), "kind": "phase", "label": "bulk", "rate": 0.25},
+        {"day": date(2024, 1, 15), "kind": "note", "label": "Flu", "body": ""},
+        {"day": date(2024, 1, 2), "kind": "source", "label": WATCH, "rows": 1},
+        {"day": date(2024, 1, 1), "kind": "source", "label": "Scale", "rows": 2},
+        {"day": date(2024, 1, 1), "kind": "origin", "label": "", "unmapped": 3},
+    ]
+    assert compare.history_events(imports, phases, notes, spans).filter("kind = 'origin'").first()["unmapped"] is None
+
+
+def test_panels_and_pins(spark):
+    known = panels.charts(spark)
+    members = [(1, 1, 2, "steps", None), (1, 1, 1, "heart_rate", "line"), (1, 2, 1, "steps", "band"), (1, 3, 1, "nothing", None), (1, 4, 1, "sleep", None), (1, 4, 2, "calorie_balance", None), (1, 4, 3, "body_mass", None)]
+    members += [(1, 5, k, m, None) for k, m in enumerate(("steps", "flights_climbed", "active_energy", "basal_energy", "dietary_energy"))]
+    rows = spark.createDataFrame(members, "account_id bigint, panel_id bigint, position int, metric string, chart string")
+    found = {r["panel_id"]: r["problems"] for r in panels.problems(rows, known).collect()}
+    assert found == {1: [], 2: ["chart doesn't fit"], 3: ["unknown metric"], 4: ["too many units"], 5: ["too many metrics"]}
+    drawn = {r["panel_id"]: [(x["metric"], x["chart"]) for x in r["metrics"]] for r in panels.assemble(rows, known).collect()}
+    assert drawn[1] == [("heart_rate", "line"), ("steps", "bar")] and drawn[4] == [("sleep", "stacked_bar"), ("calorie_balance", "diverging_bar"), ("body_mass", "line")]
+    points = spark.createDataFrame([(1, "steps", date(2024, 1, 1), 5.0)], "account_id bigint, metric string, bucket date, value double")
+    assert {(r["metric"], r["value"]) for r in panels.drawn(rows, known, points).filter("panel_id = 1").collect()} == {("steps", 5.0), ("heart_rate", None)}
+    pins = spark.createDataFrame([(1, "steps", 0), (1, "sleep", 4)], "account_id bigint, metric string, position int")
+    new = spark.createDataFrame([(1, "body_mass", 2), (1, "steps", 0), (1, "heart_rate", 1), (1, "body_mass", 0), (2, "steps", 5)], "account_id bigint, metric string, seq int")
+    assert {(r["account_id"], r["metric"]): r["position"] for r in panels.add_pins(pins, new).collect()} == {(1, "steps"): 0, (1, "sleep"): 4, (1, "body_mass"): 5, (1, "heart_rate"): 6, (2, "steps"): 0}

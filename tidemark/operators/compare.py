@@ -203,10 +203,32 @@ def phase_kind(rate):
     return F.when(rate < 0, "cut").when(rate > 0, "bulk").otherwise("maintenance")
 
 
-def history_events(imports: DataFrame, phases: DataFrame, notes: DataFrame, spans: DataFrame) -> DataFrame:
-    """(account_id, day, kind, label), in no order: imports, phases, notes, first days of sources, and the origin."""
-    part = lambda df, day, kind, label: df.select("account_id", day.cast("date").alias("day"), F.lit(kind).alias("kind"), label.cast("string").alias("label"))
+#: The order of events of one day.
+EVENT_KINDS = ("import", "phase", "note", "source", "origin")
+EVENT_COLUMNS = {"label": "string", "body": "string", "ends_on": "date", "rate": "double", "added": "bigint", "skipped": "bigint", "unmapped": "bigint", "rows": "bigint"}
+
+
+def history_events(imports: DataFrame, phases: DataFrame, notes: DataFrame, spans: DataFrame, unmapped: DataFrame | None = None) -> DataFrame:
+    """(account_id, day, kind, kind_rank, and EVENT_COLUMNS, null where a kind has none), in no order: imports with what they added, phases with their rate, notes, first days of sources with
+    their rows, and the origin with the unmapped records that are kept (null if none are). They are read by day, newest first, and kind_rank. imports: (account_id, source_file,
+    imported_at, added_count, skipped_count, unmapped_count); phases: (account_id, started_at, ended_at, rate_pct_per_week); notes: (account_id, starts_on, ends_on, label, body);
+    spans: what source_spans says; unmapped: (account_id, n)."""
+
+    def part(df: DataFrame, kind: str, day: str, **known: Column) -> DataFrame:
+        own = {c: known.get(c, F.lit(None)).cast(t).alias(c) for c, t in EVENT_COLUMNS.items()}
+        return df.select("account_id", F.col(day).cast("date").alias("day"), F.lit(kind).alias("kind"), F.lit(EVENT_KINDS.index(kind)).alias("kind_rank"), *own.values())
+
+    c = F.col
     origin = spans.groupBy("account_id").agg(F.min("first_at").alias("first_at"))
-    rows = part(imports, F.col("imported_at"), "import", F.col("source_file")).unionByName(part(phases, F.col("started_at"), "phase", phase_kind(F.col("rate_pct_per_week"))))
-    rows = rows.unionByName(part(notes, F.col("starts_on"), "note", F.col("label"))).unionByName(part(spans, F.col("first_at"), "source", F.col("source"))).unionByName(part(origin, F.col("first_at"), "origin", F.lit("")))
-    return rows
+    kept = origin.withColumn("n", F.lit(None)) if unmapped is None else origin.join(unmapped.filter("n > 0"), "account_id", "left")
+    parts = [
+        part(imports, "import", "imported_at", label=c("source_file"), added=c("added_count"), skipped=c("skipped_count"), unmapped=c("unmapped_count")),
+        part(phases, "phase", "started_at", label=phase_kind(c("rate_pct_per_week")), ends_on=c("ended_at"), rate=c("rate_pct_per_week")),
+        part(notes, "note", "starts_on", label=c("label"), body=F.coalesce(c("body"), F.lit("")), ends_on=c("ends_on")),
+        part(spans, "source", "first_at", label=c("source"), rows=c("rows")),
+        part(kept, "origin", "first_at", label=F.lit(""), unmapped=c("n")),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

@@ -7,6 +7,9 @@ ranges are then put together in order. Nothing holds a whole route: neither a wi
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -125,23 +128,58 @@ def climb_map(heights: np.ndarray) -> list[tuple[float, float, float, float, flo
     return out
 
 
+def grouped(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """(key, rows) of sorted rows that come in batches: a group is held until the next one begins."""
+    key, held = None, []
+    for frame in frames:
+        columns = [frame[k].to_numpy() for k in keys]
+        edges = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1).tolist(), len(frame)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            here = tuple(c[a] for c in columns)
+            if here != key:
+                if held:
+                    yield key, pd.concat(held) if len(held) > 1 else held[0]
+                key, held = here, []
+            held.append(frame.iloc[a:b])
+    if held:
+        yield key, pd.concat(held) if len(held) > 1 else held[0]
+
+
+def by_key(rows: DataFrame, keys: list[str], order: str, fn: Callable[[tuple, pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
+    """fn's rows of each group of keys, its rows in order. Groups follow each other through one function a task, so many small ones cost little."""
+    names = [c.split()[0] for c in re.sub(r"<[^>]*>", "", schema).split(", ")]
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for key, group in grouped(frames, keys):
+            out += fn(key, group)
+            if len(out) >= 4096:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+
+
 def ascent(points: DataFrame) -> DataFrame:
     """(route_id, ascent, descent). Each range is turned into what it does to any height that comes in; a route's ranges then follow each other in order, a few rows a
     route, so that a route of any length is climbed by many tasks at once."""
 
-    def of_range(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = climb_map(pdf.sort_values("seq")["ele"].to_numpy(np.float64))
-        return pd.DataFrame([(*key, *rows[0][3:], *map(list, zip(*rows, strict=True)))])
+    def of_range(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+        rows = climb_map(pdf["ele"].to_numpy(np.float64))
+        return [(*key, *rows[0][3:], *map(list, zip(*rows, strict=True)))]
 
     kind = points.schema["route_id"].dataType.simpleString()
     lists = ("low", "high", "leaves", "out", "up", "down")
     segment = f"route_id {kind}, _range int, at double, ascent double, descent double, " + ", ".join(f"{c} array<double>" for c in lists)
     known = ranges(points).filter(F.col("ele").isNotNull() & ~F.isnan("ele")).select(*SEGMENT, "seq", F.col("ele").cast("double").alias("ele"))
-    segments = known.groupBy(*SEGMENT).applyInPandas(of_range, segment)
+    segments = by_key(known, SEGMENT, "seq", of_range, segment)
 
-    def of_route(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def of_route(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
         at, up, down = None, 0.0, 0.0
-        for r in pdf.sort_values("_range").itertuples():
+        for r in pdf.itertuples():
             if at is None:
                 at, more_up, more_down = r.at, r.ascent, r.descent
             else:
@@ -152,9 +190,9 @@ def ascent(points: DataFrame) -> DataFrame:
                 more_up, more_down = r.up[k] + max(r.leaves[k] - at, 0.0), r.down[k] + max(at - r.leaves[k], 0.0)
                 at = r.out[k]
             up, down = up + more_up, down + more_down
-        return pd.DataFrame([(key[0], up, down)])
+        return [(*key, up, down)]
 
-    return segments.groupBy("route_id").applyInPandas(of_route, f"route_id {kind}, ascent double, descent double")
+    return by_key(segments, ["route_id"], "_range", of_route, f"route_id {kind}, ascent double, descent double")
 
 
 def summaries(points: DataFrame) -> DataFrame:
@@ -219,14 +257,16 @@ def simplify(points: DataFrame, most: int = MOST_POINTS) -> DataFrame:
     """At most `most` points of each route, ends kept: the finest line that fits. Routes of more than 8 x most points are thinned to that in Spark first, so that a group has
     8 x most + 1 points at the most, however long the route is. most has to be 2 at least."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        if len(pdf) > most:
-            found = ranks(pdf["lat"].to_numpy(np.float64), pdf["lon"].to_numpy(np.float64))
-            pdf = pdf[found > tolerance(found, most)]
-        return pdf
+    def one(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+        found = ranks(pdf["lat"].to_numpy(np.float64), pdf["lon"].to_numpy(np.float64)) if len(pdf) > most else None
+        seqs = pdf["seq"].tolist()
+        return [(*key, k) for k in (seqs if found is None else np.asarray(seqs)[found > tolerance(found, most)].tolist())]
 
     if most < 2:
         return points
-    thinned = _every(numbered(ranges(points)), 8 * most).select(*(c for c in points.columns if c != "_range"))
-    return thinned.groupBy("route_id").applyInPandas(one, thinned.schema)
+    points = ranges(points)
+    columns = [c for c in points.columns if c != "_range"]
+    thinned = written(_every(numbered(points), 8 * most).select(*columns), "thinned")
+    kinds = {c: points.schema[c].dataType.simpleString() for c in ("route_id", "seq")}
+    kept = by_key(thinned.select("route_id", "seq", "lat", "lon"), ["route_id"], "seq", one, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    return thinned.join(kept, ["route_id", "seq"], "left_semi").select(*columns)

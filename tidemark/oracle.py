@@ -190,9 +190,12 @@ SQL["annotation_axis"] = cut(f"{WIDE}, {_months.format(a='o_custkey')}, k AS ({F
 SQL["annotation_marks"] = cut(f"{NOTES}, {_months.format(a='o_custkey % 3')}, k AS ({FOLDED.format(end='coalesce(ends_on, starts_on)')}), {_placed} SELECT account_id, from_bucket AS bucket, count(*) AS marks FROM z WHERE from_bucket IS NOT NULL GROUP BY ALL")
 SQL["source_spans"] = cut(f"{M}, u AS (SELECT account_id, source, start_at FROM m UNION ALL SELECT account_id, source, start_at FROM m) SELECT account_id, source, CAST(min(start_at) AS VARCHAR) AS first_at, CAST(max(start_at) AS VARCHAR) AS last_at, count(*) AS rows FROM u GROUP BY ALL")
 SQL["overall_span"] = cut(f"{M} SELECT account_id, CAST(min(t) AS DATE) AS first_day, CAST(max(t) AS DATE) AS last_day FROM (SELECT account_id, start_at AS t FROM m UNION ALL SELECT o_custkey % 3, o_orderdate FROM orders) GROUP BY ALL")
-SQL["history_events"] = cut(f"""{NOTES}, {M}, f AS (SELECT account_id, source, CAST(min(start_at) AS DATE) AS d FROM m GROUP BY ALL) SELECT account_id, starts_on AS day, 'import' AS kind, 'export-' || id AS label FROM n WHERE label = 'P'
-  UNION ALL SELECT account_id, starts_on, 'phase', CASE id % 3 WHEN 0 THEN 'cut' WHEN 1 THEN 'maintenance' ELSE 'bulk' END FROM n WHERE label = 'F' UNION ALL SELECT account_id, starts_on, 'note', label FROM n WHERE label = 'O' UNION ALL SELECT account_id, d, 'source', source FROM f UNION ALL SELECT account_id, min(d), 'origin', '' FROM f GROUP BY account_id""")
 REC = f"{M}, c AS (SELECT *, CASE WHEN id % 11 = 0 THEN NULL ELSE (id % 200)::DOUBLE END AS v FROM m)"
+SQL["history_events"] = cut(f"""{NOTES}, {REC}, f AS (SELECT account_id, source, CAST(min(start_at) AS DATE) AS d, 2 * count(*) AS rows FROM m GROUP BY account_id, source), un AS (SELECT account_id, count(*) AS u FROM c WHERE metric IN ('error', 'signup') OR (metric IN ('view', 'click') AND v IS NULL) GROUP BY account_id)
+  SELECT account_id, starts_on AS day, 'import' AS kind, 0 AS kind_rank, 'export-' || id AS label, NULL::VARCHAR AS body, NULL::DATE AS ends_on, NULL::DOUBLE AS rate, id % 500 AS added, id % 7 AS skipped, id % 3 AS unmapped, NULL::BIGINT AS rows FROM n WHERE label = 'P'
+  UNION ALL SELECT account_id, starts_on, 'phase', 1, CASE id % 3 WHEN 0 THEN 'cut' WHEN 1 THEN 'maintenance' ELSE 'bulk' END, NULL, ends_on, id % 3 - 1, NULL, NULL, NULL, NULL FROM n WHERE label = 'F'
+  UNION ALL SELECT account_id, starts_on, 'note', 2, label, CASE WHEN id % 2 = 0 THEN 'about ' || id ELSE '' END, ends_on, NULL, NULL, NULL, NULL, NULL FROM n WHERE label = 'O'
+  UNION ALL SELECT account_id, d, 'source', 3, source, NULL, NULL, NULL, NULL, NULL, NULL, rows FROM f UNION ALL SELECT account_id, min(d), 'origin', 4, '', NULL, NULL, NULL, NULL, NULL, max(u), NULL FROM f LEFT JOIN un USING (account_id) GROUP BY account_id""")
 SQL["unmapped_route"] = cut(f"""{REC} SELECT 'measurements' AS family, 'body_mass' AS name, count(*) AS n, round(sum(v * 453.59237 / 1000), 6) AS total FROM c WHERE metric = 'view' AND v IS NOT NULL HAVING count(*) > 0
   UNION ALL SELECT 'measurements', 'body_temperature', count(*), round(sum((v - 32) * 5 / 9), 6) FROM c WHERE metric = 'click' AND v IS NOT NULL HAVING count(*) > 0 UNION ALL SELECT 'states', 'asleep_core', count(*), NULL FROM c WHERE metric = 'purchase' HAVING count(*) > 0
   UNION ALL SELECT 'unmapped', CASE metric WHEN 'view' THEN 'HKQuantityTypeIdentifierBodyMass' WHEN 'click' THEN 'HKQuantityTypeIdentifierBodyTemperature' WHEN 'error' THEN 'HKQuantityTypeIdentifierUnknown' ELSE 'HKQuantityTypeIdentifierStepCount' END, count(*), NULL FROM c WHERE metric IN ('error', 'signup') OR (metric IN ('view', 'click') AND v IS NULL) GROUP BY 2""")
@@ -276,12 +279,21 @@ SQL["session_readings"] = cut(f"""{SESS}, k AS (SELECT id, CASE activity_type WH
     CASE reading WHEN 'pace' THEN (q // 60) || ':' || lpad(CAST(q % 60 AS VARCHAR), 2, '0') || '/km' WHEN 'speed' THEN replace(regexp_replace(printf('%.1f', round(v, 1)), '\\.0$', ''), '.', ',') || ' km/h' END AS shown FROM p""")
 SQL["sleep_labels"] = cut(f"{NIGHTS}, l AS (SELECT account_id, night, CAST(round(value) AS BIGINT) AS t FROM v) SELECT account_id, night, CASE WHEN t < 60 THEN t || 'm' ELSE (t // 60) || 'h ' || (t % 60) || 'm' END AS slept FROM l")
 
+MEMBERS = """mb0 AS (SELECT o_custkey % 3 AS account_id, o_custkey AS panel_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'view' WHEN '2-HIGH' THEN 'error' WHEN '3-MEDIUM' THEN 'purchase_share' WHEN '4-NOT SPECIFIED' THEN 'nothing' WHEN '5-LOW' THEN 'net' END AS metric, min(o_orderkey) AS position FROM orders GROUP BY ALL),
+  cat(metric, unit, default_chart) AS (VALUES ('view', 'count', 'bar'), ('error', 'count', 'band'), ('purchase_share', '%', 'line'), ('net', 'count', 'diverging_bar')),
+  mb AS (SELECT b.*, unit, default_chart, coalesce(CASE position % 5 WHEN 0 THEN 'band' WHEN 1 THEN 'area' END, default_chart) AS chart FROM mb0 b LEFT JOIN cat USING (metric) WHERE metric IS NOT NULL)"""
+SQL["panel_assembly"] = cut(f"{MEMBERS} SELECT account_id, panel_id, string_agg(metric || ':' || coalesce(unit, '?') || ':' || coalesce(chart, '?'), ',' ORDER BY position) AS metrics FROM mb GROUP BY account_id, panel_id")
+SQL["panel_problems"] = cut(f"{MEMBERS} SELECT account_id, panel_id, concat_ws(',', CASE WHEN count(*) > 4 THEN 'too many metrics' END, CASE WHEN count(DISTINCT unit) > 2 THEN 'too many units' END, CASE WHEN bool_or(unit IS NULL) THEN 'unknown metric' END, CASE WHEN bool_or(unit IS NOT NULL AND chart = 'band' AND metric <> 'error') THEN 'chart doesn''t fit' END) AS problems FROM mb GROUP BY account_id, panel_id")
+SQL["panel_points"] = cut(f"{R}, {points('week')}, {formulas('p', ', bucket')}, {MEMBERS} SELECT mb.account_id, panel_id, mb.metric, chart, p.bucket, round(p.value, 6) AS value FROM mb LEFT JOIN p ON p.account_id = mb.account_id AND p.metric = mb.metric")
+SQL["pins_added"] = cut(f"""{MEMBERS}, held AS (SELECT panel_id AS account_id, metric, CASE metric WHEN 'view' THEN 0 ELSE 3 END AS position FROM mb WHERE metric IN ('view', 'net')), fresh AS (SELECT panel_id AS account_id, metric, row_number() OVER (PARTITION BY panel_id ORDER BY position) - 1 AS k FROM mb WHERE metric NOT IN ('view', 'net'))
+  SELECT account_id, metric, position FROM held UNION ALL SELECT account_id, metric, CAST(coalesce((SELECT max(position) + 1 FROM held h WHERE h.account_id = f.account_id), 0) + k AS INT) FROM fresh f""")
+
 #: Columns that are days. Both sides show days as text, so that no client's date type matters.
 DAYS = {
-    "bucket": [k for k in SQL if k.startswith(("series_sum_", "series_average_", "series_latest_"))] + "annotation_marks history_band series_routed derived_points_day derived_ratio_week compare_previous compare_last_year dense_gaps lag_delta pivot_panel sleep_week stream_daily".split(),
+    "bucket": [k for k in SQL if k.startswith(("series_sum_", "series_average_", "series_latest_"))] + "annotation_marks panel_points history_band series_routed derived_points_day derived_ratio_week compare_previous compare_last_year dense_gaps lag_delta pivot_panel sleep_week stream_daily".split(),
     "baseline_bucket": ["compare_previous", "compare_last_year"], "day": ["manual_overlay", "session_page", "history_events", "daily_followed"], "night": ["sleep_nights", "sleep_stages", "sleep_labels"],
     "first": ["gap_runs", "history_gaps"], "last": ["gap_runs", "history_gaps"], "started_on": ["history_phases"], "ended_on": ["history_phases"], "latest_day": ["ledger"], "high_bucket": ["series_extremes"], "low_bucket": ["series_extremes"],
-    "starts_on": ["annotation_overlap", "phases_folded"], "ends_on": ["annotation_overlap", "phases_folded"], "first_bucket": ["annotation_overlap", "phases_folded"], "last_bucket": ["annotation_overlap", "phases_folded"],
+    "starts_on": ["annotation_overlap", "phases_folded"], "ends_on": ["annotation_overlap", "phases_folded", "history_events"], "first_bucket": ["annotation_overlap", "phases_folded"], "last_bucket": ["annotation_overlap", "phases_folded"],
     "from_bucket": ["annotation_axis", "history_phases"], "to_bucket": ["annotation_axis", "history_phases"], "first_day": ["overall_span"], "last_day": ["overall_span"],
 }
 for _name in {q for qs in DAYS.values() for q in qs}:

@@ -12,7 +12,7 @@ from tidemark import catalog
 from tidemark.functions import formatting
 from tidemark.functions.columns import bucket_key, content_key, haversine
 from tidemark.operators import compare as cmp
-from tidemark.operators import covary, estimates, incremental, ingest, nights, routes, series, sessions
+from tidemark.operators import covary, estimates, incremental, ingest, nights, panels, routes, series, sessions
 from tidemark.operators.resolve import daily, elect, has_rows, resolve, resolved_days, sources_in
 from tidemark.plans.timeaxis import Window
 from tidemark.sources import adapters as ad
@@ -213,6 +213,41 @@ def lag_delta(spark, d):
     return cmp.deltas(_points(spark, d, "day")).select("account_id", "metric", "bucket", r6("value"), r6("delta"))
 
 
+def _members(spark, d):
+    """Orders as members of their customer's panel: a metric for each priority, some with a chart of their own."""
+    names = {"1-URGENT": "view", "2-HIGH": "error", "3-MEDIUM": "purchase_share", "4-NOT SPECIFIED": "nothing", "5-LOW": "net"}
+    metric = F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("o_orderpriority"))
+    rows = ad.table(spark, d, "orders").select((F.col("o_custkey") % ad.ACCOUNTS).alias("account_id"), F.col("o_custkey").alias("panel_id"), F.col("o_orderkey").alias("position"), metric.alias("metric"))
+    first = rows.filter("metric IS NOT NULL").groupBy("account_id", "panel_id", "metric").agg(F.min("position").alias("position"))
+    return first.withColumn("chart", F.when(F.col("position") % 5 == 0, "band").when(F.col("position") % 5 == 1, "area"))
+
+
+@query
+def panel_assembly(spark, d):
+    """Each panel's metrics in order, with unit and chart."""
+    found = panels.assemble(_members(spark, d), panels.charts(spark, ad.METRICS))
+    return found.select("account_id", "panel_id", F.array_join(F.transform("metrics", lambda x: F.concat_ws(":", x["metric"], F.coalesce(x["unit"], F.lit("?")), F.coalesce(x["chart"], F.lit("?")))), ",").alias("metrics"))
+
+
+@query
+def panel_problems(spark, d):
+    return panels.problems(_members(spark, d), panels.charts(spark, ad.METRICS)).select("account_id", "panel_id", F.array_join("problems", ",").alias("problems"))
+
+
+@query
+def panel_points(spark, d):
+    """The weekly points of all panels."""
+    return panels.drawn(_members(spark, d), panels.charts(spark, ad.METRICS), _points(spark, d, "week")).select("account_id", "panel_id", "metric", "chart", "bucket", r6("value"))
+
+
+@query
+def pins_added(spark, d):
+    """Pins of each panel's first metrics, and all of its metrics pinned again."""
+    rows = _members(spark, d).select(F.col("panel_id").alias("account_id"), "metric", "position")
+    held = rows.filter("metric IN ('view', 'net')").select("account_id", "metric", F.when(F.col("metric") == "view", 0).otherwise(3).alias("position"))
+    return panels.add_pins(held, rows.withColumnRenamed("position", "seq"))
+
+
 @query
 def pivot_panel(spark, d):
     out = series.panel(_points(spark, d, "week"), ["view", "click", "error"])
@@ -552,10 +587,13 @@ def overall_span(spark, d):
 @query
 def history_events(spark, d):
     notes = _notes(spark, d)
-    phases = notes.filter("label = 'F'").select("account_id", F.col("starts_on").alias("started_at"), (F.col("id") % 3 - 1).cast("double").alias("rate_pct_per_week"))
-    imports = notes.filter("label = 'P'").select("account_id", F.concat(F.lit("export-"), F.col("id").cast("string")).alias("source_file"), F.col("starts_on").alias("imported_at"))
+    k = F.col("id")
+    phases = notes.filter("label = 'F'").select("account_id", F.col("starts_on").alias("started_at"), F.col("ends_on").alias("ended_at"), (k % 3 - 1).cast("double").alias("rate_pct_per_week"))
+    imports = notes.filter("label = 'P'").select("account_id", F.concat(F.lit("export-"), k.cast("string")).alias("source_file"), F.col("starts_on").alias("imported_at"), (k % 500).alias("added_count"), (k % 7).alias("skipped_count"), (k % 3).alias("unmapped_count"))
     spans = cmp.source_spans(ad.measurements(spark, d), ad.states(spark, d))
-    return cmp.history_events(imports, phases, notes.filter("label = 'O'"), spans)
+    unmapped = ingest.route_records(spark, _records(spark, d))["unmapped"].groupBy("account_id").agg(F.count("*").alias("n"))
+    found = cmp.history_events(imports, phases, notes.filter("label = 'O'").withColumn("body", F.when(k % 2 == 0, F.concat(F.lit("about "), k.cast("string")))), spans, unmapped)
+    return found.select("account_id", "day", "kind", "kind_rank", "label", "body", "ends_on", r6("rate"), "added", "skipped", "unmapped", "rows")
 
 
 def _records(spark, d):
