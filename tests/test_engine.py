@@ -411,6 +411,20 @@ def test_notes_onto_an_accounts_own_axis(spark):
     assert {(r["account_id"], r["bucket"].day): r["marks"] for r in compare.axis_marks(placed).collect()} == {(1, 3): 2, (1, 10): 1, (1, 20): 1, (2, 1): 1}
 
 
+def test_many_notes_onto_one_axis(spark):
+    """Notes of one account by the thousand: no frame runs to the account's end from every row, and no window sees more rows than there are days."""
+    d = lambda k: date(2024, 1, k)
+    axis = spark.createDataFrame([(1, d(3)), (1, d(10)), (1, d(20))], "account_id bigint, bucket date")
+    day = lambda k: F.date_add(F.lit(d(1)), (k % 25).cast("int"))
+    many = spark.range(0, 100_000, 1, 4).select(F.lit(1).cast("bigint").alias("account_id"), "id", day(F.col("id")).alias("first_bucket"), F.date_add(day(F.col("id")), 3).alias("last_bucket"))
+    placed = compare.onto_axis(many, axis)
+    assert "UnboundedFollowing" not in (plan := placed._jdf.queryExecution().optimizedPlan().toString()) and "unboundedfollowing" not in plan
+    expected = {3: 3 * 4000, 10: 7 * 4000, 20: 10 * 4000}
+    assert {r["bucket"].day: r["marks"] for r in compare.axis_marks(placed).collect()} == expected
+    assert {r["bucket"].day: r["marks"] for r in compare.axis_marks(compare.onto_axis(compare.alike(many), axis)).collect()} == expected
+    assert {(r["from_bucket"].day, r["to_bucket"].day) for r in placed.filter("id % 25 = 7").collect()} == {(10, 10)}
+
+
 def test_week_keys(spark):
     days = spark.createDataFrame([(date(2024, 12, 30),), (date(2021, 1, 3),), (date(2026, 8, 20),)], "d date")
     of = lambda b: [r["k"] for r in days.select(bucket_key(F.col("d"), b).alias("k")).collect()]

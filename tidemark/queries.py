@@ -563,8 +563,7 @@ def annotation_axis(spark, d):
 def annotation_marks(spark, d):
     """How many notes begin in each bucket of the axis that an account's panel has."""
     axis = series.points(resolved_days(ad.order_measurements(spark, d), _rules(spark), [YEARS]), "month")
-    folded = cmp.fold_spans(_notes(spark, d), YEARS, "month").select("account_id", "id", "first_bucket", "last_bucket")
-    return cmp.axis_marks(cmp.onto_axis(folded, axis))
+    return cmp.axis_marks(cmp.onto_axis(cmp.alike(cmp.fold_spans(_notes(spark, d), YEARS, "month")), axis))
 
 
 @query
