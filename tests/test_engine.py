@@ -1,6 +1,6 @@
 """The engine's rules on literal rows."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +135,19 @@ def test_sleep(spark):
     assert list(shown) == ["asleep_deep", "asleep_core", "asleep_rem", "awake", "zone"]
 
 
+def test_minutes_of_a_night_are_summed_exactly(spark):
+    """Times of half a minute in all, in parts of uneven seconds and in any order, are rounded as what they are."""
+    at_second = lambda k: datetime(2024, 1, 10, 0, 0, 0) + timedelta(seconds=k)
+    for lengths in ([119, 81, 118, 76, 123, 77, 228, 23, 6, 29, 188, 182, 186, 198, 16], [1, 149, 131, 137, 192, 102, 80, 15, 107, 161, 226, 89, 5, 71, 244]):
+        ends = [sum(lengths[: k + 1]) for k in range(len(lengths))]
+        assert ends[-1] % 60 == 30
+        rows = [(1, "sleep", ("asleep_core", "asleep_rem", "asleep_deep")[k % 3], at_second(end - n), at_second(end), WATCH) for k, (n, end) in enumerate(zip(lengths, ends, strict=True))]
+        frame = spark.createDataFrame(rows, "account_id int, kind string, state_value string, start_at timestamp_ntz, end_at timestamp_ntz, source string")
+        (night,) = nights.nights(nights.stage_minutes(frame, JAN)).select("value", formatting.duration(F.col("value")).alias("shown")).collect()
+        assert night["value"] == ends[-1] / 60 and night["shown"] == f"{(ends[-1] + 30) // 60}m"
+
+
+
 def test_covary(spark):
     rows = [(1, m, date(2024, 1, 1 + k + (lag if m == "resting_heart_rate" else 0)), float(v)) for lag in (1,) for m, vs in (("steps", [1000, 2000, 3000, 4000]), ("resting_heart_rate", [50, 52, 54, 56])) for k, v in enumerate(vs)]
     points = spark.createDataFrame(rows, "account_id bigint, metric string, bucket date, value double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,8 +20,12 @@ def ceil_day(moment):
     return day if moment == Window.of(day, day).start else shift(day, days=1)
 
 
+def in_minutes(micros: Column) -> Column:
+    return micros.cast("double") / F.lit(60e6)
+
+
 def stage_minutes(states: DataFrame, window: Window, priority: dict | None = None) -> DataFrame:
-    """(account_id, night, source, state_value, minutes) of the rows that count.
+    """(account_id, night, source, state_value, minutes, micros) of the rows that count; micros is the time in whole microseconds, so that sums of it are exact.
 
     Both bounds are rounded up to a day. The elected source is the best ranked of those that staged the night, or else of all that
     night; in-bed rows go where it staged the night. A bound on start_at, a day wider, lets the scan skip files.
@@ -29,23 +33,23 @@ def stage_minutes(states: DataFrame, window: Window, priority: dict | None = Non
     lo, hi = ceil_day(window.start), ceil_day(window.end)
     near = states.filter((F.col("kind") == "sleep") & (F.col("start_at") >= stamp(shift(lo, days=-1))) & (F.col("start_at") < stamp(shift(hi, days=1))))
     rows = near.withColumn("night", night_of(F.col("start_at"))).filter((F.col("night") >= F.lit(lo)) & (F.col("night") < F.lit(hi)))
-    minutes = (F.unix_micros(F.col("end_at").cast("timestamp")) - F.unix_micros(F.col("start_at").cast("timestamp"))) / F.lit(60e6)
+    micros = (F.unix_micros(F.col("end_at").cast("timestamp")) - F.unix_micros(F.col("start_at").cast("timestamp"))).cast("decimal(18,0)")
     # Once by night, source and stage; the election then sees a few rows a night.
-    summed = rows.groupBy("account_id", "night", "source", "state_value").agg(F.sum(F.when(minutes > 0, minutes)).alias("minutes"))
+    summed = rows.groupBy("account_id", "night", "source", "state_value").agg(F.sum(F.when(micros > 0, micros)).alias("micros"))
     night = W.partitionBy("account_id", "night")
     asleep = F.col("state_value").startswith(ASLEEP)
     ranked = F.struct(source_rank(F.col("source"), F.lit("sleep"), PRIORITY if priority is None else priority).alias("rank"), F.col("source"))
     best = F.coalesce(F.min(F.when(asleep, ranked)).over(night), F.min(ranked).over(night))
     marked = summed.withColumns({"_best": best, "_staged": F.max(asleep).over(night)})
-    kept = marked.filter((F.col("source") == F.col("_best.source")) & ~((F.col("state_value") == IN_BED) & F.col("_staged")) & F.col("minutes").isNotNull())
-    return kept.select("account_id", "night", "source", "state_value", "minutes")
+    kept = marked.filter((F.col("source") == F.col("_best.source")) & ~((F.col("state_value") == IN_BED) & F.col("_staged")) & F.col("micros").isNotNull())
+    return kept.select("account_id", "night", "source", "state_value", in_minutes(F.col("micros")).alias("minutes"), "micros")
 
 
 def nights(stages: DataFrame) -> DataFrame:
     """(account_id, night, source, value): minutes asleep, or in bed where none are; awake never counts, but makes a night."""
-    asleep = F.sum(F.when(F.col("state_value").startswith(ASLEEP), F.col("minutes")).otherwise(0.0))
-    in_bed = F.sum(F.when(F.col("state_value") == IN_BED, F.col("minutes")).otherwise(0.0))
-    return stages.groupBy("account_id", "night", "source").agg(F.when(asleep > 0, asleep).otherwise(in_bed).alias("value"))
+    asleep = F.sum(F.when(F.col("state_value").startswith(ASLEEP), F.col("micros")).otherwise(0))
+    in_bed = F.sum(F.when(F.col("state_value") == IN_BED, F.col("micros")).otherwise(0))
+    return stages.groupBy("account_id", "night", "source").agg(in_minutes(F.when(asleep > 0, asleep).otherwise(in_bed)).alias("value"))
 
 
 def fold_nights(found: DataFrame, bucket: str) -> DataFrame:
@@ -59,7 +63,7 @@ STAGE_ORDER = ("asleep_deep", "asleep_core", "asleep_rem", "asleep", "in_bed", "
 
 def fold_stages(stages: DataFrame, bucket: str) -> DataFrame:
     """(account_id, bucket, states): minutes of each stage as a map, in STAGE_ORDER."""
-    summed = stages.groupBy("account_id", bucket_of(F.col("night"), bucket).alias("bucket"), "state_value").agg(F.sum("minutes").alias("minutes"))
+    summed = stages.groupBy("account_id", bucket_of(F.col("night"), bucket).alias("bucket"), "state_value").agg(in_minutes(F.sum("micros")).alias("minutes"))
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, STAGE_ORDER)), F.col("state_value")), F.lit(0)), F.lit(len(STAGE_ORDER) + 1))
     ordered = F.sort_array(F.collect_list(F.struct(place.alias("place"), "state_value", "minutes")))
     return summed.groupBy("account_id", "bucket").agg(F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["state_value"], x["minutes"]))).alias("states"))
