@@ -3,10 +3,12 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import oracle
 from tidemark.operators import routes
 from tidemark.sources.shared import written
 
@@ -153,6 +155,25 @@ def test_simplify_keeps_what_the_rule_keeps(spark):
             assert sorted(kept[name]) == plain_simplify(points, most), (name, most)
 
 
+def test_points_equally_far_are_told_apart_as_in_sql(spark):
+    """A track of the copies of sf0.1: which of two points is farthest hangs on the last bit."""
+    # fmt: off
+    ids = np.array([
+        2700094, 2700572, 2700921, 2701828, 2702978, 2703481, 2704672, 2705519, 2706302, 2707837, 2709670, 2713868, 2718505, 2722559, 2723730, 2727155,
+        2728417, 2728723, 2729171, 2730119, 2730514, 2730953, 2732029, 2732324, 2733342, 2734359, 2742169, 2742851, 2743696, 2743774, 2745267, 2746075,
+        2747603, 2749775, 2750777, 2751159, 2751605, 2752583, 2755762, 2755885, 2759941, 2760822, 2761090, 2761707, 2761774, 2764957, 2765753, 2769360,
+        2772232, 2775590, 2775626, 2776699, 2777570, 2777921, 2777967, 2778436, 2779270, 2780441, 2780485, 2781454, 2781612, 2781928, 2782017, 2783921,
+        2784043, 2784341, 2785910, 2786824, 2787716, 2788123, 2788690, 2788828, 2789002, 2789415, 2789546, 2789621, 2793559, 2795039, 2795643, 2797353,
+        2797728, 2798867,
+    ])
+    # fmt: on
+    found = routes.ranks(48 + (ids % 997) / 1000, 2 + (ids % 613) / 1000)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT unnest($ids) AS event_id, 1 AS user_id, 1.0 AS value, TIMESTAMP '2024-01-01' AS ts", {"ids": ids.tolist()})
+    expected = sorted(r[0] for r in con.sql(f"SELECT seq FROM ({oracle.SQL['route_simplify']})").fetchall())
+    assert ids[found > routes.tolerance(found, 30)].tolist() == expected
+
+
 def test_groups_are_bounded_before_they_are_simplified(spark):
     zigzag = track(spark, [(48 + k / 1e4, 2 + (k % 2) / 100, None) for k in range(4000)])
     assert routes._every(routes.numbered(routes.ranges(zigzag)), 8 * 20).count() <= 8 * 20 + 1

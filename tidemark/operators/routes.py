@@ -7,6 +7,7 @@ ranges are then put together in order. Nothing holds a whole route: neither a wi
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -216,6 +217,11 @@ def samples(points: DataFrame, most: int = MOST_SAMPLES) -> DataFrame:
     return with_distance(points).join(kept, ["route_id", "seq"], "left_semi")
 
 
+def squares(x: np.ndarray) -> np.ndarray:
+    """Squares as the C library's pow rounds them, which numpy's and plain products don't always."""
+    return np.array([math.pow(v, 2) for v in x.tolist()])
+
+
 def ranks(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     """The tolerance below which each point is kept: a line is split at its farthest point, again and again, and a point is kept while all splits on the way down to it are
     farther than the tolerance. Ends are always kept. Distances are in km, in a plane that touches at the start of each line."""
@@ -226,12 +232,13 @@ def ranks(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
         a, b = todo.pop()
         if b - a < 2:
             continue
-        wide = np.cos(np.radians(lat[a])) * DEGREE_KM
-        px, py = (lon[a + 1 : b] - lon[a]) * wide, (lat[a + 1 : b] - lat[a]) * DEGREE_KM
-        dx, dy = (lon[b] - lon[a]) * wide, (lat[b] - lat[a]) * DEGREE_KM
-        length = dx * dx + dy * dy
+        # In the SQL's order of steps, as what is equally far on paper is told apart by the last bit.
+        wide = math.cos(math.radians(lat[a]))
+        px, py = (lon[a + 1 : b] - lon[a]) * wide * DEGREE_KM, (lat[a + 1 : b] - lat[a]) * DEGREE_KM
+        dx, dy = (lon[b] - lon[a]) * wide * DEGREE_KM, (lat[b] - lat[a]) * DEGREE_KM
+        length = math.pow(dx, 2) + math.pow(dy, 2)
         t = np.clip((px * dx + py * dy) / length, 0, 1) if length else np.zeros(len(px))
-        away = np.hypot(px - t * dx, py - t * dy)
+        away = np.sqrt(squares(px - t * dx) + squares(py - t * dy))
         far = int(away.argmax())
         if away[far] > 0:
             m = a + 1 + far
