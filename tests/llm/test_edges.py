@@ -41,3 +41,18 @@ def test_stage_functions_keep_columns(odd_documents, no_documents):
     assert secrets.redact_documents(odd_documents).columns == odd_documents.columns
     assert toxicity.keep_clean(odd_documents, MODEL).columns == odd_documents.columns
     assert quality.keep(no_documents).count() == secrets.redact_documents(no_documents).count() == toxicity.keep_clean(no_documents, MODEL).count() == 0
+
+
+def test_memos_of_other_stages_are_emptied():
+    """A worker goes from stage to stage: what one stage remembered goes once a task has added nothing to it, what is in use stays."""
+    from tidemark.llm import common
+
+    mine, other = common.Memo(len), common.Memo(len)
+    other["abc"]
+    common.empty_idle_memos()
+    assert (mine["ab"], dict(other)) == (2, {"abc": 3})
+    common.empty_idle_memos()
+    assert (dict(mine), dict(other)) == ({"ab": 2}, {})
+    mine["abcd"], other["a"]
+    common.empty_idle_memos()
+    assert (dict(mine), dict(other)) == ({"ab": 2, "abcd": 4}, {"a": 1})

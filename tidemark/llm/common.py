@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,6 +31,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     """Apply fn to the Arrow batches of df, BATCH_ROWS rows at a time, so that what fn makes follows the longest rows, not the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty_idle_memos()
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 yield fn(batch.slice(at, BATCH_ROWS))
@@ -48,14 +50,28 @@ def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The memos of this process, by identity.
+_memos: "weakref.WeakValueDictionary[int, Memo]" = weakref.WeakValueDictionary()
+
+
+def empty_idle_memos() -> None:
+    """Empty the memos that nothing was added to since the last call. Workers live on from stage to stage, so without it each would hold the words of all stages at once."""
+    for memo in list(_memos.values()):
+        if not memo.grown:
+            memo.clear()
+        memo.grown = False
+
+
 class Memo(dict):
     """A dictionary that computes missing values and is emptied when it grows past its bound."""
 
     def __init__(self, compute: Callable, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.compute, self.entries = compute, entries
+        self.compute, self.entries, self.grown = compute, entries, False
+        _memos[id(self)] = self
 
     def __missing__(self, key):
+        self.grown = True
         if len(self) >= self.entries:
             self.clear()
         value = self[key] = self.compute(key)
