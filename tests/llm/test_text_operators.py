@@ -453,6 +453,49 @@ def test_few_pages_of_many_layouts_keep_their_votes(spark):
     assert not any("Always" in r["text"] for r in found)
 
 
+def of_layout(name, k):
+    """A page whose label paths are its layout's own, but for one that all pages of the host share."""
+    return f"<body><div class='{name}'>" + "".join(f"<{tag} class='{name}{tag}'>{name} {k} {tag}</{tag}>" for tag in ("b", "i", "u", "s", "em")) + f"<p class='{name}p'>Always {name}</p><section class='{name}t'>{f'Story {name} {k} ' * 20}</section></div></body>"
+
+
+def test_a_host_has_as_many_layouts_as_it_needs(spark, monkeypatch):
+    """More layouts than one turn has candidates, and than two have: each has its own group, pages of fewer than three are the rest."""
+    monkeypatch.setattr(html_text, "PART_PAGES", 7)
+    for most in (2048, 16):
+        monkeypatch.setattr(html_text, "MOST_CANDIDATES", most)
+        names = [f"L{j}x" for j in range(70)] + [f"one{j}x" for j in range(40)]
+        pages = [(f"h{h}", name, k) for h, take in ((0, names), (1, names[:5])) for name in take for k in range(1 if name.startswith("one") else 4)]
+        rows = [(host, f"{host} {name} {k}", raw := html_text.skeleton(html_text.parse(of_layout(name, k))), html_text.layout_sketch(raw)) for host, name, k in pages]
+        found = html_text.layout_groups(spark.createDataFrame(rows, "host string, digest string, skeleton binary, sketch binary")).select("host", "digest", "layout", "votes").collect()
+        assert len(found) == len(rows)
+        groups = {}
+        for r in found:
+            groups.setdefault((r["host"], r["layout"]), set()).add(r["digest"])
+            assert r["votes"]
+        host_0 = {frozenset(f"h0 {n} {k}" for k in range(4)) for n in names[:70]} | {frozenset(f"h0 {n} 0" for n in names[70:])}
+        assert {frozenset(g) for g in groups.values()} == host_0 | {frozenset(f"h1 {n} {k}" for k in range(4)) for n in names[:5]}
+
+
+def test_a_page_goes_with_the_layout_it_is_most_like_of_any_turn(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "CANDIDATES", 1)
+    sketch = lambda *parts: b"".join(int(x).to_bytes(4, "little") for n, x in parts for _ in range(n))
+    of = {"a": sketch((64, 1)), "b": sketch((64, 2)), "between": sketch((32, 1), (32, 2))}
+    # The first turn takes the smallest digest, one of a's; half of what lies between is a's, and more of it is b's in one case.
+    for parts, to in (((32, 1), (32, 2)), "a"), (((33, 1), (31, 2)), "a"), (((31, 1), (33, 2)), "b"):
+        of["between"] = sketch(*parts)
+        rows = [("h", f"{k} {name}", name.encode(), of[name]) for k, name in enumerate(["a", "a", "a", "b", "b", "b", "between"])]
+        found = {r["digest"]: r["layout"] for r in html_text.layout_groups(spark.createDataFrame(rows, "host string, digest string, skeleton binary, sketch binary")).collect()}
+        assert found["0 a"] == found["2 a"] != found["3 b"] == found["5 b"] and found["6 between"] == found[{"a": "0 a", "b": "3 b"}[to]], parts
+
+
+def test_texts_of_a_host_with_many_layouts(spark):
+    rows = [(4 * j + k, f"http://h.example/{j}/{k}", of_layout(f"L{j}x", k)) for j in range(45) for k in range(4)]
+    found = {r["page_id"]: r["text"] for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for j in range(45):
+        for k in range(4):
+            assert "Always" not in found[4 * j + k] and f"Story L{j}x {k}" in found[4 * j + k]
+
+
 def test_deep_pages_of_one_host(spark):
     page = lambda k: "<body>" + "<div>" * 5000 + f"<b>Always the same</b><i>Story {k}</i>"
     trees = [html_text.Tree(html_text.skeleton(html_text.parse(page(k)))) for k in range(2)]

@@ -4,7 +4,8 @@ Pages of one host come from one template. The steps, on Spark:
 
 1. every page becomes a skeleton: its visible DOM in document order as (parent, label hash, own-text hash, characters, kind), some bytes a node;
 2. a host's distinct pages are grouped by layout: sketches of their sets of label paths are compared with those of up to CANDIDATES pages that
-   are unlike each other; pages like none of them, and groups of fewer than LEAST_PAGES, form the host's rest;
+   are unlike each other. While LEAST_PAGES pages of a host or more are like none, further layouts are chosen from these, turn by turn, so a host has as
+   many as it needs; every page goes with the one that it is most like. Groups of fewer than LEAST_PAGES form the host's rest;
 3. per group one page is the pivot; every other page is aligned with it by simple tree matching (ordered, label against label, as
    many nodes as possible, equal texts preferred). All text of a page counts for the pivot node that its nearest matched ancestor is aligned with;
 4. from these counts over the whole group (summed by Spark, so a host with a third of all pages is no different from a small one) the
@@ -39,10 +40,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_arrow, materialize, table
+from tidemark.sources.shared import scratch
 
 TEMPLATE_SHARE, LEAST_PAGES = 0.8, 3
-#: Pages of one layout share this part of their label paths, as estimated from SKETCH minima; so many pages of a host may stand for layouts.
-ALIKE, SKETCH, CANDIDATES = 0.5, 64, 32
+#: Pages of one layout share this part of their label paths, as estimated from SKETCH minima; so many pages of a host may stand for layouts in the
+#: first turn, and in a later one at the most.
+ALIKE, SKETCH, CANDIDATES, MOST_CANDIDATES = 0.5, 64, 32, 2048
+#: Pages of a host that a later turn compares with its layouts in one group.
+PART_PAGES = 2000
 #: A group of whose unlinked text more than this share is constant repeats an article; that part of the varying text lies under the content's node.
 MOST_CONSTANT, CONTENT_SHARE = 0.7, 0.8
 #: Bytes of a table up to which it is broadcast; beyond it its rows go out SALTS times, so that no key meets in one task.
@@ -231,10 +236,10 @@ def unlike(sketches: list[bytes]) -> bytes:
     return kept
 
 
-def most_like(sketch: bytes, layouts: bytes) -> int:
-    """The number of the layout that a page is most like, -1 if it is like none."""
-    shares = (_minima(layouts) == _minima(sketch)).mean(1)
-    return int(shares.argmax()) if shares.max() >= ALIKE else -1
+def most_like(sketch: bytes, layouts: bytes) -> tuple[int, int]:
+    """The number of the layout that a page is most like, -1 if it is like none, and in how many minima they agree."""
+    agree = (_minima(layouts) == _minima(sketch)).sum(1)
+    return int(agree.argmax()) if agree.max() >= ALIKE * SKETCH else -1, int(agree.max())
 
 
 class Tree:
@@ -576,6 +581,71 @@ def dealt(df: DataFrame, by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
 
 
+def likest(pages: DataFrame, layouts: DataFrame) -> DataFrame:
+    """(host, digest, layout, agree): what a page of pages (host, digest, sketch) is most like of layouts (host, layout, sketch; a written table), for
+    each block of these, where it is like one. A group has up to some PART_PAGES pages and MOST_CANDIDATES layouts, whatever a host has."""
+
+    def compared(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("layout")
+        among, number = b"".join(right["sketch"].to_pylist()), right["layout"].to_pylist()
+        found = [most_like(s, among) for s in left["sketch"].to_pylist()]
+        columns = [left["host"], left["digest"], pa.array([number[k] if k >= 0 else -1 for k, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int32())]
+        return pa.table(columns, names=["host", "digest", "layout", "agree"])
+
+    block = F.floor(F.col("layout") / MOST_CANDIDATES).cast("int")
+    dealing = pages.groupBy("host").agg(F.ceil(F.count("*") / PART_PAGES).cast("int").alias("parts"))
+    dealing = materialize(dealing.join(layouts.groupBy("host").agg(F.collect_set(block).alias("blocks")), "host"), "dealing", True)
+    left = spread_join(pages, dealing, ["host"], F.col("digest")).withColumn("_part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    left = left.select("host", "digest", "sketch", "_part", F.explode("blocks").alias("_block"))
+    right = layouts.join(dealing, "host").select("host", "layout", "sketch", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"), block.alias("_block"))
+    keys = ["host", "_part", "_block"]
+    return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(compared, "host string, digest string, layout int, agree int").filter("layout >= 0")
+
+
+def further_layouts(unlike_any: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """For pages (host, digest, sketch; a written table) that are like none of their host's first layouts: (host, digest, layout, agree) and the
+    further layouts (host, layout, sketch), numbered from CANDIDATES on. A turn chooses some of the pages left and takes those like them out,
+    themselves at least, until no host has LEAST_PAGES pages left. None if no host had."""
+    spark = unlike_any.sparkSession
+
+    def chosen(first: int) -> Callable[[pa.Table], pa.Table]:
+        def of_host(rows: pa.Table) -> pa.Table:
+            found = _minima(unlike(rows.sort_by("digest")["sketch"].to_pylist()))
+            columns = [pa.array([rows["host"][0].as_py()] * len(found)), pa.array(range(first, first + len(found)), pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())]
+            return pa.table(columns, names=["host", "layout", "sketch"])
+
+        return of_host
+
+    tables = {name: (scratch(spark, name), schema) for name, schema in (("assigned", "host string, digest string, layout int, agree int"), ("further", "host string, layout int, sketch binary"))}
+    read = lambda name: spark.read.schema(tables[name][1]).parquet(tables[name][0])
+    put = lambda df, name: df.coalesce(4 * spark.sparkContext.defaultParallelism).write.mode("append").parquet(tables[name][0])
+    left, most, first = unlike_any, CANDIDATES, CANDIDATES
+    while True:
+        hosts = materialize(left.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES).select("host"), "open_hosts", True)
+        if hosts.isEmpty():
+            return None if first == CANDIDATES else (read("assigned"), read("further"))
+        pages = spread_join(left, hosts, ["host"], F.col("digest"))
+        most = min(8 * most, MOST_CANDIDATES)
+        parts = pages.groupBy("host", F.pmod(F.xxhash64("digest"), F.lit(most)).alias("part")).agg(F.min("digest").alias("digest"), F.min_by("sketch", "digest").alias("sketch"))
+        put(parts.select("host", "digest", "sketch").groupBy("host").applyInArrow(chosen(first), tables["further"][1]), "further")
+        like = likest(pages, read("further").filter(F.col("layout") >= first)).groupBy("host", "digest")
+        best = F.max_by(F.struct("layout", "agree"), F.struct("agree", -F.col("layout")))
+        put(like.agg(best.alias("best")).select("host", "digest", "best.*"), "assigned")
+        left, first = unlike_any.join(read("assigned"), ["host", "digest"], "left_anti"), first + most
+
+
+def with_further(distinct: DataFrame, paged: DataFrame, assigned: DataFrame, further: DataFrame) -> DataFrame:
+    """(host, digest, skeleton, layout): every page with the layout that it is most like, of the first ones and of the further ones that have
+    LEAST_PAGES pages; at a tie the earlier. Only hosts that have such further ones are compared again."""
+    own = assigned.groupBy("host", "layout").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES).select("host", "layout")
+    known = paged.filter("layout >= 0").select("host", "digest", "layout", "agree").unionByName(assigned.join(own, ["host", "layout"], "left_semi"))
+    layouts = materialize(further.join(own, ["host", "layout"]), "own_layouts", True)
+    hosts = materialize(layouts.select("host").distinct(), "own_hosts", True)
+    again = likest(spread_join(distinct.select("host", "digest", "sketch"), hosts, ["host"], F.col("digest")), layouts)
+    best = known.unionByName(again).groupBy("host", "digest").agg(F.max_by("layout", F.struct("agree", -F.col("layout"))).alias("to"))
+    return paged.join(best, ["host", "digest"], "left").select("host", "digest", "skeleton", F.coalesce("to", "layout").alias("layout"))
+
+
 def layout_groups(distinct: DataFrame) -> DataFrame:
     """distinct (host, digest, skeleton, sketch) of hosts with LEAST_PAGES pages as (host, digest, skeleton, layout, votes)."""
 
@@ -584,16 +654,20 @@ def layout_groups(distinct: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.binary())], names=["host", "layouts"])
 
     def assigned(rows: pa.RecordBatch) -> pa.RecordBatch:
-        found = [most_like(s, x) for s, x in zip(rows.column(3).to_pylist(), rows.column(4).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(found, pa.int32())], names=["host", "digest", "skeleton", "layout"])
+        sketches = rows.column(3).to_pylist()
+        found = [most_like(s, x) for s, x in zip(sketches, rows.column(4).to_pylist(), strict=True)]
+        columns = [pa.array([f[k] for f in found], pa.int32()) for k in (0, 1)] + [pa.array([s if k < 0 else None for s, (k, _) in zip(sketches, found, strict=True)], pa.binary())]
+        return pa.RecordBatch.from_arrays([*rows.columns[:3], *columns], names=["host", "digest", "skeleton", "layout", "agree", "sketch"])
 
     part = F.pmod(F.xxhash64("digest"), F.lit(CANDIDATES))
     parts = distinct.groupBy("host", part.alias("part")).agg(F.min("digest").alias("digest"), F.min_by("sketch", "digest").alias("sketch"), F.count("*").alias("n"))
     hosts = parts.groupBy("host").agg(F.collect_list(F.struct("digest", "sketch")).alias("candidates"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST_PAGES)
     layouts = materialize(map_arrow(hosts.select("host", "candidates"), chosen, "host string, layouts binary"), "host_layouts", True)
     paged = spread_join(distinct, layouts, ["host"], F.col("digest")).select("host", "digest", "skeleton", "sketch", "layouts")
-    paged = materialize(map_arrow(paged, assigned, "host string, digest string, skeleton binary, layout int"), "layouts")
-    # At most CANDIDATES + 1 rows a host: small groups become its rest, and a small rest goes with the largest group.
+    paged = materialize(map_arrow(paged, assigned, "host string, digest string, skeleton binary, layout int, agree int, sketch binary"), "layouts")
+    if further := further_layouts(paged.filter("layout < 0").select("host", "digest", "sketch")):
+        paged = materialize(with_further(distinct, paged, *further), "all_layouts")
+    # A row a layout: small groups become the host's rest, and a small rest goes with the largest group.
     sizes = paged.groupBy("host", "layout").agg(F.count("*").alias("n"))
     own = (F.col("layout") >= 0) & (F.col("n") >= LEAST_PAGES)
     whole = sizes.groupBy("host").agg(F.sum(F.when(~own, F.col("n"))).alias("rest"), F.max(F.when(own, F.struct("n", "layout"))).alias("largest"))
