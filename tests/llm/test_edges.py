@@ -56,3 +56,38 @@ def test_memos_of_other_stages_are_emptied():
     mine["abcd"], other["a"]
     common.empty_idle_memos()
     assert (dict(mine), dict(other)) == ({"ab": 2, "abcd": 4}, {"a": 1})
+
+
+def test_memos_go_with_their_stage(monkeypatch):
+    """A task of another stage begins with empty memos, also where a memo has just grown."""
+    from types import SimpleNamespace
+
+    from tidemark.llm import common
+
+    stage = SimpleNamespace(stageId=lambda: 1)
+    monkeypatch.setattr(common.TaskContext, "get", lambda: stage)
+    common.empty_idle_memos()
+    memo = common.Memo(len)
+    memo["abc"]
+    common.empty_idle_memos()
+    assert dict(memo) == {"abc": 3}
+    memo["ab"]
+    stage.stageId = lambda: 2
+    common.empty_idle_memos()
+    assert dict(memo) == {}
+
+
+def test_the_toxicity_fit_needs_few_bytes_a_word(monkeypatch):
+    import random
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    monkeypatch.setattr(toxicity, "SOFT_EPOCHS", 1)
+    rng, peaks = random.Random(1), []
+    for n in (20, 120):
+        rows = [(" ".join(f"{rng.getrandbits(80):x}" for _ in range(500)), k % 2) for k in range(n)]
+        tracemalloc.start()
+        toxicity.fit(iter(rows))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert (peaks[1] - peaks[0]) / (100 * 500) < 1_000  # each word has some 80 subwords

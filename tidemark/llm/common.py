@@ -6,6 +6,7 @@ import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,6 +17,8 @@ from tidemark.sources.shared import scratch
 BATCH_ROWS = 512
 #: Entries that a per-process memo may hold before it is emptied.
 MEMO_ENTRIES = 300_000
+#: The same where a missing value is computed about as fast as it is found. A stage has more workers than tasks that run, and the idle ones keep their memos.
+FEW_ENTRIES = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +57,17 @@ def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
 _memos: "weakref.WeakValueDictionary[int, Memo]" = weakref.WeakValueDictionary()
 
 
+#: The stage of the last task in this process.
+_stage: int | None = None
+
+
 def empty_idle_memos() -> None:
-    """Empty the memos that nothing was added to since the last call. Workers live on from stage to stage, so without it each would hold the words of all stages at once."""
+    """Empty all memos if this is another stage's task than the last, else those that nothing was added to since the last call. Workers live on from stage to stage, so without it each would hold the words of all stages at once."""
+    global _stage
+    task = TaskContext.get()
+    before, _stage = _stage, task.stageId() if task else None
     for memo in list(_memos.values()):
-        if not memo.grown:
+        if not memo.grown or _stage != before:
             memo.clear()
         memo.grown = False
 

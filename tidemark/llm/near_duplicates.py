@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, map_arrow, materialize, table, text_or_empty
+from tidemark.llm.common import FEW_ENTRIES, Memo, map_arrow, materialize, table, text_or_empty
 
 SHINGLE = 5
 #: Per cent of the union that the intersection must have.
@@ -51,7 +51,7 @@ BROADCAST_ROWS = 300_000
 PART_ROWS = 1_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_word_hashes = Memo(xxhash.xxh3_64_intdigest)
+_word_hashes = Memo(xxhash.xxh3_64_intdigest, FEW_ENTRIES)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

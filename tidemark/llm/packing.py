@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, map_arrow, materialize, table, text_or_empty
+from tidemark.llm.common import FEW_ENTRIES, Memo, map_arrow, materialize, table, text_or_empty
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -68,7 +68,7 @@ class Encoder:
         self.full.no_padding()
         self.full.no_truncation()
         self.model, self.letters = self.full.model, _byte_letters()
-        self.words = Memo(self._word)
+        self.words = Memo(self._word, FEW_ENTRIES)
         self.chunks = Memo(self._chunk, 2 * self.words.entries)
 
     def _word(self, word: str) -> bytes:

@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, map_arrow, table, text_or_empty
+from tidemark.llm.common import BATCH_ROWS, Memo, empty_idle_memos, map_arrow, table, text_or_empty
 
 FOLDS = 5
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_000, 4_000
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (3, 6)
 WINDOW, STRIDE = 4, 2
 EPOCHS, SOFT_EPOCHS, RATE, DECAY, SEED = 120, 50, 0.05, 1e-5, 7
+#: Subwords that the fit turns to at once.
+BLOCK = 1 << 19
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -125,20 +127,26 @@ def fit(rows: Iterable[tuple[str, int]]) -> Model:
     if len(set(labels)) < 2 or not docs:
         return Model(np.zeros_like(vectors), softmax, bias)
     y = np.array(found, np.float64)
-    packed, n_subs = array("i"), np.empty(len(index), np.int64)  # no lists of Python numbers: there are millions
+    packed, n_subs, n_words = array("i"), np.empty(len(index), np.int64), len(index)  # no lists of Python numbers: there are millions
     for k, w in enumerate(index):
         parts = subwords(w)
         packed.extend(parts)
         n_subs[k] = len(parts)
+    index.clear()
     flat_subs, sub_starts = np.frombuffer(packed, np.int32), np.concatenate(([0], np.cumsum(n_subs)[:-1]))
-    tokens = np.concatenate(docs)
+    edges = [*np.unique(np.searchsorted(sub_starts, np.arange(0, len(flat_subs), BLOCK))), n_words]
+    blocks = [(i, j, sub_starts[i], sub_starts[j] if j < n_words else len(flat_subs)) for i, j in zip(edges, edges[1:], strict=False)]
     lengths = np.array([len(d) for d in docs])
+    tokens = np.concatenate(docs, dtype=np.int64)
+    docs.clear()
     offsets = np.concatenate(([0], np.cumsum(lengths)))
-    starts = [window_starts(n) for n in lengths]
-    window_from = np.concatenate([s + o for s, o in zip(starts, offsets, strict=False)])
-    window_to = np.minimum(window_from + WINDOW, np.repeat(offsets[1:], [len(s) for s in starts]))
-    doc_starts = np.concatenate(([0], np.cumsum([len(s) for s in starts])[:-1]))
-    doc_of = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
+    windows = np.array([len(window_starts(n)) for n in lengths])
+    window_from = np.concatenate([window_starts(n) + o for n, o in zip(lengths, offsets, strict=False)])
+    window_to = np.minimum(window_from + WINDOW, np.repeat(offsets[1:], windows))
+    widths = (window_to - window_from).astype(np.int8)
+    doc_starts = np.concatenate(([0], np.cumsum(windows)[:-1]))
+    doc_of = np.repeat(np.arange(len(lengths)), windows)
+    line = np.empty(len(tokens) + 1)  # one number a word, used again and again: there are as many as memory is needed for
     weight = np.where(y == 1, 0.35 / max(y.sum(), 1), 0.65 / max((1 - y).sum(), 1))
     state = {}
 
@@ -149,27 +157,48 @@ def fit(rows: Iterable[tuple[str, int]]) -> Model:
         value -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
 
     def words(direction: np.ndarray) -> np.ndarray:
-        return np.add.reduceat((vectors @ direction)[flat_subs], sub_starts).astype(np.float64) / n_subs
+        by_bucket, sums = vectors @ direction, np.empty(n_words)
+        for i, j, start, end in blocks:
+            sums[i:j] = np.add.reduceat(by_bucket[flat_subs[start:end]], sub_starts[i:j] - start)
+        return sums / n_subs
+
+    def by_place(by_word: np.ndarray) -> None:
+        line[0] = 0
+        np.take(by_word, tokens, out=line[1:], mode="clip")
 
     def buckets(by_token: np.ndarray) -> np.ndarray:
-        by_word = (np.bincount(tokens, by_token, len(index)) / n_subs).astype(np.float32)
-        return np.bincount(flat_subs, np.repeat(by_word, n_subs), BUCKETS).astype(np.float32)
+        by_word = (np.bincount(tokens, by_token, n_words) / n_subs).astype(np.float32).astype(np.float64)
+        sums = np.zeros(BUCKETS)
+        for i, j, start, end in blocks:  # what is summed so far comes first, so all is added in the same order as at once
+            sums = np.bincount(np.concatenate((np.arange(BUCKETS), flat_subs[start:end])), np.concatenate((sums, np.repeat(by_word[i:j], n_subs[i:j]))), BUCKETS)
+        return sums.astype(np.float32)
 
     for t in range(1, EPOCHS + 1):
         near, far = (softmax[:, 1] - softmax[:, 0]).reshape(2, -1)
-        sums = np.concatenate(([0.0], np.cumsum(words(near)[tokens])))
-        z = (sums[window_to] - sums[window_from]) / (window_to - window_from)
+        by_place(words(near))
+        np.cumsum(line, out=line)
+        z = line[window_to]
+        z -= line[window_from]
+        z /= widths
         top = np.maximum.reduceat(z, doc_starts)
-        share_of = np.exp(np.minimum(z - top[doc_of], 0)) if t <= SOFT_EPOCHS else (z >= top[doc_of]).astype(np.float64)
+        z -= top[doc_of]
+        share_of = np.exp(np.minimum(z, 0, out=z), out=z) if t <= SOFT_EPOCHS else (z >= 0).astype(np.float64)
         share_of /= np.add.reduceat(share_of, doc_starts)[doc_of]
-        whole = np.add.reduceat(words(far)[tokens], offsets[:-1]) / lengths
+        by_place(words(far))
+        whole = np.add.reduceat(line[1:], offsets[:-1]) / lengths
         odds = top + whole + float(bias[1] - bias[0])
         error = (1 / (1 + np.exp(-np.clip(odds, -50, 50))) - y) * weight  # of class 1; class 0 has its negative
-        dz = error[doc_of] * share_of
-        steps = np.zeros(len(tokens) + 1)
-        np.add.at(steps, window_from, dz / (window_to - window_from))
-        np.add.at(steps, window_to, -dz / (window_to - window_from))
-        pulls = buckets(np.cumsum(steps)[:-1]), buckets(np.repeat(error / lengths, lengths))
+        dz = share_of  # in its place
+        dz *= error[doc_of]
+        dz /= widths
+        line[:] = 0
+        np.add.at(line, window_from, dz)
+        np.subtract.at(line, window_to, dz)
+        np.cumsum(line, out=line)
+        pulls = [buckets(line[:-1])]
+        for start, end, each in zip(offsets, offsets[1:], error / lengths, strict=False):
+            line[start:end] = each
+        pulls.append(buckets(line[:-1]))
         pull = np.concatenate([vectors.T @ p for p in pulls])
         adam("softmax", softmax, np.stack([-pull, pull], 1), t)
         adam("vectors", vectors, np.outer(pulls[0], near) + np.outer(pulls[1], far) + DECAY * vectors, t)
@@ -196,7 +225,9 @@ def fit_sample(sample: DataFrame) -> Model:
     """fit in one task over the bounded sample; the driver sees one row of a fixed size."""
 
     def train(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        rows = ((t, y) for batch in batches for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        empty_idle_memos()
+        parts = (batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, batch.num_rows, BATCH_ROWS))
+        rows = ((t, y) for part in parts for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows).packed()], pa.binary())], names=["model"])
 
     found = sample.repartition(1).sortWithinPartitions("_label", "_text").mapInArrow(train, "model binary").collect()
