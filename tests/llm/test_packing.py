@@ -122,6 +122,30 @@ def test_documents(spark):
         assert at <= 2048
 
 
+def test_words_are_computed_once_whatever_marks_they_stand_with(monkeypatch):
+    computed = []
+    word = packing.Encoder._word
+    monkeypatch.setattr(packing.Encoder, "_word", lambda self, w: computed.append(w) or word(self, w))
+    encoder = packing.Encoder(packing.vocabulary_path())
+    words = [f"{a}{b}{c}ing" for a, b, c in itertools.product(map("".join, itertools.product("abcdefghij", repeat=2)), "klmnopqrstuvwxyz", map("".join, itertools.product("aeiou", "bcdfghklmnprst")))]
+    assert len(words) == len(set(words)) == 112_000
+    plain = encoder.encode(" ".join(words))
+    assert len(encoder.encode(", ".join(words))) == len(plain) + 4 * (len(words) - 1)
+    assert sorted(computed) == sorted([*words, ","])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ids_of_odd_texts_are_the_librarys(seed):
+    encoder, rng = packing.Encoder(packing.vocabulary_path()), np.random.default_rng(seed)
+    parts = [chr(c) for c in range(0x180)] + ["'s", "'T", "'re", "'VE", "'m", "'ll", "'d", "'", "''s", "<|", "|>", " ", "\n", "the", "İs", "ŉ", "...", "$$$", "12", "Ω", "é", "e\u0301", "\u2028", "<|endoftext|>"]
+    usual = [p for p in parts if packing.usual(p)]
+    for k in range(300):
+        text = "".join(rng.choice(usual if k % 3 else parts, rng.integers(1, 40)))
+        ids = encoder.full.encode(text, add_special_tokens=False).ids
+        assert packing.usual(text) == (not packing.UNUSUAL.search(text))
+        assert encoder.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_repeated_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "same words here", 0, 7, "x")] * 50, "doc_id bigint, text string, _id int, length int, sequence_id string")
     found = packing.pack_documents(df).collect()
