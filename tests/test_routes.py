@@ -179,3 +179,82 @@ def test_groups_are_bounded_before_they_are_simplified(spark):
     assert routes._every(routes.numbered(routes.ranges(zigzag)), 8 * 20).count() <= 8 * 20 + 1
     kept = sorted(r["seq"] for r in routes.simplify(zigzag, 20).collect())
     assert len(kept) <= 20 and kept[0] == 0 and kept[-1] == 3999
+
+
+def whole_rule(lat, lon, most):
+    """Places that the rule keeps with no point passed over: every line is drawn in full for every tolerance that is tried."""
+    n = len(lat)
+
+    def drawn(tolerance):
+        keep, todo = {0, n - 1}, [(0, n - 1)]
+        while todo:
+            a, b = todo.pop()
+            if b - a < 2:
+                continue
+            c = math.cos(math.radians(lat[a]))
+            px, py, bx, by = (lon[a + 1 : b] - lon[a]) * c * 111.32, (lat[a + 1 : b] - lat[a]) * 111.32, (lon[b] - lon[a]) * c * 111.32, (lat[b] - lat[a]) * 111.32
+            t = np.clip((px * bx + py * by) / (bx * bx + by * by), 0, 1) if bx or by else 0.0
+            away = np.hypot(px - t * bx, py - t * by)
+            k = a + 1 + int(away.argmax())
+            if away[k - a - 1] > tolerance:
+                keep.add(k)
+                todo += [(a, k), (k, b)]
+        return keep
+
+    if n <= most:
+        return list(range(n))
+    lo, hi = 0.0, 1.0
+    while len(drawn(hi)) > most and hi < 1000:
+        hi *= 4
+    for _ in range(12):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if len(drawn(mid)) > most else (lo, mid)
+    return sorted(drawn(hi))
+
+
+def test_a_whole_simplification_sees_every_point(spark):
+    """A single far point of a long line stands between those that a stride would look at."""
+    spike = track(spark, [(48 + k / 1e4, 2 + (0.5 if k == 777 else 0), None) for k in range(2000)])
+    assert 777 not in {r["seq"] for r in routes.simplify(spike, 20).collect()}
+    assert sorted(r["seq"] for r in routes.simplify(spike, 20, None).collect()) == whole_rule(48 + np.arange(2000) / 1e4, 2 + 0.5 * (np.arange(2000) == 777), 20)
+    assert 777 in {r["seq"] for r in routes.simplify(spike, 20, None).collect()}
+
+
+@pytest.mark.parametrize(("span", "mosts"), [(40, (9,)), (100_000, (2, 9, 25))])
+def test_whole_simplification_keeps_what_the_rule_keeps(spark, monkeypatch, span, mosts):
+    """Routes of 3 to 700 points, in one group each or split by Spark down to spans of 40 points; some are wider than the widest tolerance."""
+    monkeypatch.setattr(routes, "SPAN_POINTS", span)
+    rng, tracks, rows = np.random.default_rng(11), {}, []
+    for k, n in enumerate((3, 11, 39, 40, 41, 42, 300, 300, 450, 700, 700)):
+        step = (1e-3, 0.02, 0.3, 1e-5)[k % 4]
+        lat, lon = np.clip(48 + np.cumsum(rng.uniform(-1, 1, n) * step), -85, 85), 2 + np.cumsum(rng.uniform(-1, 1.3, n) * step)
+        if k == 8:
+            lat, lon = 48.0 + np.arange(n) % 2, np.linspace(2, 3, n)
+        tracks[k] = lat, lon
+    far = np.arange(120)
+    tracks["far"] = np.where(far % 2, 70.0, -60.0) + rng.uniform(-1, 1, 120), far * 1.5 - 90 + rng.uniform(-0.3, 0.3, 120)
+    tracks["still"] = np.full(90, 48.0), np.full(90, 2.0)
+    for name, (lat, lon) in tracks.items():
+        rows += [(str(name), 3 * i, float(a), float(b), None, None) for i, (a, b) in enumerate(zip(lat, lon, strict=True))]
+    points = written(spark.createDataFrame(rows, POINTS).repartitionByRange(6, "route_id", "seq").withColumn("_range", F.spark_partition_id()), "placed")
+    for most in mosts:
+        kept = {}
+        for r in routes.simplify(points, most, None).collect():
+            kept.setdefault(r["route_id"], []).append(r["seq"] // 3)
+        for name, (lat, lon) in tracks.items():
+            assert sorted(kept[str(name)]) == whole_rule(lat, lon, most), (name, most)
+
+
+@pytest.mark.parametrize("span", [150, 100_000])
+def test_long_routes_of_the_query_are_whole(spark, monkeypatch, tmp_path, span):
+    """route_simplify on routes of 700 and 200 events against its SQL with every point in (the SQL as it stands thins routes of more than 240)."""
+    from tidemark.queries import QUERIES
+
+    monkeypatch.setattr(routes, "SPAN_POINTS", span)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT k AS event_id, CASE WHEN k % 9 < 7 THEN 1 ELSE 2 END AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, TIMESTAMP '2024-01-01' + k * INTERVAL 1 SECOND AS ts FROM range(900) t(k)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    whole = oracle.SQL["route_simplify"].replace("i0 % greatest(1, CAST(ceil(n / 240.0) AS BIGINT)) = 0 OR i0 = n - 1", "true")
+    assert whole != oracle.SQL["route_simplify"]
+    expected = sorted(con.sql(f"SELECT * FROM ({whole})").fetchall())
+    assert sorted(map(tuple, QUERIES["route_simplify"](spark, str(tmp_path)).collect())) == expected

@@ -2,14 +2,15 @@
 
 Points are dealt to ranges of (route, seq) first and written once. A range is one task's worth, so a long route is many tasks' and many short ones share one. All that
 needs a route in order is a scan over its ranges: each range is summed by itself, with the two points on either side of it as a border, and a route's few
-ranges are then put together in order. Nothing holds a whole route: neither a window, a group nor a row.
+ranges are then put together in order. Nothing holds a whole route, neither a window, a group nor a row, but for lines of up to SPAN_POINTS points that are simplified.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,10 @@ DEGREE_KM = 111.32
 #: Points to either side that a speed looks at.
 NEAR = 2
 SEGMENT = ["route_id", "_range"]
+#: Part of a route between two of its points: their places and positions, and the highest rank that a point in between can have.
+SPAN = ["route_id", "_a", "_b", "_cap", "a_lat", "a_lon", "b_lat", "b_lon"]
+#: Points between which a span is one group's work, and the widest tolerance in km that a line is drawn with.
+SPAN_POINTS, WIDEST = 50_000, 1024.0
 
 
 def ranges(points: DataFrame) -> DataFrame:
@@ -222,28 +227,44 @@ def squares(x: np.ndarray) -> np.ndarray:
     return np.array([math.pow(v, 2) for v in x.tolist()])
 
 
-def ranks(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+def farthest(lat: np.ndarray, lon: np.ndarray, start: Sequence[float], end: Sequence[float]) -> tuple[float, int]:
+    """(distance, place) of the first of the points that are farthest from the line between start and end, in km, in a plane that touches at its start. Points without
+    a position are passed over; 0 where no other is left."""
+    # In the SQL's order of steps, as what is equally far on paper is told apart by the last bit.
+    wide = math.cos(math.radians(start[0]))
+    px, py = (lon - start[1]) * wide * DEGREE_KM, (lat - start[0]) * DEGREE_KM
+    dx, dy = (end[1] - start[1]) * wide * DEGREE_KM, (end[0] - start[0]) * DEGREE_KM
+    length = math.pow(dx, 2) + math.pow(dy, 2)
+    t = np.clip((px * dx + py * dy) / length, 0, 1) if length else np.zeros(len(px))
+    x, y = px - t * dx, py - t * dy
+    # Plain products are off by a few last bits at most, so only points as good as farthest are squared by pow.
+    rough = x * x + y * y
+    near = np.flatnonzero(rough >= np.fmax.reduce(rough) * (1 - 1e-12))
+    if not len(near):
+        return 0.0, 0
+    away = np.sqrt(squares(x[near]) + squares(y[near]))
+    k = int(away.argmax())
+    return float(away[k]), int(near[k])
+
+
+def ranks(lat: np.ndarray, lon: np.ndarray, cap: float = math.inf, most: int | None = None) -> np.ndarray:
     """The tolerance below which each point is kept: a line is split at its farthest point, again and again, and a point is kept while all splits on the way down to it are
-    farther than the tolerance. Ends are always kept. Distances are in km, in a plane that touches at the start of each line."""
+    farther than the tolerance. Ends are always kept; cap is the least of the splits that led to this line. Highest ranks are found first: with most, no more than that
+    many are looked for beside those above WIDEST, and 0 stands for the rest."""
     out = np.zeros(len(lat))
     out[[0, -1]] = np.inf
-    todo = [(0, len(lat) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        # In the SQL's order of steps, as what is equally far on paper is told apart by the last bit.
-        wide = math.cos(math.radians(lat[a]))
-        px, py = (lon[a + 1 : b] - lon[a]) * wide * DEGREE_KM, (lat[a + 1 : b] - lat[a]) * DEGREE_KM
-        dx, dy = (lon[b] - lon[a]) * wide * DEGREE_KM, (lat[b] - lat[a]) * DEGREE_KM
-        length = math.pow(dx, 2) + math.pow(dy, 2)
-        t = np.clip((px * dx + py * dy) / length, 0, 1) if length else np.zeros(len(px))
-        away = np.sqrt(squares(px - t * dx) + squares(py - t * dy))
-        far = int(away.argmax())
-        if away[far] > 0:
-            m = a + 1 + far
-            out[m] = min(away[far], out[a], out[b])
-            todo += [(a, m), (m, b)]
+    # (-rank, -place, first, last) of a split; place 0: of a part whose farthest point isn't known yet, which ranks no higher than the split that made it.
+    todo, found = [(-cap, 0, 0, len(lat) - 1)], 0
+    while todo and (most is None or found < most or -todo[0][0] > WIDEST):
+        least, m, a, b = heapq.heappop(todo)
+        if m:
+            out[-m], found = -least, found + 1
+            heapq.heappush(todo, (least, 0, a, -m))
+            heapq.heappush(todo, (least, 0, -m, b))
+        elif b - a > 1:
+            away, k = farthest(lat[a + 1 : b], lon[a + 1 : b], (lat[a], lon[a]), (lat[b], lon[b]))
+            if away > 0:
+                heapq.heappush(todo, (max(-away, least), -(a + 1 + k), a, b))
     return out
 
 
@@ -260,20 +281,99 @@ def tolerance(found: np.ndarray, most: int) -> float:
     return hi
 
 
-def simplify(points: DataFrame, most: int = MOST_POINTS) -> DataFrame:
-    """At most `most` points of each route, ends kept: the finest line that fits. Routes of more than 8 x most points are thinned to that in Spark first, so that a group has
-    8 x most + 1 points at the most, however long the route is. most has to be 2 at least."""
+def _within(placed: DataFrame, spans: DataFrame, extents: DataFrame) -> DataFrame:
+    """Points of placed ranges with each span that they lie in, ends included. Spans meet points range by range, so a long route is many tasks' work; what
+    spans there are is written first, as Spark then knows its size and leaves the points where they are beside a few."""
+    held = spans.join(extents, "route_id").filter((F.col("_first") <= F.col("_b")) & (F.col("_last") >= F.col("_a"))).drop("_first", "_last")
+    return placed.select(*SEGMENT, "_i", "lat", "lon").join(written(held, "held"), SEGMENT).filter(F.col("_i").between(F.col("_a"), F.col("_b")))
+
+
+def _split(within: DataFrame) -> DataFrame:
+    """Spans with their farthest point (_m, m_lat, m_lon) and its rank; those without a point off their line are left out."""
+    names = [*SPAN, "_m", "m_lat", "m_lon", "away"]
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for _, rows in frame.sort_values("_i").groupby(["route_id", "_a"], sort=False):
+                span = [rows[c].iat[0] for c in SPAN]
+                away, k = farthest(rows["lat"].to_numpy(np.float64), rows["lon"].to_numpy(np.float64), span[4:6], span[6:])
+                if away > 0:
+                    out.append((*span, *(rows[c].iat[k] for c in ("_i", "lat", "lon")), away))
+            yield pd.DataFrame(out, columns=names)
+
+    inner = within.filter((F.col("_i") > F.col("_a")) & (F.col("_i") < F.col("_b")))
+    kinds = [inner.schema[c].dataType.simpleString() for c in SPAN]
+    found = inner.mapInPandas(run, ", ".join(f"{c} {k}" for c, k in zip(SPAN, kinds, strict=True)) + ", _m bigint, m_lat double, m_lon double, away double")
+    best = found.groupBy(*SPAN).agg(F.max(F.struct("away", (-F.col("_m")).alias("_back"), "m_lat", "m_lon")).alias("_best"))
+    return best.select(*SPAN, (-F.col("_best._back")).alias("_m"), "_best.m_lat", "_best.m_lon", F.least("_best.away", "_cap").alias("rank"))
+
+
+def _highest(nodes: DataFrame, most: int) -> DataFrame:
+    """The most - 1 highest ranks of each route, which decide its tolerance, and all above WIDEST; _row counts them."""
+    row = F.row_number().over(W.partitionBy("route_id").orderBy(F.desc("rank")))
+    return nodes.withColumn("_row", row).filter((F.col("_row") < most) | (F.col("rank") > WIDEST))
+
+
+def _long_kept(placed: DataFrame, most: int) -> DataFrame | None:
+    """(route_id, _i) of the points kept of routes of more than SPAN_POINTS points; None where there are none. All spans that are too long are split at once, each over all
+    of its points, until none is left that could rank high enough; what is shorter is a group's work."""
+    placed = placed.filter(F.col("_n") > max(SPAN_POINTS, most))
+    ends = placed.filter((F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1))
+    at = lambda c, last: F.max(F.when((F.col("_i") > 0) == last, F.col(c)))
+    of = {"_a": F.min("_i"), "_b": F.max("_i"), "_cap": F.lit(math.inf), "a_lat": at("lat", False), "a_lon": at("lon", False), "b_lat": at("lat", True), "b_lon": at("lon", True)}
+    spans = written(ends.groupBy("route_id").agg(*(v.alias(k) for k, v in of.items())), "spans")
+    if spans.isEmpty():
+        return None
+    extents = written(placed.groupBy(*SEGMENT).agg(F.min("_i").alias("_first"), F.max("_i").alias("_last")), "extents")
+    nodes, long = None, F.col("_b") - F.col("_a") >= SPAN_POINTS
+    while not spans.filter(long).isEmpty():
+        found = written(_split(_within(placed, spans.filter(long), extents)), "split")
+        here = found.select("route_id", F.col("_m").alias("_i"), "rank")
+        nodes = written(_highest(here if nodes is None else nodes.drop("_row").unionByName(here), most), "nodes")
+        middle = lambda x: (F.col("m_lat").alias(f"{x}_lat"), F.col("m_lon").alias(f"{x}_lon"))
+        before = found.select("route_id", "_a", F.col("_m").alias("_b"), F.col("rank").alias("_cap"), "a_lat", "a_lon", *middle("b"))
+        after = found.select("route_id", F.col("_m").alias("_a"), "_b", F.col("rank").alias("_cap"), *middle("a"), "b_lat", "b_lon")
+        # A part ranks no higher than the split that made it, so it is done with once enough others are known to rank as high.
+        least = nodes.filter(F.col("_row") == most - 1).select("route_id", F.least("rank", F.lit(WIDEST)).alias("_least"))
+        open_ = spans.filter(~long).unionByName(before).unionByName(after).filter(F.col("_b") - F.col("_a") > 1).join(least, "route_id", "left")
+        spans = written(open_.filter(F.col("_least").isNull() | (F.col("_cap") > F.col("_least"))).select(*SPAN), "spans")
+
+    def of_span(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+        found = ranks(pdf["lat"].to_numpy(np.float64), pdf["lon"].to_numpy(np.float64), float(pdf["_cap"].iloc[0]), most - 1)
+        return [(key[0], int(i), float(r)) for i, r in zip(pdf["_i"].to_numpy()[1:-1], found[1:-1], strict=True) if r > 0]
+
+    def of_route(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+        found = pdf["rank"].to_numpy()
+        return [(*key, i) for i in pdf["_i"].to_numpy()[found > tolerance(found, most - 2)].tolist()]
+
+    kind = placed.schema["route_id"].dataType.simpleString()
+    inner = by_key(_within(placed, spans, extents).select("route_id", "_a", "_cap", "_i", "lat", "lon"), ["route_id", "_a"], "_i", of_span, f"route_id {kind}, _i bigint, rank double")
+    highest = written(_highest(inner.unionByName(nodes.drop("_row")), most), "nodes")
+    # Beyond the first most - 1 there are only ranks above WIDEST, the widest tolerance.
+    kept = by_key(highest.filter(F.col("_row") < most), ["route_id"], "_i", of_route, f"route_id {kind}, _i bigint").unionByName(highest.filter(F.col("_row") >= most).select("route_id", "_i"))
+    return kept.unionByName(ends.select("route_id", "_i"))
+
+
+def simplify(points: DataFrame, most: int = MOST_POINTS, over: int | None = 8) -> DataFrame:
+    """At most `most` points of each route, ends kept: the finest line that fits. Routes of more than over x most points are thinned to that first, which is a drawn line's
+    rule; with None every point is looked at, however long the route is. A group has SPAN_POINTS points at the most. most has to be 2 at least."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
-        found = ranks(pdf["lat"].to_numpy(np.float64), pdf["lon"].to_numpy(np.float64)) if len(pdf) > most else None
-        seqs = pdf["seq"].tolist()
-        return [(*key, k) for k in (seqs if found is None else np.asarray(seqs)[found > tolerance(found, most)].tolist())]
+        found = ranks(pdf["lat"].to_numpy(np.float64), pdf["lon"].to_numpy(np.float64), most=most - 1)
+        return [(*key, i) for i in pdf["_i"].to_numpy()[found > tolerance(found, most)].tolist()]
 
     if most < 2:
         return points
     points = ranges(points)
     columns = [c for c in points.columns if c != "_range"]
-    thinned = written(_every(numbered(points), 8 * most).select(*columns), "thinned")
-    kinds = {c: points.schema[c].dataType.simpleString() for c in ("route_id", "seq")}
-    kept = by_key(thinned.select("route_id", "seq", "lat", "lon"), ["route_id"], "seq", one, ", ".join(f"{c} {k}" for c, k in kinds.items()))
-    return thinned.join(kept, ["route_id", "seq"], "left_semi").select(*columns)
+    placed = numbered(points)
+    if over:
+        stride = F.greatest(F.lit(1), F.ceil(F.col("_n") / (over * most)))
+        placed = _every(placed, over * most).withColumns({"_i": F.ceil(F.col("_i") / stride), "_n": F.ceil((F.col("_n") - 1) / stride) + 1})
+    placed = written(placed, "placed")
+    kind = points.schema["route_id"].dataType.simpleString()
+    short = placed.filter((F.col("_n") > most) & (F.col("_n") <= SPAN_POINTS)).select("route_id", "_i", "lat", "lon")
+    kept, long = by_key(short, ["route_id"], "_i", one, f"route_id {kind}, _i bigint"), _long_kept(placed, most)
+    kept = (kept if long is None else kept.unionByName(long)).withColumn("_kept", F.lit(True))
+    return placed.join(kept, ["route_id", "_i"], "left").filter((F.col("_n") <= most) | F.col("_kept")).select(*columns)

@@ -732,7 +732,7 @@ def route_samples(spark, d):
 
 @query
 def route_simplify(spark, d):
-    return routes.simplify(ad.track_points(spark, d), 30).withColumn("at", F.col("at").cast("string"))
+    return routes.simplify(ad.track_points(spark, d), 30, None).withColumn("at", F.col("at").cast("string"))
 
 
 @query
